@@ -1,0 +1,53 @@
+"""Column expressions that the operators share."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, WindowSpec
+from pyspark.sql import functions as F
+
+
+def finite(x: Column) -> Column:
+    """The value if it is a finite number, else null: a NaN is missing, never compared."""
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+
+def r6(x: Column) -> Column:
+    """Six decimals, off the grid of half units so that two engines agree."""
+    return F.round(x + F.lit(3e-10), 6)
+
+
+def full(agg: Column, over: WindowSpec, n: int, what: Column | None = None) -> Column:
+    """A windowed aggregate that is null until n rows (or n values of what) are in the window."""
+    seen = F.count(F.lit(1) if what is None else what).over(over)
+    return F.when(seen == n, agg.over(over))
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """a / b, null where b is null or zero."""
+    return F.try_divide(a, b)
+
+
+def change(new: Column, old: Column) -> Column:
+    """Percent change, null unless the old value is above zero."""
+    return F.when(old > 0, (new / F.when(old > 0, old) - 1.0) * 100.0)
+
+
+def ladder(x: Column, points: list[tuple[float, float]]) -> Column:
+    """Linear interpolation along (x, y) points, flat beyond both ends; null stays null."""
+    out = F.when(x <= points[0][0], F.lit(float(points[0][1])))
+    for (x0, y0), (x1, y1) in zip(points, points[1:], strict=False):
+        out = out.when(x <= x1, F.lit(float(y0)) + (x - F.lit(float(x0))) * F.lit((y1 - y0) / (x1 - x0)))
+    return out.when(x.isNotNull(), F.lit(float(points[-1][1])))
+
+
+def clip_linear(x: Column, low: float, high: float) -> Column:
+    """0 at low, 100 at high, linear between and clipped beyond."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), (x - F.lit(low)) / F.lit(high - low) * 100.0))
+
+
+def first_reason(*rules: tuple[Column, str]) -> Column:
+    """The text of the first rule that holds; null if none does."""
+    out = F.when(rules[0][0], F.lit(rules[0][1]))
+    for test, text in rules[1:]:
+        out = out.when(test, F.lit(text))
+    return out
