@@ -58,7 +58,7 @@ def known_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     items = table(spark, sf_dir, "lineitem")
     day = F.to_date("l_shipdate")
-    rows = items.select(F.col("l_suppkey").alias("instrument"), day.alias("trade_date"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 4).alias("close"), F.date_add(day, F.col("l_quantity").cast("int")).alias("known_at"))
+    rows = items.select(F.col("l_suppkey").alias("instrument"), day.alias("trade_date"), F.round(F.col("l_extendedprice") / F.col("l_quantity") + 3e-9, 4).alias("close"), F.date_add(day, F.col("l_quantity").cast("int")).alias("known_at"))
     return rows.groupBy("instrument", "trade_date", "known_at").agg(F.max("close").alias("close"))
 
 
