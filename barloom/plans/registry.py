@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.plans import market, screen, temporal
+from barloom.plans import market, screen, studies, temporal
 
-PARTS = (screen, temporal, market)
+PARTS = (screen, temporal, market, studies)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in PARTS for k, v in p.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for p in PARTS for k, v in p.ORACLES.items()}
