@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.plans import files, fundamentals, market, research, screen, streams, studies, temporal
+from barloom.plans import files, fundamentals, market, quality, research, screen, streams, studies, temporal
 
-PARTS = (screen, temporal, market, studies, research, fundamentals, streams, files)
+PARTS = (screen, temporal, market, studies, research, fundamentals, streams, files, quality)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in PARTS for k, v in p.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for p in PARTS for k, v in p.ORACLES.items()}
