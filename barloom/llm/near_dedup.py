@@ -3,8 +3,8 @@
 Each text's shingle set is hashed once; a hash falls in one of BINS bins, each bin keeps its least value, and an empty
 bin borrows from a bin that a hash of (bin, attempt) points to, the same for all texts. Bands of ROWS bins are bucket keys.
 Within a bucket only the edges of a star are proposed, never all pairs. Proposed links are confirmed on full sets. Stars
-that leave a bucket in several components are followed by stars around other centres, and at last by every pair of the
-rest against other components, so that no link between different texts is lost to the star shape.
+that leave a bucket in several components are followed by stars around other centres, and at last by an exact prefix filter
+between the components that are left, so that no link between different texts is lost to the star shape.
 """
 
 from __future__ import annotations
@@ -183,7 +183,35 @@ def labelled(members: DataFrame, comps: DataFrame) -> DataFrame:
 def open_buckets(rows: DataFrame) -> DataFrame:
     """Those of (key, node, comp) whose bucket holds several components."""
     keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    return rows.join(keys, "key")
+    return rows.join(stored(keys, "open-keys"), "key")
+
+
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b): all pairs of a probe and a node of another component that can be linked, of nodes(node, comp, probe).
+
+    Shingles are ordered from rare to frequent, the same for all. If two sets of sizes m and n share o shingles, their first
+    common one stands at place m - o or before in one and n - o or before in the other (from 0); a link needs
+    o >= percent * (m + n) / (100 + percent). Only shingles at such places are joined, so copies that differ in rare
+    shingles never meet on the frequent ones. No link is lost.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column(1)]
+            n = np.array([len(x) for x in each], np.int64)
+            nodes = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), n)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(each) if each else np.zeros(0, np.int64))], names=["node", "shingle"])
+
+    tokens = stored(sets.join(nodes.select("node"), "node", "left_semi").mapInArrow(spread, "node long, shingle long"), "shingles")
+    df = stored(tokens.groupBy("shingle").agg(F.count("*").alias("df")), "shingle-counts")
+    lists = tokens.join(df, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    n = F.size("s")
+    heads = lists.select("node", n.alias("n"), F.posexplode(F.slice("s", 1, n - F.ceil(n * percent / 100).cast("int") + 1)).alias("i", "t"))
+    heads = stored(heads.select("node", "n", "i", "t.shingle").join(nodes, "node"), "prefixes")
+    x = heads.where("probe").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "i", "comp")])
+    need = F.ceil(percent * (F.col("x_n") + F.col("n")) / (100 + percent))
+    able = (F.col("comp") != F.col("x_comp")) & (F.col("i") <= F.col("n") - need) & (F.col("x_i") <= F.col("x_n") - need)
+    return pairs_of(x.join(heads, "shingle").where(able).select(F.col("x_node").alias("x"), F.col("node").alias("y")))
 
 
 def near_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -202,7 +230,7 @@ def near_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFr
     classes = stored(one.groupBy("s1", "s2").agg(F.min("doc_id").alias("node")), "classes")
     heads = live.select(F.col("doc_id").alias("node"), "s1", "s2", "keys").join(classes, ["node", "s1", "s2"]).select("node", F.explode("keys").alias("key"))
     shared = heads.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("other")).where(F.col("centre") != F.col("other")).select("key", "centre")
-    members = stored(heads.join(shared, "key").select("key", "node", "centre"), "buckets")
+    members = stored(heads.join(stored(shared, "shared-keys"), "key").select("key", "node", "centre"), "buckets")
     sets = full_sets(docs, classes.join(members.select("node").distinct(), "node"), shingle)
 
     # Stars around each bucket's least node.
@@ -212,17 +240,16 @@ def near_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFr
     # Stars around another centre of each bucket that is still in several components.
     rest = stored(open_buckets(labelled(members, comps)), "open-buckets")
     centres = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), F.col("node").alias("centre"), F.col("comp").alias("centre_comp"))).alias("c")).select("key", "c.centre", "c.centre_comp")
-    again = rest.join(centres, "key").where(F.col("comp") != F.col("centre_comp")).select(F.col("centre").alias("x"), F.col("node").alias("y"))
+    again = rest.join(stored(centres, "centres"), "key").where(F.col("comp") != F.col("centre_comp")).select(F.col("centre").alias("x"), F.col("node").alias("y"))
     more = stored(pairs_of(again).join(tried, ["a", "b"], "left_anti"), "pairs")
     links = stored(links.unionByName(confirm(more, sets, percent)), "confirmed")
     comps = components(links)
-    # What is left: every node outside its bucket's largest component, against the bucket's other components.
+    # What is left: nodes outside their bucket's largest component, against other components, by an exact filter.
     rest = stored(open_buckets(labelled(rest.select("key", "node"), comps)), "open-buckets")
     largest = rest.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("largest"))
-    probes = rest.join(largest, "key").where(F.col("comp") != F.col("largest")).select("key", F.col("node").alias("x"), F.col("comp").alias("x_comp"))
-    last = probes.join(rest, "key").where(F.col("comp") != F.col("x_comp")).select("x", F.col("node").alias("y"))
-    last = pairs_of(last).join(tried.unionByName(more), ["a", "b"], "left_anti")
-    links = stored(links.unionByName(confirm(stored(last, "pairs"), sets, percent)), "confirmed")
+    probes = rest.join(stored(largest, "largest"), "key").groupBy("node", "comp").agg(F.max(F.col("comp") != F.col("largest")).alias("probe"))
+    last = stored(prefix_pairs(stored(probes, "probes"), sets, percent), "pairs")
+    links = stored(links.unionByName(confirm(last, sets, percent)), "confirmed")
     comps = components(links)
 
     named = one.join(classes, ["s1", "s2"]).select("doc_id", "node").join(comps, "node", "left")
