@@ -83,7 +83,7 @@ def screener(s, d, min_rank: int = 60, stages: tuple[str, ...] = ("STAGE_2", "TR
     """The screen of one day with all its predicates; filters are columns, so Catalyst pushes what it can."""
     b = model_bars(s, d)
     f = daily_features(b).select("instrument", "trade_date", "high_252")
-    rows = trend_status(b).join(f, ["instrument", "trade_date"]).join(weekly_stage(b).select("instrument", "trade_date", "stage"), ["instrument", "trade_date"]).join(F.broadcast(sectors(s, d)), "instrument", "left")
+    rows = trend_status(b).join(f, ["instrument", "trade_date"]).join(weekly_stage(b).select("instrument", "trade_date", "stage"), ["instrument", "trade_date"]).join(sectors(s, d), "instrument", "left")
     test = (F.col("rs_rank") >= min_rank) & F.col("stage").isin(*stages) & (F.col("close") >= F.col("high_252") * (1 - near_high / 100)) & (F.col("n_passed") >= 6)
     return rows.where(test).select("instrument", "trade_date", "close", "rs_rank", "n_passed", "status", "stage", "sector")
 

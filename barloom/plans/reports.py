@@ -97,7 +97,7 @@ def bias(s, d):
     """Per year: bars observed, and those that a later split touches."""
     b = model_bars(s, d).select("instrument", "trade_date")
     last = actions(model_bars(s, d)).groupBy("instrument").agg(F.max("ex_date").alias("last_ex"))
-    return b.join(F.broadcast(last), "instrument", "left").groupBy(F.year("trade_date").alias("year")).agg(F.count("*").alias("n"), F.count(F.when(F.col("last_ex") > F.col("trade_date"), 1)).alias("n_touched"))
+    return b.join(last, "instrument", "left").groupBy(F.year("trade_date").alias("year")).agg(F.count("*").alias("n"), F.count(F.when(F.col("last_ex") > F.col("trade_date"), 1)).alias("n_touched"))
 
 
 def outside(s, d):

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.operators import backtest, labels, patterns
+from barloom.operators import backtest, falls, labels, patterns
 from barloom.operators.backtest import TradeRule
 from barloom.operators.features import daily_features
 from barloom.operators.trend import trend_status
 from barloom.plans.screen import rounded
 from barloom.plans.sql import BARS, FEATURES, STRENGTH, TREND, with_
-from barloom.sources.bars import model_bars
+from barloom.sources.bars import model_bars, sessions
 
 RULES = [TradeRule("hold_low8"), TradeRule("target20", target_pct=20.0), TradeRule("trail50", trail="sma50"), TradeRule("cross5", max_extension_pct=5.0)]
 
@@ -42,7 +42,23 @@ def ema20(s, d):
     return bars.select("instrument", F.element_at("b", -1)["trade_date"].alias("trade_date"), last.alias("ema_20"))
 
 
+def weekly_falls(s, d):
+    """The second detector at each instrument's last bar of every fourth week."""
+    bars = model_bars(s, d)
+    week = F.floor(F.datediff("trade_date", F.lit("1992-01-06").cast("date")) / 28)
+    return falls.detect_falls(bars, bars.groupBy("instrument", week.alias("w")).agg(F.max("trade_date").alias("as_of")).drop("w"))
+
+
+def level_signals(s, d):
+    """Passing days as candidates, their 20-bar high as pivot."""
+    bars = model_bars(s, d)
+    days = trend_status(bars).where("status = 'PASS'").join(daily_features(bars).select("instrument", "trade_date", F.col("high_20").alias("pivot")), ["instrument", "trade_date"])
+    return falls.new_signals(days.join(F.broadcast(sessions(bars)), "trade_date").select("instrument", F.col("trade_date").alias("as_of"), "pivot", "session"))
+
+
 QUERIES = {
+    "dom48_falls": weekly_falls,
+    "dom50_new_signals": level_signals,
     "dom60_signals": signals,
     "dom57_trades": lambda s, d: rounded(trades(s, d), "entry", "exit", "ret_pct"),
     "dom57_trade_stats": lambda s, d: rounded(labels.trade_stats(trades(s, d).withColumn("hold_days", F.datediff("exit_date", "entry_date")), "rule", "exit_kind"), "win_rate", "avg_ret", "median_ret", "profit_factor", "avg_hold_days", "avg_win", "avg_loss"),
@@ -54,6 +70,11 @@ QUERIES = {
 }
 
 ORACLES = {
+    "dom50_new_signals": with_(BARS, FEATURES, STRENGTH, TREND) + """, n AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS session FROM (SELECT DISTINCT trade_date FROM bars)),
+c AS (SELECT s.instrument, s.trade_date AS as_of, f.high_20 AS "pivot", session FROM status s JOIN feat f USING (instrument, trade_date) JOIN n USING (trade_date) WHERE status = 'PASS'),
+g AS (SELECT *, CASE WHEN session - lag(session) OVER w = 1 AND abs("pivot" / lag("pivot") OVER w - 1) * 100 <= 0.01 THEN 0 ELSE 1 END AS starts FROM c WINDOW w AS (PARTITION BY instrument ORDER BY session)),
+r AS (SELECT *, sum(starts) OVER (PARTITION BY instrument ORDER BY session) AS run FROM g)
+SELECT instrument, as_of, "pivot" FROM (SELECT *, min(session) OVER (PARTITION BY instrument, run) AS a FROM r) WHERE (session - a) % 20 = 0""",
     "dom60_signals": with_(BARS, FEATURES, STRENGTH, TREND) + """, r AS (SELECT *, sum(CASE WHEN status = 'PASS' THEN 1 ELSE 0 END) OVER (PARTITION BY instrument ORDER BY trade_date ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS recent FROM status)
 SELECT r.instrument, r.trade_date, f.high_20 AS level, CAST(r.rs_rank AS DOUBLE) AS score FROM r JOIN feat f USING (instrument, trade_date) WHERE r.status = 'PASS' AND recent = 0""",
     "win12_ema20": "WITH RECURSIVE " + BARS.strip() + """, n AS (SELECT instrument, trade_date, close, row_number() OVER (PARTITION BY instrument ORDER BY trade_date) AS n FROM bars),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions import change, finite, ladder
-from barloom.operators import adjust, asof, backtest, features, labels, patterns, strength, temporal, trend
+from barloom.operators import adjust, asof, backtest, falls, features, labels, patterns, strength, temporal, trend
 from barloom.operators.fundamentals import facts_of_xml
 
 D0 = date(2020, 1, 1)
@@ -150,3 +150,35 @@ def test_xml_filings(spark, tmp_path):
     facts, rejects = facts_of_xml(spark, str(tmp_path))
     assert sorted((r.entity, r.item, r.value) for r in facts.collect()) == [(1, "eps", 1.5), (1, "revenue", 5.0)]
     assert {r.entity: r.reason for r in rejects.collect()} == {2: "no period", 3: "eps is no number"}
+
+
+def legs(*points):
+    import numpy as np
+
+    return np.concatenate([np.linspace(a, b, n, endpoint=False) for a, b, n in points])
+
+
+def falls_of(close, **rules):
+    import numpy as np
+
+    f = falls.Falls(close * 1.002, close * 0.998, close, np.full(len(close), 100.0), falls.FallRules(**rules))
+    return f, f.candidate()
+
+
+def test_falling_legs_by_hand():
+    rise = (50, 100, 130)
+    _, two = falls_of(legs(rise, (100, 80, 15), (80, 97, 15), (97, 89, 10), (89, 94, 8)))
+    assert two["reason"] is None and [round(x) for x in two["depths"]] == [20, 9] and two["candidate"] and two["pivot"] == pytest.approx(97 * 1.002, rel=1e-3)
+    _, stairs = falls_of(legs(rise, (100, 88, 12), (88, 94, 8), (94, 80, 12), (80, 97, 15), (97, 91, 10), (91, 94, 8)))
+    assert len(stairs["depths"]) == 2 and stairs["lower_highs"][0] == 1
+    _, under = falls_of(legs(rise, (100, 85, 12), (85, 97, 12), (97, 90, 8), (90, 96, 8), (96, 75, 14), (75, 88, 14), (88, 87.5, 4)))
+    assert under["undercuts"] == 1 and len(under["depths"]) == 1 and round(under["depths"][0]) == 25
+    assert falls_of(legs(rise, (100, 85, 12), (85, 104, 20)))[1]["reason"] == "BROKEN_OUT"
+    assert falls_of(legs((95, 100, 130), (100, 85, 12), (85, 95, 20)))[1]["reason"] == "NO_ADVANCE"
+    assert falls_of(legs((50, 100, 60)))[1]["reason"] == "NO_SWING_HIGH"
+
+
+def test_new_signals(spark):
+    rows = [(1, k, 10.0, k) for k in range(0, 45)] + [(1, 50, 10.0, 50), (1, 51, 11.0, 51), (1, 52, 11.0, 52)]
+    df = spark.createDataFrame(rows, "instrument long, as_of int, pivot double, session int")
+    assert sorted(r.as_of for r in falls.new_signals(df).collect()) == [0, 20, 40, 50, 51]
