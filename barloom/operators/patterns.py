@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -155,3 +156,31 @@ def tiers(bases: DataFrame) -> DataFrame:
     rows = rows.withColumn("unmet_a", unmet(3, 25.0, 6.0)).withColumn("unmet_full", unmet(2, 35.0, 10.0)).withColumn("unmet_like", unmet(2, 50.0, 15.0))
     cls = F.when(F.col("reason").isNotNull(), "NONE").when(F.size("unmet_a") == 0, "A_PLUS").when(F.size("unmet_full") == 0, "FULL").when(F.size("unmet_like") == 0, "LIKE").otherwise("NONE")
     return rows.select("instrument", "as_of", "reason", n.alias("n_contractions"), "depth_pct", "ratios", cls.alias("class"), F.concat_ws(",", "unmet_full").alias("unmet"))
+
+
+def base_status(bases: DataFrame, bars: DataFrame, trend: DataFrame, volume_ratio: float = 1.5, break_pct: float = 0.0, ready_pct: float = 5.0) -> DataFrame:
+    """Status of each base by precedence: INVALIDATED, BREAKOUT or FAILED, READY, FORMING.
+
+    The level is the last contraction's peak, or the base's high. A base of two contractions or more is invalid once the close is
+    under its low before the last peak, any base once its instrument fails the trend screen. A breakout is the first close above the
+    level behind its day with volume_ratio times the mean volume of 50 bars before; it has failed if the close is under the level.
+    """
+    w = W.partitionBy("instrument").orderBy("trade_date").rowsBetween(-50, -1)
+    base_volume = F.when(F.count("volume").over(w) == 50, F.avg("volume").over(w))
+    b = bars.select("instrument", "trade_date", "low", "close", (F.col("volume") / F.when(base_volume > 0, base_volume)).alias("ratio"))
+    last = F.try_element_at("contractions", F.lit(-1))
+    k = bases.where("reason IS NULL").select("instrument", "as_of", "base_start", F.size("contractions").alias("n"), F.coalesce(last["peak"], F.col("base_high")).alias("level"), F.coalesce(last["peak_date"], F.col("base_start")).alias("level_date"))
+    inside = k.join(b, "instrument").where((F.col("trade_date") >= F.col("base_start")) & (F.col("trade_date") <= F.col("as_of")))
+    broke = (F.col("trade_date") > F.col("level_date")) & (F.col("close") > F.col("level")) & (F.col("ratio") >= volume_ratio)
+    rows = inside.groupBy("instrument", "as_of", "n", "level").agg(F.min(F.when(F.col("trade_date") <= F.col("level_date"), F.col("low"))).alias("floor"), F.max_by("close", "trade_date").alias("close"), F.min(F.when(broke, F.col("trade_date"))).alias("breakout_on"), F.max("trade_date").alias("trade_date"))
+    rows = rows.join(trend.select("instrument", "trade_date", "status"), ["instrument", "trade_date"], "left").withColumnRenamed("status", "trend")
+    reasons = F.array_compact(F.array(F.when(F.col("trend") == "FAIL", F.lit("TREND")), F.when((F.col("n") >= 2) & (F.col("close") < F.col("floor") * (1 - break_pct / 100)), F.lit("BASE_LOW"))))
+    below = (F.col("level") / F.col("close") - 1) * 100
+    state = F.when(F.size("reasons") > 0, "INVALIDATED").when(F.col("breakout_on").isNotNull(), F.when(F.col("close") >= F.col("level"), "BREAKOUT").otherwise("FAILED")).when((F.col("n") >= 2) & below.between(0, ready_pct), "READY").otherwise("FORMING")
+    return rows.withColumn("reasons", reasons).select("instrument", "as_of", "level", "breakout_on", F.concat_ws(",", "reasons").alias("reasons"), state.alias("state"))
+
+
+def status_history(states: DataFrame) -> DataFrame:
+    """Rows of base_status on which an instrument's state is not that of its row before."""
+    before = F.lag("state").over(W.partitionBy("instrument").orderBy("as_of"))
+    return states.withColumn("before", before).where(~F.col("state").eqNullSafe(F.col("before"))).select("instrument", "as_of", "before", "state")

@@ -66,6 +66,8 @@ QUERIES = {
     "dom64_ledger": lambda s, d: rounded(backtest.events(trades(s, d)), "price"),
     "dom31_bases": bases,
     "dom34_tiers": lambda s, d: patterns.tiers(bases(s, d)),
+    "dom37_base_status": lambda s, d: rounded(patterns.base_status(bases(s, d), model_bars(s, d), trend_status(model_bars(s, d))), "level"),
+    "dom40_base_history": lambda s, d: patterns.status_history(patterns.base_status(bases(s, d), model_bars(s, d), trend_status(model_bars(s, d)))),
     "win12_ema20": lambda s, d: rounded(ema20(s, d), "ema_20"),
 }
 

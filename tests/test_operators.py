@@ -182,3 +182,12 @@ def test_new_signals(spark):
     rows = [(1, k, 10.0, k) for k in range(0, 45)] + [(1, 50, 10.0, 50), (1, 51, 11.0, 51), (1, 52, 11.0, 52)]
     df = spark.createDataFrame(rows, "instrument long, as_of int, pivot double, session int")
     assert sorted(r.as_of for r in falls.new_signals(df).collect()) == [0, 20, 40, 50, 51]
+
+
+def test_base_status(spark):
+    b = bars(spark, [100.0] * 60 + [90.0] * 5 + [95.0] * 5 + [103.0] * 2, spread=0.0).withColumn("volume", F.when(F.col("close") > 100, 300.0).otherwise(100.0))
+    part = "array(named_struct('peak_date', date'{0}', 'peak', 100.0D, 'trough_date', date'{1}', 'trough', 90.0D, 'depth_pct', 10.0D, 'confirmed', true))".format(D0 + timedelta(59), D0 + timedelta(60))
+    base = lambda day, low: spark.sql(f"SELECT 1L AS instrument, date'{D0 + timedelta(day)}' AS as_of, date'{D0 + timedelta(55)}' AS base_start, 100.0D AS base_high, {low}D AS base_low, 10.0D AS depth_pct, 10 AS n_bars, 30.0D AS advance_pct, CAST(NULL AS STRING) AS reason, {part} AS contractions")
+    t = b.select("instrument", "trade_date", F.when(F.col("trade_date") == F.lit(D0 + timedelta(66)), "FAIL").otherwise("PASS").alias("status"))
+    got = {r.as_of: r.state for d in (65, 66, 71) for r in patterns.base_status(base(d, 90.0), b, t).collect()}
+    assert got == {D0 + timedelta(65): "FORMING", D0 + timedelta(66): "INVALIDATED", D0 + timedelta(71): "BREAKOUT"}
