@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ from barloom.llm.shared import shared_dir
 BLOCK = 4096
 #: Ids that close a run; a single longer document makes a longer run.
 RUN = 262_144
-#: Distinct words whose ids a worker keeps.
-CACHE = 300_000
+#: Distinct words whose ids a worker keeps, and texts that it encodes at a time.
+CACHE, TEXTS = 500_000, 500
 
 RUNS = "shard int, run int, first_doc long, bits int, doc_id array<long>, n_tokens array<int>, block_offset array<long>, packed binary"
 
@@ -80,42 +81,72 @@ def _set(signs: bytes) -> bytes:
 WORD = re.compile(b"'s|'t|'re|'ve|'m|'ll|'d|[" + _set(LETTERS) + b"]+|[" + _set(NUMBERS) + b"]|[^" + _set(LETTERS + NUMBERS + BLANK) + b"]+")
 
 
+class Numbers(dict):
+    """Numbers keys as they are first asked for and keeps the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, key: bytes) -> int:
+        n = self[key] = len(self)
+        self.new.append(key)
+        return n
+
+
 class Encoder:
     """Ids of whole texts by the library, each distinct word encoded once.
 
     The tokenizer lower-cases, splits into words and merges within a word, so a text's ids are its words' ids in turn.
-    Words are split here for Latin-1 texts alone, where case and classes are certain; other texts go to the library whole.
+    Words are split here for Latin-1 texts alone, where case and classes are certain, and merged by the library's model; other
+    texts go to the library whole.
     """
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
-        self.words: dict[bytes, int] = {}
-        self.ids: list[list[int]] = []
-        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def _add(self, new: list[bytes]) -> None:
-        got = self.library.encode_batch([w.decode("latin-1") for w in new], add_special_tokens=False)
-        lists = [x.ids for x in got]
-        self.words.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
-        self.flat = np.concatenate([self.flat, np.array([i for x in lists for i in x], np.uint32)])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in lists])])
-
-    def encode(self, text: str) -> np.ndarray:
-        try:
-            raw = text.encode("latin-1")
-        except UnicodeEncodeError:
-            raw = None
-        if raw is None or ODD.search(raw):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = WORD.findall(raw.translate(SMALL))
+        # The model reads a word's UTF-8 bytes as the signs of its byte alphabet: visible Latin-1 as it is, the rest from 256 on.
+        seen = [b for b in range(256) if chr(b).isprintable() and b not in (32, 160, 173)]
+        hidden = [b for b in range(256) if b not in seen]
+        self.alphabet = {b: b for b in seen} | {b: 256 + i for i, b in enumerate(hidden)}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.words, self.flat, self.ends = Numbers(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _merge(self) -> None:
+        """Encodes the words that are new since the last call."""
+        if new := self.words.new:
+            model = self.library.model
+            lists = [[t.id for t in model.tokenize(w.decode("latin-1").encode().decode("latin-1").translate(self.alphabet))] for w in new]
+            self.flat = np.concatenate([self.flat, np.array([i for x in lists for i in x], np.uint32)])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in lists])])
+            self.words.new = []
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.words) > CACHE:
-            self.words, self.flat, self.ends = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        if new := list(dict.fromkeys(w for w in words if w not in self.words)):
-            self._add(new)
-        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+            self._clear()
+        found: list[np.ndarray | None] = []
+        for text in texts:
+            try:
+                raw = text.encode("latin-1")
+            except UnicodeEncodeError:
+                found.append(None)
+                continue
+            words = None if ODD.search(raw) else WORD.findall(raw.translate(SMALL))
+            found.append(None if words is None else np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
+        self._merge()
+        return [np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32) if at is None else self._ids(at) for t, at in zip(texts, found, strict=True)]
+
+    def _ids(self, at: np.ndarray) -> np.ndarray:
         n = self.ends[at + 1] - self.ends[at]
-        return self.flat[np.repeat(self.ends[at] - np.cumsum(n) + n, n) + np.arange(n.sum())] if len(words) else np.zeros(0, np.uint32)
+        return self.flat[np.repeat(self.ends[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each worker process, over all its tasks."""
+    return Encoder(path)
 
 
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, vocabulary: int) -> None:
@@ -128,7 +159,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, vocabul
     schema = pa.schema([("shard", pa.int32()), ("run", pa.int32()), ("first_doc", pa.int64()), ("bits", pa.int32()), ("doc_id", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int32())), ("block_offset", pa.list_(pa.int64())), ("packed", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, run = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        shard, run = TaskContext.get().partitionId(), 0
         ids, doc_ids, lengths, held = [], [], [], 0
 
         def row() -> pa.RecordBatch:
@@ -138,15 +169,17 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, vocabul
 
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = encoder.encode(text.as_py() or "")
-                ids += [got, end]
-                doc_ids.append(doc_id)
-                lengths.append(len(got) + 1)
-                held += len(got) + 1
-                if held >= RUN:
-                    yield row()
-                    ids, doc_ids, lengths, held, run = [], [], [], 0, run + 1
+            for k in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(k, TEXTS)
+                encoded = encoder(tokenizer).encode([t or "" for t in part.column(1).to_pylist()])
+                for doc_id, got in zip(part.column(0).to_pylist(), encoded, strict=True):
+                    ids += [got, end]
+                    doc_ids.append(doc_id)
+                    lengths.append(len(got) + 1)
+                    held += len(got) + 1
+                    if held >= RUN:
+                        yield row()
+                        ids, doc_ids, lengths, held, run = [], [], [], 0, run + 1
         if doc_ids:
             yield row()
 
