@@ -9,13 +9,14 @@ No piece spans a line feed, or a space behind another sign, so texts are cut the
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,6 +151,12 @@ class PieceModel:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+@cache
+def piece_model(path: str) -> PieceModel:
+    """One for each worker process, over all its tasks."""
+    return PieceModel(path)
+
+
 def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
     """One row per row of docs: doc_id, ids, n_pieces, ids_crc32 (of ids as little-endian 32-bit), round_trip.
 
@@ -158,7 +165,7 @@ def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = PieceModel(model)
+        m = piece_model(model)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):  # the ids of a whole batch would take many times its text
                 part = batch.slice(k, 512)
@@ -175,7 +182,7 @@ def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
     """(doc_id, text) of encoded(doc_id, ids); null ids give a null text."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = PieceModel(model)
+        m = piece_model(model)
         for batch in batches:
             texts = [None if x is None else m.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
