@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.shared import lower_az
+from barloom.llm.shared import lower_az, stored
 
 
 def cut(least: int, most: int) -> str:
@@ -45,8 +45,8 @@ def recipes(docs: DataFrame, least: int = 500, most: int = 4000) -> DataFrame:
 
     An identifier is the fingerprint where the store has verified it, and the proof beside it where two chunks share it.
     """
-    parts = chunks(docs, least, most)
-    named = parts.join(chunk_store(parts), "fp")
+    parts = stored(chunks(docs, least, most), "chunks")
+    named = parts.join(stored(chunk_store(parts), "chunk-store"), "fp")
     proof = [F.when(~F.col("verified"), F.col(c)).alias(c) for c in ("p1", "p2")]
     named = named.select("doc_id", "text_sha256", "pos", F.struct("fp", *proof).alias("id"))
     lists = named.groupBy("doc_id", "text_sha256").agg(F.array_sort(F.collect_set(F.struct("pos", "id"))).alias("r"), F.count(F.when(F.col("pos") == 0, 1)).alias("n_rows"))
@@ -60,8 +60,8 @@ def exact_dedup(docs: DataFrame, least: int = 500, most: int = 4000) -> DataFram
     largest doc_id stays; a null doc_id is smaller than any. Of repeated rows with that doc_id and text one stays. Other
     columns are neither read nor returned. An empty table gives an empty result.
     """
-    lists = recipes(docs, least, most)
-    groups = lists.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("n_rows").alias("group_size"))
+    lists = stored(recipes(docs, least, most), "recipes")
+    groups = stored(lists.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("n_rows").alias("group_size")), "recipe-groups")
     out = lists.join(groups, "recipe").select("doc_id", "keep_id", "group_size", "text_sha256", F.size("recipe").cast("long").alias("n_chunks"), F.explode(F.sequence(F.lit(1).cast("long"), "n_rows")).alias("copy"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
     return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "n_chunks")
