@@ -37,7 +37,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
         .groupBy("h1", "h2").agg(F.max("doc_id").alias("keep_in"), F.count("one").alias("n_docs"))
         .where(F.col("n_docs") >= min_docs).select("h1", "h2", "keep_in")
     )
-    lost = found.join(firsts, ["h1", "h2"]).where(F.col("doc_id") != F.col("keep_in"))
+    lost = found.join(stored(firsts, "line-firsts"), ["h1", "h2"]).where(F.col("doc_id") != F.col("keep_in"))
     per_doc = lost.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("p"))
     last = F.size("p") - 1
     starts = F.filter("p", lambda x, i: (i == 0) | (x - F.element_at("p", F.greatest(i, F.lit(1))) != 1))
