@@ -50,7 +50,7 @@ def codes(s, d):
 
 def identities(s, d):
     days = codes(s, d)
-    ids = identity.resolve(identity.identifier_links(days))
+    ids = identity.resolve(identity.identifier_links(days, issuer=F.substring_index("code", "-", 1)))
     named = days.join(ids, "code", "left").select(F.coalesce("id", "code").alias("id"), "code", "day")
     return identity.periods(named.distinct())
 

@@ -1,7 +1,10 @@
 """Queries over all of their tables, not a part that stays small as the tables grow."""
 
+from datetime import date, timedelta
+
 import duckdb
 
+from barloom.operators import identity
 from barloom.plans.registry import QUERIES
 
 DIR = "/root/testdata/sf0.01"
@@ -11,3 +14,35 @@ def test_identities_of_all_customers(spark):
     got = QUERIES["bt09_identity"](spark, DIR).select("code", "valid_from").collect()
     want = duckdb.sql(f"SELECT 'ISS' || printf('%06d', o_custkey) || '-' || CAST(floor(year(o_orderdate) / 2) AS INTEGER), CAST(min(o_orderdate) AS DATE) FROM '{DIR}/orders.parquet' GROUP BY o_custkey, CAST(floor(year(o_orderdate) / 2) AS INTEGER)").fetchall()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def code_days(spark, *runs):
+    """Runs of (code, symbol, first, last) as one row a day."""
+    rows = [(c, s, date(2020, 1, 1) + timedelta(k)) for c, s, first, last in runs for k in range(first, last + 1)]
+    return spark.createDataFrame(rows, "code string, symbol string, day date")
+
+
+def ids(links):
+    return {r.code: r.id for r in identity.resolve(links).collect()}
+
+
+def test_a_chain_of_forty_codes_is_one(spark):
+    runs = [(f"INE000A01{k:02d}1", "X", 2 * k, 2 * k + 1) for k in range(40)]
+    got = ids(identity.identifier_links(code_days(spark, *runs)))
+    assert len(got) == 40 and set(got.values()) == {"INE000A01001"}
+
+
+def test_all_predecessors_are_linked(spark):
+    got = ids(spark.createDataFrame([("c1", "c3"), ("c2", "c3"), ("c0", "c2"), ("d1", "d2")], "a string, b string"))
+    assert got == {**dict.fromkeys(["c0", "c1", "c2", "c3"], "c0"), "d1": "d1", "d2": "d1"}
+    assert ids(spark.createDataFrame([("c99", "c100"), ("c100", "c101")], "a string, b string")) == dict.fromkeys(["c99", "c100", "c101"], "c99")
+
+
+def test_a_renamed_symbol_continues_the_serial(spark):
+    old, new, later = "INE000A01011", "INE000A01029", "INE000A01037"
+    links = lambda *runs: {tuple(r) for r in identity.identifier_links(code_days(spark, *runs)).collect()}
+    assert links((old, "X", 0, 3), (new, "Y", 4, 6), (later, "Z", 7, 9)) == {(old, new), (new, later)}
+    assert links((old, "X", 0, 5), (new, "Y", 4, 6)) == set()  # X trades beside it
+    assert links((new, "X", 0, 3), (old, "Y", 4, 6)) == set()  # a lower serial
+    assert links((old, "X", 0, 3), (new, "V", 0, 3), (later, "Y", 4, 6)) == set()  # two could be it
+    assert links((old, "X", 0, 3), ("INE999B01011", "X", 4, 6), (new, "Y", 4, 6)) == set()  # another issuer trades as X
