@@ -43,9 +43,9 @@ def lookahead(s, d):
 
 
 def facts_of_day(s, d):
-    """The latest restated value known on each bar's day: revisions of a customer group stand for those of an instrument."""
+    """The latest restated value known on each bar's day: revisions of a customer group stand for those of an instrument. Bars without facts have nulls."""
     f = facts(s, d).groupBy("entity", F.col("available_at").alias("known_on")).agg(F.max_by("value", F.struct("period", "revision")).alias("value"))
-    bars = model_bars(s, d).where("instrument < 40").select(F.col("instrument").alias("entity"), "trade_date")
+    bars = model_bars(s, d).select(F.col("instrument").alias("entity"), "trade_date")
     return asof.backward(bars, f, ["entity"], "trade_date", "known_on", ["value"])
 
 

@@ -6,6 +6,7 @@ import duckdb
 
 from barloom.operators import identity
 from barloom.plans.registry import QUERIES
+from barloom.sources.bars import model_bars
 
 DIR = "/root/testdata/sf0.01"
 
@@ -46,3 +47,11 @@ def test_a_renamed_symbol_continues_the_serial(spark):
     assert links((new, "X", 0, 3), (old, "Y", 4, 6)) == set()  # a lower serial
     assert links((old, "X", 0, 3), (new, "V", 0, 3), (later, "Y", 4, 6)) == set()  # two could be it
     assert links((old, "X", 0, 3), ("INE999B01011", "X", 4, 6), (new, "Y", 4, 6)) == set()  # another issuer trades as X
+
+
+def test_every_bar_has_its_row_of_facts(spark):
+    got = QUERIES["dom69_facts_of_day"](spark, DIR)
+    bars = model_bars(spark, DIR).selectExpr("instrument AS entity", "trade_date")
+    assert got.select("entity", "trade_date").exceptAll(bars).isEmpty() and bars.exceptAll(got.select("entity", "trade_date")).isEmpty()
+    assert not got.where("entity < 40 AND value IS NOT NULL").isEmpty()
+    assert not got.where("entity >= 40").isEmpty() and got.where("entity >= 40 AND value IS NOT NULL").isEmpty()
