@@ -97,19 +97,33 @@ def events(trades: DataFrame) -> DataFrame:
     return trades.select("rule", "instrument", F.inline(F.array(entry, leave)))
 
 
+def contenders(trades: DataFrame, bars: DataFrame, slots: int) -> DataFrame:
+    """Those of trades that could be taken: per rule and entry day the first `slots` by score, then instrument, with a bar that day."""
+    there = bars.select("instrument", F.col("trade_date").alias("entry_date"))
+    best = W.partitionBy("rule", "entry_date").orderBy(F.desc_nulls_last(F.nanvl("score", F.lit(None).cast("double"))), "instrument")
+    return trades.join(there, ["instrument", "entry_date"], "left_semi").withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= slots).drop("_k")
+
+
+def held_days(trades: DataFrame, bars: DataFrame) -> DataFrame:
+    """(rule, instrument, trade_date, ...): the bars on which each trade is held."""
+    return trades.join(bars.select("instrument", "trade_date", "close"), "instrument").where((F.col("trade_date") >= F.col("entry_date")) & (F.col("trade_date") <= F.col("exit_date")))
+
+
 def portfolio(trades: DataFrame, bars: DataFrame, slots: int = 10) -> DataFrame:
     """Per rule: daily value, cash and open positions with a fixed number of slots, exits before entries, higher scores first.
 
-    A day's fold needs the day before, so one scenario is one group; what it gets is its trades and the closes of the days they
-    are held, not the bars of all.
+    A day's fold needs the day before, so one scenario is one group. It gets the held days of at most `slots` trades of each entry
+    day, since no more can open, and one row for each day on which any trade is held; so it doesn't grow with the market.
     """
-    held = trades.join(bars.select("instrument", "trade_date", "close"), "instrument").where((F.col("trade_date") >= F.col("entry_date")) & (F.col("trade_date") <= F.col("exit_date")))
-    rows = held.select("rule", "instrument", "entry_date", "exit_date", "entry", "exit", "exit_kind", "score", "trade_date", "close")
+    columns = ["rule", "instrument", "entry_date", "exit_date", "entry", "exit", "exit_kind", "score", "trade_date", "close"]
+    rows = held_days(contenders(trades, bars, slots), bars).select(*columns, F.lit(True).alias("held"))
+    days = held_days(trades, bars).select("rule", "trade_date").distinct().withColumns({"instrument": F.lit(0).cast("long"), "held": F.lit(False)})
+    rows = rows.unionByName(days, allowMissingColumns=True)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         cost, cash, shares, out, marks = 0.0015, 1.0, {}, [], {}
         for day, group in pdf.sort_values(["trade_date", "score", "instrument"], ascending=[True, False, True]).groupby("trade_date", sort=True):
-            taken = 0
+            group, taken = group[group["held"]], 0
             for t in group.itertuples():
                 key = (t.instrument, t.entry_date)
                 marks[key] = t.close

@@ -3,8 +3,10 @@
 from datetime import date, timedelta
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
-from barloom.operators import identity
+from barloom.operators import backtest, identity
 from barloom.plans.registry import QUERIES
 from barloom.sources.bars import model_bars
 
@@ -55,3 +57,28 @@ def test_every_bar_has_its_row_of_facts(spark):
     assert got.select("entity", "trade_date").exceptAll(bars).isEmpty() and bars.exceptAll(got.select("entity", "trade_date")).isEmpty()
     assert not got.where("entity < 40 AND value IS NOT NULL").isEmpty()
     assert not got.where("entity >= 40").isEmpty() and got.where("entity >= 40 AND value IS NOT NULL").isEmpty()
+
+
+def test_a_portfolio_gets_no_more_trades_of_a_day_than_slots(spark):
+    day = lambda k: date(2020, 1, 1) + timedelta(k)
+    bars = spark.createDataFrame([(i, day(k), 100.0 + i + k) for i in range(40) for k in range(12)], "instrument long, trade_date date, close double")
+    # 40 trades enter on each of three days; the last one of the market is the longest, so that it alone is held at the end.
+    rows = [("r", i, day(e), day(e + 2 + (i + e) % 3 + 4 * (i == 39 and e == 3)), 100.0 + i + e, 103.0 + i + e, "STOP", [None, float("nan"), 1.0, 2.0, 2.0][i % 5]) for e in (0, 2, 3) for i in range(40)]
+    trades = spark.createDataFrame(rows, "rule string, instrument long, entry_date date, exit_date date, entry double, exit double, exit_kind string, score double")
+    some = backtest.contenders(trades, bars, 3).groupBy("entry_date").agg(F.sort_array(F.collect_list("instrument")).alias("i")).collect()
+    assert {r.entry_date: r.i for r in some} == {day(e): [3, 4, 8] for e in (0, 2, 3)}
+    got = {r.day: r for r in backtest.portfolio(trades, bars, 3).collect()}
+    every = {r.day: r for r in backtest.portfolio(trades, bars, 40).collect()}
+    assert sorted(got) == sorted(every) == sorted({day(k) for t in rows for k in range(12) if t[2] <= day(k) <= t[3]})
+    # Against a plain fold over all trades.
+    cash, shares, key = 1.0, {}, lambda t: (-(t[7] if t[7] is not None and t[7] == t[7] else -1), t[1])
+    for d in sorted(got):
+        k, taken = (d - day(0)).days, 0
+        for t in [t for t in shares if t[3] == d]:
+            cash += shares.pop(t) * t[5] * 0.9985
+        value = cash + sum(n * (100 + t[1] + k) for t, n in shares.items())
+        for t in sorted((t for t in rows if t[2] == d), key=key):
+            if len(shares) < 3 and (size := min(value / 3, cash)) > 0:
+                shares[t], cash, taken = size / (t[4] * 1.0015), cash - size, taken + 1
+        assert (got[d].n_open, got[d].n_taken) == (len(shares), taken)
+        assert got[d].cash == pytest.approx(cash) and got[d].value == pytest.approx(cash + sum(n * (100 + t[1] + k) for t, n in shares.items()))
