@@ -128,7 +128,7 @@ def set_name(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(node, s): the full shingle sets, as bytes of ascending hashes, of the documents in wanted(node, s1, s2) alone."""
+    """(node, s): the full shingle sets, as bytes of ascending hashes, of the documents in wanted(node, s1, s2) alone; one row a node, however often docs has its row."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
@@ -143,7 +143,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text"))
     rows = rows.join(wanted, "node").select("node", "text", "s1", "s2")
-    return stored(rows.mapInArrow(expand, "node long, s binary"), "shingle-sets")
+    return stored(rows.mapInArrow(expand, "node long, s binary").dropDuplicates(["node"]), "shingle-sets")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -282,6 +282,25 @@ def test_near_dedup(spark, k, percent):
     assert rows(near_dedup.near_classes(df, k, percent)) == sorted(near_brute(rows_, k, percent), key=repr)
 
 
+def test_near_dedup_of_repeated_rows(spark):
+    """Every row twice: one set a node, and the links that only the last step finds."""
+    rng, out = random.Random(3), []
+    for size in (30, 90, 160):
+        base = [f"w{rng.randint(0, 400)}" for _ in range(size)]
+        for _ in range(14):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 16))):
+                w[rng.randrange(len(w))] = f"x{rng.randint(0, 5)}"
+            out.append(" ".join(w))
+            base = w
+    rows_ = list(enumerate(out))
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    twice = df.unionAll(df)
+    wanted = near_dedup.sketches(df, 3).select(F.col("doc_id").alias("node"), "s1", "s2")
+    assert sorted(r.node for r in near_dedup.full_sets(twice, wanted, 3).collect()) == [i for i, _ in rows_]
+    assert rows(near_dedup.near_classes(twice, 3, 85).distinct()) == sorted(near_brute(rows_, 3, 85), key=repr)
+
+
 def test_near_dedup_edges(docs, none):
     got = near_dedup.near_classes(docs)
     assert rows(got.where("doc_id is null")) == [(None, 1, None, True)]
