@@ -1,16 +1,17 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 An automaton over the lexicon finds clauses that hold an insult or a threat; only these are read by the grammar. Small
-transducers, one each for insult, threat, target, negation and reported speech, read a clause's word classes and mark its
-matches with the context they stand in; they are composed into one machine whose joint states are made as they are met. A
-match's weight depends on its whole mark (what, at whom, denied, quoted), and a text's score on the sum over its clauses.
-Insult entries are words and stems that labelled rows of the training fold favour; the weights of marks are fitted on them.
+transducers, one each for insult, threat, target, named target, negation and reported speech, read a clause's word classes;
+they are composed into one machine whose joint states are made as they are met. A clause matches where an insult or a threat
+has someone or something in the same clause that it is said of: a pronoun, an article with a noun, or a noun that the insult
+stands before. A word that stands alone, or with its own article only ("the idiot"), matches nothing and weighs nothing. A match's weight depends on its whole
+mark (what, of whom, denied, quoted), and a text's score on the sum over its clauses. Insult entries are words and stems that
+labelled rows of the training fold favour; the weights of marks are fitted on them.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,6 +28,7 @@ from barloom.llm.shared import held_out, label_sample
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting")
 THREATS = ("kill", "murder", "hurt", "destroy", "töten", "umbringen", "tuer", "frapper", "matar", "golpear")
 TARGETS = ("you", "your", "he", "she", "they", "him", "her", "them", "this", "du", "dich", "sie", "er", "tu", "toi", "vous", "il", "elle", "usted", "él", "ella")
+ARTICLES = ("the", "a", "an", "that", "these", "those", "my", "der", "die", "das", "den", "dem", "ein", "eine", "le", "la", "les", "un", "une", "des", "ce", "cette", "el", "los", "las", "una")
 NEGATIONS = ("not", "no", "never", "isn't", "nicht", "kein", "nie", "pas", "jamais", "nunca", "sin")
 REPORTS = ("said", "says", "wrote", "quoted", "called", "sagte", "schrieb", "dit", "écrit", "dijo", "escribió")
 
@@ -34,7 +36,7 @@ WORD = re.compile(r"[\w']+|[\"“”„«»]")
 CLAUSE = re.compile(r"[.!?;:\n]+")
 STEMS = (4, 5, 6)
 #: Class symbols of the grammar's input.
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "ITYNRO"
+INSULT, THREAT, TARGET, ARTICLE, NEGATION, REPORT, OTHER = "ITYANRO"
 
 
 class Transducer:
@@ -54,6 +56,21 @@ def since(symbols: str) -> Transducer:
     return Transducer(0, lambda s, c: (1 if c in symbols else s, s == 1))
 
 
+def just_after(symbol: str) -> Transducer:
+    """Holds at a word that stands right behind the symbol."""
+    return Transducer(0, lambda s, c: (1 if c == symbol else 0, s == 1))
+
+
+def pair(first: str, second: str) -> Transducer:
+    """Holds from the place where the two symbols have stood beside each other, in this order, to the clause's end."""
+
+    def step(s: int, c: str) -> tuple[int, bool]:
+        to = 2 if s == 2 or s == 1 and c == second else 1 if c == first else 0
+        return to, to == 2
+
+    return Transducer(0, step)
+
+
 def matches(symbol: str) -> Transducer:
     return Transducer(0, lambda s, c: (0, c == symbol))
 
@@ -78,13 +95,14 @@ class Composed:
 
 
 def grammar() -> tuple[Composed, Composed]:
-    """The forward machine (insult, threat, target before, negation, reported speech) and the backward one (target behind)."""
-    return Composed([matches(INSULT), matches(THREAT), within(TARGET, 4), within(NEGATION, 2), since(REPORT)]), Composed([within(TARGET, 4)])
+    """The forward machine (insult, threat, target and named target before, negation, reported speech) and the backward one (targets behind)."""
+    forward = [matches(INSULT), matches(THREAT), since(TARGET), pair(ARTICLE, OTHER), within(NEGATION, 2), since(REPORT)]
+    return Composed(forward), Composed([since(TARGET), pair(OTHER, ARTICLE), just_after(OTHER)])
 
 
 @dataclass
 class Model:
-    """entries: word or stem* -> weight; marks: weight of each mark (threat, targeted, negated, reported) by its bits."""
+    """entries: word or stem* -> weight; marks: weight of each mark (threat, at a pronoun, negated, reported) by its bits."""
 
     entries: dict[str, float]
     bias: float = -3.0
@@ -99,33 +117,27 @@ class Reader:
 
     def __init__(self, model: Model):
         self.model, (self.forward, self.backward) = model, grammar()
-        self.classes = dict.fromkeys(TARGETS, TARGET) | dict.fromkeys(NEGATIONS, NEGATION) | dict.fromkeys(REPORTS, REPORT) | dict.fromkeys(THREATS, THREAT) | dict.fromkeys('"“”„«»', REPORT)
+        self.classes = dict.fromkeys(ARTICLES, ARTICLE) | dict.fromkeys(TARGETS, TARGET) | dict.fromkeys(NEGATIONS, NEGATION) | dict.fromkeys(REPORTS, REPORT) | dict.fromkeys(THREATS, THREAT) | dict.fromkeys('"“”„«»', REPORT)
         self.hints = ahocorasick.Automaton()
         for w in {*(e.rstrip("*") for e in model.entries), *THREATS}:
             self.hints.add_word(w, w)
         self.hints.make_automaton()
 
     def weight(self, word: str) -> float:
-        """The insult weight of a word: its own entry or that of its longest stem; 0 for none."""
-        e = self.model.entries
-        if word in e:
-            return e[word]
-        for n in reversed(STEMS):
-            if len(word) >= n and (w := e.get(word[:n] + "*")):
-                return w
-        return 0.0
+        """The insult weight of a word: that of its most specific entry; 0 for none."""
+        return next((w for e in entries_of(word) if (w := self.model.entries.get(e))), 0.0)
 
     def read(self, text: str) -> np.ndarray:
-        """Sums over matched clauses by mark: insult weights, and 1 for each targeted threat, dampened by log1p."""
+        """Sums over matched clauses by mark: insult weights, and 3 for each targeted threat, dampened by log1p. Linear in the text."""
         x = np.zeros(16)
         if not self.hints.__len__():
             return x
         lower = text.lower()
-        done = -1
+        done = 0  # clauses before this place are read, so no sign is looked for there again
         for end, _ in self.hints.iter(lower):
             if end < done:
                 continue
-            start = max(0, *(lower.rfind(s, 0, end) + 1 for s in ".!?;:\n"))
+            start = max(done, *(lower.rfind(s, done, end) + 1 for s in ".!?;:\n"))
             m = CLAUSE.search(lower, end)
             done = m.start() if m else len(lower)
             self.clause(lower[start:done], x)
@@ -138,59 +150,53 @@ class Reader:
         if INSULT not in classes and THREAT not in classes:
             return
         behind = self.backward.run(classes[::-1])[::-1]
-        for (insult, threat, before, denied, reported), (after,), w in zip(self.forward.run(classes), behind, weights, strict=True):
+        for (insult, threat, before, named, denied, reported), (after, called, noun), w in zip(self.forward.run(classes), behind, weights, strict=True):
             aimed = before or after
-            if insult or threat and aimed:
+            if insult and (aimed or named or called or noun) or threat and aimed:
                 x[8 * threat + 4 * aimed + 2 * denied + reported] += w if insult else 3.0
 
 
-def candidates(text: str) -> set[str]:
-    """The words of a text and their stems, as lexicon entries."""
-    words = {w for w in WORD.findall(text.lower()) if len(w) > 3}
-    return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
+def entries_of(word: str) -> list[str]:
+    """A word's lexicon entries, the most specific first: itself, then its stems."""
+    return [word, *(word[:n] + "*" for n in sorted(STEMS, reverse=True) if len(word) > n)]
 
 
-def induce(sample: DataFrame, support: int = 6, ratio: float = 20.0, most: int = 4000, times: int = 3) -> dict[str, float]:
-    """Insult entries: greedily the entry that most toxic rows still need, until each has `times` or support is gone.
+def favour(k1: int, k0: int, n1: int, n0: int) -> float:
+    """How much toxic rows favour an entry that k1 of n1 toxic and k0 of n0 clean rows hold: log odds less 1.64 standard errors."""
+    odds = np.log((k1 + 0.5) / (n1 + 1)) - np.log((k0 + 0.5) / (n0 + 1))
+    return float(odds - 1.64 * np.sqrt(1 / (k1 + 0.5) + 1 / (k0 + 0.5)))
 
-    A row that nearly copies another of the sample (same least shingle hash) counts once. An entry must be ratio times as
-    common in toxic rows. The sample is bounded, and so is what is counted: most candidates at most are compared.
+
+def induce(sample: DataFrame, support: int = 6, least: float = 1.6) -> dict[str, float]:
+    """Insult entries: words, then ever shorter stems of the words that no entry holds yet, that toxic rows favour by `least`.
+
+    A row that nearly copies another of the sample (same least shingle hash) counts once. An entry must stand in `support`
+    toxic rows, and one in a hundred. Rows are of the bounded sample alone; all its words are compared.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally: Counter[tuple[str, int]] = Counter()
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tally.update((e, y) for e in candidates(text or ""))
-        keys = list(tally)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([tally[k] for k in keys], pa.int64())], names=["entry", "y", "n"])
+            words = [sorted({w for w in WORD.findall((t or "").lower()) if len(w) > 3}) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), batch.column(1)], names=["words", "y"])
 
     once = sample.groupBy("y", "sketch").agg(F.max("text").alias("text"))
     sizes = {r.y: r.n for r in once.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = max(1, sizes.get(0, 0)), max(1, sizes.get(1, 0))
     support = max(support, n1 // 100)
-    sums = once.select("text", "y").mapInArrow(count, "entry string, y int, n long").groupBy("entry").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("k1"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("k0"))
-    good = sums.where((F.col("k1") >= support) & (F.col("k1") / n1 >= ratio * (F.col("k0") + 0.05) / n0))
-    found = {r.entry: (r.k1, r.k0) for r in good.orderBy(F.desc("k1"), "entry").limit(most).collect()}
-    shared = sample.sparkSession.sparkContext.broadcast(frozenset(found))
-
-    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(candidates(t or "") & shared.value) for t in batch.column(0).to_pylist()], pa.list_(pa.string()))], names=["entries"])
-
-    rows = [set(r.entries) for r in once.where("y = 1").select("text").mapInArrow(hold, "entries array<string>").collect()]
-    need, holders = [times] * len(rows), {e: {i for i, r in enumerate(rows) if e in r} for e in found}
+    rows = once.select("text", "y").mapInArrow(distinct, "words array<string>, y int").withColumn("row", F.monotonically_increasing_id())
+    seen = rows.select("row", "y", F.explode("words").alias("word")).persist()
     chosen: dict[str, float] = {}
-    while holders:
-        gain = {e: sum(need[i] > 0 for i in h) for e, h in holders.items()}
-        best = max(gain, key=lambda e: (gain[e] - 5 * found[e][1], not e.endswith("*"), len(e), e))
-        if gain[best] < support:
-            break
-        k1, k0 = found[best]
-        chosen[best] = float(min(4.0, np.log((k1 + 0.5) / (n1 + 1)) - np.log((k0 + 0.5) / (n0 + 1))))
-        for i in holders.pop(best):
-            need[i] -= 1
-        holders = {e: h for e, h in holders.items() if gain[e] >= support}
+    for n in (None, *sorted(STEMS, reverse=True)):
+        free = seen.where(~F.col("word").isin(*[e for e in chosen if not e.endswith("*")]))
+        for k in STEMS:
+            if stems := [e[:-1] for e in chosen if len(e) == k + 1 and e.endswith("*")]:
+                free = free.where(~F.substring("word", 1, k).isin(*stems))
+        entry = F.col("word") if n is None else F.concat(F.substring("word", 1, n), F.lit("*"))
+        held = free.where(F.length("word") > (n or 0)).select("row", "y", entry.alias("entry")).distinct()
+        counts = held.groupBy("entry").agg(F.count_if(F.col("y") == 1).alias("k1"), F.count_if(F.col("y") == 0).alias("k0")).where(F.col("k1") >= support)
+        weights = {r.entry: favour(r.k1, r.k0, n1, n0) for r in counts.collect()}
+        chosen |= {e: min(4.0, w) for e, w in weights.items() if w >= least}
+    seen.unpersist()
     return chosen
 
 
@@ -223,7 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Model:
     return model
 
 
-def fit(model: Model, x: np.ndarray, y: np.ndarray, decay: float = 2e-3, steps: int = 800) -> None:
+def fit(model: Model, x: np.ndarray, y: np.ndarray, decay: float = 5e-4, steps: int = 3000) -> None:
     """Logistic regression by gradient steps; weights start at 1 and none falls below 0, so no mark speaks for a text."""
     b, w, order = model.bias, model.marks.copy(), np.lexsort((*x.T, y))
     x, y = x[order], y[order]

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -368,10 +369,69 @@ def test_classifier_edges(spark, docs, none):
         assert op(docs.unionByName(docs), labels).count() == 2 * len(ROWS)
 
 
+READER = toxicity.Reader(toxicity.Model({"idiot": 2.0, "lowe*": 2.0, "lower": 0.5}))
+
+
 def test_grammar_marks():
-    reader = toxicity.Reader(toxicity.Model({"idiot": 2.0, "lowe*": 2.0}))
-    marks = lambda t: np.flatnonzero(reader.read(t)).tolist()
-    assert marks("a quiet day") == [] and marks("the idiot") == [0] and marks("you idiot") == [4]
-    assert marks("not an idiot") == [2] and marks("he said idiot") == [5] and marks("lowering it") == [0]
+    marks = lambda t: np.flatnonzero(READER.read(t)).tolist()
+    assert marks("a quiet day") == [] and marks("you idiot") == [4]
+    assert marks("idiot") == [] and marks("the idiot") == [] and marks("the idiot. the idiot. idiot!") == [] and marks("no way. idiot") == []
+    assert marks("the man is an idiot") == [0] and marks("idiot, says the man") == [0] and marks("idiot drivers") == [0] and marks("lowering it") == [0]
+    assert marks("not an idiot") == [] and marks("he is not an idiot") == [6] and marks("he said idiot") == [5]
     assert marks("I will kill time") == [] and marks("I will kill you") == [12]
-    assert marks("no way. idiot") == [0] and marks("idiot, all of them") == [4]
+    assert marks("idiot, all of them") == [4]
+
+
+def marks_brute(text):
+    """The same marks from the words' places, clause by clause, without automata."""
+    x = np.zeros(16)
+    for clause in re.split(r"[.!?;:\n]+", text.lower()):
+        w = re.findall(r"[\w']+|[\"“”„«»]", clause)
+        value = [2.0 if v == "idiot" else 0.5 if v == "lower" else 2.0 if v.startswith("lowe") and len(v) > 4 else 0.0 for v in w]
+        quote = [v in toxicity.REPORTS or v in '"“”„«»' for v in w]
+        closed = toxicity.ARTICLES + toxicity.TARGETS + toxicity.NEGATIONS + toxicity.THREATS
+        plain = [not k and not q and v not in closed for v, k, q in zip(w, value, quote, strict=True)]
+        for i, v in enumerate(w):
+            aimed = any(u in toxicity.TARGETS for u in w[:i] + w[i + 1 :])
+            named = any(w[j] in toxicity.ARTICLES and plain[j + 1] for j in range(len(w) - 1) if i not in (j, j + 1))
+            named |= i + 1 < len(w) and plain[i + 1]
+            bits = 4 * aimed + 2 * any(u in toxicity.NEGATIONS for u in w[max(0, i - 2) : i]) + any(quote[:i])
+            if value[i] and (aimed or named):
+                x[bits] += value[i]
+            elif v in toxicity.THREATS and aimed:
+                x[8 + bits] += 3.0
+    return np.log1p(x)
+
+
+def test_reader_against_brute_force():
+    rng = random.Random(11)
+    some = ["idiot", "lower", "lowering", "lowe", "kill", "matar", "you", "them", "the", "a", "la", "not", "nie", "said", '"', "tree", "köln", ".", "!", "\n", ":", ","]
+    for _ in range(4000):
+        text = " ".join(rng.choice(some) for _ in range(rng.randint(0, 40)))
+        assert READER.read(text).tolist() == pytest.approx(marks_brute(text).tolist())
+
+
+def test_reader_is_linear():
+    """Clauses are read once each, also where a sign never occurs; the sum is that of all clauses."""
+    text = "you idiot. " * 60_000
+    start = time.process_time()
+    assert READER.read(text)[4] == pytest.approx(np.log1p(2.0 * 60_000))
+    assert time.process_time() - start < 20
+
+
+def test_induced_entries(spark):
+    """Words and stems that toxic rows favour, and no stem whose other words are clean."""
+    rng = random.Random(4)
+    plain = ["".join(rng.choice("abdeklmnorst") for _ in range(7)) for _ in range(300)]
+    rows_ = []
+    for i in range(600):
+        w = [rng.choice(plain) for _ in range(30)]
+        if i % 3 == 0:
+            w[4], w[9] = "zounds" + rng.choice("abcdefgh"), "gadzo"
+        elif i % 2:
+            w[7] = "gadzam"
+        rows_.append((" ".join(w), int(i % 3 == 0), i))
+    got = toxicity.induce(spark.createDataFrame(rows_, "text string, y int, sketch long"))
+    assert "gadzo" in got and "gadz*" not in got and any(e.startswith("zoun") for e in got)
+    assert all(e.startswith(("zoun", "gadzo")) for e in got)
+    assert toxicity.favour(20, 0, 100, 900) > toxicity.favour(20, 5, 100, 900) > toxicity.favour(2, 5, 100, 900)
