@@ -1,48 +1,56 @@
 """Line dedup: repeated lines of a corpus go, all but those in one document, by keep bitmaps instead of moved text.
 
-Hashes of line keys are range-partitioned with document and position as secondary order, so that a key which a
-third of all documents hold is spread over neighbouring partitions. The first occurrence in that order (largest
-doc_id first) is streamed by a partial aggregate on each run of a key; only run results meet. What comes back per
-document is a run-length compressed bitmap of dropped lines; text joins it once, at the end.
+Hashes of line keys are range-partitioned by key and document, so that a key which a third of all documents hold is spread
+over neighbouring partitions, and sorted by key, document and position. A window over that order, which needs no further
+shuffle, streams the rows and marks the first occurrence of each key in each document; only these are counted, by
+partial aggregates, and only a key's count and document meet. What comes back per document is a run-length compressed
+bitmap of dropped lines; text joins it once, at the end.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.llm.shared import BLANKS, hash128, lower_az, stored
+from barloom.llm.shared import BLANKS, hash128, lower_az, partitions_for, stored
 
 
 def line_occurrences(docs: DataFrame, min_chars: int = 20) -> DataFrame:
-    """(h1, h2, doc_id, pos) of each line whose key has min_chars code points or more; pos counts from 0."""
+    """(h1, h2, doc_id, text_key, pos) of each line whose key has min_chars code points or more; pos counts from 0."""
     line = F.btrim(F.col("line"), F.lit(BLANKS))
-    lines = docs.select("doc_id", F.posexplode(F.split(lower_az(F.col("text")), "\n", -1)).alias("pos", "line"))
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), F.split(lower_az(F.col("text")), "\n", -1).alias("lines"))
+    lines = rows.select("doc_id", "text_key", F.posexplode("lines").alias("pos", "line"))
     h1, h2 = hash128(line)
-    return lines.where(F.col("doc_id").isNotNull() & (F.char_length(line) >= min_chars)).select(h1.alias("h1"), h2.alias("h2"), "doc_id", "pos")
+    return lines.where(F.char_length(line) >= min_chars).select(h1.alias("h1"), h2.alias("h2"), "doc_id", "text_key", "pos")
+
+
+def first_occurrences(found: DataFrame) -> DataFrame:
+    """(h1, h2, doc_id): the first occurrence of each key in each document, streamed off rows sorted by key, document and position.
+
+    The range partitions keep a key's rows of one document together, so the window sorts them where they are.
+    """
+    ranged = found.select("h1", "h2", "doc_id", "pos").repartitionByRange(partitions_for(found, 28), "h1", "h2", "doc_id")
+    nth = F.row_number().over(W.partitionBy("h1", "h2", "doc_id").orderBy("pos"))
+    return ranged.withColumn("nth", nth).where("nth = 1").select("h1", "h2", "doc_id")
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """(doc_id, n_dropped, drop_starts, drop_ends): run-length bitmaps of documents that lose lines.
+    """(doc_id, text_key, n_dropped, drop_starts, drop_ends): run-length bitmaps of texts that lose lines.
 
-    A run covers lines drop_starts[i] to drop_ends[i], both included; all other lines stay. Documents that lose
-    nothing have no row. Rows that share a doc_id are one document; rows without a doc_id lose nothing.
+    A run covers lines drop_starts[i] to drop_ends[i], both included; all other lines stay. Texts that lose nothing have no
+    row. Rows that share a doc_id are one document where documents are counted, and each of their texts has a bitmap of its
+    own; rows without a doc_id lose nothing.
     """
     found = stored(line_occurrences(docs, min_chars), "line-occurrences")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["h1", "h2", F.desc("doc_id")]
-    firsts = (
-        found.repartitionByRange(n, *order).sortWithinPartitions(*order, "pos")
-        .groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
-        .groupBy("h1", "h2").agg(F.max("doc_id").alias("keep_in"), F.count("one").alias("n_docs"))
-        .where(F.col("n_docs") >= min_docs).select("h1", "h2", "keep_in")
-    )
+    seen = first_occurrences(found).groupBy("h1", "h2").agg(F.max("doc_id").alias("keep_in"), F.count("*").alias("n_docs"))
+    firsts = seen.where(F.col("n_docs") >= min_docs).select("h1", "h2", "keep_in")
     lost = found.join(stored(firsts, "line-firsts"), ["h1", "h2"]).where(F.col("doc_id") != F.col("keep_in"))
-    per_doc = lost.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("p"))
+    per_doc = lost.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("pos")).alias("p"))
     last = F.size("p") - 1
     starts = F.filter("p", lambda x, i: (i == 0) | (x - F.element_at("p", F.greatest(i, F.lit(1))) != 1))
     ends = F.filter("p", lambda x, i: (i == last) | (F.element_at("p", F.least(i + 2, last + 1)) - x != 1))
-    return per_doc.select("doc_id", F.size("p").cast("long").alias("n_dropped"), starts.alias("drop_starts"), ends.alias("drop_ends"))
+    return per_doc.select("doc_id", "text_key", F.size("p").cast("long").alias("n_dropped"), starts.alias("drop_starts"), ends.alias("drop_ends"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -50,7 +58,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
 
     A line's key is the line without blanks at its ends, A-Z lower-cased. Keys of min_chars code points or more that
     min_docs documents or more hold lose their lines everywhere but in the largest doc_id. A null or empty text is
-    one empty line. Rows without doc_id come back whole. Other columns of docs are neither read nor returned.
+    one empty line. Rows without doc_id come back whole; of rows that share one, each loses its own lines. Other columns of docs are neither read nor returned.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     bits = keep_bitmaps(docs, min_chars, min_docs)
@@ -64,7 +72,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     keep = F.flatten(F.concat(runs, F.array(rest)))
     marked = F.filter(F.arrays_zip(lines.alias("line"), keep.alias("keep")), lambda x: x["keep"])
     kept = F.when(F.col("n_dropped").isNull(), F.col("text")).otherwise(F.array_join(F.transform(marked, lambda x: x["line"]), "\n"))
-    return docs.select("doc_id", text.alias("text")).join(bits, "doc_id", "left").select(
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), text.alias("text")).join(bits, ["doc_id", "text_key"], "left").select(
         "doc_id", F.size(lines).cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"),
         kept.alias("kept_text"), "drop_starts", "drop_ends",
     )

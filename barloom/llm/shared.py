@@ -35,6 +35,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def partitions_for(table: DataFrame, row_bytes: int, part_bytes: int = 64_000_000) -> int:
+    """How many partitions a shuffle of a written table wants: as configured, or more where a part would grow beyond part_bytes."""
+    n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(n, -(-table.count() * row_bytes // part_bytes))
+
+
 def lower_az(c: Column) -> Column:
     """A-Z lower-cased and nothing else. lower() does just that on ASCII text, and faster."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

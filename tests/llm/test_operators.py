@@ -63,6 +63,23 @@ def test_line_dedup(docs, none):
     assert rows(line_dedup.op1(none)) == []
 
 
+def test_line_dedup_of_shared_ids(spark):
+    """Two texts under one doc_id: a document once where documents are counted, and each text loses its own lines only."""
+    a, b = "a line that others hold too", "another line that others hold"
+    rows_ = [(1, f"{a}\nunique text of the first row"), (1, f"unique text of the second row\n{b}"), (2, a), (3, a), (4, b), (5, b), (1, f"{a}\nunique text of the first row")]
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_dropped, r.kept_text) for r in line_dedup.dedup_lines(df).collect())
+    assert got == [(1, 1, "unique text of the first row")] * 2 + [(1, 1, "unique text of the second row"), (2, 1, ""), (3, 0, a), (4, 1, ""), (5, 0, b)]
+
+
+def test_first_occurrences_are_streamed_in_order(spark, docs):
+    """The plan range-partitions, sorts by key, document and position, and marks the first row without another shuffle."""
+    firsts = line_dedup.first_occurrences(line_dedup.stored(line_dedup.line_occurrences(docs), "t"))
+    plan = firsts._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Sort \[h1#\d+L? ASC.*h2#\d+L? ASC.*doc_id#\d+L? ASC.*pos#\d+ ASC", plan) and "rangepartitioning" in plan
+    assert "hashpartitioning" not in plan and "row_number" in plan
+
+
 def test_exact_dedup(docs, none):
     groups = defaultdict(list)
     for i, t in ROWS:
