@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.components import components
@@ -128,7 +128,7 @@ def set_name(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(node, s): the full shingle sets, as bytes of ascending hashes, of the documents in wanted(node, s1, s2) alone; one row a node, however often docs has its row."""
+    """(node, s): the full shingle sets, as bytes of ascending hashes, of wanted(node, doc_id, s1, s2): the set that s1 and s2 name among the texts of doc_id; one row a node."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
@@ -141,8 +141,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                     sets.append(got.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "s"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text"))
-    rows = rows.join(wanted, "node").select("node", "text", "s1", "s2")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    rows = rows.join(wanted, "doc_id").select("node", "text", "s1", "s2")
     return stored(rows.mapInArrow(expand, "node long, s binary").dropDuplicates(["node"]), "shingle-sets")
 
 
@@ -186,13 +186,19 @@ def open_buckets(rows: DataFrame) -> DataFrame:
     return rows.join(stored(keys, "open-keys"), "key")
 
 
+def size_band(n: Column) -> Column:
+    """Sizes in bands, each at most a twentieth wider than it begins."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.05))).cast("int")
+
+
 def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Distinct (a, b): all pairs of a probe and a node of another component that can be linked, of nodes(node, comp, probe).
 
     Shingles are ordered from rare to frequent, the same for all. If two sets of sizes m and n share o shingles, their first
     common one stands at place m - o or before in one and n - o or before in the other (from 0); a link needs
-    o >= percent * (m + n) / (100 + percent). Only shingles at such places are joined, so copies that differ in rare
-    shingles never meet on the frequent ones. No link is lost.
+    o >= percent * (m + n) / (100 + percent), and o <= min(m, n). Each set puts forward, for every band of sizes that a partner
+    can have, the shingles that stand early enough for the band's least partner, and sets meet on shingle and both bands:
+    pages of one template, each with rare shingles of its own, don't meet on the template's frequent ones. No link is lost.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,12 +212,19 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     df = stored(tokens.groupBy("shingle").agg(F.count("*").alias("df")), "shingle-counts")
     lists = tokens.join(df, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
     n = F.size("s")
-    heads = lists.select("node", n.alias("n"), F.posexplode(F.slice("s", 1, n - F.ceil(n * percent / 100).cast("int") + 1)).alias("i", "t"))
-    heads = stored(heads.select("node", "n", "i", "t.shingle").join(nodes, "node"), "prefixes")
-    x = heads.where("probe").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "i", "comp")])
+    head = F.transform(F.slice("s", 1, n - F.ceil(n * percent / 100).cast("int") + 1), lambda t: t["shingle"])
+    heads = stored(lists.select("node", n.alias("n"), head.alias("head")).join(nodes, "node").withColumn("band", size_band(F.col("n"))), "prefixes")
+    bands = heads.groupBy("band").agg(F.min("n").alias("least"), F.max("n").alias("most")).select(F.col("band").alias("other"), "least", "most")
+    # A band has a row for each twentieth of growth: a few hundred at most, whatever the input.
+    met = heads.join(F.broadcast(bands), (F.col("most") * 100 >= F.col("n") * percent) & (F.col("least") * percent <= F.col("n") * 100))
+    partner = F.greatest("least", F.ceil(F.col("n") * percent / 100))
+    places = F.col("n") - F.ceil(percent * (F.col("n") + partner) / (100 + percent)).cast("int") + 1
+    put = met.select("node", "n", "comp", "probe", "band", "other", F.posexplode(F.slice("head", 1, F.greatest(F.lit(0), places))).alias("i", "shingle"))
+    put = stored(put, "put-forward")
+    x = put.where("probe").select("shingle", F.col("other").alias("band"), F.col("band").alias("other"), *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "i", "comp")])
     need = F.ceil(percent * (F.col("x_n") + F.col("n")) / (100 + percent))
     able = (F.col("comp") != F.col("x_comp")) & (F.col("i") <= F.col("n") - need) & (F.col("x_i") <= F.col("x_n") - need)
-    return pairs_of(x.join(heads, "shingle").where(able).select(F.col("x_node").alias("x"), F.col("node").alias("y")))
+    return pairs_of(x.join(put, ["shingle", "band", "other"]).where(able).select(F.col("x_node").alias("x"), F.col("node").alias("y")))
 
 
 def near_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -219,19 +232,19 @@ def near_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFr
 
     A text's set is its distinct shingles of so many words (`[^\\x20\\x09-\\x0D]+` after lower-casing A-Z); with fewer words the
     whole sequence is the one shingle. Documents are linked where 100 * intersection >= percent * union; component_id is the
-    smallest doc_id reachable, and the row with that doc_id is kept. Texts without words are linked with nothing. Of rows
-    that share a doc_id one text counts for links, and all are its rows. A row without doc_id is linked with nothing, has no component_id and is kept.
+    smallest doc_id reachable, and the row with that doc_id is kept. Texts without words are linked with nothing. Rows that share a
+    doc_id are one document: it is linked with all that any of its texts is linked with. A row without doc_id is linked with nothing, has no component_id and is kept.
     Other columns are neither read nor returned.
     """
     known = sketches(docs, shingle)
     live = known.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    # Equal sets are one class, for which its least doc_id stands.
-    one = live.groupBy("doc_id").agg(F.max(F.struct("s1", "s2")).alias("s")).select("doc_id", "s.s1", "s.s2")
-    classes = stored(one.groupBy("s1", "s2").agg(F.min("doc_id").alias("node")), "classes")
-    heads = live.select(F.col("doc_id").alias("node"), "s1", "s2", "keys").join(classes, ["node", "s1", "s2"]).select("node", F.explode("keys").alias("key"))
+    # Equal sets are one class, a node of the graph, read from the text of its least doc_id.
+    classes = live.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")).withColumn("node", F.monotonically_increasing_id())
+    classes = stored(classes, "classes")
+    heads = live.select("doc_id", "s1", "s2", "keys").join(classes.select("node", "doc_id", "s1", "s2"), ["doc_id", "s1", "s2"]).select("node", F.explode("keys").alias("key"))
     shared = heads.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("other")).where(F.col("centre") != F.col("other")).select("key", "centre")
     members = stored(heads.join(stored(shared, "shared-keys"), "key").select("key", "node", "centre"), "buckets")
-    sets = full_sets(docs, classes.join(members.select("node").distinct(), "node"), shingle)
+    sets = full_sets(docs, classes.join(members.select("node").distinct(), "node").select("node", "doc_id", "s1", "s2"), shingle)
 
     # Stars around each bucket's least node.
     tried = stored(pairs_of(members.select(F.col("centre").alias("x"), F.col("node").alias("y"))), "pairs")
@@ -249,12 +262,16 @@ def near_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFr
     largest = rest.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("largest"))
     probes = rest.join(stored(largest, "largest"), "key").groupBy("node", "comp").agg(F.max(F.col("comp") != F.col("largest")).alias("probe"))
     last = stored(prefix_pairs(stored(probes, "probes"), sets, percent), "pairs")
-    links = stored(links.unionByName(confirm(last, sets, percent)), "confirmed")
-    comps = components(links)
-
-    named = one.join(classes, ["s1", "s2"]).select("doc_id", "node").join(comps, "node", "left")
-    named = named.select("doc_id", F.coalesce("component", "node").alias("component_id"))
-    out = known.select("doc_id", "n_shingles").join(named, "doc_id", "left")
+    links = links.unionByName(confirm(last, sets, percent))
+
+    # A doc_id of several sets links their classes.
+    ids = stored(live.join(classes.select("node", "s1", "s2"), ["s1", "s2"]).select("doc_id", "node").distinct(), "members")
+    several = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("top")).where(F.col("a") != F.col("top")).select("doc_id", "a")
+    same = ids.join(several, "doc_id").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b"))
+    comps = components(stored(links.unionByName(same), "confirmed"))
+    named = stored(ids.join(comps, "node", "left").select("doc_id", F.coalesce("component", "node").alias("comp")).distinct(), "named")
+    least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    out = known.select("doc_id", "n_shingles").join(named.join(least, "comp").select("doc_id", "component_id"), "doc_id", "left")
     comp = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 

@@ -314,7 +314,7 @@ def test_near_dedup_of_repeated_rows(spark):
     rows_ = list(enumerate(out))
     df = spark.createDataFrame(rows_, "doc_id long, text string")
     twice = df.unionAll(df)
-    wanted = near_dedup.sketches(df, 3).select(F.col("doc_id").alias("node"), "s1", "s2")
+    wanted = near_dedup.sketches(df, 3).select(F.col("doc_id").alias("node"), "doc_id", "s1", "s2")
     assert sorted(r.node for r in near_dedup.full_sets(twice, wanted, 3).collect()) == [i for i, _ in rows_]
     assert rows(near_dedup.near_classes(twice, 3, 85).distinct()) == sorted(near_brute(rows_, 3, 85), key=repr)
 
@@ -326,6 +326,64 @@ def test_near_dedup_edges(docs, none):
     assert near_dedup.one_of_each(docs).columns == docs.columns
 
 
+def test_near_dedup_of_shared_ids(spark):
+    """A document of two texts is linked with all that either is linked with."""
+    rows_ = [(1, "x y z"), (1, "p q r"), (2, "p q r"), (3, "x y z"), (4, "k l m"), (5, "k l m"), (5, "p q r s t"), (6, "p q r s t"), (7, "n o")]
+    got = near_dedup.near_classes(spark.createDataFrame(rows_, "doc_id long, text string"), 3, 85)
+    want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 7}
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got.collect()) == sorted((i, want[i], want[i] == i) for i, _ in rows_)
+
+
+def test_template_pages_don_t_meet_on_their_template(spark):
+    """Pages of one template with much of their own: none is linked, and none is even a candidate; true copies are."""
+    rng = random.Random(8)
+    template = [f"t{i}" for i in range(200)]
+    sets = {}
+    for page in range(40):
+        own = [f"p{page}_{i}" for i in range(22)]
+        sets[page] = sorted({hash(w) & (2**63 - 1) for w in template[: 200 - rng.randint(0, 8)] + own})
+    sets[100] = sets[3][:-4]
+    df = spark.createDataFrame([(k, np.array(v, np.int64).tobytes()) for k, v in sets.items()], "node long, s binary")
+    nodes = spark.createDataFrame([(k, k, True) for k in sets], "node long, comp long, probe boolean")
+    got = [tuple(r) for r in near_dedup.prefix_pairs(nodes, df, 85).collect()]
+    full = {k: set(v) for k, v in sets.items()}
+    want = {(a, b) for a in full for b in full if a < b and 100 * len(full[a] & full[b]) >= 85 * len(full[a] | full[b])}
+    assert want <= set(got) and (3, 100) in got and len(got) < 40
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_prefix_filter_loses_no_link(spark, percent):
+    rng = random.Random(percent)
+    sets = {}
+    for family in range(12):
+        base = [rng.randrange(2**40) for _ in range(rng.choice([1, 2, 3, 7, 20, 60, 150]))]
+        for _ in range(12):
+            v = [x if rng.random() > 0.08 else rng.randrange(50) for x in base][: max(1, len(base) - rng.randint(0, len(base) // 8))]
+            sets[len(sets)] = set(v)
+    df = spark.createDataFrame([(k, np.array(sorted(v), np.int64).tobytes()) for k, v in sets.items()], "node long, s binary")
+    nodes = spark.createDataFrame([(k, k, True) for k in sets], "node long, comp long, probe boolean")
+    got = {tuple(r) for r in near_dedup.prefix_pairs(nodes, df, percent).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    assert len(want) > 100 and want <= got
+
+
+@pytest.mark.parametrize("low", [0.80, 0.85])
+def test_bucket_recall(low):
+    """Of random pairs just above the threshold, buckets miss fewer than one in two thousand."""
+    rng = np.random.default_rng(7)
+    missed = n = 0
+    for size in (7, 40, 200, 1000):
+        for _ in range(700):
+            own = max(0, int(size * (1 - low) / (1 + low)))
+            pool = rng.integers(1, 2**63, size + own, dtype=np.uint64)
+            a, b = np.unique(pool[:size]), np.unique(pool[own:])
+            if len(np.intersect1d(a, b)) < low * len(np.union1d(a, b)):
+                continue
+            n += 1
+            missed += not (near_dedup.bands(a) == near_dedup.bands(b)).any()
+    assert n > 2000 and missed <= n // 2000
+
+
 EM, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CA, PH = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
