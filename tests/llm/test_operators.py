@@ -5,7 +5,7 @@ import random
 import re
 import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -135,8 +135,9 @@ def windows(text, n=10):
     return w, {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-@pytest.mark.parametrize("block_bytes", [10**9, 120])
-def test_decontaminate(spark, docs, none, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "piece"), [(10**9, 2000), (240, 2000), (10**9, 3)])
+def test_decontaminate(spark, docs, none, block_bytes, piece, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", piece)
     rng = random.Random(3)
     vocab = ["the", "of", "zebra", "quark", "ñu", "a1", "b2", "co", "da", "el", "fo", "ga"]
     items = [(k, " ".join(rng.choice(vocab) for _ in range(n))) for k, n in enumerate((14, 12, 3, 1, 20, 11))] + [(77, None), (78, "..."), (None, "quark zebra quark"), (3, "quark of")]
@@ -162,11 +163,47 @@ def test_decontaminate(spark, docs, none, block_bytes):
     assert decontaminate.clean_of(d, b).count() == sum(not x[4] for x in want)
 
 
-def test_proximity(spark):
-    d = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha beta odd gamma delta"), (3, "alpha delta"), (4, "delta"), (5, "alpha beta gamma")], "doc_id long, text string")
-    b = spark.createDataFrame([(9, "alpha beta gamma delta")], "item_id long, text string")
-    got = {r.doc_id: (list(r.item_ids), list(r.near_ids)) for r in decontaminate.contamination(d, b, size=4, slop=1).collect()}
-    assert got == {1: (["9"], []), 2: ([], ["9"]), 3: ([], []), 4: ([], []), 5: ([], [])}
+def near_items(texts, items, size, slop):
+    """Items, document by document, of which a window is near and none is exact: each word within slop places of its own beside the rarest."""
+    split = [windows(t)[0] for t in texts]
+    df = Counter(x for w in split for x in w)
+    out = []
+    for w in split:
+        exact, near = set(), set()
+        for item, text in items:
+            for win in windows(text, size)[1]:
+                at = min(range(len(win)), key=lambda j: (df[win[j]], j))
+                for p in range(len(w)):
+                    if w[p] == win[at] and all(win[j] in w[max(0, p + j - at - slop) : max(0, p + j - at + slop + 1)] for j in range(len(win))):
+                        near.add(str(item))
+                        if p >= at and tuple(w[p - at : p - at + len(win)]) == win:
+                            exact.add(str(item))
+        out.append(sorted(near - exact))
+    return out
+
+
+@pytest.mark.parametrize(("slop", "size"), [(2, 10), (1, 4), (2, 3)])
+def test_proximity(spark, slop, size):
+    rng = random.Random(slop * size)
+    vocab = [f"w{i}" for i in range(14)]
+    items = [(k, " ".join(rng.choice(vocab) for _ in range(n))) for k, n in enumerate((14, 12, 3, 20, 11, 6, 1))]
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.randint(0, 40))) for _ in range(30)]
+    for _, text in items * 12:
+        w = text.split()
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(w))
+            w = w[:k] + [rng.choice(vocab)] * rng.randint(0, 1) + w[k + rng.randint(0, 1) :] or ["w0"]
+        texts.append(" ".join(["w1", *w, "w2"]))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: list(r.near_ids) for r in decontaminate.contamination(d, b, size=size, slop=slop).collect()}
+    want = near_items(texts, items, size, slop)
+    assert sum(map(len, want)) > 10 and [got[i] for i in range(len(texts))] == want
+
+
+def test_repeated_benchmark_rows_are_taken_once(spark):
+    b = spark.createDataFrame([(1, "some words that come again")] * 500 + [(1, None), (2, "")], "item_id long, text string")
+    assert decontaminate.item_pieces(b, 10).count() == 1
 
 
 def test_packing():
