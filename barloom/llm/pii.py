@@ -2,7 +2,7 @@
 
 One Aho-Corasick pass finds anchors: at-signs, plus signs, schemes, digits and identifier cues. From each anchor a
 deterministic local parser finds the boundary to both sides and validates what it holds; text without anchors
-is never parsed.
+is never parsed. Anchors are found whatever the case of A-Z.
 """
 
 from __future__ import annotations
@@ -15,10 +15,16 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from barloom.llm.shared import LOWER, UPPER
+
 #: Kinds in the order that breaks ties of a start; the first four are the base kinds.
-KINDS = ("email", "ip", "card", "phone", "url", "iban", "account")
+KINDS = ("email", "ip", "card", "phone", "url", "iban", "account", "secret")
 #: Identifier cues, lower case; an account number follows within a few signs. Fixed values.
 CUES = ("account", "acct", "iban", "passport", "ssn", "konto", "compte", "cuenta")
+#: Cues of secrets, lower case; an assigned value follows. Fixed values.
+SECRET_CUES = ("token", "secret", "api_key", "api-key", "apikey", "access_key", "password", "passwd", "bearer")
+#: A-Z lower-cased sign for sign, so that places stay.
+FOLD = str.maketrans(UPPER, LOWER)
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
@@ -26,10 +32,11 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
-URL = re.compile(r"(?:https?|ftp)://[^\s<>\"')\]}]*[^\s<>\"')\]}.,;:!?]")
+URL = re.compile(r"(?:[hH][tT][tT][pP][sS]?|[fF][tT][pP])://[^\s<>\"')\]}]*[^\s<>\"')\]}.,;:!?]")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 ACCOUNT = re.compile(r"(?:\x20?(?:number|no|nr|id))?[\x20.:#=-]{0,3}([A-Z]{0,3}[0-9][0-9-]{4,18}[0-9])(?![0-9A-Za-z])")
 GAP = re.compile(r"[\x20:.#=-]{0,3}")
+SECRET = re.compile(r"(?:[\"']?\x20{0,3}(?:[:=]|=>)\x20{0,3}[\"']?|\x20)([A-Za-z0-9_+/=.~-]{16,512})(?![A-Za-z0-9_+/=~-])")
 SCHEMES = ("http://", "https://", "ftp://")
 
 
@@ -39,7 +46,7 @@ def automaton() -> ahocorasick.Automaton:
         a.add_word(sign, sign if sign in "@+" else "0")
     for scheme in SCHEMES:
         a.add_word(scheme, scheme)
-    for cue in CUES:
+    for cue in (*CUES, *SECRET_CUES):
         a.add_word(cue, cue)
     a.make_automaton()
     return a
@@ -58,6 +65,11 @@ def iban_valid(text: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def secret_valid(value: str) -> bool:
+    """A value that no one writes by hand: letters and digits mixed, and at least eight different signs."""
+    return any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and len(set(value)) >= 8
+
+
 def local_start(text: str, at: int, least: int) -> int:
     """Where the run of local-part signs before the at-sign begins, at least or later."""
     step, high = 64, at
@@ -73,9 +85,7 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int
     """(start, kind, end) of all spans, sorted. Base kinds are leftmost and don't overlap within a kind."""
     found: list[tuple[int, int, int]] = []
     past = dict.fromkeys((*KINDS, "digit"), 0)
-    lower = text.lower()
-    if len(lower) != len(text):  # a letter whose lower case is longer: cues are looked for as written
-        lower = text
+    lower = text.lower() if text.isascii() else text.translate(FOLD)
     for last, sign in anchors.iter(lower):
         if sign == "0":
             if last >= past["digit"]:
@@ -94,6 +104,11 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int
             if (start := last + 1 - len(sign)) >= past["url"] and (m := URL.match(text, start)):
                 found.append((start, 4, m.end()))
                 past["url"] = m.end()
+        elif sign in SECRET_CUES:
+            if last >= past["secret"] and (m := SECRET.match(text, last + 1)) and secret_valid(m[1].rstrip(".")):
+                end = m.start(1) + len(m[1].rstrip("."))
+                found.append((m.start(1), 7, end))
+                past["secret"] = end
         elif last >= past["account"]:
             after = last + 1
             if sign == "iban":
@@ -126,12 +141,12 @@ def digits(text: str, at: int, past: dict[str, int], found: list[tuple[int, int,
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+    """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans (of all kinds).
 
     spans lists kind:start:end, by start and then kind, comma-joined; places are code points, end exclusive. Null
     counts as empty. Repeated rows come back each; other columns are neither read nor returned.
     """
-    schema = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS[:4]], ("base_sha256", pa.string()), ("spans", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS[:4]], ("base_sha256", pa.string()), ("spans", pa.string()), ("n_spans", pa.int64())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = automaton()
@@ -141,11 +156,11 @@ def find_pii(docs: DataFrame) -> DataFrame:
                 got = spans(text.as_py() or "", anchors)
                 said = [f"{KINDS[k]}:{a}:{b}" for a, k, b in got]
                 base = ",".join(s for s, (_, k, _) in zip(said, got, strict=True) if k < 4)
-                rows.append((*[sum(k == x for _, k, _ in got) for x in range(4)], hashlib.sha256(base.encode()).hexdigest(), ",".join(said)))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
+                rows.append((*[sum(k == x for _, k, _ in got) for x in range(4)], hashlib.sha256(base.encode()).hexdigest(), ",".join(said), len(said)))
+            cols = list(zip(*rows, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:], strict=True)]], schema=schema)
 
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def op10(docs: DataFrame) -> DataFrame:

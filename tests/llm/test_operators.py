@@ -428,7 +428,7 @@ CA, PH = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]
 
 def base_spans(t):
     d = lambda m: re.sub("[^0-9]", "", m[0])
-    out = [(m.start(), 0, m.end()) for m in EM.finditer(t)] + [(m.start(), 1, m.end()) for m in IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out = [(m.start(), 0, m.end()) for m in EM.finditer(t)] + [(m.start(), 1, m.end()) for m in IP.finditer(t) if all(len(x.lstrip("0")) <= 3 and int(x[-3:]) <= 255 for x in m[0].split("."))]
     out += [(m.start(), 2, m.end()) for m in CA.finditer(t) if 14 <= len(d(m)) <= 19 and pii.luhn(d(m))]
     return sorted(out + [(m.start(), 3, m.end()) for m in PH.finditer(t) if 10 <= len(d(m)) <= 15])
 
@@ -437,15 +437,39 @@ def test_pii_base_spans():
     rng, a = random.Random(9), pii.automaton()
     texts = ["".join(rng.choice("0123456789.+-@ ()abZ%_é\n:/ibanhttp") for _ in range(rng.randint(0, 90))) for _ in range(5000)]
     texts += ["a" * 5000 + "@b.c", "x@y" * 300 + ".z", "1." * 500, "4111111111111111", "4111 1111 1111-1111", "İ a@b.c", "0" * 5000 + ".1.1.1"[:6]]
-    for t in texts[:-1]:
+    texts += ["0" * 5000 + "255.1.1.1", "1" + "0" * 5000 + ".1.1.1", "A@B.C É a@b.c"]
+    for t in texts:
         assert [s for s in pii.spans(t, a) if s[1] < 4] == base_spans(t)
 
 
+def test_pii_added_spans_against_whole_text_search():
+    """Schemes and secrets by a plain search over the whole text, without anchors."""
+    rng, a = random.Random(12), pii.automaton()
+    some = ["http://", "HTTPS://", "ftp://", "token", "Secret", "api_key", "=", ": ", " ", '"', "'", "a1b2c3d4e5f6a7b8", "abcdefgh", "0123456789", "x.org/?q=1", ",", ".", "É", ")", "É"]
+    for _ in range(4000):
+        t = "".join(rng.choice(some) for _ in range(rng.randint(0, 30)))
+        urls = [(m.start(), m.end()) for m in re.finditer(r"(?i:https?|ftp)://[^\s<>\"')\]}]*[^\s<>\"')\]}.,;:!?]", t)]
+        secrets, past = [], 0
+        for i in range(len(t)):
+            m = next((m for c in pii.SECRET_CUES if t[: i + 1].lower().endswith(c) and i >= past and (m := pii.SECRET.match(t, i + 1))), None)
+            if m and pii.secret_valid(m[1].rstrip(".")):
+                past = m.start(1) + len(m[1].rstrip("."))
+                secrets.append((m.start(1), past))
+        got = pii.spans(t, a)
+        assert [(s, e) for s, k, e in got if k == 4] == urls and [(s, e) for s, k, e in got if k == 7] == secrets
+
+
 def test_pii_more_kinds(docs, none):
     a = pii.automaton()
     t = "IBAN: DE89 3704 0044 0532 0130 00, see https://x.org/a?b=1. account number 12345-678"
     assert [(pii.KINDS[k], t[s:e]) for s, k, e in pii.spans(t, a) if k > 3] == [("iban", "DE89 3704 0044 0532 0130 00"), ("url", "https://x.org/a?b=1"), ("account", "12345-678")]
+    named = lambda t: [(pii.KINDS[k], t[s:e]) for s, k, e in pii.spans(t, a) if k > 3]
+    assert named("İ Account number 12345678") == [("account", "12345678")] and named("HTTPS://x.org É") == [("url", "HTTPS://x.org")]
+    key = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"
+    assert named(f'é TOKEN = "{key}" on') == [("secret", key)] and named(f"api_key: {key}.") == [("secret", key)] and named(f"Authorization: Bearer {key}") == [("secret", key)]
+    assert named("token = 1234567890123456") == [] and named("the token abcdefghijklmnopqrst") == [] and named("token = aaaaaaaaaaaaaaaaaa11") == [] and named("tokens") == []
     got = {r.doc_id: r for r in pii.op10(docs).collect()}
+    assert all(r.n_spans == len([x for x in r.spans.split(",") if x]) for r in got.values())
     assert (got[8].n_email, got[8].n_ip, got[8].n_card, got[8].n_phone) == (1, 1, 1, 1) and got[4].spans == "" and got[4].base_sha256 == sha("")
     assert pii.op10(none).count() == 0
 
