@@ -27,9 +27,9 @@ def chunks(docs: DataFrame, least: int = 500, most: int = 4000) -> DataFrame:
     parts = F.when(F.col("norm") == "", F.array(F.lit(""))).otherwise(parts)
     rows = docs.select("doc_id", norm.alias("norm")).select("doc_id", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.posexplode(parts).alias("pos", "part"))
     proof = F.sha2(F.col("part").cast("binary"), 256)
-    half = lambda i: F.conv(F.substring("proof", i, 15), 16, 10).cast("long")
+    half = lambda i: F.conv(F.substring("proof", i, 16), 16, -10).cast("long")
     return rows.select("doc_id", "text_sha256", "pos", F.xxhash64("part").alias("fp"), proof.alias("proof")).select(
-        "doc_id", "text_sha256", "pos", "fp", half(1).alias("p1"), half(16).alias("p2")
+        "doc_id", "text_sha256", "pos", "fp", half(1).alias("p1"), half(17).alias("p2")
     )
 
 
