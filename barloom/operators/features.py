@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,11 +13,11 @@ def by_day() -> W:
     return W.partitionBy("instrument").orderBy("trade_date")
 
 
-def daily_features(bars: DataFrame) -> DataFrame:
+def daily_features(bars: DataFrame, *more: Column) -> DataFrame:
     """One row per bar: averages, extremes, range, volume and volatility features, null until their window is full.
 
     All windows share one partitioning and order, so the plan has one shuffle and one sort. Volume ratios divide by the mean of
-    the bars before the day. The first bar has neither return nor true range.
+    the bars before the day. The first bar has neither return nor true range. More columns over the same window may be added.
     """
     w = by_day()
     last = lambda n: w.rowsBetween(-(n - 1), 0)
@@ -33,7 +33,7 @@ def daily_features(bars: DataFrame) -> DataFrame:
     out += [ratio(F.col("volume"), full(F.avg("volume"), prior(n), n, F.col("volume"))).alias(f"volume_ratio_{n}") for n in (20, 50)]
     out += [full(F.stddev_pop("daily_return"), last(n), n, F.col("daily_return")).alias(f"volatility_{n}") for n in (20, 50)]
     atr = full(F.avg("true_range"), last(14), 14, F.col("true_range"))
-    return base.select("instrument", "trade_date", "open", "high", "low", "close", "volume", "daily_return", "true_range", atr.alias("atr_14"), (ratio(atr, F.col("close")) * 100).alias("atr_pct_14"), *out)
+    return base.select("instrument", "trade_date", "open", "high", "low", "close", "volume", "daily_return", "true_range", atr.alias("atr_14"), (ratio(atr, F.col("close")) * 100).alias("atr_pct_14"), *out, *more)
 
 
 def weekly_bars(bars: DataFrame) -> DataFrame:

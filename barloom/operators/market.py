@@ -8,33 +8,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.functions import ladder, ratio
-from barloom.operators.features import by_day, daily_features, weekly_bars
-from barloom.operators.trend import trend_status
+from barloom.functions import ratio
+from barloom.operators.features import by_day, weekly_bars
+from barloom.operators.trend import screened
 
 
 @dataclass(frozen=True)
 class BreakoutRules:
     base_sessions: int = 10
-    volume_ratio: float = 1.5
-    hold_sessions: int = 3
+    volume_ratio: float = 1.4
+    hold_sessions: int = 5
     judge_sessions: int = 10
-    follow_through: float = 0.03
-    hard_fail: float = 0.05
-    near_gap: float = 0.05
+    follow_through: float = 0.05
+    hard_fail: float = 0.03
 
 
 def panel(bars: DataFrame, rules: BreakoutRules = BreakoutRules(), min_price: float = 20.0) -> DataFrame:
     """One wide row per bar: eligibility, trend verdict, pivots, what came after. Later columns read it; it reads bars once each way."""
     w = by_day()
     after = lambda n: w.rowsBetween(1, n)
-    f = daily_features(bars).join(trend_status(bars).select("instrument", "trade_date", "rs_rank", "status"), ["instrument", "trade_date"])
-    return f.select(
-        "*", (F.col("close") >= min_price).alias("eligible"),
+    own = (
         F.lag("high_50").over(w).alias("level"), F.lag("high_50", rules.base_sessions + 1).over(w).alias("level_before"), F.lag("volume_avg_50").over(w).alias("volume_before"),
         F.lead("close", 5).over(w).alias("close_5"), F.lead("close", rules.judge_sessions).over(w).alias("close_judged"),
         F.min("close").over(after(rules.hold_sessions)).alias("low_hold"), F.min("close").over(after(rules.judge_sessions)).alias("low_judged"), F.count("close").over(after(rules.judge_sessions)).alias("n_after"),
     )
+    return screened(bars, own=own).withColumn("eligible", F.col("close") >= min_price)
 
 
 def breadth(p: DataFrame) -> DataFrame:
@@ -77,34 +75,11 @@ def regimes(days: DataFrame, min_share: float = 0.4, min_members: int = 50, wind
     return rows.select("trade_date", "index", mean.alias("index_mean"), on.alias("breadth_on"), F.coalesce(F.col("index") > mean, F.lit(False)).alias("index_on"))
 
 
-def readings(days: DataFrame) -> DataFrame:
-    """Day-level readings: shares, advance-decline line and its place in a year, thrust, and a weighted score of pillars that can be measured."""
-    w = W.orderBy("trade_date")
-    last = lambda n: w.rowsBetween(-(n - 1), 0)
-    rows = days.select("*", F.sum(F.col("advances") - F.col("declines")).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("ad_line"))
-    low, high = F.min("ad_line").over(last(252)), F.max("ad_line").over(last(252))
-    full = F.count(F.lit(1)).over(last(252)) == 252
-    share = lambda a, b: ratio(F.col(a), F.col(b)) * 100
-    rows = rows.select(
-        "trade_date", share("above_50", "n_50").alias("share_50"), share("above_200", "n_200").alias("share_200"), share("n_pass", "n_judged").alias("share_pass"),
-        ratio(F.col("new_highs"), F.col("new_highs") + F.col("new_lows")).alias("high_share"), ratio(F.col("up_volume"), F.col("down_volume")).alias("up_down"),
-        F.when(full, ratio(F.col("ad_line") - low, high - low)).alias("ad_position"),
-        F.avg(ratio(F.col("advances"), F.col("advances") + F.col("declines"))).over(last(10)).alias("thrust_10"),
-    )
-    pillars = [
-        (25.0, ladder(F.col("share_50"), [(20, 0), (40, 40), (60, 70), (80, 100)])), (25.0, ladder(F.col("share_200"), [(20, 0), (40, 40), (60, 70), (80, 100)])),
-        (20.0, ladder(F.col("share_pass"), [(0, 0), (10, 40), (25, 80), (40, 100)])), (15.0, ladder(F.col("up_down"), [(0.5, 0), (1, 50), (1.5, 80), (2, 100)])), (15.0, F.col("ad_position") * 100),
-    ]
-    total = sum((F.when(p.isNotNull(), F.lit(k)).otherwise(0.0) for k, p in pillars), F.lit(0.0))
-    score = ratio(sum((F.coalesce(F.lit(k) * p, F.lit(0.0)) for k, p in pillars), F.lit(0.0)), total)
-    rows = rows.withColumn("score", score)
-    capped = F.when(F.col("share_200") < 30, F.least("score", F.lit(40.0))).otherwise(F.col("score"))
-    label = F.when(F.col("capped") >= 70, "STRONG").when(F.col("capped") >= 50, "FAIR").when(F.col("capped") >= 30, "WEAK").when(F.col("capped").isNotNull(), "POOR")
-    return rows.withColumn("capped", capped).withColumn("label", label)
-
-
 def rotation(bars: DataFrame, sectors: DataFrame) -> DataFrame:
-    """Per sector and week: ratio of the sector's mean close change to the market's, against its 10-week mean; 4-week momentum; quadrant."""
+    """Per sector and week: ratio of the sector's mean close change to the market's, against its 10-week mean; 4-week momentum; quadrant.
+
+    Ratio and momentum are both 100 where nothing moves; a sector leads where both are above.
+    """
     wk = weekly_bars(bars)
     step = ratio(F.col("close"), F.lag("close").over(W.partitionBy("instrument").orderBy("week_start"))) - 1
     wk = wk.select("instrument", "week_start", step.alias("change")).where("change IS NOT NULL").join(sectors, "instrument")
@@ -115,6 +90,6 @@ def rotation(bars: DataFrame, sectors: DataFrame) -> DataFrame:
     rows = per.join(market, "week_start").select("sector", "week_start", line.alias("line"))
     ten = w.rowsBetween(-9, 0)
     rows = rows.withColumn("ratio", F.when(F.count("line").over(ten) == 10, F.col("line") / F.avg("line").over(ten) * 100))
-    rows = rows.withColumn("momentum", (F.col("ratio") / F.lag("ratio", 4).over(w) - 1) * 100)
-    quadrant = F.when(F.col("momentum").isNull(), None).when((F.col("ratio") >= 100) & (F.col("momentum") >= 0), "LEADING").when(F.col("ratio") >= 100, "WEAKENING").when(F.col("momentum") >= 0, "IMPROVING").otherwise("LAGGING")
+    rows = rows.withColumn("momentum", F.col("ratio") / F.lag("ratio", 4).over(w) * 100)
+    quadrant = F.when(F.col("momentum").isNull(), None).when((F.col("ratio") > 100) & (F.col("momentum") > 100), "LEADING").when(F.col("ratio") > 100, "WEAKENING").when(F.col("momentum") > 100, "IMPROVING").otherwise("LAGGING")
     return rows.withColumn("quadrant", quadrant)

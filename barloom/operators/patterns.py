@@ -1,25 +1,29 @@
-"""Base patterns as of a date: the highest confirmed swing high of a window and the contractions behind it.
+"""Base patterns as of a day: the highest confirmed swing high of a stretch of bars and the contractions behind it.
 
-Swings, windows and measures that Spark can express are columns; the peeling of noise peaks depends on its own results, so it
-is a small fold over one instrument's bars in a grouped map.
+Everything is a column. Each bar carries the swings that are confirmed by then as two short arrays, taken by one window over the
+instrument's bars; base start, legs and measures are folds over these arrays. Nothing after a bar is read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barloom.operators.features import by_day
+
 
 @dataclass(frozen=True)
 class BaseRules:
     left: int = 5
     right: int = 5
     window: int = 130
+    #: The stretch grows by so many bars while its highest high stands in its oldest share, up to widest.
+    extend_bars: int = 30
+    edge_share: float = 0.25
+    widest: int = 325
     advance_bars: int = 120
     advance_pct: float = 20.0
     noise_pct: float = 2.0
@@ -28,121 +32,178 @@ class BaseRules:
     equal_pct: float = 1.5
 
 
-BASE = "instrument long, as_of date, base_start date, base_high double, base_low double, depth_pct double, n_bars int, advance_pct double, reason string, contractions array<struct<peak_date: date, peak: double, trough_date: date, trough: double, depth_pct: double, confirmed: boolean>>"
-
-
-def swing_highs(high: np.ndarray, left: int, right: int) -> np.ndarray:
-    """Indices that no bar from left before to right after exceeds; both edges are left out."""
-    if len(high) < left + right + 1:
-        return np.zeros(0, int)
-    top = np.lib.stride_tricks.sliding_window_view(high, left + right + 1).max(1)
-    return np.flatnonzero(high[left : len(high) - right] >= top) + left
-
-
-class Base:
-    """One instrument's bars up to an as-of date, seen as a base."""
-
-    def __init__(self, high: np.ndarray, low: np.ndarray, rules: BaseRules):
-        self.high, self.low, self.rules, self.n = high, low, rules, len(high)
-
-    def trough(self, a: int, b: int) -> int | None:
-        """The lowest low strictly after a and before b, the earliest of equals."""
-        return a + 1 + int(np.argmin(self.low[a + 1 : b])) if b > a + 1 else None
-
-    def depth(self, peak: int, trough: int) -> float:
-        return (1 - self.low[trough] / self.high[peak]) * 100
-
-    def minor(self, peak: int, trough: int | None, bars: int) -> bool:
-        """A move too shallow, or both short and fairly shallow, to count."""
-        if trough is None or self.low[trough] >= self.high[peak]:
-            return True
-        d = self.depth(peak, trough)
-        return d < self.rules.noise_pct or bars < self.rules.short_bars and d < self.rules.short_pct
-
-    def peel(self, peaks: list[int]) -> list[int]:
-        """Peaks without those whose fall or rally is minor, then without equal highs that pull back deeper; the first always stays."""
-        while (drop := self.minor_peak(peaks)) is not None:
-            peaks = peaks[:drop] + peaks[drop + 1 :]
-        while (drop := self.equal_peak(peaks)) is not None:
-            peaks = peaks[:drop] + peaks[drop + 1 :]
-        return peaks
-
-    def minor_peak(self, peaks: list[int]) -> int | None:
-        for k, (a, b) in enumerate(zip(peaks, peaks[1:], strict=False)):
-            t = self.trough(a, b)
-            if self.minor(a, t, (t or a) - a):
-                return max(k, 1)
-            if self.minor(b, t, b - t):
-                return k + 1
-        return None
-
-    def equal_peak(self, peaks: list[int]) -> int | None:
-        ends = [*peaks[1:], self.n]
-        for k in range(1, len(peaks)):
-            a, b = peaks[k - 1], peaks[k]
-            ta, tb = self.trough(a, b), self.trough(b, ends[k])
-            near = abs(self.high[b] / self.high[a] - 1) * 100 <= self.rules.equal_pct
-            if near and ta is not None and tb is not None and self.depth(b, tb) > self.depth(a, ta):
-                return k
-        return None
-
-    def contractions(self, peaks: list[int]) -> list[tuple[int, int, bool]]:
-        """(peak, trough, confirmed): closed ones up to the next peak, and the last if its fall counts."""
-        out = []
-        for a, b in zip(peaks, [*peaks[1:], self.n], strict=True):
-            t = self.trough(a, b)
-            if b == self.n:
-                if self.minor(a, t, (t or a) - a):
-                    break
-                out.append((a, t, t + self.rules.right < self.n))
-            elif t is not None:
-                out.append((a, t, True))
-        return out
-
-
-def base_of(high: np.ndarray, low: np.ndarray, rules: BaseRules) -> tuple[str | None, int, float, list[tuple[int, int, bool]]]:
-    """(reason for no base, its first bar, advance before it, contractions)."""
-    swings = swing_highs(high, rules.left, rules.right)
-    recent = swings[swings >= len(high) - rules.window]
-    if not len(recent):
-        return "NO_SWING_HIGH", -1, np.nan, []
-    b = int(recent[np.argmax(high[recent])])
-    first = max(0, b - rules.advance_bars + 1)
-    advance = (high[b] / low[first : b + 1].min() - 1) * 100
-    if advance < rules.advance_pct:
-        return "INSUFFICIENT_HISTORY" if b - rules.advance_bars + 1 < 0 else "NO_ADVANCE", b, advance, []
-    base = Base(high, low, rules)
-    return None, b, advance, base.contractions(base.peel([b, *swings[swings > b].tolist()]))
+def known_swings(bars: DataFrame, rules: BaseRules, reach: int) -> DataFrame:
+    """(instrument, trade_date, n, close, low_tail, highs, lows): each bar with the swings of its last `reach` bars that are confirmed by it.
+
+    highs and lows are in order; a high has the lowest low of advance_bars before it. low_tail is the lowest low of the
+    bars too young to be swings.
+    """
+    w = by_day()
+    around = w.rowsBetween(-rules.left, rules.right)
+    inside = (F.row_number().over(w) > rules.left) & F.lead("low", rules.right).over(w).isNotNull()
+    rows = bars.select(
+        "instrument", "trade_date", "high", "low", "close", F.row_number().over(w).alias("n"), F.min("low").over(w.rowsBetween(-rules.advance_bars, -1)).alias("before"),
+        (inside & (F.col("high") == F.max("high").over(around))).alias("is_high"), (inside & (F.col("low") == F.min("low").over(around))).alias("is_low"),
+        F.min("low").over(w.rowsBetween(-(rules.right - 1), 0)).alias("low_tail"),
+    )
+    high = F.when(F.col("is_high"), F.struct("n", F.col("trade_date").alias("day"), F.col("high").alias("price"), "before"))
+    low = F.when(F.col("is_low"), F.struct("n", F.col("trade_date").alias("day"), F.col("low").alias("price")))
+    rows = rows.select("*", F.lag(high, rules.right).over(w).alias("h"), F.lag(low, rules.right).over(w).alias("l"))
+    last = w.rowsBetween(-(reach - 1 - rules.right), 0)
+    return rows.select("instrument", "trade_date", "n", "close", "low_tail", F.collect_list("h").over(last).alias("highs"), F.collect_list("l").over(last).alias("lows"))
+
+
+def highest(highs: Column) -> Column:
+    """The highest of swing highs, the earliest of equals; null for none."""
+    return F.aggregate(highs, F.get(highs, 0), lambda a, x: F.when(x["price"] > a["price"], x).otherwise(a))
+
+
+def depth(leg: Column) -> Column:
+    return (1 - leg["trough"] / leg["peak"]) * 100
+
+
+def shallow(leg: Column, rules: BaseRules) -> Column:
+    """Noise: shallower than noise_pct, or both short and shallower than short_pct."""
+    return (depth(leg) < rules.noise_pct) | ((leg["trough_n"] - leg["peak_n"] < rules.short_bars) & (depth(leg) < rules.short_pct))
+
+
+def to_trough(leg: Column, other: Column, when: Column) -> Column:
+    """The leg with the other's trough where `when` holds."""
+    parts = [F.when(when, other[c]).otherwise(leg[c]).alias(c) for c in ("trough_n", "trough_date", "trough", "confirmed")]
+    return F.struct(leg["peak_n"].alias("peak_n"), leg["peak_date"].alias("peak_date"), leg["peak"].alias("peak"), *parts)
+
+
+def with_legs(rows: DataFrame, rules: BaseRules) -> DataFrame:
+    """Adds legs to rows(highs, lows, low_tail, n): from each swing high to the lowest low before the next one.
+
+    A high without a low behind it gives way to the next. The last leg may end in low_tail and is unconfirmed then.
+    """
+    def trough(h: Column, i: Column) -> Column:
+        following = F.get("highs", i + 1)["n"]
+        behind = F.filter("lows", lambda x: (x["n"] > h["n"]) & (following.isNull() | (x["n"] <= following)))
+        lowest = F.aggregate(behind, F.get(behind, 0), lambda a, x: F.when(x["price"] < a["price"], x).otherwise(a))
+        tail = following.isNull() & (F.col("n") - rules.right >= h["n"]) & (lowest["price"].isNull() | (F.col("low_tail") < lowest["price"]))
+        return F.struct(
+            h["n"].alias("peak_n"), h["day"].alias("peak_date"), h["price"].alias("peak"),
+            F.when(tail, F.col("n")).otherwise(lowest["n"]).alias("trough_n"), F.when(tail, F.col("trade_date")).otherwise(lowest["day"]).alias("trough_date"),
+            F.when(tail, F.col("low_tail")).otherwise(lowest["price"]).alias("trough"), (~tail).alias("confirmed"),
+        )
+
+    return rows.withColumn("legs", F.filter(F.transform("highs", trough), lambda x: x["trough"].isNotNull() & (x["trough"] < x["peak"])))
+
+
+def of_days(rows: DataFrame, as_of: DataFrame) -> DataFrame:
+    """Those of rows(instrument, trade_date, ...) at the last bar on or before each as_of(instrument, as_of) day, with as_of."""
+    days = rows.select("instrument", "trade_date", F.lead("trade_date").over(by_day()).alias("until"), *[c for c in rows.columns if c not in ("instrument", "trade_date")])
+    at = as_of.select(F.col("instrument").alias("of"), "as_of")
+    held = (F.col("instrument") == F.col("of")) & (F.col("trade_date") <= F.col("as_of")) & (F.col("until").isNull() | (F.col("until") > F.col("as_of")))
+    return days.join(at, held).drop("of", "until")
 
 
 def detect_bases(bars: DataFrame, as_of: DataFrame, rules: BaseRules = BaseRules()) -> DataFrame:
-    """BASE of each instrument and as-of date; nothing after the date is read.
+    """The base of each instrument and day of as_of(instrument, as_of); a day before the first bar has no row.
 
-    as_of(instrument, as_of) has the dates; one group is one instrument, whose bars serve all its dates.
+    (instrument, as_of, base_start, base_high, base_low, depth_pct, n_bars, advance_pct, reason, contractions). reason says why there is
+    no base: NO_SWING_HIGH, NO_ADVANCE; null if there is one. A leg that is noise, and one that starts within equal_pct of the leg
+    before or above it, is part of the leg before.
     """
-    need = rules.window + rules.advance_bars + rules.left
-
-    def detect(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("trade_date")
-        day, high, low = left["trade_date"].to_numpy(), left["high"].to_numpy(float), left["low"].to_numpy(float)
-        out = []
-        for date in sorted(right["as_of"]):
-            end = int(np.searchsorted(day, date, "right"))
-            start = max(0, end - need)
-            h, lo, d = high[start:end], low[start:end], day[start:end]
-            if not end:
-                out.append((key[0], date, None, None, None, None, 0, None, "NO_BARS", []))
-                continue
-            reason, b, advance, parts = base_of(h, lo, rules)
-            rows = [{"peak_date": d[p], "peak": h[p], "trough_date": d[t], "trough": lo[t], "depth_pct": (1 - lo[t] / h[p]) * 100, "confirmed": bool(c)} for p, t, c in parts]
-            at = None if b < 0 else d[b]
-            bottom = None if b < 0 else float(lo[b:].min())
-            out.append((key[0], date, at, None if b < 0 else float(h[b]), bottom, None if b < 0 else (1 - bottom / h[b]) * 100, 0 if b < 0 else end - start - b, None if b < 0 else float(advance), reason, rows))
-        return pd.DataFrame(out, columns=["instrument", "as_of", "base_start", "base_high", "base_low", "depth_pct", "n_bars", "advance_pct", "reason", "contractions"])
-
-    cols = bars.select("instrument", "trade_date", "high", "low")
-    dates = as_of.select(F.col("instrument").alias("of"), F.col("as_of").alias("as_of"))
-    return cols.groupBy("instrument").cogroup(dates.groupBy("of")).applyInPandas(detect, BASE)
+
+    def take(a: Column, x: Column) -> Column:
+        last = F.element_at(a, -1)
+        part = shallow(x, rules) | (x["peak"] >= last["peak"] * (1 - rules.equal_pct / 100))
+        merged = F.concat(F.slice(a, 1, F.size(a) - 1), F.array(to_trough(last, x, x["trough"] < last["trough"])))
+        return F.when(F.size(a) == 0, F.array(x)).when(part, merged).otherwise(F.concat(a, F.array(x)))
+
+    rows = of_days(known_swings(bars, rules, rules.window), as_of).withColumn("top", highest(F.col("highs")))
+    rows = rows.withColumn("highs", F.filter("highs", lambda x: x["n"] >= F.col("top")["n"]))
+    rows = with_legs(rows, rules).withColumn("legs", F.aggregate("legs", F.slice("legs", 1, 0), take))
+    advance = (F.col("top")["price"] / F.col("top")["before"] - 1) * 100
+    bottom = F.least(F.array_min(F.transform(F.filter("lows", lambda x: x["n"] >= F.col("top")["n"]), lambda x: x["price"])), "low_tail")
+    reason = F.when(F.col("top").isNull(), "NO_SWING_HIGH").when(F.coalesce(advance, F.lit(0.0)) < rules.advance_pct, "NO_ADVANCE")
+    part = lambda x: F.struct(x["peak_date"].alias("peak_date"), x["peak"].alias("peak"), x["trough_date"].alias("trough_date"), x["trough"].alias("trough"), depth(x).alias("depth_pct"), x["confirmed"].alias("confirmed"))
+    there = F.col("top").isNotNull()
+    return rows.select(
+        "instrument", "as_of", F.col("top")["day"].alias("base_start"), F.col("top")["price"].alias("base_high"), F.when(there, bottom).alias("base_low"),
+        F.when(there, (1 - bottom / F.col("top")["price"]) * 100).alias("depth_pct"), F.when(there, F.col("n") - F.col("top")["n"]).otherwise(0).cast("int").alias("n_bars"),
+        advance.alias("advance_pct"), reason.alias("reason"), F.transform("legs", part).alias("contractions"),
+    )
+
+
+def detect_falls(bars: DataFrame, as_of: DataFrame, rules: BaseRules = BaseRules()) -> DataFrame:
+    """Falling legs as of days: lower highs behind a base start that may lie far back; for as_of(instrument, as_of).
+
+    The stretch grows by extend_bars while its highest high stands in its oldest edge_share; the base starts at the earliest high within
+    equal_pct of the highest. A leg goes on falling, from the base's high, as long as it makes lower lows; one that undercuts every
+    low before it voids the legs between. A leg whose high a later leg's exceeds was a pause of the rally and goes. (instrument, as_of, base_start, window, n_legs, depths, lower_highs, undercuts, pivot, above_pivot_pct, depth_pct,
+    n_bars, advance_pct, unmet, candidate); unmet names what of the loose minimum is missing.
+    """
+    rows = of_days(known_swings(bars, rules, rules.widest), as_of)
+    within = lambda k: F.filter("highs", lambda x: x["n"] > F.col("n") - k)
+    steps = F.sequence(F.lit(1), F.lit(-(-(rules.widest - rules.window) // rules.extend_bars)))
+    edge = lambda k: F.coalesce(highest(within(k))["n"] <= F.col("n") - k + (k * rules.edge_share).cast("int"), F.lit(False))
+    window = F.aggregate(steps, F.lit(rules.window), lambda k, _: F.when(edge(k), F.least(k + rules.extend_bars, F.lit(rules.widest))).otherwise(k))
+    rows = rows.withColumn("window", window)
+    rows = rows.withColumn("highs", within(F.col("window"))).withColumn("top", highest(F.col("highs")))
+    rows = rows.withColumn("top", F.get(F.filter("highs", lambda x: x["price"] >= F.col("top")["price"] * (1 - rules.equal_pct / 100)), 0))
+    rows = with_legs(rows.withColumn("highs", F.filter("highs", lambda x: x["n"] >= F.col("top")["n"])), rules)
+    none = F.struct(F.slice("legs", 1, 0).alias("held"), F.lit(0).alias("undercuts"), F.lit(None).cast("double").alias("floor"))
+
+    def take(a: Column, x: Column) -> Column:
+        held, under = a["held"], F.coalesce(x["trough"] < a["floor"], F.lit(False))
+        whole = to_trough(F.element_at(held, 1), x, F.lit(True))
+        higher = F.filter(held, lambda k: k["peak"] > x["peak"])
+        now = F.when(F.size(held) == 0, F.array(x)).when(under, F.array(whole)).when(shallow(x, rules), held).otherwise(F.concat(higher, F.array(x)))
+        return F.struct(now.alias("held"), (a["undercuts"] + F.when(under & (F.size(held) > 1), 1).otherwise(0)).alias("undercuts"), F.least(a["floor"], x["trough"]).alias("floor"))
+
+    rows = rows.withColumn("fall", F.aggregate("legs", none, take)).withColumn("held", F.col("fall")["held"])
+    pivot = F.coalesce(F.try_element_at("held", F.lit(-1))["peak"], F.col("top")["price"])
+    rows = rows.withColumn("pivot", pivot).withColumn("advance_pct", (F.col("top")["price"] / F.col("top")["before"] - 1) * 100).withColumn("n_bars", (F.col("n") - F.col("top")["n"]).cast("int"))
+    deep = F.greatest(F.array_max(F.transform("legs", depth)), F.lit(0.0))
+    above = (F.col("close") / F.col("pivot") - 1) * 100
+    unmet = F.array_compact(F.array(
+        F.when(F.col("top").isNull(), F.lit("SWING_HIGH")), F.when(F.coalesce(F.col("advance_pct"), F.lit(0.0)) < rules.advance_pct, F.lit("ADVANCE")), F.when(F.coalesce("n_bars", F.lit(0)) < 10, F.lit("SHORT")),
+        F.when(~deep.between(3, 50), F.lit("DEPTH")), F.when(F.size("held") < 1, F.lit("CONTRACTIONS")), F.when(F.coalesce(above, F.lit(0.0)) > 7, F.lit("EXTENDED")), F.when(F.col("close") > F.col("top")["price"], F.lit("BROKEN_OUT")),
+    ))
+    return rows.select(
+        "instrument", "as_of", F.col("top")["day"].alias("base_start"), "window", F.size("held").alias("n_legs"), F.transform("held", depth).alias("depths"), F.transform("held", lambda x: x["peak"]).alias("lower_highs"),
+        F.col("fall")["undercuts"].alias("undercuts"), "pivot", above.alias("above_pivot_pct"), deep.alias("depth_pct"), "n_bars", "advance_pct", unmet.alias("unmet"), (F.size(unmet) == 0).alias("candidate"),
+    )
+
+
+def measures(bases: DataFrame) -> DataFrame:
+    """How a base tightens: each contraction's depth beside the one before, and whether they shrink one after the other.
+
+    (instrument, as_of, n, first_depth, last_depth, mean_ratio, worst_ratio, progressive, shrinking_share); ratios are null below two.
+    """
+    d = F.transform("contractions", lambda c: c["depth_pct"])
+    ratios = F.filter(F.transform(d, lambda x, i: x / F.get(d, i - 1)), lambda r: r.isNotNull())
+    rows = bases.select("instrument", "as_of", d.alias("d"), ratios.alias("r")).withColumn("k", F.size("r"))
+    total = F.aggregate("r", F.lit(0.0), lambda a, x: a + x)
+    return rows.select(
+        "instrument", "as_of", F.size("d").alias("n"), F.get("d", 0).alias("first_depth"), F.try_element_at("d", F.lit(-1)).alias("last_depth"),
+        F.when(F.col("k") > 0, total / F.col("k")).alias("mean_ratio"), F.array_max("r").alias("worst_ratio"),
+        F.when(F.col("k") > 0, F.forall("r", lambda x: x < 1)).alias("progressive"), F.when(F.col("k") > 0, F.size(F.filter("r", lambda x: x < 1)) / F.col("k")).alias("shrinking_share"),
+    )
+
+
+def new_signals(candidates: DataFrame, rearm: int = 20, tolerance_pct: float = 0.01) -> DataFrame:
+    """Candidate days(instrument, as_of, pivot, session) that start something new.
+
+    A day is new if the session before was no candidate, the pivot is not within tolerance_pct of the last signal's, or rearm sessions
+    have passed since it. Which signal was last depends on the days before, so the days of one run without a gap are folded in
+    order; a run is at most as long as the instrument's passing sessions in a row.
+    """
+    w = W.partitionBy("instrument").orderBy("session")
+    rows = candidates.withColumn("gap", F.coalesce(F.col("session") - F.lag("session").over(w) != 1, F.lit(True)).cast("int")).withColumn("run", F.sum("gap").over(w))
+    runs = rows.groupBy("instrument", "run").agg(F.array_sort(F.collect_list(F.struct("session", "as_of", "pivot"))).alias("days"))
+
+    def take(a: Column, x: Column) -> Column:
+        last = F.try_element_at(a, F.lit(-1))
+        moved = F.abs(x["pivot"] / last["pivot"] - 1) * 100 > tolerance_pct
+        return F.when(last.isNull() | moved | (x["session"] - last["session"] >= rearm), F.concat(a, F.array(x))).otherwise(a)
+
+    signals = runs.select("instrument", F.inline(F.aggregate("days", F.slice("days", 1, 0), take)))
+    return signals.select("instrument", "as_of", "pivot")
 
 
 def tiers(bases: DataFrame) -> DataFrame:

@@ -25,14 +25,13 @@ def midrank(value: Column, *by: str) -> tuple[Column, Column]:
     return F.when(value.isNotNull(), pct), F.when(value.isNotNull(), n)
 
 
-def relative_strength(bars: DataFrame) -> DataFrame:
-    """(instrument, trade_date, ret_63..ret_252, rs_raw, rs_percentile, rs_rank 1-99, population, rs_status) for every bar.
+def returns() -> list[Column]:
+    """The window returns of a bar that the raw score weighs."""
+    return [finite(ratio(F.col("close"), F.lag("close", n).over(by_day())) - 1).alias(f"ret_{n}") for n in WEIGHTS]
 
-    The raw score weighs four window returns; a row without all four is INSUFFICIENT_DATA and unranked.
-    """
-    w = by_day()
-    rets = [finite(ratio(F.col("close"), F.lag("close", n).over(w)) - 1).alias(f"ret_{n}") for n in WEIGHTS]
-    rows = bars.select("instrument", "trade_date", *rets)
+
+def ranked(rows: DataFrame) -> DataFrame:
+    """Adds rs_raw, rs_percentile, population, rs_rank 1-99 and rs_status to rows(trade_date, ret_63..ret_252); one shuffle, by day."""
     raw = None
     for n, weight in WEIGHTS.items():
         term = weight * F.col(f"ret_{n}")
@@ -43,6 +42,14 @@ def relative_strength(bars: DataFrame) -> DataFrame:
     return rows.withColumn("rs_rank", (1 + F.floor(98 * F.col("rs_percentile"))).cast("int")).withColumn("rs_status", F.when(F.col("rs_raw").isNull(), "INSUFFICIENT_DATA").otherwise("PASS"))
 
 
+def relative_strength(bars: DataFrame) -> DataFrame:
+    """(instrument, trade_date, ret_63..ret_252, rs_raw, rs_percentile, rs_rank 1-99, population, rs_status) for every bar.
+
+    The raw score weighs four window returns; a row without all four is INSUFFICIENT_DATA and unranked.
+    """
+    return ranked(bars.select("instrument", "trade_date", *returns()))
+
+
 def average_rank(value: Column, *by: str) -> Column:
     """Ranks from 1, ties sharing their mean rank."""
     return F.rank().over(W.partitionBy(*by).orderBy(value)) + (F.count(F.lit(1)).over(W.partitionBy(*by, value)) - 1) / 2

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import change, finite
 from barloom.operators.features import by_day, daily_features, weekly_bars
-from barloom.operators.strength import relative_strength
+from barloom.operators.strength import ranked, returns
 
 
 @dataclass(frozen=True)
@@ -27,16 +27,19 @@ class TrendRules:
 CONDITIONS = ("close_above_sma150", "close_above_sma200", "sma150_above_sma200", "sma200_rising", "sma50_above_sma150", "sma50_above_sma200", "close_above_sma50", "above_52w_low", "near_52w_high", "rs_rank_min")
 
 
-def trend_inputs(bars: DataFrame, rules: TrendRules = TrendRules()) -> DataFrame:
-    """Per bar: what the conditions need, non-finite numbers as null."""
-    f = daily_features(bars).select("instrument", "trade_date", *[finite(F.col(c)).alias(c) for c in ("close", "sma_50", "sma_150", "sma_200", "high_252", "low_252")])
-    f = f.withColumn("sma_200_prior", F.lag("sma_200", rules.slope_lookback).over(by_day()))
-    return f.join(relative_strength(bars).select("instrument", "trade_date", "rs_rank"), ["instrument", "trade_date"])
+def trend_inputs(bars: DataFrame, rules: TrendRules = TrendRules(), own: tuple[Column, ...] = ()) -> DataFrame:
+    """Per bar: daily features, returns, strength and what the conditions need.
+
+    All windows of an instrument come first, with more of them in own (over the daily features), in one shuffle; only the ranks of
+    a day need a second one.
+    """
+    f = daily_features(bars, *returns()).withColumn("sma_200_prior", F.lag(finite(F.col("sma_200")), rules.slope_lookback).over(by_day()))
+    return ranked(f.select("*", *own))
 
 
 def conditions(rules: TrendRules = TrendRules()) -> Column:
-    """An array of (condition_id, name, measurement, threshold, passed); passed is null where a side is missing."""
-    c = F.col
+    """An array of (condition_id, name, measurement, threshold, passed); passed is null where a side is missing or no number."""
+    c = lambda name: F.col(name) if name == "rs_rank" else finite(F.col(name))
     low, high = c("low_252") * (1 + rules.above_low_pct / 100), c("high_252") * (1 - rules.below_high_pct / 100)
     sides = [
         (c("close"), c("sma_150")), (c("close"), c("sma_200")), (c("sma_150"), c("sma_200")), (c("sma_200"), c("sma_200_prior")), (c("sma_50"), c("sma_150")),
@@ -54,12 +57,17 @@ def trend_conditions(bars: DataFrame, rules: TrendRules = TrendRules()) -> DataF
     return trend_inputs(bars, rules).select("instrument", "trade_date", F.inline(conditions(rules)))
 
 
-def trend_status(bars: DataFrame, rules: TrendRules = TrendRules()) -> DataFrame:
-    """Per bar: n_passed and status; any missing condition makes INSUFFICIENT_DATA, all true PASS, else FAIL."""
-    rows = trend_inputs(bars, rules).withColumn("c", conditions(rules))
+def screened(bars: DataFrame, rules: TrendRules = TrendRules(), own: tuple[Column, ...] = ()) -> DataFrame:
+    """trend_inputs with n_passed and status; any missing condition makes INSUFFICIENT_DATA, all true PASS, else FAIL."""
+    rows = trend_inputs(bars, rules, own).withColumn("c", conditions(rules))
     passed = F.transform("c", lambda x: x["passed"])
     status = F.when(F.exists(passed, lambda p: p.isNull()), "INSUFFICIENT_DATA").when(F.forall(passed, lambda p: p), "PASS").otherwise("FAIL")
-    return rows.select("instrument", "trade_date", "close", "rs_rank", F.size(F.filter(passed, lambda p: F.coalesce(p, F.lit(False)))).alias("n_passed"), status.alias("status"))
+    return rows.withColumns({"n_passed": F.size(F.filter(passed, lambda p: F.coalesce(p, F.lit(False)))), "status": status}).drop("c")
+
+
+def trend_status(bars: DataFrame, rules: TrendRules = TrendRules()) -> DataFrame:
+    """Per bar: close, rank, n_passed and status of screened."""
+    return screened(bars, rules).select("instrument", "trade_date", finite(F.col("close")).alias("close"), "rs_rank", "n_passed", "status")
 
 
 def weekly_stage(bars: DataFrame, weeks: int = 30, slope_weeks: int = 4, band: float = 0.5, advance: float = 10.0) -> DataFrame:

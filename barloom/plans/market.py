@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions import first_reason, r6
-from barloom.operators import adjust, labels, market, strength
+from barloom.operators import adjust, health, labels, market, strength
 from barloom.operators.features import by_day, daily_features
 from barloom.plans.screen import rounded
 from barloom.plans.sql import BARS, FEATURES, STRENGTH, TREND, WEEKLY, r6 as sql6, with_
@@ -17,7 +17,7 @@ PANEL = """
 pan AS (SELECT f.*, s.rs_rank, s.status, f.close >= 20 AS eligible, lag(high_50) OVER w AS level, lag(high_50, 11) OVER w AS level_before, lag(volume_avg_50) OVER w AS volume_before,
   lead(f.close, 5) OVER w AS close_5, lead(f.close, 10) OVER w AS close_judged, min(f.close) OVER h AS low_hold, min(f.close) OVER j AS low_judged, count(*) OVER j AS n_after
   FROM feat f JOIN status s USING (instrument, trade_date)
-  WINDOW w AS (PARTITION BY f.instrument ORDER BY f.trade_date), h AS (PARTITION BY f.instrument ORDER BY f.trade_date ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), j AS (PARTITION BY f.instrument ORDER BY f.trade_date ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING))
+  WINDOW w AS (PARTITION BY f.instrument ORDER BY f.trade_date), h AS (PARTITION BY f.instrument ORDER BY f.trade_date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), j AS (PARTITION BY f.instrument ORDER BY f.trade_date ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING))
 """
 _N = "count(*) FILTER (WHERE eligible AND {})"
 BREADTH = "days AS (SELECT trade_date, count(*) FILTER (WHERE eligible) AS n, " + ", ".join(
@@ -52,6 +52,14 @@ def trades(s, d):
     return t.select(F.year("l_shipdate").alias("year"), F.round((F.col("l_discount") - F.col("l_tax")) * 100, 4).alias("ret_pct"), F.col("l_quantity").alias("hold_days"))
 
 
+def day_readings(s, d):
+    """All readings of the market's days, for a market of ten eligible stocks or more and three verdicts."""
+    p = pan(s, d)
+    counts = health.day_counts(p)
+    judged = health.judged_breakouts(market.breakouts(p), counts.select("trade_date"))
+    return health.readings(counts, health.sectors_up(p, sectors(s, d)), judged, min_universe=10, min_judged=3)
+
+
 def scored(s, d):
     """Relative strength as a score, the 20-bar return after as its outcome."""
     bars = model_bars(s, d)
@@ -87,7 +95,7 @@ def base_score(s, d):
     """Trend component: distance from the 252-bar high, 21-bar slope and spread of averages, each clipped to 0-100, weighed over what is there."""
     f = daily_features(model_bars(s, d)).withColumn("prior", F.lag("sma_200", 21).over(by_day()))
     clip = lambda x, worst, best: F.when(x.isNotNull(), F.least(F.lit(100.0), F.greatest(F.lit(0.0), (x - worst) / (best - worst) * 100.0)))
-    parts = [(40.0, clip((F.col("high_252") - F.col("close")) / F.col("high_252") * 100, 25.0, 0.0)), (30.0, clip((F.col("sma_200") / F.col("prior") - 1) * 100, 0.0, 5.0)), (30.0, clip((F.col("sma_50") / F.col("sma_200") - 1) * 100, 0.0, 20.0))]
+    parts = [(40.0, clip((F.col("high_252") - F.col("close")) / F.col("high_252") * 100, 25.0, 0.0)), (30.0, clip((F.col("sma_200") / F.col("prior") - 1) * 100, 0.0, 8.0)), (30.0, clip((F.col("sma_50") / F.col("sma_200") - 1) * 100, 0.0, 20.0))]
     total = sum((F.when(p.isNotNull(), w).otherwise(0.0) for w, p in parts), F.lit(0.0))
     points = sum((F.coalesce(p * w, F.lit(0.0)) for w, p in parts), F.lit(0.0))
     return f.select("instrument", "trade_date", r6(points / F.when(total > 0, total)).alias("trend_score"), total.alias("weight"))
@@ -105,14 +113,19 @@ def curve(s, d):
 
 LABELS = ["ret_5", "ret_10", "ret_20", "ret_40", "ret_60", "best_60", "worst_60"]
 STATS = ["win_rate", "avg_ret", "median_ret", "avg_win", "avg_loss", "profit_factor", "avg_hold_days"]
-READ = ["share_50", "share_200", "share_pass", "high_share", "up_down", "ad_position", "thrust_10", "score", "capped"]
+READ = [
+    "index", "index_200", "index_200_prior", "index_high", "ad_line", "above_50", "above_150", "above_200", "stacked", "rising_200", "pct_above_50", "pct_above_150", "pct_above_200", "ad_ratio", "highs_lows", "above_50_change", "own_gap",
+    "ad_line_gap", "pass_share", "leader_change", "highs_20", "highs_52", "sectors_up", "leaders_gap", "distribution", "accumulation_days", "up_down_value", "cluster", "up_on_volume", "success", "held", "failure", "median_return",
+    "near_pivot", "held_any", "thrust_ratio",
+]
 
 QUERIES = {
     "dom70_panel": lambda s, d: pan(s, d).select("instrument", "trade_date", "eligible", "level", "level_before", "close_5", "close_judged", "low_hold", "low_judged", "n_after", "status"),
     "agg02_breadth": lambda s, d: rounded(market.breadth(pan(s, d)), "mean_return"),
     "dom71_breakouts": lambda s, d: rounded(market.breakouts(pan(s, d)), "ret_5", "ret_judged"),
     "dom59_regimes": lambda s, d: rounded(market.regimes(market.breadth(pan(s, d)), min_members=10).drop("index_on"), "index", "index_mean"),
-    "dom73_readings": lambda s, d: rounded(market.readings(market.breadth(pan(s, d))), *READ),
+    "dom73_readings": lambda s, d: rounded(health.thrust_days(day_readings(s, d)), *READ),
+    "dom74_health": lambda s, d: rounded(health.score(day_readings(s, d), min_judged=3, cap_judged=2), *health.PILLARS, "raw"),
     "dom76_rotation": lambda s, d: rounded(market.rotation(model_bars(s, d), sectors(s, d)), "line", "ratio", "momentum"),
     "dom06_cumulative_factors": lambda s, d: rounded(adjust.cumulative(actions(model_bars(s, d))), "cumulative"),
     "dom07_adjusted_bars": lambda s, d: rounded(adjust.adjust(*raw(s, d)), "open", "high", "low", "close", "volume", "factor"),
@@ -134,7 +147,7 @@ _CLIP = "least(100.0, greatest(0.0, ({x} - {w}) / ({b} - {w}) * 100.0))"
 SCORE = f"""
 sc0 AS (SELECT *, lag(sma_200, 21) OVER (PARTITION BY instrument ORDER BY trade_date) AS prior FROM feat),
 sc1 AS (SELECT instrument, trade_date, CASE WHEN high_252 IS NOT NULL THEN {_CLIP.format(x='(high_252 - close) / high_252 * 100', w='25.0', b='0.0')} END AS a,
-  CASE WHEN prior IS NOT NULL THEN {_CLIP.format(x='(sma_200 / prior - 1) * 100', w='0.0', b='5.0')} END AS b, CASE WHEN sma_200 IS NOT NULL THEN {_CLIP.format(x='(sma_50 / sma_200 - 1) * 100', w='0.0', b='20.0')} END AS c FROM sc0),
+  CASE WHEN prior IS NOT NULL THEN {_CLIP.format(x='(sma_200 / prior - 1) * 100', w='0.0', b='8.0')} END AS b, CASE WHEN sma_200 IS NOT NULL THEN {_CLIP.format(x='(sma_50 / sma_200 - 1) * 100', w='0.0', b='20.0')} END AS c FROM sc0),
 sc2 AS (SELECT *, CASE WHEN a IS NULL THEN 0.0 ELSE 40.0 END + CASE WHEN b IS NULL THEN 0.0 ELSE 30.0 END + CASE WHEN c IS NULL THEN 0.0 ELSE 30.0 END AS weight FROM sc1),
 score AS (SELECT instrument, trade_date, round((coalesce(a * 40.0, 0.0) + coalesce(b * 30.0, 0.0) + coalesce(c * 30.0, 0.0)) / CASE WHEN weight > 0 THEN weight END + 3e-10, 6) AS trend_score, CAST(weight AS DOUBLE) AS weight FROM sc2)
 """
@@ -147,39 +160,94 @@ nxt AS (SELECT b.instrument, b.trade_date, min(a.ex_date) AS ex_date FROM bars b
 raw0 AS (SELECT b.*, coalesce(c.cumulative, 1.0) AS factor FROM bars b LEFT JOIN nxt n USING (instrument, trade_date) LEFT JOIN cum0 c ON c.instrument = b.instrument AND c.ex_date = n.ex_date),
 traded AS (SELECT instrument, trade_date, round(open / factor + 3e-9, 4) AS open, round(high / factor + 3e-9, 4) AS high, round(low / factor + 3e-9, 4) AS low, round(close / factor + 3e-9, 4) AS close, volume, factor FROM raw0)
 """
-_LADDER = "CASE WHEN {x} <= {p[0][0]} THEN {p[0][1]} " + "".join("WHEN {x} <= {p[%d][0]} THEN {p[%d][1]} + ({x} - {p[%d][0]}) * (({p[%d][1]} - {p[%d][1]}) / CAST({p[%d][0]} - {p[%d][0]} AS DOUBLE)) " % (k + 1, k, k, k + 1, k, k + 1, k) for k in range(3)) + "WHEN {x} IS NOT NULL THEN {p[3][1]} END"
+READINGS = with_(BARS, FEATURES, STRENGTH, TREND, PANEL) + """, lp AS (SELECT *, coalesce(status = 'PASS' AND rs_rank >= 80, false) AS leader FROM pan),
+lq AS (SELECT *, lag(leader, 20) OVER w AS leader_then, lag(close, 20) OVER w AS close_then FROM lp WINDOW w AS (PARTITION BY instrument ORDER BY trade_date)),
+c0 AS (SELECT trade_date, sum(CASE WHEN eligible THEN 1 ELSE 0 END) AS n, sum(CASE WHEN eligible AND sma_50 IS NOT NULL THEN 1 ELSE 0 END) AS n50, sum(CASE WHEN eligible AND close > sma_50 THEN 1 ELSE 0 END) AS a50,
+  sum(CASE WHEN eligible AND sma_150 IS NOT NULL THEN 1 ELSE 0 END) AS n150, sum(CASE WHEN eligible AND close > sma_150 THEN 1 ELSE 0 END) AS a150, sum(CASE WHEN eligible AND sma_200 IS NOT NULL THEN 1 ELSE 0 END) AS n200, sum(CASE WHEN eligible AND close > sma_200 THEN 1 ELSE 0 END) AS a200,
+  sum(CASE WHEN eligible THEN CASE WHEN daily_return > 0 THEN 1 ELSE 0 END ELSE 0 END) AS up, sum(CASE WHEN eligible AND daily_return < 0 THEN 1 ELSE 0 END) AS dn,
+  sum(CASE WHEN eligible AND high >= high_252 * 0.99999 THEN 1 ELSE 0 END) AS h52, sum(CASE WHEN eligible AND low <= low_252 * 1.00001 THEN 1 ELSE 0 END) AS l52, sum(CASE WHEN eligible AND high >= high_20 * 0.99999 THEN 1 ELSE 0 END) AS h20,
+  sum(CASE WHEN status = 'PASS' THEN 1 ELSE 0 END) AS ps, sum(CASE WHEN leader THEN 1 ELSE 0 END) AS ld, sum(CASE WHEN status = 'PASS' AND close >= high_50 * 0.95 AND volatility_20 < volatility_50 THEN 1 ELSE 0 END) AS nr,
+  sum(CASE WHEN leader_then AND close_then > 0 THEN 1 ELSE 0 END) AS ln, avg(CASE WHEN leader_then AND close_then > 0 THEN close / close_then - 1 END) AS lr,
+  sum(CASE WHEN eligible AND daily_return > 0 THEN close * volume END) AS uv, sum(CASE WHEN eligible AND daily_return < 0 THEN close * volume END) AS dv,
+  avg(CASE WHEN eligible THEN daily_return END) AS own_r, sum(CASE WHEN eligible THEN volume END) AS own_v, avg(daily_return) AS ix_r, sum(volume) AS ix_v FROM lq GROUP BY trade_date),
+s0 AS (SELECT n_name AS sector, trade_date, exp(sum(coalesce(ln(1 + avg(daily_return)), 0)) OVER (PARTITION BY n_name ORDER BY trade_date)) AS line FROM feat JOIN supplier ON s_suppkey = instrument JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2),
+s1 AS (SELECT *, CASE WHEN row_number() OVER w >= 50 THEN avg(line) OVER (PARTITION BY sector ORDER BY trade_date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) END AS m, lag(line, 21) OVER w AS a, lag(line, 63) OVER w AS b, lag(line, 126) OVER w AS c FROM s0 WINDOW w AS (PARTITION BY sector ORDER BY trade_date)),
+s2 AS (SELECT trade_date, (CASE WHEN count(m + a) >= 5 THEN count(*) FILTER (WHERE line > m AND line > a) * 100.0 / count(m + a) END + CASE WHEN count(m + b) >= 5 THEN count(*) FILTER (WHERE line > m AND line > b) * 100.0 / count(m + b) END
+  + CASE WHEN count(m + c) >= 5 THEN count(*) FILTER (WHERE line > m AND line > c) * 100.0 / count(m + c) END) / 3 AS sectors_up FROM s1 GROUP BY 1),
+no AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS i FROM c0),
+bo AS (SELECT i, low_hold >= level AS held, close_judged >= level * 1.05 AS success, low_judged < level * 0.97 AS failed, (close_5 / close - 1) * 100 AS r5, (close_judged / close - 1) * 100 AS rj FROM pan JOIN no USING (trade_date)
+  WHERE status = 'PASS' AND level <= level_before AND close > level AND volume_before > 0 AND volume >= 1.4 * volume_before AND n_after = 10),
+jd AS (SELECT no.i, count(*) AS judged, count(*) FILTER (WHERE success) * 100.0 / count(*) AS success, count(*) FILTER (WHERE held) * 100.0 / count(*) AS held, count(*) FILTER (WHERE failed) * 100.0 / count(*) AS failure, (median(r5) + median(rj)) / 2 AS median_return
+  FROM no JOIN bo ON bo.i + 10 BETWEEN no.i - 19 AND no.i GROUP BY 1),
+c1 AS (SELECT c0.*, no.i, n >= 10 AS big, sectors_up, jd.judged, success, held, failure, median_return, exp(sum(CASE WHEN n >= 10 THEN coalesce(ln(1 + own_r), 0) ELSE 0 END) OVER w) AS own, exp(sum(coalesce(ln(1 + ix_r), 0)) OVER w) AS ix, sum(up - dn) OVER w AS ad,
+  CASE WHEN n >= 10 THEN a50 / nullif(n50, 0) * 100 END AS p50, own_v > lag(own_v) OVER w AND n >= 10 AND lag(n) OVER w >= 10 AS oh, ix_v > lag(ix_v) OVER w AS xh
+  FROM c0 JOIN no USING (trade_date) LEFT JOIN s2 USING (trade_date) LEFT JOIN jd USING (i) WINDOW w AS (ORDER BY c0.trade_date)),
+c2 AS (SELECT *, CASE WHEN xh AND ix / lag(ix) OVER w - 1 <= -0.002 THEN 1 ELSE 0 END AS xd, CASE WHEN xh AND ix / lag(ix) OVER w - 1 >= 0.002 THEN 1 ELSE 0 END AS xa, CASE WHEN oh AND coalesce(own_r, 0) <= -0.002 THEN 1 ELSE 0 END AS od,
+  CASE WHEN i >= 50 THEN avg(ix) OVER (ORDER BY trade_date ROWS 49 PRECEDING) END AS m50, CASE WHEN i >= 150 THEN avg(ix) OVER (ORDER BY trade_date ROWS 149 PRECEDING) END AS m150, CASE WHEN i >= 200 THEN avg(ix) OVER (ORDER BY trade_date ROWS 199 PRECEDING) END AS m200,
+  avg(h52 * 100.0 / n) OVER t AS hi, avg(l52 * 100.0 / n) OVER t AS lo, avg(h20 * 100.0 / n) OVER t AS hs, sum(CASE WHEN big THEN 1 ELSE 0 END) OVER t AS ten FROM c1 WINDOW w AS (ORDER BY trade_date), t AS (ORDER BY trade_date ROWS 9 PRECEDING)),
+c3 AS (SELECT *, lag(m200, 20) OVER w AS m200p, lag(big, 10) OVER w AS big10, lag(big, 20) OVER w AS big20, lag(big, 21) OVER w AS big21, lag(ld, 20) OVER w AS ld20, lag(own, 20) OVER w AS own20, lag(own, 21) OVER w AS own21, lag(ix, 21) OVER w AS ix21,
+  CASE WHEN i > 25 THEN sum(xd) OVER q END AS dist, CASE WHEN i > 25 THEN sum(xa) OVER q END AS acc, CASE WHEN i > 25 AND sum(CASE WHEN big THEN 1 ELSE 0 END) OVER (ORDER BY trade_date ROWS 25 PRECEDING) = 26 THEN sum(od) OVER q END AS odist,
+  max(ad) OVER y AS adh, min(ad) OVER y AS adl, max(ix) OVER y AS ixh FROM c2 WINDOW w AS (ORDER BY trade_date), q AS (ORDER BY trade_date ROWS 24 PRECEDING), y AS (ORDER BY trade_date ROWS 251 PRECEDING)),
+rd AS (SELECT trade_date, n, big, ix AS index, m200 AS index_200, m200p AS index_200_prior, ixh AS index_high, ad AS ad_line, CASE WHEN ix > m50 THEN 100.0 WHEN m50 IS NOT NULL THEN 0.0 END AS above_50, CASE WHEN ix > m150 THEN 100.0 WHEN m150 IS NOT NULL THEN 0.0 END AS above_150,
+  CASE WHEN ix > m200 THEN 100.0 WHEN m200 IS NOT NULL THEN 0.0 END AS above_200, CASE WHEN m200 IS NOT NULL THEN CASE WHEN m50 > m150 THEN 50.0 ELSE 0 END + CASE WHEN m150 > m200 THEN 50.0 ELSE 0 END END AS stacked, CASE WHEN m200 > m200p THEN 100.0 WHEN m200p IS NOT NULL THEN 0.0 END AS rising_200,
+  p50 AS pct_above_50, CASE WHEN big THEN a150 / nullif(n150, 0) * 100 END AS pct_above_150, CASE WHEN big THEN a200 / nullif(n200, 0) * 100 END AS pct_above_200,
+  CASE WHEN sum(CASE WHEN big THEN 1 ELSE 0 END) OVER v = 20 THEN sum(up - dn) OVER v / nullif(sum(up + dn) OVER v, 0) END AS ad_ratio, CASE WHEN ten = 10 THEN hi / nullif(hi + lo, 0) END AS highs_lows, p50 - lag(p50, 10) OVER w AS above_50_change,
+  CASE WHEN big AND big21 THEN (own / own21 - ix / ix21) * 100 END AS own_gap, CASE WHEN big AND i >= 252 THEN (adh - ad) / nullif(adh - adl, 0) END AS ad_line_gap, CASE WHEN big THEN ps * 100.0 / n END AS pass_share, CASE WHEN big THEN CAST(ps AS BIGINT) END AS passes,
+  CASE WHEN big AND big10 THEN CAST(lag(ps, 10) OVER w AS BIGINT) END AS passes_then, CASE WHEN big AND big20 THEN (ld / nullif(ld20, 0) - 1) * 100 END AS leader_change, CASE WHEN ten = 10 THEN hs END AS highs_20, CASE WHEN ten = 10 THEN hi END AS highs_52, CASE WHEN big THEN sectors_up END AS sectors_up,
+  CASE WHEN big AND big20 AND ld20 > 0 AND ln >= 5 THEN (lr - (own / own20 - 1)) * 100 END AS leaders_gap, coalesce(0.6 * dist + 0.4 * odist, dist, odist) AS distribution, acc AS accumulation_days, CASE WHEN big THEN sum(uv) OVER t / nullif(sum(dv) OVER t, 0) END AS up_down_value,
+  CASE WHEN i > 25 THEN sum(xd) OVER t END AS cluster, acc / nullif(acc + dist, 0) AS up_on_volume, CASE WHEN big THEN coalesce(judged, 0) END AS judged, CASE WHEN big AND judged >= 3 THEN success END AS success, CASE WHEN big AND judged >= 3 THEN held END AS held, CASE WHEN big AND judged >= 3 THEN failure END AS failure,
+  CASE WHEN big AND judged >= 3 THEN median_return END AS median_return, CASE WHEN big THEN nr * 100.0 / n END AS near_pivot, CASE WHEN big THEN held END AS held_any, CASE WHEN count(up / nullif(up + dn, 0)) OVER t = 10 THEN avg(up * 100.0 / nullif(up + dn, 0)) OVER t END AS thrust_ratio
+  FROM c3 WINDOW w AS (ORDER BY trade_date), v AS (ORDER BY trade_date ROWS 19 PRECEDING), t AS (ORDER BY trade_date ROWS 9 PRECEDING))
+"""
+
+
+def rung(x: str, a: float, b: float, up: bool = True) -> str:
+    """0 to 100 between a and b, or the other way round."""
+    share = f"least(1.0, greatest(0.0, ({x} - {a}) / ({b} - {a})))"
+    return f"CASE WHEN {x} IS NOT NULL THEN 100.0 * {share if up else f'(1.0 - {share})'} END"
 
 
-def ladder_sql(x: str, p: list) -> str:
-    return _LADDER.format(x=x, p=p)
+def mean_sql(*parts: tuple[float, str]) -> str:
+    return "(" + " + ".join(f"coalesce(({p}) * {k}.0, 0.0)" for k, p in parts) + ") / nullif(" + " + ".join(f"CASE WHEN ({p}) IS NULL THEN 0.0 ELSE {k}.0 END" for k, p in parts) + ", 0)"
 
 
-_PILLARS = [("25.0", ladder_sql("share_50", [(20, 0), (40, 40), (60, 70), (80, 100)])), ("25.0", ladder_sql("share_200", [(20, 0), (40, 40), (60, 70), (80, 100)])), ("20.0", ladder_sql("share_pass", [(0, 0), (10, 40), (25, 80), (40, 100)])), ("15.0", ladder_sql("up_down", [(0.5, 0), (1, 50), (1.5, 80), (2, 100)])), ("15.0", "ad_position * 100")]
+HEALTH = ", pl AS (SELECT *, CASE WHEN index_200 IS NOT NULL THEN " + mean_sql((20, "above_50"), (20, "above_150"), (20, "above_200"), (20, "stacked"), (10, "rising_200")) + """ END AS index_trend,
+CASE WHEN big THEN """ + mean_sql((20, rung("pct_above_50", 30, 70)), (15, rung("pct_above_150", 30, 70)), (15, rung("pct_above_200", 30, 70)), (15, rung("ad_ratio", -0.15, 0.15)), (15, f"coalesce({rung('highs_lows', 0.2, 0.8)}, 50.0)"), (10, rung("above_50_change", -15, 15)), (10, rung("own_gap", -4, 4))) + """ END AS breadth,
+CASE WHEN big THEN """ + mean_sql((25, rung("pass_share", 3, 20)), (20, rung("leader_change", -40, 40)), (10, rung("highs_20", 2, 12)), (10, rung("highs_52", 0.5, 5)), (20, rung("sectors_up", 20, 80)), (15, rung("leaders_gap", -3, 5))) + """ END AS leadership,
+""" + mean_sql(
+    (30, "CASE WHEN distribution <= 2 THEN 100.0 WHEN distribution <= 4 THEN 100 - 20 * (distribution - 2) WHEN distribution <= 5 THEN 60 - 30 * (distribution - 4) WHEN distribution <= 6 THEN 30 - 30 * (distribution - 5) WHEN distribution > 6 THEN 0.0 END"), (20, rung("accumulation_days", 0, 6)),
+    (20, "CASE WHEN up_down_value <= 0.67 THEN 0.0 WHEN up_down_value <= 1 THEN 50 * (up_down_value - 0.67) / 0.33 WHEN up_down_value <= 1.5 THEN 50 + 100 * (up_down_value - 1) WHEN up_down_value > 1.5 THEN 100.0 END"), (20, rung("cluster", 0, 4, False)),
+    (10, f"coalesce({rung('up_on_volume', 0.3, 0.7)}, CASE WHEN accumulation_days IS NOT NULL THEN 50.0 END)"),
+) + """ AS accumulation,
+CASE WHEN judged >= 3 THEN """ + mean_sql((30, rung("success", 15, 50)), (25, rung("held", 30, 70)), (20, rung("failure", 20, 60, False)), (15, rung("median_return", -3, 4)), (10, rung("near_pivot", 1, 6))) + """ END AS breakouts FROM rd),
+rw AS (SELECT *, """ + mean_sql((25, "index_trend"), (25, "breadth"), (20, "leadership"), (15, "accumulation"), (15, "breakouts")) + """ AS raw, index_trend IS NOT NULL AND breadth IS NOT NULL AND leadership IS NOT NULL AND accumulation IS NOT NULL AND breakouts IS NOT NULL AS complete FROM pl),
+cp AS (SELECT *, coalesce(index < index_200 AND index_200 < index_200_prior AND pct_above_50 < 30, false) AS c1, coalesce(cluster >= 5, false) AS c2, coalesce(judged >= 2 AND 100 - held_any > 60, false) AS c3, coalesce(1 - passes / nullif(passes_then, 0) >= 0.333, false) AS c4,
+  coalesce(index >= index_high * 0.97 AND ad_line_gap > 0.25, false) AS c5, NOT complete AS c6, CASE WHEN raw >= 80 THEN 0 WHEN raw >= 65 THEN 1 WHEN raw >= 50 THEN 2 WHEN raw >= 35 THEN 3 WHEN raw IS NOT NULL THEN 4 END AS k FROM rw),
+cq AS (SELECT *, greatest(k, CASE WHEN c1 OR c3 THEN 3 WHEN c2 OR c4 OR c6 THEN 2 WHEN c5 THEN 1 ELSE 0 END) AS k2 FROM cp)
+SELECT trade_date, """ + sql6("index_trend", "breadth", "leadership", "accumulation", "breakouts", "raw") + """, ['Strong', 'Constructive', 'Mixed', 'Weak', 'Adverse'][k + 1] AS raw_label, CASE WHEN raw IS NOT NULL THEN ['Strong', 'Constructive', 'Mixed', 'Weak', 'Adverse'][k2 + 1] END AS label, complete,
+  CASE WHEN raw IS NOT NULL THEN ['full', 'full', 'half', 'none', 'none'][k2 + 1] END AS exposure,
+  CASE WHEN raw IS NOT NULL THEN concat_ws(',', CASE WHEN c1 THEN 'downtrend' END, CASE WHEN c2 THEN 'distribution' END, CASE WHEN c3 THEN 'failures' END, CASE WHEN c4 THEN 'pass_collapse' END, CASE WHEN c5 THEN 'divergence' END, CASE WHEN c6 THEN 'incomplete' END) END AS caps FROM cq"""
 
 ORACLES = {
     "dom70_panel": with_(BARS, FEATURES, STRENGTH, TREND, PANEL) + "SELECT instrument, trade_date, eligible, level, level_before, close_5, close_judged, low_hold, low_judged, n_after, status FROM pan",
     "agg02_breadth": with_(*ALL) + "SELECT * REPLACE (round(mean_return + 3e-10, 6) AS mean_return) FROM days",
-    "dom71_breakouts": with_(BARS, FEATURES, STRENGTH, TREND, PANEL) + """SELECT instrument, trade_date, level, low_hold >= level AS held, close_judged >= level * 1.03 AS success, low_judged < level * 0.95 AS failed,
+    "dom71_breakouts": with_(BARS, FEATURES, STRENGTH, TREND, PANEL) + """SELECT instrument, trade_date, level, low_hold >= level AS held, close_judged >= level * 1.05 AS success, low_judged < level * 0.97 AS failed,
   round((close_5 / close - 1) * 100 + 3e-10, 6) AS ret_5, round((close_judged / close - 1) * 100 + 3e-10, 6) AS ret_judged FROM pan
-  WHERE status = 'PASS' AND level <= level_before AND close > level AND volume_before > 0 AND volume >= 1.5 * volume_before AND n_after = 10""",
+  WHERE status = 'PASS' AND level <= level_before AND close > level AND volume_before > 0 AND volume >= 1.4 * volume_before AND n_after = 10""",
     "dom59_regimes": with_(*ALL) + """, ix AS (SELECT trade_date, n_50, above_50, exp(sum(coalesce(ln(1 + mean_return), 0)) OVER (ORDER BY trade_date)) AS index FROM days),
 m AS (SELECT *, CASE WHEN count(*) OVER w = 50 THEN avg(index) OVER w END AS index_mean FROM ix WINDOW w AS (ORDER BY trade_date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))
 SELECT trade_date, round(index + 3e-10, 6) AS index, round(index_mean + 3e-10, 6) AS index_mean, n_50 >= 10 AND coalesce(above_50 / nullif(n_50, 0) >= 0.4, false) AS breadth_on FROM m""",
-    "dom73_readings": with_(*ALL) + f""", r0 AS (SELECT *, sum(advances - declines) OVER (ORDER BY trade_date) AS ad FROM days),
-r1 AS (SELECT trade_date, above_50 / nullif(n_50, 0) * 100 AS share_50, above_200 / nullif(n_200, 0) * 100 AS share_200, n_pass / nullif(n_judged, 0) * 100 AS share_pass, new_highs / nullif(new_highs + new_lows, 0) AS high_share,
-  up_volume / nullif(down_volume, 0) AS up_down, CASE WHEN count(*) OVER y = 252 THEN CAST(ad - min(ad) OVER y AS DOUBLE) / nullif(CAST(max(ad) OVER y - min(ad) OVER y AS DOUBLE), 0) END AS ad_position,
-  avg(advances / nullif(advances + declines, 0)) OVER (ORDER BY trade_date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS thrust_10 FROM r0 WINDOW y AS (ORDER BY trade_date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)),
-r2 AS (SELECT *, ({' + '.join(f'coalesce({w} * ({p}), 0.0)' for w, p in _PILLARS)}) / nullif({' + '.join(f'CASE WHEN ({p}) IS NOT NULL THEN {w} ELSE 0.0 END' for w, p in _PILLARS)}, 0) AS score FROM r1),
-r3 AS (SELECT *, CASE WHEN share_200 < 30 THEN least(score, 40.0) ELSE score END AS capped FROM r2)
-SELECT trade_date, {sql6(*READ)}, CASE WHEN capped >= 70 THEN 'STRONG' WHEN capped >= 50 THEN 'FAIR' WHEN capped >= 30 THEN 'WEAK' WHEN capped IS NOT NULL THEN 'POOR' END AS label FROM r3""",
+    "dom73_readings": READINGS + "SELECT trade_date, n, big, " + sql6(*READ) + """, passes, passes_then, judged,
+  coalesce(thrust_ratio > 61.5 AND coalesce(lag(thrust_ratio) OVER (ORDER BY trade_date), 0) <= 61.5 AND min(thrust_ratio) OVER (ORDER BY trade_date ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) < 40, false) AS thrust FROM rd""",
+    "dom74_health": READINGS + HEALTH,
     "dom76_rotation": with_(BARS, WEEKLY) + """, st AS (SELECT instrument, week_start, close / nullif(lag(close) OVER (PARTITION BY instrument ORDER BY week_start), 0) - 1 AS change FROM weekly),
 j AS (SELECT st.*, n_name AS sector FROM st JOIN supplier ON s_suppkey = instrument JOIN nation ON s_nationkey = n_nationkey WHERE change IS NOT NULL),
 p AS (SELECT sector, week_start, avg(change) AS change FROM j GROUP BY 1, 2), m AS (SELECT week_start, avg(change) AS market FROM j GROUP BY 1),
 l AS (SELECT sector, week_start, exp(sum(ln(1 + change) - ln(1 + market)) OVER (PARTITION BY sector ORDER BY week_start)) AS line FROM p JOIN m USING (week_start)),
 q AS (SELECT *, CASE WHEN count(*) OVER w = 10 THEN line / avg(line) OVER w * 100 END AS ratio FROM l WINDOW w AS (PARTITION BY sector ORDER BY week_start ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
-z AS (SELECT *, (ratio / lag(ratio, 4) OVER (PARTITION BY sector ORDER BY week_start) - 1) * 100 AS momentum FROM q)
+z AS (SELECT *, ratio / lag(ratio, 4) OVER (PARTITION BY sector ORDER BY week_start) * 100 AS momentum FROM q)
 SELECT sector, week_start, round(line + 3e-10, 6) AS line, round(ratio + 3e-10, 6) AS ratio, round(momentum + 3e-10, 6) AS momentum,
-  CASE WHEN momentum IS NULL THEN NULL WHEN ratio >= 100 AND momentum >= 0 THEN 'LEADING' WHEN ratio >= 100 THEN 'WEAKENING' WHEN momentum >= 0 THEN 'IMPROVING' ELSE 'LAGGING' END AS quadrant FROM z""",
+  CASE WHEN momentum IS NULL THEN NULL WHEN ratio > 100 AND momentum > 100 THEN 'LEADING' WHEN ratio > 100 THEN 'WEAKENING' WHEN momentum > 100 THEN 'IMPROVING' ELSE 'LAGGING' END AS quadrant FROM z""",
     "dom06_cumulative_factors": with_(BARS, ACTIONS, RAW) + "SELECT instrument, ex_date, round(cumulative + 3e-10, 6) AS cumulative FROM cum0",
     "dom07_adjusted_bars": with_(BARS, ACTIONS, RAW) + "SELECT instrument, trade_date, " + ", ".join(f"round({c} * factor + 3e-10, 6) AS {c}" for c in ("open", "high", "low", "close")) + ", round(volume / factor + 3e-10, 6) AS volume, round(factor + 3e-10, 6) AS factor FROM traded",
     "dom09_gaps": with_(BARS, ACTIONS, RAW) + """, g AS (SELECT instrument, trade_date, open, lag(close) OVER w AS pc, lag(trade_date) OVER w AS pd FROM traded WINDOW w AS (PARTITION BY instrument ORDER BY trade_date)),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barloom.functions import r6
 from barloom.operators import adjust, identity, quality
 from barloom.operators.features import by_day, daily_features
-from barloom.operators.trend import trend_status, weekly_stage
+from barloom.operators.trend import screened, weekly_stage
 from barloom.plans.market import RAW, raw
 from barloom.plans.screen import rounded
 from barloom.plans.sql import BARS, FEATURES, STAGE, STRENGTH, TREND, WEEKLY, with_
@@ -82,8 +82,7 @@ def watch_list(s, d):
 def screener(s, d, min_rank: int = 60, stages: tuple[str, ...] = ("STAGE_2", "TRANSITION"), near_high: float = 15.0):
     """The screen of one day with all its predicates; filters are columns, so Catalyst pushes what it can."""
     b = model_bars(s, d)
-    f = daily_features(b).select("instrument", "trade_date", "high_252")
-    rows = trend_status(b).join(f, ["instrument", "trade_date"]).join(weekly_stage(b).select("instrument", "trade_date", "stage"), ["instrument", "trade_date"]).join(sectors(s, d), "instrument", "left")
+    rows = screened(b).select("instrument", "trade_date", "close", "high_252", "rs_rank", "n_passed", "status").join(weekly_stage(b).select("instrument", "trade_date", "stage"), ["instrument", "trade_date"]).join(sectors(s, d), "instrument", "left")
     test = (F.col("rs_rank") >= min_rank) & F.col("stage").isin(*stages) & (F.col("close") >= F.col("high_252") * (1 - near_high / 100)) & (F.col("n_passed") >= 6)
     return rows.where(test).select("instrument", "trade_date", "close", "rs_rank", "n_passed", "status", "stage", "sector")
 
@@ -96,7 +95,7 @@ def listings(s, d):
 
 def digest(s, d):
     """Weekly numbers of the equal-weight market: first and last share above the 50-bar mean, change, passes."""
-    f = daily_features(model_bars(s, d)).join(trend_status(model_bars(s, d)).select("instrument", "trade_date", "status"), ["instrument", "trade_date"])
+    f = screened(model_bars(s, d))
     day = f.groupBy("trade_date").agg(F.avg(F.when(F.col("sma_50").isNotNull(), F.when(F.col("close") > F.col("sma_50"), 100.0).otherwise(0.0))).alias("share"), F.avg("daily_return").alias("r"), F.count(F.when(F.col("status") == "PASS", 1)).alias("n_pass"))
     return day.groupBy(F.date_trunc("week", "trade_date").cast("date").alias("week")).agg(r6(F.min_by("share", "trade_date")).alias("first_share"), r6(F.max_by("share", "trade_date")).alias("last_share"), r6((F.exp(F.sum(F.log1p(F.coalesce("r", F.lit(0.0))))) - 1) * 100).alias("change_pct"), F.sum("n_pass").alias("n_pass"), F.count("*").alias("n_days"))
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.operators import backtest, falls, labels, patterns
+from barloom.operators import backtest, labels, patterns
 from barloom.operators.backtest import TradeRule
 from barloom.operators.features import daily_features
-from barloom.operators.trend import trend_status
+from barloom.operators.trend import screened, trend_status
 from barloom.plans.screen import rounded
 from barloom.plans.sql import BARS, FEATURES, STRENGTH, TREND, with_
 from barloom.sources.bars import model_bars, sessions
@@ -46,14 +46,14 @@ def weekly_falls(s, d):
     """The second detector at each instrument's last bar of every fourth week."""
     bars = model_bars(s, d)
     week = F.floor(F.datediff("trade_date", F.lit("1992-01-06").cast("date")) / 28)
-    return falls.detect_falls(bars, bars.groupBy("instrument", week.alias("w")).agg(F.max("trade_date").alias("as_of")).drop("w"))
+    return patterns.detect_falls(bars, bars.groupBy("instrument", week.alias("w")).agg(F.max("trade_date").alias("as_of")).drop("w"))
 
 
 def level_signals(s, d):
     """Passing days as candidates, their 20-bar high as pivot."""
     bars = model_bars(s, d)
-    days = trend_status(bars).where("status = 'PASS'").join(daily_features(bars).select("instrument", "trade_date", F.col("high_20").alias("pivot")), ["instrument", "trade_date"])
-    return falls.new_signals(days.join(F.broadcast(sessions(bars)), "trade_date").select("instrument", F.col("trade_date").alias("as_of"), "pivot", "session"))
+    days = screened(bars).where("status = 'PASS'").select("instrument", "trade_date", F.col("high_20").alias("pivot"))
+    return patterns.new_signals(days.join(F.broadcast(sessions(bars)), "trade_date").select("instrument", F.col("trade_date").alias("as_of"), "pivot", "session"))
 
 
 QUERIES = {
@@ -65,6 +65,7 @@ QUERIES = {
     "dom58_portfolio": lambda s, d: rounded(backtest.portfolio(trades(s, d), model_bars(s, d)), "value", "cash"),
     "dom64_ledger": lambda s, d: rounded(backtest.events(trades(s, d)), "price"),
     "dom31_bases": bases,
+    "dom32_measures": lambda s, d: rounded(patterns.measures(bases(s, d)), "first_depth", "last_depth", "mean_ratio", "worst_ratio", "shrinking_share"),
     "dom34_tiers": lambda s, d: patterns.tiers(bases(s, d)),
     "dom37_base_status": lambda s, d: rounded(patterns.base_status(bases(s, d), model_bars(s, d), trend_status(model_bars(s, d))), "level"),
     "dom40_base_history": lambda s, d: patterns.status_history(patterns.base_status(bases(s, d), model_bars(s, d), trend_status(model_bars(s, d)))),
@@ -72,11 +73,14 @@ QUERIES = {
 }
 
 ORACLES = {
-    "dom50_new_signals": with_(BARS, FEATURES, STRENGTH, TREND) + """, n AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS session FROM (SELECT DISTINCT trade_date FROM bars)),
+    "dom50_new_signals": with_(BARS, FEATURES, STRENGTH, TREND).replace("WITH ", "WITH RECURSIVE ", 1) + """, n AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS session FROM (SELECT DISTINCT trade_date FROM bars)),
 c AS (SELECT s.instrument, s.trade_date AS as_of, f.high_20 AS "pivot", session FROM status s JOIN feat f USING (instrument, trade_date) JOIN n USING (trade_date) WHERE status = 'PASS'),
-g AS (SELECT *, CASE WHEN session - lag(session) OVER w = 1 AND abs("pivot" / lag("pivot") OVER w - 1) * 100 <= 0.01 THEN 0 ELSE 1 END AS starts FROM c WINDOW w AS (PARTITION BY instrument ORDER BY session)),
-r AS (SELECT *, sum(starts) OVER (PARTITION BY instrument ORDER BY session) AS run FROM g)
-SELECT instrument, as_of, "pivot" FROM (SELECT *, min(session) OVER (PARTITION BY instrument, run) AS a FROM r) WHERE (session - a) % 20 = 0""",
+o AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY session) AS k FROM c),
+-- day by day: the last signal's session and pivot are carried along
+f AS (SELECT instrument, k, as_of, session, "pivot", session AS s0, "pivot" AS p0, true AS new FROM o WHERE k = 1
+  UNION ALL SELECT o.instrument, o.k, o.as_of, o.session, o."pivot", CASE WHEN t THEN o.session ELSE s0 END, CASE WHEN t THEN o."pivot" ELSE p0 END, t
+  FROM (SELECT o.*, f.s0, f.p0, o.session <> f.session + 1 OR abs(o."pivot" / f.p0 - 1) * 100 > 0.01 OR o.session - f.s0 >= 20 AS t FROM f JOIN o ON o.instrument = f.instrument AND o.k = f.k + 1) o)
+SELECT instrument, as_of, "pivot" FROM f WHERE new""",
     "dom60_signals": with_(BARS, FEATURES, STRENGTH, TREND) + """, r AS (SELECT *, sum(CASE WHEN status = 'PASS' THEN 1 ELSE 0 END) OVER (PARTITION BY instrument ORDER BY trade_date ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS recent FROM status)
 SELECT r.instrument, r.trade_date, f.high_20 AS level, CAST(r.rs_rank AS DOUBLE) AS score FROM r JOIN feat f USING (instrument, trade_date) WHERE r.status = 'PASS' AND recent = 0""",
     "win12_ema20": "WITH RECURSIVE " + BARS.strip() + """, n AS (SELECT instrument, trade_date, close, row_number() OVER (PARTITION BY instrument ORDER BY trade_date) AS n FROM bars),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions import change, finite, ladder
-from barloom.operators import adjust, asof, backtest, falls, features, labels, patterns, strength, temporal, trend
+from barloom.operators import adjust, asof, backtest, features, labels, patterns, strength, temporal, trend
 from barloom.operators.fundamentals import facts_of_xml
 
 D0 = date(2020, 1, 1)
@@ -131,18 +131,61 @@ def test_portfolio_respects_slots(spark):
     assert days[D0 + timedelta(1)].n_open == 2 and days[D0 + timedelta(5)].n_open == 0 and 0.99 < days[D0 + timedelta(5)].value < 1
 
 
-def test_base_by_hand():
+def test_base_by_hand(spark):
     """A rise, then two falls of 20 and 8 percent below one top."""
-    import numpy as np
-
-    def leg(a, b, n):
-        return np.linspace(a, b, n, endpoint=False).tolist()
-
-    close = np.array(leg(50, 100, 60) + leg(100, 80, 15) + leg(80, 97, 15) + leg(97, 89, 10) + leg(89, 95, 8))
-    reason, b, advance, parts = patterns.base_of(close * 1.002, close * 0.998, patterns.BaseRules())
-    assert reason is None and b == 60 and advance > 90
-    depths = [(1 - close[t] * 0.998 / (close[p] * 1.002)) * 100 for p, t, _ in parts]
-    assert len(parts) == 2 and depths[0] == pytest.approx(20.4, abs=0.5) and depths[1] == pytest.approx(8.5, abs=0.7) and parts[1][2]
+    close = legs((50, 100, 60), (100, 80, 15), (80, 97, 15), (97, 89, 10), (89, 95, 8)).tolist()
+    r = patterns.detect_bases(bars(spark, close, spread=0.002), last_day(spark, close)).first()
+    assert r.reason is None and r.base_start == D0 + timedelta(60) and r.advance_pct > 90
+    assert [round(c.depth_pct) for c in r.contractions] == [20, 9] and all(c.confirmed for c in r.contractions)
+    m = patterns.measures(patterns.detect_bases(bars(spark, close, spread=0.002), last_day(spark, close))).first()
+    assert m.n == 2 and m.progressive and m.worst_ratio == pytest.approx(m.last_depth / m.first_depth)
+
+
+def base_brute(close, spread, rules):
+    """The base and its merged legs of the last bar, by plain loops over the bars."""
+    high, low, n = [c * (1 + spread) for c in close], [c * (1 - spread) for c in close], len(close)
+    edge = range(rules.left, n - rules.right)
+    span = lambda x, i: x[i - rules.left : i + rules.right + 1]
+    tops = [i for i in edge if high[i] == max(span(high, i)) and i > n - 1 - rules.window]
+    lows = [i for i in edge if low[i] == min(span(low, i))]
+    if not tops:
+        return None
+    start = min(tops, key=lambda i: (-high[i], i))
+    tops, out = [i for i in tops if i >= start], []
+    for k, i in enumerate(tops):
+        end = tops[k + 1] if k + 1 < len(tops) else None
+        found = [(low[j], j) for j in lows if i < j and (end is None or j <= end)]
+        tail = min(low[-rules.right :])
+        if end is None and i <= n - 1 - rules.right and (not found or tail < min(found)[0]):
+            found = [(tail, n - 1)]
+        if not found or min(found)[0] >= high[i]:
+            continue
+        t, j = min(found)
+        d = (1 - t / high[i]) * 100
+        if out and (d < rules.noise_pct or (j - i < rules.short_bars and d < rules.short_pct) or high[i] >= out[-1][0] * (1 - rules.equal_pct / 100)):
+            out[-1] = (out[-1][0], min(out[-1][1], t))
+        else:
+            out.append((high[i], t))
+    return start, [round(a, 6) for x in out for a in x]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bases_against_loops(spark, seed):
+    rules, frames = patterns.BaseRules(left=3, right=2, window=60, advance_bars=40), {}
+    for k in range(12):
+        frames[k] = walk(150, 100 * seed + k)
+    both = None
+    for k, c in frames.items():
+        b = bars(spark, c, k)
+        both = b if both is None else both.unionByName(b)
+    at = both.groupBy("instrument").agg(F.max("trade_date").alias("as_of"))
+    got = {r.instrument: r for r in patterns.detect_bases(both, at, rules).collect()}
+    for k, c in frames.items():
+        want = base_brute(c, 0.01, rules)
+        r = got[k]
+        assert (r.base_start is None) == (want is None)
+        if want:
+            assert r.base_start == D0 + timedelta(want[0]) and [round(x, 6) for p in r.contractions for x in (p.peak, p.trough)] == want[1]
 
 
 def test_xml_filings(spark, tmp_path):
@@ -158,30 +201,38 @@ def legs(*points):
     return np.concatenate([np.linspace(a, b, n, endpoint=False) for a, b, n in points])
 
 
-def falls_of(close, **rules):
-    import numpy as np
-
-    f = falls.Falls(close * 1.002, close * 0.998, close, np.full(len(close), 100.0), falls.FallRules(**rules))
-    return f, f.candidate()
+def last_day(spark, close):
+    return spark.createDataFrame([(1, D0 + timedelta(len(close) + 3))], "instrument long, as_of date")
 
 
-def test_falling_legs_by_hand():
+def test_falling_legs_by_hand(spark):
     rise = (50, 100, 130)
-    _, two = falls_of(legs(rise, (100, 80, 15), (80, 97, 15), (97, 89, 10), (89, 94, 8)))
-    assert two["reason"] is None and [round(x) for x in two["depths"]] == [20, 9] and two["candidate"] and two["pivot"] == pytest.approx(97 * 1.002, rel=1e-3)
-    _, stairs = falls_of(legs(rise, (100, 88, 12), (88, 94, 8), (94, 80, 12), (80, 97, 15), (97, 91, 10), (91, 94, 8)))
-    assert len(stairs["depths"]) == 2 and stairs["lower_highs"][0] == 1
-    _, under = falls_of(legs(rise, (100, 85, 12), (85, 97, 12), (97, 90, 8), (90, 96, 8), (96, 75, 14), (75, 88, 14), (88, 87.5, 4)))
-    assert under["undercuts"] == 1 and len(under["depths"]) == 1 and round(under["depths"][0]) == 25
-    assert falls_of(legs(rise, (100, 85, 12), (85, 104, 20)))[1]["reason"] == "BROKEN_OUT"
-    assert falls_of(legs((95, 100, 130), (100, 85, 12), (85, 95, 20)))[1]["reason"] == "NO_ADVANCE"
-    assert falls_of(legs((50, 100, 60)))[1]["reason"] == "NO_SWING_HIGH"
+
+    def falls_of(*points):
+        close = legs(*points).tolist()
+        return patterns.detect_falls(bars(spark, close, spread=0.002), last_day(spark, close)).first()
+
+    two = falls_of(rise, (100, 80, 15), (80, 97, 15), (97, 89, 10), (89, 94, 8))
+    assert list(two.unmet) == [] and [round(x) for x in two.depths] == [20, 9] and two.candidate and two.pivot == pytest.approx(97 * 1.002, rel=1e-3)
+    stairs = falls_of(rise, (100, 88, 12), (88, 94, 8), (94, 80, 12), (80, 97, 15), (97, 91, 10), (91, 94, 8))
+    assert [round(x) for x in stairs.depths] == [20, 7] and stairs.undercuts == 0
+    under = falls_of(rise, (100, 85, 12), (85, 97, 12), (97, 90, 8), (90, 96, 8), (96, 75, 14), (75, 88, 14), (88, 87.5, 4))
+    assert under.undercuts == 1 and [round(x) for x in under.depths] == [25]
+    rally = falls_of(rise, (100, 85, 12), (85, 92, 8), (92, 88, 8), (88, 97, 12), (97, 91, 10), (91, 94, 8))
+    assert [round(x) for x in rally.depths] == [15, 7] and [round(x) for x in rally.lower_highs] == [100, 97]
+    assert "BROKEN_OUT" in falls_of(rise, (100, 85, 12), (85, 104, 20)).unmet
+    assert "ADVANCE" in falls_of((95, 100, 130), (100, 85, 12), (85, 95, 20)).unmet
+    assert "SWING_HIGH" in falls_of((50, 100, 60)).unmet
+    far = falls_of((50, 100, 60), (100, 80, 40), (80, 95, 70), (95, 90, 10), (90, 93, 8))
+    assert far.window > 130 and far.base_start == D0 + timedelta(60)
 
 
 def test_new_signals(spark):
     rows = [(1, k, 10.0, k) for k in range(0, 45)] + [(1, 50, 10.0, 50), (1, 51, 11.0, 51), (1, 52, 11.0, 52)]
     df = spark.createDataFrame(rows, "instrument long, as_of int, pivot double, session int")
-    assert sorted(r.as_of for r in falls.new_signals(df).collect()) == [0, 20, 40, 50, 51]
+    assert sorted(r.as_of for r in patterns.new_signals(df).collect()) == [0, 20, 40, 50, 51]
+    creep = spark.createDataFrame([(1, k, 100 + 0.009 * k, k) for k in range(6)], "instrument long, as_of int, pivot double, session int")
+    assert sorted(r.as_of for r in patterns.new_signals(creep).collect()) == [0, 2, 4]
 
 
 def test_base_status(spark):
