@@ -16,7 +16,7 @@ DAY = "1996-03-15"
 def price_csv(s, d):
     """Line items as a day's price file: every ninth row without a price, every seventh of another day, series from the return flag."""
     at = scratch(s)
-    l = table(s, d, "lineitem").where("l_linenumber <= 3")
+    l = table(s, d, "lineitem")
     k = F.col("l_orderkey") % 1000
     rows = l.select(
         F.col("l_suppkey").cast("string").alias("SYMBOL"), F.col("l_returnflag").alias("SERIES"), F.format_string("ISIN%06d", "l_partkey").alias("ISIN"), F.col("l_extendedprice").cast("string").alias("OPEN"),
@@ -68,8 +68,10 @@ def upserts(s, d):
 
 
 def missing(s, d):
-    have = table(s, d, "orders").select(F.to_date("o_orderdate").alias("day")).where("o_orderkey % 97 < 40").distinct()
-    off = table(s, d, "orders").select(F.to_date("o_orderdate").alias("day")).where("o_orderkey % 97 > 95").distinct()
+    """Order days as file days. Which days lack a file, and which of those are holidays, goes by the day itself, so that all scales have them."""
+    days = table(s, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    kind = F.datediff("day", F.lit("1990-01-01").cast("date")) * 7 % 11
+    have, off = days.where(kind < 8), days.where(kind == 9)
     return files.missing_days(have, "1996-01-01", "1996-12-31", 5, off)
 
 
@@ -85,7 +87,7 @@ QUERIES = {
 
 PRICES = """
 p AS (SELECT CAST(l_suppkey AS VARCHAR) AS symbol, l_returnflag AS series, 'ISIN' || lpad(CAST(l_partkey AS VARCHAR), 6, '0') AS isin, l_extendedprice AS open, CASE WHEN l_orderkey % 1000 % 9 = 0 THEN NULL ELSE l_extendedprice + l_quantity END AS high,
-  l_extendedprice - CASE WHEN l_orderkey % 1000 % 8 = 0 THEN -5.0 ELSE 1.0 END AS low, l_extendedprice AS close, l_quantity AS volume, CASE WHEN l_orderkey % 1000 % 7 = 0 THEN DATE '1996-03-16' ELSE DATE '1996-03-15' END AS trade_date FROM lineitem WHERE l_linenumber <= 3),
+  l_extendedprice - CASE WHEN l_orderkey % 1000 % 8 = 0 THEN -5.0 ELSE 1.0 END AS low, l_extendedprice AS close, l_quantity AS volume, CASE WHEN l_orderkey % 1000 % 7 = 0 THEN DATE '1996-03-16' ELSE DATE '1996-03-15' END AS trade_date FROM lineitem),
 c AS (SELECT *, row_number() OVER (PARTITION BY symbol, series ORDER BY isin, open, high NULLS FIRST, low, close, volume) AS copy FROM p),
 r AS (SELECT *, CASE WHEN trade_date <> DATE '1996-03-15' THEN 'WRONG_DATE' WHEN high IS NULL OR low <= 0 THEN 'NO_PRICE' WHEN low > close OR high < close THEN 'PRICE_ORDER' WHEN copy > 1 THEN 'REPEATED' END AS reason FROM c WHERE series IN ('A', 'N'))
 """
@@ -93,7 +95,7 @@ r AS (SELECT *, CASE WHEN trade_date <> DATE '1996-03-15' THEN 'WRONG_DATE' WHEN
 ORACLES = {
     "src01_price_files": "WITH " + PRICES + "SELECT * EXCLUDE (reason, copy) FROM r WHERE reason IS NULL",
     "src01_price_summary": "WITH " + PRICES + "SELECT coalesce(reason, 'ROWS') AS what, count(*) AS n FROM r GROUP BY 1 UNION ALL SELECT 'SKIPPED_' || series, count(*) FROM p WHERE series NOT IN ('A', 'N') GROUP BY 1",
-    "src02_missing_days": """WITH d AS (SELECT CAST(unnest(generate_series(DATE '1996-01-01', DATE '1996-12-31', INTERVAL 1 DAY)) AS DATE) AS day), h AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 97 < 40), f AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 97 > 95)
+    "src02_missing_days": """WITH d AS (SELECT CAST(unnest(generate_series(DATE '1996-01-01', DATE '1996-12-31', INTERVAL 1 DAY)) AS DATE) AS day), h AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE (CAST(o_orderdate AS DATE) - DATE '1990-01-01') * 7 % 11 < 8), f AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE (CAST(o_orderdate AS DATE) - DATE '1990-01-01') * 7 % 11 = 9)
 SELECT day, CASE WHEN day IN (SELECT day FROM f) THEN 'HOLIDAY' WHEN DATE '1996-12-31' - day >= 5 THEN 'NO_SESSION' ELSE 'PENDING' END AS state FROM d WHERE isodow(day) < 6 AND day NOT IN (SELECT day FROM h)""",
     "src06_action_texts": """WITH p AS (SELECT p_partkey, CAST(p_partkey % 5 + 1 AS INTEGER) AS a, CAST(p_partkey % 3 + 1 AS INTEGER) AS b, p_partkey % 8 AS k FROM part)
 SELECT p_partkey, CASE k WHEN 0 THEN 'BONUS' WHEN 1 THEN 'SPLIT' WHEN 2 THEN 'RIGHTS' WHEN 3 THEN 'DIVIDEND' WHEN 4 THEN 'BONUS' WHEN 5 THEN 'UNMODELLED' ELSE 'OTHER' END AS kind,

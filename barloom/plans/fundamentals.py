@@ -12,8 +12,8 @@ from barloom.sources.bars import table
 
 
 def facts(s, d):
-    """Every order restates its customer group's quarter: revision by date, value the running sum of prices in it."""
-    o = table(s, d, "orders").select((F.col("o_custkey") % 40).alias("entity"), F.date_trunc("quarter", F.to_date("o_orderdate")).cast("date").alias("period"), F.to_date("o_orderdate").alias("available_at"), "o_orderkey", "o_totalprice")
+    """Every order restates its customer's quarter: revision by date, value the running sum of prices in it."""
+    o = table(s, d, "orders").select(F.col("o_custkey").alias("entity"), F.date_trunc("quarter", F.to_date("o_orderdate")).cast("date").alias("period"), F.to_date("o_orderdate").alias("available_at"), "o_orderkey", "o_totalprice")
     w = W.partitionBy("entity", "period").orderBy("available_at", "o_orderkey")
     return o.select("entity", "period", (F.row_number().over(w) - 1).alias("revision"), "available_at", F.round(F.sum("o_totalprice").over(w.rowsBetween(W.unboundedPreceding, 0)) + 3e-5, 2).alias("value"))
 
@@ -28,7 +28,7 @@ def ytd(s, d):
 
 
 def shares(s, d):
-    l = table(s, d, "lineitem").groupBy((F.col("l_suppkey") % 40).alias("entity"), F.date_trunc("quarter", F.to_date("l_shipdate")).cast("date").alias("period"), F.when(F.col("l_returnflag") == "N", "A").when(F.col("l_returnflag") == "A", "B").otherwise("C").alias("part")).agg(F.sum("l_quantity").alias("q"))
+    l = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("entity"), F.date_trunc("quarter", F.to_date("l_shipdate")).cast("date").alias("period"), F.when(F.col("l_returnflag") == "N", "A").when(F.col("l_returnflag") == "A", "B").otherwise("C").alias("part")).agg(F.sum("l_quantity").alias("q"))
     return l.select("entity", "period", "part", F.round(F.col("q") / F.sum("q").over(W.partitionBy("entity", "period")) * 100 + 3e-7, 4).alias("pct"))
 
 
@@ -44,9 +44,9 @@ QUERIES = {
 }
 
 FACTS = """
-fact AS (SELECT o_custkey % 40 AS entity, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS period, CAST(row_number() OVER w - 1 AS INTEGER) AS revision, CAST(o_orderdate AS DATE) AS available_at,
-  round(sum(o_totalprice) OVER (PARTITION BY o_custkey % 40, CAST(date_trunc('quarter', o_orderdate) AS DATE) ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) + 3e-5, 2) AS value FROM orders
-  WINDOW w AS (PARTITION BY o_custkey % 40, CAST(date_trunc('quarter', o_orderdate) AS DATE) ORDER BY o_orderdate, o_orderkey)),
+fact AS (SELECT o_custkey AS entity, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS period, CAST(row_number() OVER w - 1 AS INTEGER) AS revision, CAST(o_orderdate AS DATE) AS available_at,
+  round(sum(o_totalprice) OVER (PARTITION BY o_custkey, CAST(date_trunc('quarter', o_orderdate) AS DATE) ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) + 3e-5, 2) AS value FROM orders
+  WINDOW w AS (PARTITION BY o_custkey, CAST(date_trunc('quarter', o_orderdate) AS DATE) ORDER BY o_orderdate, o_orderkey)),
 last AS (SELECT entity, period, arg_max(value, revision) AS value FROM fact GROUP BY 1, 2)
 """
 _AGO = "LEFT JOIN last {a} ON {a}.entity = l.entity AND {a}.period = l.period - INTERVAL {m} MONTH"
@@ -61,7 +61,7 @@ SELECT entity, period, value, round(CASE WHEN quarter(period) = 1 THEN value WHE
     "dom87_growth": "WITH " + FACTS + f"""SELECT l.entity, l.period, l.value, round({_PCT.format(a='l.value', b='a.value')} + 3e-10, 6) AS yoy, round({_PCT.format(a='l.value', b='q.value')} + 3e-10, 6) AS qoq,
   {_PCT.format(a='l.value', b='a.value')} > {_PCT.format(a='q.value', b='ap.value')} AS accelerating, round(l.value + q.value + t.value + h.value + 3e-10, 6) AS ttm
 FROM last l {_AGO.format(a='a', m=12)} {_AGO.format(a='q', m=3)} {_AGO.format(a='t', m=6)} {_AGO.format(a='h', m=9)} {_AGO.format(a='ap', m=15)}""",
-    "dom91_holdings": """WITH q AS (SELECT l_suppkey % 40 AS entity, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS period, CASE l_returnflag WHEN 'N' THEN 'A' WHEN 'A' THEN 'B' ELSE 'C' END AS part, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2, 3),
+    "dom91_holdings": """WITH q AS (SELECT l_suppkey AS entity, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS period, CASE l_returnflag WHEN 'N' THEN 'A' WHEN 'A' THEN 'B' ELSE 'C' END AS part, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2, 3),
 p AS (SELECT entity, period, part, round(q / sum(q) OVER (PARTITION BY entity, period) * 100 + 3e-7, 4) AS pct FROM q),
 w AS (SELECT entity, period, max(pct) FILTER (WHERE part = 'A') AS A, max(pct) FILTER (WHERE part = 'B') AS B, max(pct) FILTER (WHERE part = 'C') AS C FROM p GROUP BY 1, 2),
 c AS (SELECT *, """ + ", ".join(f"{c} - lag({c}{', 4' if k else ''}) OVER (PARTITION BY entity ORDER BY period) AS {c}_change{k}" for c in "ABC" for k in ("", "_4")) + """, row_number() OVER (PARTITION BY entity ORDER BY period DESC) AS n FROM w)

@@ -120,7 +120,7 @@ QUERIES = {
     "win19_last_change": lambda s, d: model_bars(s, d).select("instrument", "trade_date", "close", F.lag("close").over(by_day()).alias("before"), F.row_number().over(W.partitionBy("instrument").orderBy(F.desc("trade_date"))).alias("k")).where("k = 1").select("instrument", "trade_date", r6((F.col("close") / F.col("before") - 1) * 100).alias("change_pct")),
     "win17_rolling_label": lambda s, d: model_bars(s, d).withColumn("down", F.when((F.col("close") < F.col("open") * 0.998) & (F.col("volume") > F.lag("volume").over(by_day())), 1).otherwise(0)).select("instrument", "trade_date", F.sum("down").over(by_day().rowsBetween(-24, 0)).alias("n_down")),
     "scl02_hashes": lambda s, d: table(s, d, "orders").groupBy("o_custkey").agg(F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(F.concat_ws(":", F.col("o_orderkey").cast("string"), "o_orderpriority")))), 256).alias("results_hash")),
-    "scl06_arrays": lambda s, d: model_bars(s, d).groupBy("instrument").agg(F.array_sort(F.collect_list(F.struct("trade_date", "close"))).alias("b")).select("instrument", F.size("b").alias("n"), F.size(F.filter(F.zip_with(F.slice("b", 2, 100000), F.slice("b", 1, 100000), lambda a, b: a["close"] > b["close"]), lambda x: x)).alias("n_up")),
+    "scl06_arrays": lambda s, d: model_bars(s, d).groupBy("instrument").agg(F.array_sort(F.collect_list(F.struct("trade_date", "close"))).alias("b")).select("instrument", F.size("b").alias("n"), F.size(F.filter(F.zip_with(F.slice("b", 2, F.size("b")), F.col("b"), lambda a, b: a["close"] > b["close"]), lambda x: x)).alias("n_up")),
 }
 
 ORACLES = {
@@ -160,7 +160,7 @@ x AS (SELECT instrument, trade_date, n, sum(CASE WHEN close > pc THEN volume ELS
 SELECT instrument, trade_date, round(CASE WHEN n > 50 AND mv > 0 THEN CASE WHEN dn > 0 THEN u / dn WHEN u > 0 THEN 10.0 END END + 3e-10, 6) AS up_down, CAST(CASE WHEN n >= 76 THEN h END AS BIGINT) AS distribution_days FROM x""",
     "bt04_final_bars": with_(BARS) + """, f AS (SELECT instrument, trade_date, round(close, 1) AS c, CASE WHEN instrument % 5 <> 0 THEN round(CASE WHEN instrument % 3 = 0 THEN close + 1 ELSE close END, 1) END AS f FROM bars)
 SELECT CASE WHEN f IS NULL THEN 'KEPT' WHEN c = f THEN 'SAME' ELSE 'SUPERSEDED' END AS action, CASE WHEN instrument % 2 = 0 THEN 'A' ELSE 'B' END AS source, count(*) AS n FROM f GROUP BY 1, 2""",
-    "bt09_identity": """WITH c AS (SELECT DISTINCT o_custkey AS k, CAST(floor(year(o_orderdate) / 2) AS INTEGER) AS y, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_custkey <= 300),
+    "bt09_identity": """WITH c AS (SELECT DISTINCT o_custkey AS k, CAST(floor(year(o_orderdate) / 2) AS INTEGER) AS y, CAST(o_orderdate AS DATE) AS day FROM orders),
 p AS (SELECT k, y, min(day) AS valid_from FROM c GROUP BY 1, 2), q AS (SELECT *, lead(valid_from) OVER w AS valid_to, lag(y) OVER w AS before, first_value(y) OVER w AS first FROM p WINDOW w AS (PARTITION BY k ORDER BY y))
 SELECT 'ISS' || lpad(CAST(k AS VARCHAR), 6, '0') || '-' || first AS id, 'ISS' || lpad(CAST(k AS VARCHAR), 6, '0') || '-' || y AS code, valid_from, valid_to, CASE WHEN before IS NULL THEN 'FIRST' ELSE 'CODE_CHANGE' END AS reason FROM q""",
     "bt18_version_label": with_(BARS, ACTIONS) + "SELECT instrument, sha256(string_agg(CAST(ex_date AS VARCHAR) || ':' || num || ':' || den, '|' ORDER BY ex_date)) AS version, count(*) AS n FROM act GROUP BY 1",

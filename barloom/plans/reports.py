@@ -43,7 +43,7 @@ def lookahead(s, d):
 
 
 def facts_of_day(s, d):
-    """The latest restated value known on each bar's day: revisions of a customer group stand for those of an instrument. Bars without facts have nulls."""
+    """The latest restated value known on each bar's day: revisions of a customer stand for those of the instrument with its number. Bars without facts have nulls."""
     f = facts(s, d).groupBy("entity", F.col("available_at").alias("known_on")).agg(F.max_by("value", F.struct("period", "revision")).alias("value"))
     bars = model_bars(s, d).select(F.col("instrument").alias("entity"), "trade_date")
     return asof.backward(bars, f, ["entity"], "trade_date", "known_on", ["value"])
@@ -144,7 +144,7 @@ SELECT period, count(*) AS trades, round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 E
   round(avg(r) FILTER (WHERE r <= 0) + 3e-10, 6) AS avg_loss, round(sum(r) FILTER (WHERE r > 0) / nullif(-sum(r) FILTER (WHERE r <= 0), 0) + 3e-10, 6) AS profit_factor, round(avg(h) + 3e-10, 6) AS avg_hold_days FROM t GROUP BY 1""",
     "dom63_lookahead": with_(BARS) + "SELECT count(*) AS n_rows, 0 AS only_whole, 0 AS only_short FROM bars WHERE trade_date <= DATE '1997-06-30'",
     "dom69_facts_of_day": with_(BARS) + ", " + FACTS.strip() + """, k AS (SELECT entity, available_at AS known_on, arg_max(value, (period, revision)) AS value FROM fact GROUP BY 1, 2),
-m AS (SELECT b.instrument, b.trade_date, max(known_on) AS matched_known_on FROM bars b LEFT JOIN k ON k.entity = b.instrument AND known_on <= b.trade_date WHERE b.instrument < 40 GROUP BY 1, 2)
+m AS (SELECT b.instrument, b.trade_date, max(known_on) AS matched_known_on FROM bars b LEFT JOIN k ON k.entity = b.instrument AND known_on <= b.trade_date GROUP BY 1, 2)
 SELECT m.instrument AS entity, m.trade_date, m.matched_known_on, k.value FROM m LEFT JOIN k ON k.entity = m.instrument AND k.known_on = m.matched_known_on""",
     "dom94_activity": with_(BARS, FEATURES, STRENGTH, TREND, WEEKLY, STAGE, ACTIONS) + """, p AS (SELECT instrument, trade_date, status, lag(status) OVER (PARTITION BY instrument ORDER BY trade_date) AS before FROM status), g AS (SELECT instrument, trade_date, stage, lag(stage) OVER (PARTITION BY instrument ORDER BY trade_date) AS before FROM stage)
 SELECT instrument, trade_date AS day, CASE WHEN status = 'PASS' THEN 'ENTERED_SCREEN' ELSE 'LEFT_SCREEN' END AS event FROM p WHERE (status = 'PASS') <> (before = 'PASS')

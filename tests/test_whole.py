@@ -55,8 +55,10 @@ def test_every_bar_has_its_row_of_facts(spark):
     got = QUERIES["dom69_facts_of_day"](spark, DIR)
     bars = model_bars(spark, DIR).selectExpr("instrument AS entity", "trade_date")
     assert got.select("entity", "trade_date").exceptAll(bars).isEmpty() and bars.exceptAll(got.select("entity", "trade_date")).isEmpty()
-    assert not got.where("entity < 40 AND value IS NOT NULL").isEmpty()
-    assert not got.where("entity >= 40").isEmpty() and got.where("entity >= 40 AND value IS NOT NULL").isEmpty()
+    assert not got.where("entity < 40 AND value IS NOT NULL").isEmpty() and not got.where("entity >= 40 AND value IS NOT NULL").isEmpty()
+    first = duckdb.sql(f"SELECT o_custkey, CAST(min(o_orderdate) AS DATE) FROM '{DIR}/orders.parquet' GROUP BY 1").fetchall()
+    first = spark.createDataFrame(first, "entity long, first date")
+    assert got.where("value IS NULL").join(first, "entity").where("first <= trade_date").isEmpty()
 
 
 def test_a_portfolio_gets_no_more_trades_of_a_day_than_slots(spark):
