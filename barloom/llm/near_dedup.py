@@ -128,26 +128,27 @@ def set_name(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(node, s): the full shingle sets, as bytes of ascending hashes, of wanted(node, doc_id, s1, s2): the set that s1 and s2 name among the texts of doc_id; one row a node."""
+    """(node, s1, s): the full shingle sets, as bytes of ascending hashes, of wanted(node, s1, s2): those sets that s1 and s2 name among the texts of doc_id node; one row each, however often docs has its row."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
         for batch in batches:
-            nodes, sets = [], []
+            nodes, names, sets = [], [], []
             for node, text, *name in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 got = shingler.set_of(text.as_buffer().to_pybytes() if text.is_valid else None)
                 if set_name(got) == tuple(name):
                     nodes.append(node)
+                    names.append(name[0])
                     sets.append(got.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["node", "s1", "s"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    rows = rows.join(wanted, "doc_id").select("node", "text", "s1", "s2")
-    return stored(rows.mapInArrow(expand, "node long, s binary").dropDuplicates(["node"]), "shingle-sets")
+    rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text"))
+    rows = rows.join(wanted, "node").select("node", "text", "s1", "s2")
+    return stored(rows.mapInArrow(expand, "node long, s1 long, s binary").dropDuplicates(["node", "s1"]), "shingle-sets")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs(a, b) whose full sets have 100 * intersection >= percent * union."""
+    """Those of pairs(a, b) of which full sets have 100 * intersection >= percent * union; once for each such pair of their sets."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,12 +206,13 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             each = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column(1)]
             n = np.array([len(x) for x in each], np.int64)
-            nodes = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), n)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(each) if each else np.zeros(0, np.int64))], names=["node", "shingle"])
+            owner = [pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n)) for c in (0, 2)]
+            yield pa.RecordBatch.from_arrays([*owner, pa.array(np.concatenate(each) if each else np.zeros(0, np.int64))], names=["node", "s1", "shingle"])
 
-    tokens = stored(sets.join(nodes.select("node"), "node", "left_semi").mapInArrow(spread, "node long, shingle long"), "shingles")
+    chosen = sets.join(nodes.select("node"), "node", "left_semi").select("node", "s", "s1")
+    tokens = stored(chosen.mapInArrow(spread, "node long, s1 long, shingle long"), "shingles")
     df = stored(tokens.groupBy("shingle").agg(F.count("*").alias("df")), "shingle-counts")
-    lists = tokens.join(df, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    lists = tokens.join(df, "shingle").groupBy("node", "s1").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
     n = F.size("s")
     head = F.transform(F.slice("s", 1, n - F.ceil(n * percent / 100).cast("int") + 1), lambda t: t["shingle"])
     heads = stored(lists.select("node", n.alias("n"), head.alias("head")).join(nodes, "node").withColumn("band", size_band(F.col("n"))), "prefixes")
@@ -238,13 +240,12 @@ def near_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFr
     """
     known = sketches(docs, shingle)
     live = known.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    # Equal sets are one class, a node of the graph, read from the text of its least doc_id.
-    classes = live.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")).withColumn("node", F.monotonically_increasing_id())
-    classes = stored(classes, "classes")
-    heads = live.select("doc_id", "s1", "s2", "keys").join(classes.select("node", "doc_id", "s1", "s2"), ["doc_id", "s1", "s2"]).select("node", F.explode("keys").alias("key"))
+    # Equal sets are one class, for which its least doc_id stands. A doc_id of several texts may stand for several classes: it is one node.
+    classes = stored(live.groupBy("s1", "s2").agg(F.min("doc_id").alias("node")), "classes")
+    heads = live.select(F.col("doc_id").alias("node"), "s1", "s2", "keys").join(classes, ["node", "s1", "s2"]).select("node", F.explode("keys").alias("key"))
     shared = heads.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("other")).where(F.col("centre") != F.col("other")).select("key", "centre")
     members = stored(heads.join(stored(shared, "shared-keys"), "key").select("key", "node", "centre"), "buckets")
-    sets = full_sets(docs, classes.join(members.select("node").distinct(), "node").select("node", "doc_id", "s1", "s2"), shingle)
+    sets = full_sets(docs, classes.join(members.select("node").distinct(), "node").select("node", "s1", "s2"), shingle)
 
     # Stars around each bucket's least node.
     tried = stored(pairs_of(members.select(F.col("centre").alias("x"), F.col("node").alias("y"))), "pairs")
@@ -265,14 +266,12 @@ def near_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFr
     links = links.unionByName(confirm(last, sets, percent))
 
     # A doc_id of several sets links their classes.
-    ids = stored(live.join(classes.select("node", "s1", "s2"), ["s1", "s2"]).select("doc_id", "node").distinct(), "members")
-    several = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("top")).where(F.col("a") != F.col("top")).select("doc_id", "a")
-    same = ids.join(several, "doc_id").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b"))
+    several = live.groupBy("doc_id").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where(F.col("lo") != F.col("hi")).select("doc_id")
+    same = live.join(several, "doc_id").join(classes, ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     comps = components(stored(links.unionByName(same), "confirmed"))
-    named = stored(ids.join(comps, "node", "left").select("doc_id", F.coalesce("component", "node").alias("comp")).distinct(), "named")
-    least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = known.select("doc_id", "n_shingles").join(named.join(least, "comp").select("doc_id", "component_id"), "doc_id", "left")
-    comp = F.coalesce("component_id", "doc_id")
+    named = classes.join(comps, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component_id"))
+    out = known.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
+    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
 

@@ -352,7 +352,7 @@ def test_near_dedup_of_repeated_rows(spark):
     rows_ = list(enumerate(out))
     df = spark.createDataFrame(rows_, "doc_id long, text string")
     twice = df.unionAll(df)
-    wanted = near_dedup.sketches(df, 3).select(F.col("doc_id").alias("node"), "doc_id", "s1", "s2")
+    wanted = near_dedup.sketches(df, 3).select(F.col("doc_id").alias("node"), "s1", "s2")
     assert sorted(r.node for r in near_dedup.full_sets(twice, wanted, 3).collect()) == [i for i, _ in rows_]
     assert rows(near_dedup.near_classes(twice, 3, 85).distinct()) == sorted(near_brute(rows_, 3, 85), key=repr)
 
@@ -366,9 +366,9 @@ def test_near_dedup_edges(docs, none):
 
 def test_near_dedup_of_shared_ids(spark):
     """A document of two texts is linked with all that either is linked with."""
-    rows_ = [(1, "x y z"), (1, "p q r"), (2, "p q r"), (3, "x y z"), (4, "k l m"), (5, "k l m"), (5, "p q r s t"), (6, "p q r s t"), (7, "n o")]
+    rows_ = [(1, "x y z"), (1, "p q r"), (2, "p q r"), (3, "x y z"), (4, "k l m"), (5, "k l m"), (5, "p q r s t"), (6, "p q r s t"), (7, "n o"), (8, "a b c"), (8, "d e f"), (9, "d e f"), (10, "a b c")]
     got = near_dedup.near_classes(spark.createDataFrame(rows_, "doc_id long, text string"), 3, 85)
-    want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 7}
+    want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 7, 8: 8, 9: 8, 10: 8}
     assert sorted((r.doc_id, r.component_id, r.kept) for r in got.collect()) == sorted((i, want[i], want[i] == i) for i, _ in rows_)
 
 
@@ -381,7 +381,7 @@ def test_template_pages_don_t_meet_on_their_template(spark):
         own = [f"p{page}_{i}" for i in range(22)]
         sets[page] = sorted({hash(w) & (2**63 - 1) for w in template[: 200 - rng.randint(0, 8)] + own})
     sets[100] = sets[3][:-4]
-    df = spark.createDataFrame([(k, np.array(v, np.int64).tobytes()) for k, v in sets.items()], "node long, s binary")
+    df = spark.createDataFrame([(k, k, np.array(v, np.int64).tobytes()) for k, v in sets.items()], "node long, s1 long, s binary")
     nodes = spark.createDataFrame([(k, k, True) for k in sets], "node long, comp long, probe boolean")
     got = [tuple(r) for r in near_dedup.prefix_pairs(nodes, df, 85).collect()]
     full = {k: set(v) for k, v in sets.items()}
@@ -398,7 +398,7 @@ def test_prefix_filter_loses_no_link(spark, percent):
         for _ in range(12):
             v = [x if rng.random() > 0.08 else rng.randrange(50) for x in base][: max(1, len(base) - rng.randint(0, len(base) // 8))]
             sets[len(sets)] = set(v)
-    df = spark.createDataFrame([(k, np.array(sorted(v), np.int64).tobytes()) for k, v in sets.items()], "node long, s binary")
+    df = spark.createDataFrame([(k, k, np.array(sorted(v), np.int64).tobytes()) for k, v in sets.items()], "node long, s1 long, s binary")
     nodes = spark.createDataFrame([(k, k, True) for k in sets], "node long, comp long, probe boolean")
     got = {tuple(r) for r in near_dedup.prefix_pairs(nodes, df, percent).collect()}
     want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
