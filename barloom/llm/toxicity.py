@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.shared import held_out, label_sample
+from barloom.llm.shared import held_out, label_sample, stored
 
 #: Words of the closed classes, in the languages at hand.
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting")
@@ -184,7 +184,7 @@ def induce(sample: DataFrame, support: int = 6, least: float = 1.6) -> dict[str,
     n0, n1 = max(1, sizes.get(0, 0)), max(1, sizes.get(1, 0))
     support = max(support, n1 // 100)
     rows = once.select("text", "y").mapInArrow(distinct, "words array<string>, y int").withColumn("row", F.monotonically_increasing_id())
-    seen = rows.select("row", "y", F.explode("words").alias("word")).persist()
+    seen = stored(rows.select("row", "y", F.explode("words").alias("word")), "sample-words")
     chosen: dict[str, float] = {}
     for n in (None, *sorted(STEMS, reverse=True)):
         free = seen.where(~F.col("word").isin(*[e for e in chosen if not e.endswith("*")]))
@@ -196,7 +196,6 @@ def induce(sample: DataFrame, support: int = 6, least: float = 1.6) -> dict[str,
         counts = held.groupBy("entry").agg(F.count_if(F.col("y") == 1).alias("k1"), F.count_if(F.col("y") == 0).alias("k0")).where(F.col("k1") >= support)
         weights = {r.entry: favour(r.k1, r.k0, n1, n0) for r in counts.collect()}
         chosen |= {e: min(4.0, w) for e, w in weights.items() if w >= least}
-    seen.unpersist()
     return chosen
 
 
@@ -211,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Model:
                 least.append(min((xxhash.xxh3_64_intdigest(b" ".join(w[i : i + 5])) for i in range(max(1, len(w) - 4))), default=0) >> 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(least, pa.int64())], names=["text", "y", "sketch"])
 
-    sample = label_sample(docs, labels, "toxic", per_class).select("text", "y").mapInArrow(sketch, "text string, y int, sketch long").persist()
+    sample = stored(label_sample(docs, labels, "toxic", per_class).select("text", "y").mapInArrow(sketch, "text string, y int, sketch long"), "label-sample")
     model = Model(dict.fromkeys(INSULTS, 2.0))
     model.entries |= induce(sample)
     shared = sample.sparkSession.sparkContext.broadcast(model)
@@ -222,7 +221,6 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([reader.read(t or "").tolist() for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
     rows = sample.select("text", "y").mapInArrow(marks, "x array<double>, y int").collect()
-    sample.unpersist()
     x, y = np.array([r.x for r in rows]).reshape(len(rows), 16), np.array([r.y for r in rows], float)
     if len(set(y.tolist())) == 2:
         fit(model, x, y)
