@@ -35,11 +35,13 @@ PARTS = {
 LABELS = [("Strong", 80, "full"), ("Constructive", 65, "full"), ("Mixed", 50, "half"), ("Weak", 35, "none"), ("Adverse", 0, "none")]
 LEADER_RANK, DAY_MOVE, NEAR_GAP, HORIZONS, MIN_SECTORS = 80, 0.002, 0.05, (21, 63, 126), 5
 
-DAYS = W.orderBy("trade_date")
+def days() -> W:
+    """All days in order; one row each, so a window without a partition key bears it."""
+    return W.orderBy("trade_date")
 
 
 def last(n: int) -> W:
-    return DAYS.rowsBetween(-(n - 1), 0)
+    return days().rowsBetween(-(n - 1), 0)
 
 
 def whole(agg: Column, what: Column, n: int) -> Column:
@@ -69,9 +71,9 @@ def day_counts(panel: DataFrame) -> DataFrame:
 def sectors_up(panel: DataFrame, sectors: DataFrame) -> DataFrame:
     """(trade_date, sectors_up): share of equal-weight sector lines above their 50-day mean with a positive return, averaged over horizons; null below MIN_SECTORS."""
     w = W.partitionBy("sector").orderBy("trade_date")
-    days = panel.join(sectors, "instrument").groupBy("sector", "trade_date").agg(F.avg("daily_return").alias("r"))
+    lines = panel.join(sectors, "instrument").groupBy("sector", "trade_date").agg(F.avg("daily_return").alias("r"))
     line = F.exp(F.sum(F.coalesce(F.log1p("r"), F.lit(0.0))).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    rows = days.select("sector", "trade_date", line.alias("line"))
+    rows = lines.select("sector", "trade_date", line.alias("line"))
     fifty = w.rowsBetween(-49, 0)
     rows = rows.withColumn("mean", F.when(F.count("line").over(fifty) == 50, F.avg("line").over(fifty)))
     rows = rows.select("trade_date", "line", "mean", *[F.lag("line", h).over(w).alias(f"then_{h}") for h in HORIZONS])
@@ -82,9 +84,9 @@ def sectors_up(panel: DataFrame, sectors: DataFrame) -> DataFrame:
     return out.select("trade_date", (shares / len(HORIZONS)).alias("sectors_up"))
 
 
-def judged_breakouts(breakouts: DataFrame, days: DataFrame, judge: int = 10, window: int = 20) -> DataFrame:
+def judged_breakouts(breakouts: DataFrame, sessions: DataFrame, judge: int = 10, window: int = 20) -> DataFrame:
     """(trade_date, judged, success, held, failure, median_return): breakouts whose verdict fell in the last `window` sessions; each counts on so many days."""
-    numbered = days.select("trade_date", F.row_number().over(DAYS).alias("session"))
+    numbered = sessions.select("trade_date", F.row_number().over(days()).alias("session"))
     at = breakouts.join(numbered, "trade_date").select("*", F.explode(F.sequence(F.col("session") + judge, F.col("session") + (judge + window - 1))).alias("on")).drop("trade_date", "session")
     share = lambda c: F.avg(F.when(F.col(c), 100.0).otherwise(0.0))
     seen = at.groupBy("on").agg(F.count("*").alias("judged"), share("success").alias("success"), share("held").alias("held"), share("failed").alias("failure"), ((F.median("ret_5") + F.median("ret_judged")) / 2).alias("median_return"))
@@ -95,21 +97,21 @@ def readings(counts: DataFrame, sectors: DataFrame, judged: DataFrame, min_unive
     """One row per day with every reading of the pillars and caps; counts(day_counts), sectors(sectors_up), judged(judged_breakouts)."""
     big = F.col("n") >= min_universe
     x = counts.join(sectors, "trade_date", "left").join(judged, "trade_date", "left").withColumn("big", big)
-    upto = DAYS.rowsBetween(W.unboundedPreceding, 0)
+    upto = days().rowsBetween(W.unboundedPreceding, 0)
     x = x.select(
         "*", F.exp(F.sum(F.when(big, F.coalesce(F.log1p("own_return"), F.lit(0.0))).otherwise(0.0)).over(upto)).alias("own"), F.exp(F.sum(F.coalesce(F.log1p("index_return"), F.lit(0.0))).over(upto)).alias("index"),
         F.sum(F.col("up") - F.col("down")).over(upto).alias("ad_line"), F.when(big, ratio(F.col("above_50"), F.col("n_50")) * 100).alias("pct_above_50"),
-        *[F.when(big, F.col(c) / F.col("n") * 100).alias(f"{c}_pct") for c in ("hi_20", "hi_52", "lo_52")], F.row_number().over(DAYS).alias("session"),
-        *[(F.col(f"{k}_volume") > F.lag(f"{k}_volume").over(DAYS)).alias(f"{k}_heavier") for k in ("own", "index")], (F.lag("big").over(DAYS) & big).alias("both_big"),
+        *[F.when(big, F.col(c) / F.col("n") * 100).alias(f"{c}_pct") for c in ("hi_20", "hi_52", "lo_52")], F.row_number().over(days()).alias("session"),
+        *[(F.col(f"{k}_volume") > F.lag(f"{k}_volume").over(days())).alias(f"{k}_heavier") for k in ("own", "index")], (F.lag("big").over(days()) & big).alias("both_big"),
     )
-    step = F.col("index") / F.lag("index").over(DAYS) - 1
+    step = F.col("index") / F.lag("index").over(days()) - 1
     x = x.select(
         "*", F.when(F.col("index_heavier") & (step <= -DAY_MOVE), 1).otherwise(0).alias("index_dist"), F.when(F.col("index_heavier") & (step >= DAY_MOVE), 1).otherwise(0).alias("index_acc"),
         F.when(F.col("own_heavier") & F.col("both_big") & (F.coalesce("own_return", F.lit(0.0)) <= -DAY_MOVE), 1).otherwise(0).alias("own_dist"),
         *[whole(F.avg("index"), F.col("index"), k).alias(f"index_{k}") for k in (50, 150, 200)], F.max("index").over(last(252)).alias("index_high"), F.min("ad_line").over(last(252)).alias("ad_low"), F.max("ad_line").over(last(252)).alias("ad_high"),
     )
     total = lambda c, k: F.sum(c).over(last(k))
-    ago = lambda c, k: F.lag(c, k).over(DAYS)
+    ago = lambda c, k: F.lag(c, k).over(days())
     enough = F.col("session") > 25
     acc, dist = F.when(enough, total("index_acc", 25)), F.when(enough, total("index_dist", 25))
     own_dist = F.when(enough & (F.count_if("big").over(last(26)) == 26), total("own_dist", 25))
@@ -144,8 +146,8 @@ def thrust(sessions: int = 10) -> list[Column]:
 
 def thrust_days(rows: DataFrame, sessions: int = 10, low: float = 40.0, high: float = 61.5) -> DataFrame:
     """Adds thrust: the day on which thrust_ratio first stands above high with a reading below low in the sessions before."""
-    before = F.lag("thrust_ratio").over(DAYS)
-    fell = F.min("thrust_ratio").over(DAYS.rowsBetween(-sessions, -1)) < low
+    before = F.lag("thrust_ratio").over(days())
+    fell = F.min("thrust_ratio").over(days().rowsBetween(-sessions, -1)) < low
     return rows.withColumn("thrust", F.coalesce((F.col("thrust_ratio") > high) & (before.isNull() | (before <= high)) & fell, F.lit(False)))
 
 
