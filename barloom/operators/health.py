@@ -140,7 +140,7 @@ def readings(counts: DataFrame, sectors: DataFrame, judged: DataFrame, min_unive
 
 def thrust(sessions: int = 10) -> list[Column]:
     """The mean share of advances over `sessions` days; see thrust_days for the event."""
-    share = ratio(F.col("up"), F.col("up") + F.col("down")) * 100
+    share = ratio(F.col("up") * 100.0, F.col("up") + F.col("down"))
     return [whole(F.avg(share), share, sessions).alias("thrust_ratio")]
 
 
