@@ -26,6 +26,20 @@ def cumulative(actions: DataFrame) -> DataFrame:
     return per_day.select("instrument", "ex_date", F.exp(F.sum(F.log("factor")).over(w)).alias("cumulative"))
 
 
+def replace_sets(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(instrument, ex_date, num, den, state): an instrument's factors are replaced as a set, and only if the set's key changed.
+
+    The key is a hash of the ordered ratios. An unchanged set is KEPT as it is; of a changed one all old rows are CLOSED and all
+    new ones OPENED. An instrument without new rows loses its set. Repeated rows count once.
+    """
+    text = F.concat_ws(":", "ex_date", "num", "den")
+    keyed = lambda rows, name: rows.groupBy("instrument").agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_set(text))), 256).alias(name))
+    changed = keyed(old, "a").join(keyed(new, "b"), "instrument", "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("instrument", F.lit(True).alias("changed"))
+    cols = ["instrument", "ex_date", "num", "den"]
+    was = old.select(*cols).distinct().join(changed, "instrument", "left").select(*cols, F.when(F.col("changed"), "CLOSED").otherwise("KEPT").alias("state"))
+    return was.unionByName(new.select(*cols).distinct().join(changed, "instrument").select(*cols, F.lit("OPENED").alias("state")))
+
+
 def adjust(raw: DataFrame, actions: DataFrame) -> DataFrame:
     """Adjusted bars: prices times the cumulative factor of the first ex-date after the bar, volume divided by it; null volume stays null."""
     found = asof.forward(raw, cumulative(actions), ["instrument"], "trade_date", "ex_date", ["cumulative"])

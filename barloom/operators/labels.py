@@ -97,3 +97,9 @@ def information_coefficient(rows: DataFrame, score: str, outcome: str, by: str,
     ranked = rows.select(by, average_rank(F.col(score), by).alias("a"), average_rank(F.col(outcome), by).alias("b"))
     out = ranked.groupBy(by).agg(F.count("*").alias("n"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb"), (F.avg(F.col("a") * F.col("b")) - F.avg("a") * F.avg("b")).alias("cov"))
     return out.where((F.col("n") >= least) & (F.col("sa") > 0) & (F.col("sb") > 0)).select(by, "n", (F.col("cov") / (F.col("sa") * F.col("sb"))).alias("ic"))
+
+
+def ic_summary(ics: DataFrame) -> DataFrame:
+    """One row over all dates: how many, the mean, and its t statistic (null for one date, or if all are the same)."""
+    sd = F.stddev_samp("ic")
+    return ics.agg(F.count("ic").alias("dates"), F.avg("ic").alias("mean_ic"), F.when(sd > 0, F.avg("ic") / sd * F.sqrt(F.count("ic"))).alias("t_stat"))

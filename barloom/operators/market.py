@@ -75,6 +75,15 @@ def regimes(days: DataFrame, min_share: float = 0.4, min_members: int = 50, wind
     return rows.select("trade_date", "index", mean.alias("index_mean"), on.alias("breadth_on"), F.coalesce(F.col("index") > mean, F.lit(False)).alias("index_on"))
 
 
+def long_uptrend(days: DataFrame, run: int = 21) -> DataFrame:
+    """(trade_date, long_uptrend): whether the index stood above its mean on each of the `run` sessions before the day.
+
+    days: regimes(). Only sessions before the day are read; too short a history is no uptrend.
+    """
+    before = W.orderBy("trade_date").rowsBetween(-run, -1)
+    return days.select("trade_date", (F.sum(F.col("index_on").cast("int")).over(before) == run).alias("hit")).select("trade_date", F.coalesce("hit", F.lit(False)).alias("long_uptrend"))
+
+
 def rotation(bars: DataFrame, sectors: DataFrame) -> DataFrame:
     """Per sector and week: ratio of the sector's mean close change to the market's, against its 10-week mean; 4-week momentum; quadrant.
 

@@ -123,7 +123,7 @@ QUERIES = {
     "dom70_panel": lambda s, d: pan(s, d).select("instrument", "trade_date", "eligible", "level", "level_before", "close_5", "close_judged", "low_hold", "low_judged", "n_after", "status"),
     "agg02_breadth": lambda s, d: rounded(market.breadth(pan(s, d)), "mean_return"),
     "dom71_breakouts": lambda s, d: rounded(market.breakouts(pan(s, d)), "ret_5", "ret_judged"),
-    "dom59_regimes": lambda s, d: rounded(market.regimes(market.breadth(pan(s, d)), min_members=10).drop("index_on"), "index", "index_mean"),
+    "dom59_regimes": lambda s, d: rounded(market.regimes(market.breadth(pan(s, d)), min_members=10), "index", "index_mean"),
     "dom73_readings": lambda s, d: rounded(health.thrust_days(day_readings(s, d)), *READ),
     "dom74_health": lambda s, d: rounded(health.score(day_readings(s, d), min_judged=3, cap_judged=2), *health.PILLARS, "raw"),
     "dom76_rotation": lambda s, d: rounded(market.rotation(model_bars(s, d), sectors(s, d)), "line", "ratio", "momentum"),
@@ -236,7 +236,7 @@ ORACLES = {
   WHERE status = 'PASS' AND level <= level_before AND close > level AND volume_before > 0 AND volume >= 1.4 * volume_before AND n_after = 10""",
     "dom59_regimes": with_(*ALL) + """, ix AS (SELECT trade_date, n_50, above_50, exp(sum(coalesce(ln(1 + mean_return), 0)) OVER (ORDER BY trade_date)) AS index FROM days),
 m AS (SELECT *, CASE WHEN count(*) OVER w = 50 THEN avg(index) OVER w END AS index_mean FROM ix WINDOW w AS (ORDER BY trade_date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))
-SELECT trade_date, round(index + 3e-10, 6) AS index, round(index_mean + 3e-10, 6) AS index_mean, n_50 >= 10 AND coalesce(above_50 / nullif(n_50, 0) >= 0.4, false) AS breadth_on FROM m""",
+SELECT trade_date, round(index + 3e-10, 6) AS index, round(index_mean + 3e-10, 6) AS index_mean, n_50 >= 10 AND coalesce(above_50 / nullif(n_50, 0) >= 0.4, false) AS breadth_on, coalesce(index > index_mean, false) AS index_on FROM m""",
     "dom73_readings": READINGS + "SELECT trade_date, n, big, " + sql6(*READ) + """, passes, passes_then, judged,
   coalesce(thrust_ratio > 61.5 AND coalesce(lag(thrust_ratio) OVER (ORDER BY trade_date), 0) <= 61.5 AND min(thrust_ratio) OVER (ORDER BY trade_date ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) < 40, false) AS thrust FROM rd""",
     "dom74_health": READINGS + HEALTH,
