@@ -44,10 +44,10 @@ def survivorship(s, d):
 
 
 def factor_sets(s, d):
-    """The factors known at the middle of 1996 against those at the end of 1997, with the ratios of some instruments corrected."""
+    """The factors known at the middle of 1997 against those at the end of 1998, with the ratios of some instruments corrected."""
     a = actions(model_bars(s, d)).select("instrument", "ex_date", "num", "den")
     fixed = F.when(F.col("instrument") % 10 == 4, F.col("num") + 1).otherwise(F.col("num"))
-    return adjust.replace_sets(a.where("ex_date <= DATE '1996-06-30' AND instrument % 10 <> 3"), a.where("ex_date <= DATE '1997-12-31' AND instrument % 10 <> 6 AND (instrument % 2 = 0 OR ex_date <= DATE '1996-06-30')").withColumn("num", fixed))
+    return adjust.replace_sets(a.where("ex_date <= DATE '1997-06-30' AND instrument % 10 <> 3"), a.where("ex_date <= DATE '1998-12-31' AND instrument % 10 <> 6 AND (instrument % 2 = 0 OR ex_date <= DATE '1997-06-30')").withColumn("num", fixed))
 
 
 def uptrend(s, d):
@@ -92,8 +92,8 @@ e AS (SELECT as_of, (SELECT count(*) FROM st WHERE day <= as_of) AS ever, 365 -
 r AS (SELECT as_of, CASE WHEN ever > 0 THEN missing END AS missing_days, concat_ws('; ', CASE WHEN ever = 0 THEN 'no price files' WHEN missing > 0 THEN missing || ' days without a price file' END,
   CASE WHEN a IS NULL THEN 'ASM never collected' WHEN a > as_of THEN 'ASM starts ' || a WHEN NOT ia THEN 'ASM not collected' END, CASE WHEN g IS NULL THEN 'GSM never collected' WHEN g > as_of THEN 'GSM starts ' || g WHEN NOT ig THEN 'GSM not collected' END) AS reasons FROM e)
 SELECT as_of, missing_days, CASE WHEN missing_days IS NOT NULL AND reasons = '' THEN 'COMPLETE' ELSE 'PARTIAL' END AS status, reasons FROM r""",
-    "bt11_factor_sets": with_(BARS, ACTIONS) + """, o AS (SELECT instrument, ex_date, num, den FROM act WHERE ex_date <= DATE '1996-06-30' AND instrument % 10 <> 3),
-n AS (SELECT instrument, ex_date, num + CASE WHEN instrument % 10 = 4 THEN 1 ELSE 0 END AS num, den FROM act WHERE ex_date <= DATE '1997-12-31' AND instrument % 10 <> 6 AND (instrument % 2 = 0 OR ex_date <= DATE '1996-06-30')),
+    "bt11_factor_sets": with_(BARS, ACTIONS) + """, o AS (SELECT instrument, ex_date, num, den FROM act WHERE ex_date <= DATE '1997-06-30' AND instrument % 10 <> 3),
+n AS (SELECT instrument, ex_date, num + CASE WHEN instrument % 10 = 4 THEN 1 ELSE 0 END AS num, den FROM act WHERE ex_date <= DATE '1998-12-31' AND instrument % 10 <> 6 AND (instrument % 2 = 0 OR ex_date <= DATE '1997-06-30')),
 x AS (SELECT instrument FROM ((SELECT * FROM o EXCEPT SELECT * FROM n) UNION ALL (SELECT * FROM n EXCEPT SELECT * FROM o)))
 SELECT *, CASE WHEN instrument IN (FROM x) THEN 'CLOSED' ELSE 'KEPT' END AS state FROM o UNION ALL SELECT *, 'OPENED' FROM n WHERE instrument IN (FROM x)""",
     "dom67_long_uptrend": with_(*ALL) + """, ix AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS i, exp(sum(coalesce(ln(1 + mean_return), 0)) OVER (ORDER BY trade_date)) AS index FROM days),
