@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import chat_format, decontaminate, exact_dedup, line_dedup, near_dedup, pieces, pii, quality, ranked_search, token_files, toxicity
+from barloom.llm import chat_format, decontaminate, exact_dedup, line_dedup, near_dedup, periodic_runs, pieces, pii, quality, ranked_search, token_files, toxicity
 from barloom.llm.shared import documents
 
 
@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": lambda s, d: near_dedup.op8(documents(s, d)),
     "op9_exact_dedup": lambda s, d: exact_dedup.op9(documents(s, d)),
     "op10_pii": lambda s, d: pii.op10(documents(s, d)),
+    "op11_periodic_runs": lambda s, d: periodic_runs.op11(documents(s, d)),
     "op12_ranked_search": lambda s, d: ranked_search.op12(documents(s, d), table(s, d, "benchmark")),
 }
 
@@ -35,5 +36,6 @@ SQL: dict[str, str] = {
     "op3_chat_format": chat_format.SQL,
     "op8_near_dedup": near_dedup.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
+    "op11_periodic_runs": lambda s, d: periodic_runs.op11(documents(s, d)),
     "op12_ranked_search": ranked_search.SQL,
 }
