@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import chat_format, decontaminate, exact_dedup, line_dedup, near_dedup, periodic_runs, pieces, pii, quality, ranked_search, token_files, toxicity
+from barloom.llm import chat_format, decontaminate, exact_dedup, line_dedup, near_dedup, periodic_runs, pieces, pii, quality, ranked_search, suffix_dedup, token_files, toxicity
 from barloom.llm.shared import documents
 
 
@@ -28,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": lambda s, d: pii.op10(documents(s, d)),
     "op11_periodic_runs": lambda s, d: periodic_runs.op11(documents(s, d)),
     "op12_ranked_search": lambda s, d: ranked_search.op12(documents(s, d), table(s, d, "benchmark")),
+    "op13_suffix_dedup": lambda s, d: suffix_dedup.op13(documents(s, d)),
 }
 
 SQL: dict[str, str] = {
