@@ -25,7 +25,15 @@ CHUNK = 65_536
 MOST = 65_535
 #: Alphabets up to this size get one bucket a symbol.
 NARROW = 1_024
-TUPLE = np.dtype([("symbol", "<u4"), ("place", "<i8"), ("lcp", "<u2")])
+
+
+def tuples(n: int) -> np.dtype:
+    """A queue's tuple for a text of n symbols."""
+    return np.dtype([("symbol", "<u4"), ("place", place_type(n)), ("lcp", "<u2")])
+
+
+def place_type(n: int) -> str:
+    return "<u4" if n < 1 << 32 else "<i8"
 
 
 class Column:
@@ -47,7 +55,8 @@ class Column:
 class Queue:
     """A priority queue on disk: tuples in buckets, first in, first out; all go to a file when there are more than budget."""
 
-    def __init__(self, path: str, n_buckets: int, budget: int):
+    def __init__(self, path: str, n_buckets: int, budget: int, kind: np.dtype):
+        self.kind = kind
         self.file = open(path, "w+b")  # noqa: SIM115
         self.budget, self.held = budget, 0
         self.memory: list[list[np.ndarray]] = [[] for _ in range(n_buckets)]
@@ -76,8 +85,8 @@ class Queue:
         self.held -= sum(map(len, parts))
         for at, n in places:
             for k in range(0, n, CHUNK):
-                self.file.seek(at + k * TUPLE.itemsize)
-                yield np.frombuffer(self.file.read(min(CHUNK, n - k) * TUPLE.itemsize), TUPLE)
+                self.file.seek(at + k * self.kind.itemsize)
+                yield np.frombuffer(self.file.read(min(CHUNK, n - k) * self.kind.itemsize), self.kind)
         if parts:
             rows = np.concatenate(parts)
             for k in range(0, len(rows), CHUNK):
@@ -134,7 +143,8 @@ class Sweep:
         self.text, self.flip, self.k = text, flip, len(counts)
         self.first = buckets_of(counts[::-1] if flip else counts, budget)
         self.bucket = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
-        self.queue = Queue(os.path.join(scratch, f"queue-{flip}"), len(self.first) - 1, budget)
+        self.kind = tuples(len(text))
+        self.queue = Queue(os.path.join(scratch, f"queue-{flip}"), len(self.first) - 1, budget, self.kind)
         #: The least common prefix met since a symbol last came in.
         self.since = np.full(self.k, MOST, np.uint16)
 
@@ -161,7 +171,7 @@ class Sweep:
         last = np.append(new[1:], True)
         np.minimum(self.since, lowest, out=self.since)
         self.since[keys[last]] = after[i[last] + 1]
-        rows = np.empty(len(i), TUPLE)
+        rows = np.empty(len(i), self.kind)
         rows["symbol"], rows["place"], rows["lcp"] = keys, place[i] - 1, np.minimum(got + 1, MOST)
         n_here = int(np.searchsorted(keys, upto))
         if n_here < len(rows):
@@ -190,10 +200,11 @@ class Sweep:
                     lcp[0] = 0
                 last = int(rows["place"][-1])
                 sym, no = np.full(len(rows), symbol), np.zeros(len(rows), bool)
-                again = self.step(sym, rows["place"], lcp, no, symbol + 1, True)
+                place = rows["place"].astype(np.int64)
+                again = self.step(sym, place, lcp, no, symbol + 1, True)
                 if again is not None:
                     more.append(again)
-                yield sym, rows["place"], lcp, no
+                yield sym, place, lcp, no
             rounds = iter(more) if more else None
         begun = False
         for place, lcp in seeds(symbol, symbol + 1):
@@ -208,13 +219,13 @@ class Sweep:
 
     def _many(self, b: int, low: int, high: int, seeds, truncated: bool) -> Iterator:
         """A bucket of several symbols: what comes in from within it is found first, then all is put in order together."""
-        rows = np.concatenate([*self.queue.take(b), np.zeros(0, TUPLE)])
+        rows = np.concatenate([*self.queue.take(b), np.zeros(0, self.kind)])
         got = [(p, e) for p, e in seeds(low, high)]
         seed_place = np.concatenate([np.zeros(0, np.int64), *[p for p, _ in got]])
         seed_lcp = np.concatenate([np.zeros(0, np.uint16), *[e for _, e in got]])
         n_out, n_seed = len(rows), len(seed_place)
         symbol = np.concatenate([rows["symbol"].astype(np.int64), self.symbols(seed_place)])
-        place = np.concatenate([rows["place"], seed_place])
+        place = np.concatenate([rows["place"].astype(np.int64), seed_place])
         seed = np.arange(n_out + n_seed) >= n_out
         if not len(place):
             return
@@ -292,13 +303,23 @@ def chunks_of(place: np.ndarray, lcp: np.ndarray, low: int, high: int, reverse:
         if reverse:
             b = high - k
             e = lcp[b - n + 1 : b + 1][::-1] if b < len(lcp) else np.append(np.uint16(0), lcp[b - n + 1 : b][::-1])
-            yield place[b - n : b][::-1], np.asarray(e)
+            yield place[b - n : b][::-1].astype(np.int64), np.asarray(e)
         else:
-            yield place[low + k : low + k + n], np.asarray(lcp[low + k : low + k + n])
+            yield place[low + k : low + k + n].astype(np.int64), np.asarray(lcp[low + k : low + k + n])
 
 
-def suffix_order(text: np.ndarray, n_symbols: int, scratch: str, budget: int, fits: int, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(places, lcp) of all suffixes from the greatest down, as files; lcp is that with the suffix before.
+def suffix_files(text: np.ndarray, n_symbols: int, scratch: str, budget: int, fits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, lcp) of suffix_order(), as files."""
+    os.makedirs(scratch, exist_ok=True)
+    out, shared = Column(os.path.join(scratch, "suffixes"), place_type(len(text))), Column(os.path.join(scratch, "suffixes-lcp"), np.uint16)
+    for place, lcp in suffix_order(text, n_symbols, scratch, budget, fits):
+        out.add(place)
+        shared.add(lcp)
+    return out.read(), shared.read()
+
+
+def suffix_order(text: np.ndarray, n_symbols: int, scratch: str, budget: int, fits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, lcp) of all suffixes from the greatest down, a part at a time; lcp is that with the suffix before.
 
     text holds symbols below n_symbols and ends in its only 0. Names of up to `fits` places are sorted in memory, longer
     ones by recursion. No symbol may come 65,000 times in a row.
@@ -306,14 +327,20 @@ def suffix_order(text: np.ndarray, n_symbols: int, scratch: str, budget: int, fi
     os.makedirs(scratch, exist_ok=True)
     at = lambda name: os.path.join(scratch, name)
     n = len(text)
+    kind = place_type(n)
+
+    def drop(*names: str) -> None:
+        for name in names:
+            os.unlink(at(name))
+
     counts = np.zeros(n_symbols, np.int64)
     for k in range(0, n, CHUNK * 16):
         counts += np.bincount(text[k : k + CHUNK * 16], minlength=n_symbols)
     # The leftmost smaller suffixes, their symbols' counts, and the distance of each to the next.
-    stars = Column(at("stars"), np.int64)
+    stars = Column(at("stars"), kind)
     length = np.memmap(at("length"), np.uint16, "w+", shape=n // 2 + 1)
     star_counts, following = np.zeros(n_symbols, np.int64), n - 1
-    by_symbol = Queue(at("by-symbol"), len(first := buckets_of(counts, budget)) - 1, budget)
+    by_symbol = Queue(at("by-symbol"), len(first := buckets_of(counts, budget)) - 1, budget, tuples(n))
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
     for place in leftmost_smaller(text):
         if not len(place):
@@ -325,21 +352,21 @@ def suffix_order(text: np.ndarray, n_symbols: int, scratch: str, budget: int, fi
         symbol = text[place].astype(np.int64)
         star_counts += np.bincount(symbol, minlength=n_symbols)
         by = np.argsort(symbol, kind="stable")
-        rows = np.zeros(len(place), TUPLE)
+        rows = np.zeros(len(place), tuples(n))
         rows["symbol"], rows["place"], rows["lcp"] = symbol[by], place[by], 1
         by_symbol.put(owner[symbol[by]], rows)
     backwards = stars.read()
     n_stars = len(backwards)
 
     def unsorted(low: int, high: int) -> Iterator:
-        rows = np.concatenate([*by_symbol.take(int(owner[low])), np.zeros(0, TUPLE)])
+        rows = np.concatenate([*by_symbol.take(int(owner[low])), np.zeros(0, tuples(n))])
         rows = rows[np.argsort(rows["symbol"], kind="stable")] if high - low > 1 else rows
         for k in range(0, len(rows), CHUNK):
-            yield rows["place"][k : k + CHUNK], rows["lcp"][k : k + CHUNK]
+            yield rows["place"][k : k + CHUNK].astype(np.int64), rows["lcp"][k : k + CHUNK]
 
     def greater(seeds, truncated: bool, name: str) -> tuple:
         """The sweep upwards; its greater suffixes, which are the seeds of the sweep downwards."""
-        place_at, lcp_at, upto = Column(at(name), np.int64), Column(at(name + "-lcp"), np.uint16), np.zeros(n_symbols, np.int64)
+        place_at, lcp_at, upto = Column(at(name), kind), Column(at(name + "-lcp"), np.uint16), np.zeros(n_symbols, np.int64)
         for symbol, place, lcp, seed in Sweep(text, counts, False, scratch, budget).sweep(seeds, truncated):
             if not seed.all():
                 place_at.add(place[~seed])
@@ -353,7 +380,7 @@ def suffix_order(text: np.ndarray, n_symbols: int, scratch: str, budget: int, fi
     # Sort and name their substrings, the greatest first.
     down = greater(unsorted, True, "rough")
     by_symbol.close()
-    order, edges, n_names = Column(at("order"), np.int64), Column(at("edges"), np.uint16), 0
+    order, edges, n_names = Column(at("order"), kind), Column(at("edges"), np.uint16), 0
     names = np.memmap(at("names"), np.uint32, "w+", shape=n // 2 + 1)
     least, last_span = MOST, -1
     for symbol, place, lcp, seed in Sweep(text, counts, True, scratch, budget).sweep(down, False):
@@ -370,6 +397,8 @@ def suffix_order(text: np.ndarray, n_symbols: int, scratch: str, budget: int, fi
             order.add(place[here])
             n_names, last_span = int(name[-1]), int(span[-1])
         least = int(lcp[here[-1] + 1 :].min(initial=MOST)) if len(here) else min(least, int(lcp.min()))
+    del down, length
+    drop("rough", "rough-lcp", "length")
     # The last place is the least and a name of its own.
     n_names += 1
     edges.add(np.zeros(1, np.uint16))
@@ -379,25 +408,27 @@ def suffix_order(text: np.ndarray, n_symbols: int, scratch: str, budget: int, fi
     for k in range(0, n_stars, CHUNK):
         part = backwards[k : k + CHUNK]
         named[n_stars - k - len(part) : n_stars - k] = (n_names - names[part >> 1])[::-1]
+    del names
+    drop("names")
     # Sort the suffixes they begin, by their names' suffixes.
-    spot = lambda i: backwards[n_stars - 1 - i]
+    spot = lambda i: backwards[n_stars - 1 - i].astype(np.int64)
     if n_names == n_stars:
         places, shared = order.read(), np.zeros(n_stars, np.uint16)
         index = None
     else:
         order.read()
-        index, shared = in_memory(named) if n_stars <= fits else suffix_order(named, n_names, at("names-sorted"), budget, fits, depth + 1)
+        index, shared = in_memory(named) if n_stars <= fits else suffix_files(named, n_names, at("names-sorted"), budget, fits)
     edge = edges.read()
     table = Least(np.asarray(edge))
-    seed_place, seed_lcp = Column(at("seeds"), np.int64), Column(at("seeds-lcp"), np.uint16)
+    seed_place, seed_lcp = Column(at("seeds"), kind), Column(at("seeds-lcp"), np.uint16)
     for k in range(0, n_stars, CHUNK):
         if index is None:
-            b = np.asarray(places[k : k + CHUNK])
+            b = places[k : k + CHUNK].astype(np.int64)
             a = np.append(places[k - 1] if k else b[0], b[:-1])
             # All names differ, so they stand in their own order.
             lcp = np.asarray(edge[k : k + CHUNK]).astype(np.int64)
         else:
-            j = np.asarray(index[k : k + CHUNK])
+            j = index[k : k + CHUNK].astype(np.int64)
             i = np.append(index[k - 1] if k else j[0], j[:-1])
             h = np.asarray(shared[k : k + CHUNK]).astype(np.int64)
             if k == 0:
@@ -413,7 +444,8 @@ def suffix_order(text: np.ndarray, n_symbols: int, scratch: str, budget: int, fi
             lcp[live] += 1
         seed_place.add(b)
         seed_lcp.add(np.minimum(lcp, MOST))
-    del names, named, length
+    index = shared = places = named = backwards = None
+    drop("named", "order", "edges", "stars")
     place, lcp, end = seed_place.read(), seed_lcp.read(), np.cumsum(star_counts)
     starts = end - star_counts
 
@@ -421,12 +453,10 @@ def suffix_order(text: np.ndarray, n_symbols: int, scratch: str, budget: int, fi
         return chunks_of(place, lcp, int(n_stars - end[high - 1]), int(n_stars - starts[low]), True)
 
     down = greater(ordered, False, "greater")
-    out, out_lcp = Column(at("suffixes"), np.int64), Column(at("suffixes-lcp"), np.uint16)
+    place = lcp = None
+    drop("seeds", "seeds-lcp")
     for _, place_, lcp_, _ in Sweep(text, counts, True, scratch, budget).sweep(down, False):
-        out.add(place_)
-        out_lcp.add(lcp_)
-    out.add(np.array([n - 1]))
-    out_lcp.add(np.zeros(1, np.uint16))
-    for name in ("stars", "length", "rough", "rough-lcp", "order", "edges", "names", "named", "seeds", "seeds-lcp", "greater", "greater-lcp"):
-        os.unlink(at(name))
-    return out.read(), out_lcp.read()
+        yield place_, lcp_
+    yield np.array([n - 1]), np.zeros(1, np.uint16)
+    del down
+    drop("greater", "greater-lcp")

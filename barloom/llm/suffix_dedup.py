@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.induced_sort import suffix_order
@@ -29,11 +29,13 @@ GRAM = 1 << DOUBLINGS
 #: Bytes of text that are cut at a time, and places that a task compares among themselves before they travel.
 CUT_BYTES, CUT_PLACES = 1 << 20, 1_000_000
 #: Bytes of pieces that a shard aims at. It may be larger.
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 2_000_000
 #: Tuples a queue may hold in memory, and names that are sorted in memory.
-QUEUE_TUPLES, NAMES_FIT = 1_000_000, 1_500_000
+QUEUE_TUPLES, NAMES_FIT = 1_000_000, 1_000_000
 #: Bits of a place: start, number of windows, and a tag that tells texts apart which share a doc_id.
 START_BITS, COUNT_BITS, TAG_BITS = 31, 7, 24
+#: Bits of a piece's hash, which stand beside its anchor's 64.
+SEG_BITS = 40
 
 _U = np.uint64
 _BASE, _OTHER = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
@@ -95,7 +97,7 @@ def anchored(t: np.ndarray, begin: np.ndarray, end: np.ndarray, size: int, power
         up, down = powers.upto(len(t) + 1)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(one * up[: len(t)])])
         body = (total[stop + size] - total[start]) * down[start]
-        seg = mix(body + n.astype(np.uint64) * _BASE + (anchor[start] - start).astype(np.uint64) * _OTHER)
+        seg = mix(body + n.astype(np.uint64) * _BASE + (anchor[start] - start).astype(np.uint64) * _OTHER) >> _U(64 - SEG_BITS)
     return start, n, h[anchor[start]].view(np.int64), seg.view(np.int64)
 
 
@@ -108,13 +110,15 @@ def firsts(fp: np.ndarray, seg: np.ndarray, doc: np.ndarray, place: np.ndarray)
 
 def span_rows(doc: np.ndarray, place: np.ndarray, size: int) -> pa.RecordBatch:
     """Rows of PLACES that stand for removed bytes: seg is the end, the place has no windows. Neighbours are joined."""
+    if not len(doc):
+        return place_rows(doc, doc, doc, doc)
     order = np.lexsort((place, doc))
     doc, place = doc[order], place[order]
     n = place & ((1 << COUNT_BITS) - 1)
     head = place >> COUNT_BITS
     begin = head & ((1 << START_BITS) - 1)
     end = begin + n - 1 + size
-    new = np.append(True, (doc[1:] != doc[:-1]) | (head[1:] - begin[1:] != head[:-1] - begin[:-1]) | (begin[1:] > end[:-1])) if len(doc) else np.zeros(0, bool)
+    new = np.append(True, (doc[1:] != doc[:-1]) | (head[1:] - begin[1:] != head[:-1] - begin[:-1]) | (begin[1:] > end[:-1]))
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(doc)) - 1
     return place_rows(mix(doc[first].view(np.uint64)).view(np.int64), end[last], doc[first], head[first] << COUNT_BITS)
@@ -253,72 +257,71 @@ def shard_spans(pieces: DataFrame, size: int, shards: int, queue_tuples: int = Q
             n = place & ((1 << COUNT_BITS) - 1)
             valid = np.zeros(len(text), bool)
             valid[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())] = True
-            found, lcp = suffix_order(text, 258, os.path.join(folder, "order"), queue_tuples, names_fit)
-            later = repeats(found, lcp, valid, size)
+            later = repeats(suffix_order(text, 258, os.path.join(folder, "order"), queue_tuples, names_fit), valid, size)
             run = np.diff(np.concatenate([[False], later, [False]]).astype(np.int8))
             start, stop = np.flatnonzero(run == 1), np.flatnonzero(run == -1)
             of = np.searchsorted(begin, start, "right") - 1
-            del found, lcp, text
+            del text
         yield span_rows(doc[of], (((place[of] >> COUNT_BITS) + start - begin[of]) << COUNT_BITS) | (stop - start), size)
 
     dealt = pieces.repartition(shards, "fp").select("doc_id", "place", "body").sortWithinPartitions("doc_id", "place")
     return dealt.mapInArrow(sort, PLACES)
 
 
-def repeats(found: np.ndarray, lcp: np.ndarray, valid: np.ndarray, size: int, chunk: int = 1_000_000) -> np.ndarray:
-    """Whether a window of size bytes starts at each place that an earlier place starts too. Places of neighbours in order with so long a common prefix are equal windows."""
+def repeats(order: Iterator[tuple[np.ndarray, np.ndarray]], valid: np.ndarray, size: int) -> np.ndarray:
+    """Whether a valid window of size bytes starts at each place that an earlier place starts too.
+
+    In order of suffixes, neighbours with so long a common prefix are equal windows. least is the earliest of the window
+    that the last part ended in, as far as it was read.
+    """
     later = np.zeros(len(valid), bool)
     least = -1
-    for k in range(0, len(found), chunk):
-        place, joined = np.asarray(found[k : k + chunk]), np.asarray(lcp[k : k + chunk]) >= size
-        if not joined[0]:
+    for place, lcp in order:
+        group = np.cumsum(lcp < size)
+        last = int(group[-1])
+        if group[0]:
             least = -1
-        group = np.cumsum(~joined)
         use = valid[place]
         place, group = place[use], group[use]
         if len(place):
             cut = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
             low = np.minimum.reduceat(place, cut)
-            if group[0] == (0 if joined[0] else 1) and least >= 0:
-                if low[0] < least:
-                    later[least] = True
-                low[0] = min(int(low[0]), least)
+            if group[0] == 0 and least >= 0:
+                later[max(least, int(low[0]))] = True
+                low[0] = min(least, int(low[0]))
             low_of = np.repeat(low, np.diff(np.append(cut, len(place))))
             later[place[place > low_of]] = True
-            last_group = int(np.cumsum(~joined)[-1])
-            least = int(low[-1]) if group[-1] == last_group else (least if last_group == 0 else -1)
-        elif not joined.all():
+            least = int(low[-1]) if group[-1] == last else -1
+        elif last:
             least = -1
     return later
 
 
-def tagged(docs: DataFrame, *more: Column) -> DataFrame:
-    """doc_id, tag, text as bytes and more of each row; the tag is a hash of the text."""
+def tagged(docs: DataFrame) -> DataFrame:
+    """doc_id, tag and text as bytes of each row with a doc_id. Where ids repeat, the tag is a hash of the text, else 0."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").bitwiseAND(F.lit((1 << TAG_BITS) - 1)).alias("tag"), raw.alias("body"), *more)
+    rows = docs.where(F.col("doc_id").isNotNull())
+    once = rows.groupBy("doc_id").count().where("count > 1").isEmpty()
+    tag = F.lit(0).cast("long") if once else F.xxhash64("text").bitwiseAND(F.lit((1 << TAG_BITS) - 1))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), tag.alias("tag"), raw.alias("body"))
 
 
-def repeated_spans(docs: DataFrame, size: int = 100, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc_id, tag, start, end): spans of bytes, end exclusive, that equal strings of size bytes cover which start earlier; spans may overlap."""
+def repeated_spans(rows: DataFrame, size: int, shard_bytes: int) -> DataFrame:
+    """(doc_id, tag, start, end): spans of bytes, end exclusive, of tagged rows that equal strings of size bytes cover which start earlier; spans may overlap."""
     if not GRAM + 1 <= size <= GRAM - 1 + (1 << COUNT_BITS) - 1:
         raise ValueError(f"size must be from {GRAM + 1} to {GRAM + (1 << COUNT_BITS) - 2}")
-    spark = docs.sparkSession
-    rows = tagged(docs).where(F.col("doc_id").isNotNull())
-    conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    places = matched(cut_places(rows, size), size, conf)
+    places = matched(cut_places(rows, size), size, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     is_span = F.col("place").bitwiseAND(F.lit((1 << COUNT_BITS) - 1)) == 0
     start = F.shiftright("place", COUNT_BITS).bitwiseAND(F.lit((1 << START_BITS) - 1))
     tag = F.shiftright("place", COUNT_BITS + START_BITS)
     pieces = places.where(~is_span)
-    total = pieces.count() * (size + 25)
-    if total:
+    spans = places.where(is_span)
+    if total := pieces.count() * (size + 25):
         ask = pieces.select("doc_id", tag.alias("tag"), "fp", "place")
         length = F.col("place").bitwiseAND(F.lit((1 << COUNT_BITS) - 1)) - 1 + size
         body = F.substring("body", (start + 1).cast("int"), length.cast("int"))
         with_text = rows.join(ask, ["doc_id", "tag"]).select("fp", "doc_id", "place", body.alias("body"))
-        spans = places.where(is_span).unionByName(shard_spans(with_text, size, max(1, -(-total // shard_bytes))))
-    else:
-        spans = places.where(is_span)
+        spans = spans.unionByName(shard_spans(with_text, size, max(1, -(-total // shard_bytes))))
     return spans.select("doc_id", tag.alias("tag"), start.alias("start"), F.col("seg").alias("end"))
 
 
@@ -328,13 +331,14 @@ def suffix_dedup(docs: DataFrame, size: int = 100, shard_bytes: int = SHARD_BYTE
     A byte goes if a string of size bytes covers it that also starts earlier: in a smaller doc_id, or earlier in the same
     document. A null or empty text has no bytes. Rows that share a doc_id and text are one document and lose the same
     bytes; of different texts that share one, order goes by a hash. Rows without doc_id are compared with nothing and stay
-    whole. Other columns are neither read nor returned. A text may have up to 2 GB. Copies of a piece are told by two
-    64-bit hashes.
+    whole. Other columns are neither read nor returned. A text may have up to 2 GB. Copies of a piece are told by 104 bits of
+    two hashes. Texts are shuffled once: cutting out pieces and removing bytes share the exchange.
     """
-    spans = repeated_spans(docs, size, shard_bytes).groupBy(F.col("doc_id").alias("of_id"), F.col("tag").alias("of_tag"))
-    spans = spans.agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     rows = tagged(docs)
-    joined = rows.join(spans, (rows["doc_id"] == spans["of_id"]) & (rows["tag"] == spans["of_tag"]), "left").select("doc_id", "body", "starts", "ends")
+    spans = repeated_spans(rows, size, shard_bytes).groupBy("doc_id", "tag").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    joined = rows.join(spans, ["doc_id", "tag"], "left").select("doc_id", "body", "starts", "ends")
+    lone = docs.where(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
+    joined = joined.unionByName(lone, allowMissingColumns=True)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
