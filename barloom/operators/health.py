@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from barloom.functions import ladder, ratio
 from barloom.operators.features import by_day
+from barloom.operators.market import breadth_measures
 
 #: The weight of each pillar, and of each part in it with its ladder of (reading, points).
 PILLARS = {"index_trend": 25, "breadth": 25, "leadership": 20, "accumulation": 15, "breakouts": 15}
 PARTS = {
-    "index_trend": [("above_50", 20), ("above_150", 20), ("above_200", 20), ("stacked", 20), ("rising_200", 10)],
+    "index_trend": [("above_50", 20), ("above_150", 20), ("above_200", 20), ("stacked", 20), ("rising_200", 10), ("large_above_50", 5), ("small_above_50", 5)],
     "breadth": [
         ("pct_above_50", 20, [(30, 0), (70, 100)]), ("pct_above_150", 15, [(30, 0), (70, 100)]), ("pct_above_200", 15, [(30, 0), (70, 100)]), ("ad_ratio", 15, [(-0.15, 0), (0.15, 100)]),
         ("highs_lows", 15, [(0.2, 0), (0.8, 100)]), ("above_50_change", 10, [(-15, 0), (15, 100)]), ("own_gap", 10, [(-4, 0), (4, 100)]),
@@ -33,7 +34,8 @@ PARTS = {
 }
 #: Labels, best first, with their lowest score and the exposure they allow.
 LABELS = [("Strong", 80, "full"), ("Constructive", 65, "full"), ("Mixed", 50, "half"), ("Weak", 35, "none"), ("Adverse", 0, "none")]
-LEADER_RANK, DAY_MOVE, NEAR_GAP, HORIZONS, MIN_SECTORS = 80, 0.002, 0.05, (21, 63, 126), 5
+LEADER_RANK, DAY_MOVE, NEAR_GAP, HORIZONS, MIN_SECTORS = 80, 0.002, 0.05, (21, 63, 126), 8
+
 
 def days() -> W:
     """All days in order; one row each, so a window without a partition key bears it."""
@@ -50,21 +52,22 @@ def whole(agg: Column, what: Column, n: int) -> Column:
 
 
 def day_counts(panel: DataFrame) -> DataFrame:
-    """One row per day of a panel(instrument, trade_date, eligible, status, rs_rank and the daily features)."""
-    w = by_day()
-    ok, passed = F.col("eligible"), F.col("status") == "PASS"
-    leader = F.coalesce(passed & (F.col("rs_rank") >= LEADER_RANK), F.lit(False))
-    x = panel.select("*", leader.alias("leader"), F.lag(leader, 20).over(w).alias("leader_then"), F.lag("close", 20).over(w).alias("close_then"))
-    n = lambda test: F.count_if(test)
-    value, led = F.col("close") * F.col("volume"), F.col("leader_then") & (F.col("close_then") > 0)
-    near = passed & (F.col("close") >= F.col("high_50") * (1 - NEAR_GAP)) & (F.col("volatility_20") < F.col("volatility_50"))
+    """One row per day of a panel(instrument, trade_date, eligible, status, rs_rank and the daily features): breadth, leaders, volume and the indices.
+
+    Instruments with large or small set make two further indices; without these columns those have no return.
+    """
+    leads = F.coalesce((F.col("status") == "PASS") & (F.col("rs_rank") >= LEADER_RANK), F.lit(False))
+    once = F.lag(F.struct(leads.alias("led"), F.col("close").alias("close")), 20).over(by_day())
+    x = panel.withColumns({"leads": leads, "once": once, "value": F.col("close") * F.col("volume")})
+    led = F.col("once.led") & (F.col("once.close") > 0)
+    tight = (F.col("status") == "PASS") & (F.col("close") >= F.col("high_50") * (1 - NEAR_GAP)) & (F.col("volatility_20") < F.col("volatility_50"))
+    of = lambda test, c: F.when(F.col("eligible") & test, F.col(c))
+    part = lambda c: F.avg(F.when(F.col(c), F.col("daily_return"))) if c in panel.columns else F.lit(None).cast("double")
     return x.groupBy("trade_date").agg(
-        n(ok).alias("n"), *[c for k in (50, 150, 200) for c in (n(ok & F.col(f"sma_{k}").isNotNull()).alias(f"n_{k}"), n(ok & (F.col("close") > F.col(f"sma_{k}"))).alias(f"above_{k}"))],
-        n(ok & (F.col("daily_return") > 0)).alias("up"), n(ok & (F.col("daily_return") < 0)).alias("down"),
-        n(ok & (F.col("high") >= F.col("high_252") * 0.99999)).alias("hi_52"), n(ok & (F.col("low") <= F.col("low_252") * 1.00001)).alias("lo_52"), n(ok & (F.col("high") >= F.col("high_20") * 0.99999)).alias("hi_20"),
-        n(passed).alias("passes"), n(F.col("leader")).alias("leaders"), n(near).alias("near"), n(led).alias("led_n"), F.avg(F.when(led, F.col("close") / F.col("close_then") - 1)).alias("led_return"),
-        F.sum(F.when(ok & (F.col("daily_return") > 0), value)).alias("up_value"), F.sum(F.when(ok & (F.col("daily_return") < 0), value)).alias("down_value"),
-        F.avg(F.when(ok, F.col("daily_return"))).alias("own_return"), F.sum(F.when(ok, F.col("volume"))).alias("own_volume"), F.avg("daily_return").alias("index_return"), F.sum("volume").alias("index_volume"),
+        *breadth_measures(), F.count_if(F.col("eligible") & (F.col("high") >= F.col("high_20") * 0.99999)).alias("highs_of_20"), F.count_if("leads").alias("leaders"), F.count_if(led).alias("led_n"),
+        F.avg(F.when(led, F.col("close") / F.col("once.close") - 1)).alias("led_return"), F.count_if(tight).alias("near"),
+        F.sum(of(F.col("daily_return") > 0, "value")).alias("value_up"), F.sum(of(F.col("daily_return") < 0, "value")).alias("value_down"), F.sum(of(F.lit(True), "volume")).alias("own_volume"),
+        F.avg("daily_return").alias("index_return"), F.sum("volume").alias("index_volume"), *[part(c).alias(f"{c}_return") for c in ("large", "small")],
     )
 
 
@@ -99,16 +102,16 @@ def readings(counts: DataFrame, sectors: DataFrame, judged: DataFrame, min_unive
     x = counts.join(sectors, "trade_date", "left").join(judged, "trade_date", "left").withColumn("big", big)
     upto = days().rowsBetween(W.unboundedPreceding, 0)
     x = x.select(
-        "*", F.exp(F.sum(F.when(big, F.coalesce(F.log1p("own_return"), F.lit(0.0))).otherwise(0.0)).over(upto)).alias("own"), F.exp(F.sum(F.coalesce(F.log1p("index_return"), F.lit(0.0))).over(upto)).alias("index"),
-        F.sum(F.col("up") - F.col("down")).over(upto).alias("ad_line"), F.when(big, ratio(F.col("above_50"), F.col("n_50")) * 100).alias("pct_above_50"),
-        *[F.when(big, F.col(c) / F.col("n") * 100).alias(f"{c}_pct") for c in ("hi_20", "hi_52", "lo_52")], F.row_number().over(days()).alias("session"),
+        "*", F.exp(F.sum(F.when(big, F.coalesce(F.log1p("mean_return"), F.lit(0.0))).otherwise(0.0)).over(upto)).alias("own"), *[F.exp(F.sum(F.coalesce(F.log1p(r), F.lit(0.0))).over(upto)).alias(c) for c, r in (("index", "index_return"), ("large", "large_return"), ("small", "small_return"))],
+        F.sum(F.col("advances") - F.col("declines")).over(upto).alias("ad_line"), F.when(big, ratio(F.col("above_50"), F.col("n_50")) * 100).alias("pct_above_50"),
+        *[F.when(big, F.col(c) / F.col("n") * 100).alias(f"{k}_pct") for k, c in (("hi_20", "highs_of_20"), ("hi_52", "new_highs"), ("lo_52", "new_lows"))], F.row_number().over(days()).alias("session"),
         *[(F.col(f"{k}_volume") > F.lag(f"{k}_volume").over(days())).alias(f"{k}_heavier") for k in ("own", "index")], (F.lag("big").over(days()) & big).alias("both_big"),
     )
     step = F.col("index") / F.lag("index").over(days()) - 1
     x = x.select(
         "*", F.when(F.col("index_heavier") & (step <= -DAY_MOVE), 1).otherwise(0).alias("index_dist"), F.when(F.col("index_heavier") & (step >= DAY_MOVE), 1).otherwise(0).alias("index_acc"),
-        F.when(F.col("own_heavier") & F.col("both_big") & (F.coalesce("own_return", F.lit(0.0)) <= -DAY_MOVE), 1).otherwise(0).alias("own_dist"),
-        *[whole(F.avg("index"), F.col("index"), k).alias(f"index_{k}") for k in (50, 150, 200)], F.max("index").over(last(252)).alias("index_high"), F.min("ad_line").over(last(252)).alias("ad_low"), F.max("ad_line").over(last(252)).alias("ad_high"),
+        F.when(F.col("own_heavier") & F.col("both_big") & (F.coalesce("mean_return", F.lit(0.0)) <= -DAY_MOVE), 1).otherwise(0).alias("own_dist"),
+        *[whole(F.avg("index"), F.col("index"), k).alias(f"index_{k}") for k in (50, 150, 200)], *[whole(F.avg(c), F.col(c), 50).alias(f"{c}_50") for c in ("large", "small")], F.max("index").over(last(252)).alias("index_high"), F.min("ad_line").over(last(252)).alias("ad_low"), F.max("ad_line").over(last(252)).alias("ad_high"),
     )
     total = lambda c, k: F.sum(c).over(last(k))
     ago = lambda c, k: F.lag(c, k).over(days())
@@ -122,16 +125,16 @@ def readings(counts: DataFrame, sectors: DataFrame, judged: DataFrame, min_unive
     return x.select(
         "trade_date", "n", "big", "index", F.col("index_200").alias("index_200"), ago("index_200", 20).alias("index_200_prior"), "index_high", "ad_line",
         flag(F.col("index") > F.col("index_50")).alias("above_50"), flag(F.col("index") > F.col("index_150")).alias("above_150"), flag(F.col("index") > F.col("index_200")).alias("above_200"),
-        (flag(F.col("index_50") > F.col("index_150")) / 2 + flag(F.col("index_150") > F.col("index_200")) / 2).alias("stacked"), flag(F.col("index_200") > ago("index_200", 20)).alias("rising_200"),
+        (flag(F.col("index_50") > F.col("index_150")) / 2 + flag(F.col("index_150") > F.col("index_200")) / 2).alias("stacked"), flag(F.col("index_200") > ago("index_200", 20)).alias("rising_200"), *[F.when(F.count(f"{c}_return").over(upto) > 0, flag(F.col(c) > F.col(f"{c}_50"))).alias(f"{c}_above_50") for c in ("large", "small")],
         "pct_above_50", *[F.when(big, ratio(F.col(f"above_{k}"), F.col(f"n_{k}")) * 100).alias(f"pct_above_{k}") for k in (150, 200)],
-        F.when(F.count_if("big").over(last(20)) == 20, ratio(F.sum(F.col("up") - F.col("down")).over(last(20)), F.sum(F.col("up") + F.col("down")).over(last(20)))).alias("ad_ratio"),
+        F.when(F.count_if("big").over(last(20)) == 20, ratio(F.sum(F.col("advances") - F.col("declines")).over(last(20)), F.sum(F.col("advances") + F.col("declines")).over(last(20)))).alias("ad_ratio"),
         ratio(hi, hi + lo).alias("highs_lows"), (F.col("pct_above_50") - ago("pct_above_50", 10)).alias("above_50_change"),
         F.when(big & ago("big", 21), (F.col("own") / ago("own", 21) - F.col("index") / ago("index", 21)) * 100).alias("own_gap"),
         F.when(big & (F.col("session") >= 252), ratio(F.col("ad_high") - F.col("ad_line"), F.col("ad_high") - F.col("ad_low"))).alias("ad_line_gap"),
-        F.when(big, F.col("passes") / F.col("n") * 100).alias("pass_share"), F.when(big, F.col("passes")).alias("passes"), F.when(big & ago("big", 10), ago("passes", 10)).alias("passes_then"),
+        F.when(big, F.col("n_pass") / F.col("n") * 100).alias("pass_share"), F.when(big, F.col("n_pass")).alias("passes"), F.when(big & ago("big", 10), ago("n_pass", 10)).alias("passes_then"),
         F.when(big & ago("big", 20), (ratio(F.col("leaders"), ago("leaders", 20)) - 1) * 100).alias("leader_change"), mean("hi_20_pct", 10).alias("highs_20"), hi.alias("highs_52"), F.when(big, F.col("sectors_up")).alias("sectors_up"),
         F.when(big & ago("big", 20) & (ago("leaders", 20) > 0) & (F.col("led_n") >= 5), (F.col("led_return") - (F.col("own") / ago("own", 20) - 1)) * 100).alias("leaders_gap"),
-        F.coalesce(dist * 0.6 + own_dist * 0.4, dist.cast("double"), own_dist.cast("double")).alias("distribution"), acc.cast("double").alias("accumulation_days"), F.when(big, ratio(total("up_value", 10), total("down_value", 10))).alias("up_down_value"),
+        F.coalesce(dist * 0.6 + own_dist * 0.4, dist.cast("double"), own_dist.cast("double")).alias("distribution"), acc.cast("double").alias("accumulation_days"), F.when(big, ratio(total("value_up", 10), total("value_down", 10))).alias("up_down_value"),
         F.when(enough, total("index_dist", 10)).cast("double").alias("cluster"), ratio(acc, acc + dist).alias("up_on_volume"),
         F.when(big, F.coalesce("judged", F.lit(0))).alias("judged"), *[F.when(big & known, F.col(c)).alias(c) for c in ("success", "held", "failure", "median_return")], F.when(big, F.col("near") / F.col("n") * 100).alias("near_pivot"),
         F.when(big, F.col("held")).alias("held_any"), *thrust(),
@@ -140,7 +143,7 @@ def readings(counts: DataFrame, sectors: DataFrame, judged: DataFrame, min_unive
 
 def thrust(sessions: int = 10) -> list[Column]:
     """The mean share of advances over `sessions` days; see thrust_days for the event."""
-    share = ratio(F.col("up") * 100.0, F.col("up") + F.col("down"))
+    share = ratio(F.col("advances") * 100.0, F.col("advances") + F.col("declines"))
     return [whole(F.avg(share), share, sessions).alias("thrust_ratio")]
 
 

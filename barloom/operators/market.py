@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,19 +35,24 @@ def panel(bars: DataFrame, rules: BreakoutRules = BreakoutRules(), min_price: fl
     return screened(bars, own=own).withColumn("eligible", F.col("close") >= min_price)
 
 
-def breadth(p: DataFrame) -> DataFrame:
-    """One row per day: counts, sums and means under conditions, all in one aggregate."""
+def breadth_measures() -> list[Column]:
+    """Counts, sums and means of a day of the panel, under conditions."""
     ok = F.col("eligible")
     n = lambda test: F.count(F.when(ok & test, 1))
     above = [x for k in (50, 150, 200) for x in (n(F.col(f"sma_{k}").isNotNull()).alias(f"n_{k}"), n(F.col("close") > F.col(f"sma_{k}")).alias(f"above_{k}"))]
-    return p.groupBy("trade_date").agg(
+    return [
         F.count(F.when(ok, 1)).alias("n"), *above,
         n(F.col("daily_return") > 0).alias("advances"), n(F.col("daily_return") < 0).alias("declines"),
         n(F.col("high") >= F.col("high_252") * 0.99999).alias("new_highs"), n(F.col("low") <= F.col("low_252") * 1.00001).alias("new_lows"),
         F.count(F.when(F.col("status") == "PASS", 1)).alias("n_pass"), F.count(F.when(F.col("status") != "INSUFFICIENT_DATA", 1)).alias("n_judged"),
         F.sum(F.when(ok & (F.col("daily_return") > 0), F.col("volume"))).alias("up_volume"), F.sum(F.when(ok & (F.col("daily_return") < 0), F.col("volume"))).alias("down_volume"),
         F.avg(F.when(ok, F.col("daily_return"))).alias("mean_return"),
-    )
+    ]
+
+
+def breadth(p: DataFrame) -> DataFrame:
+    """One row per day with all breadth measures, in one aggregate."""
+    return p.groupBy("trade_date").agg(*breadth_measures())
 
 
 def breakouts(p: DataFrame, rules: BreakoutRules = BreakoutRules()) -> DataFrame:

@@ -13,11 +13,12 @@ from barloom.plans.sql import BARS, FEATURES, STRENGTH, TREND, WEEKLY, r6 as sql
 from barloom.plans.temporal import ACTIONS
 from barloom.sources.bars import actions, model_bars, sectors, table, trade_bars
 
+#: What came after a bar is read off the list of its next ten closes; its level is the high of 50 bars as it stood the bar before.
 PANEL = """
-pan AS (SELECT f.*, s.rs_rank, s.status, f.close >= 20 AS eligible, lag(high_50) OVER w AS level, lag(high_50, 11) OVER w AS level_before, lag(volume_avg_50) OVER w AS volume_before,
-  lead(f.close, 5) OVER w AS close_5, lead(f.close, 10) OVER w AS close_judged, min(f.close) OVER h AS low_hold, min(f.close) OVER j AS low_judged, count(*) OVER j AS n_after
-  FROM feat f JOIN status s USING (instrument, trade_date)
-  WINDOW w AS (PARTITION BY f.instrument ORDER BY f.trade_date), h AS (PARTITION BY f.instrument ORDER BY f.trade_date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), j AS (PARTITION BY f.instrument ORDER BY f.trade_date ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING))
+ahead AS (SELECT instrument, trade_date, list(close) OVER nxt AS closes, lag(high_50, 1) OVER inst AS level, lag(high_50, 11) OVER inst AS level_before, lag(volume_avg_50, 1) OVER inst AS volume_before FROM feat
+  WINDOW inst AS (PARTITION BY instrument ORDER BY trade_date), nxt AS (PARTITION BY instrument ORDER BY trade_date ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING)),
+pan AS (SELECT feat.*, rs_rank, status, feat.close >= 20 AS eligible, level, level_before, volume_before, closes[5] AS close_5, closes[10] AS close_judged, list_min(closes[1:5]) AS low_hold, list_min(closes) AS low_judged, coalesce(len(closes), 0) AS n_after
+  FROM feat JOIN status USING (instrument, trade_date) JOIN ahead USING (instrument, trade_date))
 """
 _N = "count(*) FILTER (WHERE eligible AND {})"
 BREADTH = "days AS (SELECT trade_date, count(*) FILTER (WHERE eligible) AS n, " + ", ".join(
@@ -54,7 +55,7 @@ def trades(s, d):
 
 def day_readings(s, d):
     """All readings of the market's days, for a market of ten eligible stocks or more and three verdicts."""
-    p = pan(s, d)
+    p = pan(s, d).withColumns({"large": F.col("instrument") % 5 == 0, "small": F.col("instrument") % 5 == 1})
     counts = health.day_counts(p)
     judged = health.judged_breakouts(market.breakouts(p), counts.select("trade_date"))
     return health.readings(counts, health.sectors_up(p, sectors(s, d)), judged, min_universe=10, min_judged=3)
@@ -116,7 +117,7 @@ STATS = ["win_rate", "avg_ret", "median_ret", "avg_win", "avg_loss", "profit_fac
 READ = [
     "index", "index_200", "index_200_prior", "index_high", "ad_line", "above_50", "above_150", "above_200", "stacked", "rising_200", "pct_above_50", "pct_above_150", "pct_above_200", "ad_ratio", "highs_lows", "above_50_change", "own_gap",
     "ad_line_gap", "pass_share", "leader_change", "highs_20", "highs_52", "sectors_up", "leaders_gap", "distribution", "accumulation_days", "up_down_value", "cluster", "up_on_volume", "success", "held", "failure", "median_return",
-    "near_pivot", "held_any", "thrust_ratio",
+    "near_pivot", "held_any", "thrust_ratio", "large_above_50", "small_above_50",
 ]
 
 QUERIES = {
@@ -156,47 +157,43 @@ outc AS (SELECT s.instrument, s.trade_date, rs_raw, outcome FROM strength s JOIN
 """
 RAW = """
 cum0 AS (SELECT instrument, ex_date, exp(sum(ln(factor)) OVER (PARTITION BY instrument ORDER BY ex_date DESC)) AS cumulative FROM act),
-nxt AS (SELECT b.instrument, b.trade_date, min(a.ex_date) AS ex_date FROM bars b JOIN act a ON a.instrument = b.instrument AND a.ex_date > b.trade_date GROUP BY 1, 2),
-raw0 AS (SELECT b.*, coalesce(c.cumulative, 1.0) AS factor FROM bars b LEFT JOIN nxt n USING (instrument, trade_date) LEFT JOIN cum0 c ON c.instrument = b.instrument AND c.ex_date = n.ex_date),
+raw0 AS (SELECT b.*, coalesce(c.cumulative, 1.0) AS factor FROM bars b ASOF LEFT JOIN cum0 c ON c.instrument = b.instrument AND b.trade_date < c.ex_date),
 traded AS (SELECT instrument, trade_date, round(open / factor + 3e-9, 4) AS open, round(high / factor + 3e-9, 4) AS high, round(low / factor + 3e-9, 4) AS low, round(close / factor + 3e-9, 4) AS close, volume, factor FROM raw0)
 """
-READINGS = with_(BARS, FEATURES, STRENGTH, TREND, PANEL) + """, lp AS (SELECT *, coalesce(status = 'PASS' AND rs_rank >= 80, false) AS leader FROM pan),
+READINGS = with_(*ALL) + """, lp AS (SELECT *, coalesce(status = 'PASS' AND rs_rank >= 80, false) AS leader FROM pan),
 lq AS (SELECT *, lag(leader, 20) OVER w AS leader_then, lag(close, 20) OVER w AS close_then FROM lp WINDOW w AS (PARTITION BY instrument ORDER BY trade_date)),
-c0 AS (SELECT trade_date, sum(CASE WHEN eligible THEN 1 ELSE 0 END) AS n, sum(CASE WHEN eligible AND sma_50 IS NOT NULL THEN 1 ELSE 0 END) AS n50, sum(CASE WHEN eligible AND close > sma_50 THEN 1 ELSE 0 END) AS a50,
-  sum(CASE WHEN eligible AND sma_150 IS NOT NULL THEN 1 ELSE 0 END) AS n150, sum(CASE WHEN eligible AND close > sma_150 THEN 1 ELSE 0 END) AS a150, sum(CASE WHEN eligible AND sma_200 IS NOT NULL THEN 1 ELSE 0 END) AS n200, sum(CASE WHEN eligible AND close > sma_200 THEN 1 ELSE 0 END) AS a200,
-  sum(CASE WHEN eligible THEN CASE WHEN daily_return > 0 THEN 1 ELSE 0 END ELSE 0 END) AS up, sum(CASE WHEN eligible AND daily_return < 0 THEN 1 ELSE 0 END) AS dn,
-  sum(CASE WHEN eligible AND high >= high_252 * 0.99999 THEN 1 ELSE 0 END) AS h52, sum(CASE WHEN eligible AND low <= low_252 * 1.00001 THEN 1 ELSE 0 END) AS l52, sum(CASE WHEN eligible AND high >= high_20 * 0.99999 THEN 1 ELSE 0 END) AS h20,
-  sum(CASE WHEN status = 'PASS' THEN 1 ELSE 0 END) AS ps, sum(CASE WHEN leader THEN 1 ELSE 0 END) AS ld, sum(CASE WHEN status = 'PASS' AND close >= high_50 * 0.95 AND volatility_20 < volatility_50 THEN 1 ELSE 0 END) AS nr,
-  sum(CASE WHEN leader_then AND close_then > 0 THEN 1 ELSE 0 END) AS ln, avg(CASE WHEN leader_then AND close_then > 0 THEN close / close_then - 1 END) AS lr,
-  sum(CASE WHEN eligible AND daily_return > 0 THEN close * volume END) AS uv, sum(CASE WHEN eligible AND daily_return < 0 THEN close * volume END) AS dv,
-  avg(CASE WHEN eligible THEN daily_return END) AS own_r, sum(CASE WHEN eligible THEN volume END) AS own_v, avg(daily_return) AS ix_r, sum(volume) AS ix_v FROM lq GROUP BY trade_date),
+more AS (SELECT trade_date, count(*) FILTER (WHERE eligible AND high >= high_20 * 0.99999) AS highs_of_20, count(*) FILTER (WHERE leader) AS leaders, count(*) FILTER (WHERE leader_then AND close_then > 0) AS led_n,
+  avg(close / close_then - 1) FILTER (WHERE leader_then AND close_then > 0) AS led_return, count(*) FILTER (WHERE status = 'PASS' AND close >= high_50 * 0.95 AND volatility_20 < volatility_50) AS near,
+  sum(close * volume) FILTER (WHERE eligible AND daily_return > 0) AS value_up, sum(close * volume) FILTER (WHERE eligible AND daily_return < 0) AS value_down, sum(volume) FILTER (WHERE eligible) AS own_volume,
+  avg(daily_return) AS index_return, sum(volume) AS index_volume, avg(daily_return) FILTER (WHERE instrument % 5 = 0) AS large_return, avg(daily_return) FILTER (WHERE instrument % 5 = 1) AS small_return FROM lq GROUP BY trade_date),
+c0 AS (SELECT * FROM days JOIN more USING (trade_date)),
 s0 AS (SELECT n_name AS sector, trade_date, exp(sum(coalesce(ln(1 + avg(daily_return)), 0)) OVER (PARTITION BY n_name ORDER BY trade_date)) AS line FROM feat JOIN supplier ON s_suppkey = instrument JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2),
 s1 AS (SELECT *, CASE WHEN row_number() OVER w >= 50 THEN avg(line) OVER (PARTITION BY sector ORDER BY trade_date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) END AS m, lag(line, 21) OVER w AS a, lag(line, 63) OVER w AS b, lag(line, 126) OVER w AS c FROM s0 WINDOW w AS (PARTITION BY sector ORDER BY trade_date)),
-s2 AS (SELECT trade_date, (CASE WHEN count(m + a) >= 5 THEN count(*) FILTER (WHERE line > m AND line > a) * 100.0 / count(m + a) END + CASE WHEN count(m + b) >= 5 THEN count(*) FILTER (WHERE line > m AND line > b) * 100.0 / count(m + b) END
-  + CASE WHEN count(m + c) >= 5 THEN count(*) FILTER (WHERE line > m AND line > c) * 100.0 / count(m + c) END) / 3 AS sectors_up FROM s1 GROUP BY 1),
+s2 AS (SELECT trade_date, (CASE WHEN count(m + a) >= 8 THEN count(*) FILTER (WHERE line > m AND line > a) * 100.0 / count(m + a) END + CASE WHEN count(m + b) >= 8 THEN count(*) FILTER (WHERE line > m AND line > b) * 100.0 / count(m + b) END
+  + CASE WHEN count(m + c) >= 8 THEN count(*) FILTER (WHERE line > m AND line > c) * 100.0 / count(m + c) END) / 3 AS sectors_up FROM s1 GROUP BY 1),
 no AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS i FROM c0),
 bo AS (SELECT i, low_hold >= level AS held, close_judged >= level * 1.05 AS success, low_judged < level * 0.97 AS failed, (close_5 / close - 1) * 100 AS r5, (close_judged / close - 1) * 100 AS rj FROM pan JOIN no USING (trade_date)
   WHERE status = 'PASS' AND level <= level_before AND close > level AND volume_before > 0 AND volume >= 1.4 * volume_before AND n_after = 10),
 jd AS (SELECT no.i, count(*) AS judged, count(*) FILTER (WHERE success) * 100.0 / count(*) AS success, count(*) FILTER (WHERE held) * 100.0 / count(*) AS held, count(*) FILTER (WHERE failed) * 100.0 / count(*) AS failure, (median(r5) + median(rj)) / 2 AS median_return
   FROM no JOIN bo ON bo.i + 10 BETWEEN no.i - 19 AND no.i GROUP BY 1),
-c1 AS (SELECT c0.*, no.i, n >= 10 AS big, sectors_up, jd.judged, success, held, failure, median_return, exp(sum(CASE WHEN n >= 10 THEN coalesce(ln(1 + own_r), 0) ELSE 0 END) OVER w) AS own, exp(sum(coalesce(ln(1 + ix_r), 0)) OVER w) AS ix, sum(up - dn) OVER w AS ad,
-  CASE WHEN n >= 10 THEN a50 / nullif(n50, 0) * 100 END AS p50, own_v > lag(own_v) OVER w AND n >= 10 AND lag(n) OVER w >= 10 AS oh, ix_v > lag(ix_v) OVER w AS xh
+c1 AS (SELECT c0.*, no.i, n >= 10 AS big, sectors_up, jd.judged, success, held, failure, median_return, exp(sum(CASE WHEN n >= 10 THEN coalesce(ln(1 + mean_return), 0) ELSE 0 END) OVER w) AS own, exp(sum(coalesce(ln(1 + index_return), 0)) OVER w) AS ix, exp(sum(coalesce(ln(1 + large_return), 0)) OVER w) AS lg, exp(sum(coalesce(ln(1 + small_return), 0)) OVER w) AS sm, sum(advances - declines) OVER w AS ad,
+  CASE WHEN n >= 10 THEN above_50 / nullif(n_50, 0) * 100 END AS p50, own_volume > lag(own_volume) OVER w AND n >= 10 AND lag(n) OVER w >= 10 AS oh, index_volume > lag(index_volume) OVER w AS xh
   FROM c0 JOIN no USING (trade_date) LEFT JOIN s2 USING (trade_date) LEFT JOIN jd USING (i) WINDOW w AS (ORDER BY c0.trade_date)),
-c2 AS (SELECT *, CASE WHEN xh AND ix / lag(ix) OVER w - 1 <= -0.002 THEN 1 ELSE 0 END AS xd, CASE WHEN xh AND ix / lag(ix) OVER w - 1 >= 0.002 THEN 1 ELSE 0 END AS xa, CASE WHEN oh AND coalesce(own_r, 0) <= -0.002 THEN 1 ELSE 0 END AS od,
-  CASE WHEN i >= 50 THEN avg(ix) OVER (ORDER BY trade_date ROWS 49 PRECEDING) END AS m50, CASE WHEN i >= 150 THEN avg(ix) OVER (ORDER BY trade_date ROWS 149 PRECEDING) END AS m150, CASE WHEN i >= 200 THEN avg(ix) OVER (ORDER BY trade_date ROWS 199 PRECEDING) END AS m200,
-  avg(h52 * 100.0 / n) OVER t AS hi, avg(l52 * 100.0 / n) OVER t AS lo, avg(h20 * 100.0 / n) OVER t AS hs, sum(CASE WHEN big THEN 1 ELSE 0 END) OVER t AS ten FROM c1 WINDOW w AS (ORDER BY trade_date), t AS (ORDER BY trade_date ROWS 9 PRECEDING)),
-c3 AS (SELECT *, lag(m200, 20) OVER w AS m200p, lag(big, 10) OVER w AS big10, lag(big, 20) OVER w AS big20, lag(big, 21) OVER w AS big21, lag(ld, 20) OVER w AS ld20, lag(own, 20) OVER w AS own20, lag(own, 21) OVER w AS own21, lag(ix, 21) OVER w AS ix21,
+c2 AS (SELECT *, CASE WHEN xh AND ix / lag(ix) OVER w - 1 <= -0.002 THEN 1 ELSE 0 END AS xd, CASE WHEN xh AND ix / lag(ix) OVER w - 1 >= 0.002 THEN 1 ELSE 0 END AS xa, CASE WHEN oh AND coalesce(mean_return, 0) <= -0.002 THEN 1 ELSE 0 END AS od,
+  CASE WHEN i >= 50 THEN avg(ix) OVER (ORDER BY trade_date ROWS 49 PRECEDING) END AS m50, CASE WHEN i >= 50 THEN avg(lg) OVER (ORDER BY trade_date ROWS 49 PRECEDING) END AS lg50, CASE WHEN i >= 50 THEN avg(sm) OVER (ORDER BY trade_date ROWS 49 PRECEDING) END AS sm50, CASE WHEN i >= 150 THEN avg(ix) OVER (ORDER BY trade_date ROWS 149 PRECEDING) END AS m150, CASE WHEN i >= 200 THEN avg(ix) OVER (ORDER BY trade_date ROWS 199 PRECEDING) END AS m200,
+  avg(new_highs * 100.0 / n) OVER t AS hi, avg(new_lows * 100.0 / n) OVER t AS lo, avg(highs_of_20 * 100.0 / n) OVER t AS hs, sum(CASE WHEN big THEN 1 ELSE 0 END) OVER t AS ten FROM c1 WINDOW w AS (ORDER BY trade_date), t AS (ORDER BY trade_date ROWS 9 PRECEDING)),
+c3 AS (SELECT *, lag(m200, 20) OVER w AS m200p, lag(big, 10) OVER w AS big10, lag(big, 20) OVER w AS big20, lag(big, 21) OVER w AS big21, lag(leaders, 20) OVER w AS ld20, lag(own, 20) OVER w AS own20, lag(own, 21) OVER w AS own21, lag(ix, 21) OVER w AS ix21,
   CASE WHEN i > 25 THEN sum(xd) OVER q END AS dist, CASE WHEN i > 25 THEN sum(xa) OVER q END AS acc, CASE WHEN i > 25 AND sum(CASE WHEN big THEN 1 ELSE 0 END) OVER (ORDER BY trade_date ROWS 25 PRECEDING) = 26 THEN sum(od) OVER q END AS odist,
   max(ad) OVER y AS adh, min(ad) OVER y AS adl, max(ix) OVER y AS ixh FROM c2 WINDOW w AS (ORDER BY trade_date), q AS (ORDER BY trade_date ROWS 24 PRECEDING), y AS (ORDER BY trade_date ROWS 251 PRECEDING)),
-rd AS (SELECT trade_date, n, big, ix AS index, m200 AS index_200, m200p AS index_200_prior, ixh AS index_high, ad AS ad_line, CASE WHEN ix > m50 THEN 100.0 WHEN m50 IS NOT NULL THEN 0.0 END AS above_50, CASE WHEN ix > m150 THEN 100.0 WHEN m150 IS NOT NULL THEN 0.0 END AS above_150,
+rd AS (SELECT trade_date, n, big, ix AS index, m200 AS index_200, m200p AS index_200_prior, ixh AS index_high, ad AS ad_line, CASE WHEN ix > m50 THEN 100.0 WHEN m50 IS NOT NULL THEN 0.0 END AS above_50, CASE WHEN lg > lg50 THEN 100.0 WHEN lg50 IS NOT NULL THEN 0.0 END AS large_above_50, CASE WHEN sm > sm50 THEN 100.0 WHEN sm50 IS NOT NULL THEN 0.0 END AS small_above_50, CASE WHEN ix > m150 THEN 100.0 WHEN m150 IS NOT NULL THEN 0.0 END AS above_150,
   CASE WHEN ix > m200 THEN 100.0 WHEN m200 IS NOT NULL THEN 0.0 END AS above_200, CASE WHEN m200 IS NOT NULL THEN CASE WHEN m50 > m150 THEN 50.0 ELSE 0 END + CASE WHEN m150 > m200 THEN 50.0 ELSE 0 END END AS stacked, CASE WHEN m200 > m200p THEN 100.0 WHEN m200p IS NOT NULL THEN 0.0 END AS rising_200,
-  p50 AS pct_above_50, CASE WHEN big THEN a150 / nullif(n150, 0) * 100 END AS pct_above_150, CASE WHEN big THEN a200 / nullif(n200, 0) * 100 END AS pct_above_200,
-  CASE WHEN sum(CASE WHEN big THEN 1 ELSE 0 END) OVER v = 20 THEN sum(up - dn) OVER v / nullif(sum(up + dn) OVER v, 0) END AS ad_ratio, CASE WHEN ten = 10 THEN hi / nullif(hi + lo, 0) END AS highs_lows, p50 - lag(p50, 10) OVER w AS above_50_change,
-  CASE WHEN big AND big21 THEN (own / own21 - ix / ix21) * 100 END AS own_gap, CASE WHEN big AND i >= 252 THEN (adh - ad) / nullif(adh - adl, 0) END AS ad_line_gap, CASE WHEN big THEN ps * 100.0 / n END AS pass_share, CASE WHEN big THEN CAST(ps AS BIGINT) END AS passes,
-  CASE WHEN big AND big10 THEN CAST(lag(ps, 10) OVER w AS BIGINT) END AS passes_then, CASE WHEN big AND big20 THEN (ld / nullif(ld20, 0) - 1) * 100 END AS leader_change, CASE WHEN ten = 10 THEN hs END AS highs_20, CASE WHEN ten = 10 THEN hi END AS highs_52, CASE WHEN big THEN sectors_up END AS sectors_up,
-  CASE WHEN big AND big20 AND ld20 > 0 AND ln >= 5 THEN (lr - (own / own20 - 1)) * 100 END AS leaders_gap, coalesce(0.6 * dist + 0.4 * odist, dist, odist) AS distribution, acc AS accumulation_days, CASE WHEN big THEN sum(uv) OVER t / nullif(sum(dv) OVER t, 0) END AS up_down_value,
+  p50 AS pct_above_50, CASE WHEN big THEN c3.above_150 / nullif(n_150, 0) * 100 END AS pct_above_150, CASE WHEN big THEN c3.above_200 / nullif(n_200, 0) * 100 END AS pct_above_200,
+  CASE WHEN sum(CASE WHEN big THEN 1 ELSE 0 END) OVER v = 20 THEN sum(advances - declines) OVER v / nullif(sum(advances + declines) OVER v, 0) END AS ad_ratio, CASE WHEN ten = 10 THEN hi / nullif(hi + lo, 0) END AS highs_lows, p50 - lag(p50, 10) OVER w AS above_50_change,
+  CASE WHEN big AND big21 THEN (own / own21 - ix / ix21) * 100 END AS own_gap, CASE WHEN big AND i >= 252 THEN (adh - ad) / nullif(adh - adl, 0) END AS ad_line_gap, CASE WHEN big THEN n_pass * 100.0 / n END AS pass_share, CASE WHEN big THEN CAST(n_pass AS BIGINT) END AS passes,
+  CASE WHEN big AND big10 THEN CAST(lag(n_pass, 10) OVER w AS BIGINT) END AS passes_then, CASE WHEN big AND big20 THEN (leaders / nullif(ld20, 0) - 1) * 100 END AS leader_change, CASE WHEN ten = 10 THEN hs END AS highs_20, CASE WHEN ten = 10 THEN hi END AS highs_52, CASE WHEN big THEN sectors_up END AS sectors_up,
+  CASE WHEN big AND big20 AND ld20 > 0 AND led_n >= 5 THEN (led_return - (own / own20 - 1)) * 100 END AS leaders_gap, coalesce(0.6 * dist + 0.4 * odist, dist, odist) AS distribution, acc AS accumulation_days, CASE WHEN big THEN sum(value_up) OVER t / nullif(sum(value_down) OVER t, 0) END AS up_down_value,
   CASE WHEN i > 25 THEN sum(xd) OVER t END AS cluster, acc / nullif(acc + dist, 0) AS up_on_volume, CASE WHEN big THEN coalesce(judged, 0) END AS judged, CASE WHEN big AND judged >= 3 THEN success END AS success, CASE WHEN big AND judged >= 3 THEN held END AS held, CASE WHEN big AND judged >= 3 THEN failure END AS failure,
-  CASE WHEN big AND judged >= 3 THEN median_return END AS median_return, CASE WHEN big THEN nr * 100.0 / n END AS near_pivot, CASE WHEN big THEN held END AS held_any, CASE WHEN count(up / nullif(up + dn, 0)) OVER t = 10 THEN avg(up * 100.0 / nullif(up + dn, 0)) OVER t END AS thrust_ratio
+  CASE WHEN big AND judged >= 3 THEN median_return END AS median_return, CASE WHEN big THEN near * 100.0 / n END AS near_pivot, CASE WHEN big THEN held END AS held_any, CASE WHEN count(advances / nullif(advances + declines, 0)) OVER t = 10 THEN avg(advances * 100.0 / nullif(advances + declines, 0)) OVER t END AS thrust_ratio
   FROM c3 WINDOW w AS (ORDER BY trade_date), v AS (ORDER BY trade_date ROWS 19 PRECEDING), t AS (ORDER BY trade_date ROWS 9 PRECEDING))
 """
 
@@ -211,7 +208,7 @@ def mean_sql(*parts: tuple[float, str]) -> str:
     return "(" + " + ".join(f"coalesce(({p}) * {k}.0, 0.0)" for k, p in parts) + ") / nullif(" + " + ".join(f"CASE WHEN ({p}) IS NULL THEN 0.0 ELSE {k}.0 END" for k, p in parts) + ", 0)"
 
 
-HEALTH = ", pl AS (SELECT *, CASE WHEN index_200 IS NOT NULL THEN " + mean_sql((20, "above_50"), (20, "above_150"), (20, "above_200"), (20, "stacked"), (10, "rising_200")) + """ END AS index_trend,
+HEALTH = ", pl AS (SELECT *, CASE WHEN index_200 IS NOT NULL THEN " + mean_sql((20, "above_50"), (20, "above_150"), (20, "above_200"), (20, "stacked"), (10, "rising_200"), (5, "large_above_50"), (5, "small_above_50")) + """ END AS index_trend,
 CASE WHEN big THEN """ + mean_sql((20, rung("pct_above_50", 30, 70)), (15, rung("pct_above_150", 30, 70)), (15, rung("pct_above_200", 30, 70)), (15, rung("ad_ratio", -0.15, 0.15)), (15, f"coalesce({rung('highs_lows', 0.2, 0.8)}, 50.0)"), (10, rung("above_50_change", -15, 15)), (10, rung("own_gap", -4, 4))) + """ END AS breadth,
 CASE WHEN big THEN """ + mean_sql((25, rung("pass_share", 3, 20)), (20, rung("leader_change", -40, 40)), (10, rung("highs_20", 2, 12)), (10, rung("highs_52", 0.5, 5)), (20, rung("sectors_up", 20, 80)), (15, rung("leaders_gap", -3, 5))) + """ END AS leadership,
 """ + mean_sql(
@@ -258,19 +255,21 @@ SELECT instrument, trade_date, round(jump + 3e-10, 6) AS jump, round(residual +
   (SELECT arg_min(h.ratio, (abs(r.jump - h.v), h.ratio)) FROM (VALUES ('1:2', 1 / 2.0), ('2:3', 2 / CAST(3 AS DOUBLE)), ('1:3', 1 / CAST(3 AS DOUBLE)), ('3:4', 0.75), ('1:4', 0.25), ('1:5', 0.2), ('1:10', 0.1)) AS h(ratio, v)) AS hint FROM r""",
     "dom55_forward_labels": with_(BARS, FEATURES) + """, f0 AS (SELECT instrument, trade_date, close, high, low, volume, high_20 AS level, row_number() OVER w AS n,
   coalesce(CASE WHEN count(volume) OVER p = 50 THEN avg(volume) OVER p END > 0 AND volume >= 1.5 * CASE WHEN count(volume) OVER p = 50 THEN avg(volume) OVER p END, false) AS loud, count(*) OVER a AS n_bars,
-  """ + ", ".join(f"(lead(close, {h}) OVER w / close - 1.0) * 100.0 AS ret_{h}" for h in (5, 10, 20, 40, 60)) + """, max(high) OVER a AS mx, min(low) OVER a AS mn FROM feat
-  WINDOW w AS (PARTITION BY instrument ORDER BY trade_date), p AS (PARTITION BY instrument ORDER BY trade_date ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY instrument ORDER BY trade_date ROWS BETWEEN 1 FOLLOWING AND 60 FOLLOWING)),
-b AS (SELECT x.instrument, x.n, min(y.n - x.n) AS breakout_day FROM f0 x JOIN f0 y ON y.instrument = x.instrument AND y.n BETWEEN x.n + 1 AND x.n + 20 AND y.close > x.level AND y.loud GROUP BY 1, 2),
-q AS (SELECT b.instrument, b.n, count(*) AS k, min(y.close) AS low_after FROM b JOIN f0 y ON y.instrument = b.instrument AND y.n BETWEEN b.n + breakout_day + 1 AND b.n + breakout_day + 10 GROUP BY 1, 2),
-o AS (SELECT f.*, CAST(b.breakout_day AS INTEGER) AS breakout_day, CASE WHEN level IS NULL THEN NULL WHEN b.breakout_day IS NOT NULL THEN true WHEN n_bars >= 20 THEN false END AS breakout,
-  CASE WHEN b.breakout_day IS NULL THEN NULL WHEN low_after < level THEN true WHEN k = 10 THEN false END AS failed FROM f0 f LEFT JOIN b USING (instrument, n) LEFT JOIN q USING (instrument, n))
+  """ + ", ".join(f"(lead(close, {h}) OVER w / close - 1.0) * 100.0 AS ret_{h}" for h in (5, 10, 20, 40, 60)) + """, max(high) OVER a AS mx, min(low) OVER a AS mn, min(close) OVER t AS low_10, count(*) OVER t AS n_10 FROM feat
+  WINDOW w AS (PARTITION BY instrument ORDER BY trade_date), p AS (PARTITION BY instrument ORDER BY trade_date ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY instrument ORDER BY trade_date ROWS BETWEEN 1 FOLLOWING AND 60 FOLLOWING), t AS (PARTITION BY instrument ORDER BY trade_date ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING)),
+f1 AS (SELECT *, CASE """ + " ".join(f"WHEN lead(loud_close, {k}) OVER w > level THEN {k}" for k in range(1, 21)) + """ END AS breakout_day FROM (SELECT *, CASE WHEN loud THEN close END AS loud_close FROM f0) WINDOW w AS (PARTITION BY instrument ORDER BY trade_date)),
+f2 AS (SELECT *, CASE breakout_day """ + " ".join(f"WHEN {k} THEN lead(low_10, {k}) OVER w" for k in range(1, 21)) + """ END AS low_after, CASE breakout_day """ + " ".join(f"WHEN {k} THEN lead(n_10, {k}) OVER w" for k in range(1, 21)) + """ END AS k
+  FROM f1 WINDOW w AS (PARTITION BY instrument ORDER BY trade_date)),
+o AS (SELECT * REPLACE (CAST(breakout_day AS INTEGER) AS breakout_day), CASE WHEN level IS NULL THEN NULL WHEN breakout_day IS NOT NULL THEN true WHEN n_bars >= 20 THEN false END AS breakout,
+  CASE WHEN breakout_day IS NULL THEN NULL WHEN low_after < level THEN true WHEN k = 10 THEN false END AS failed FROM f2)
 SELECT instrument, trade_date, close, level, n_bars, breakout_day, breakout, failed, n_bars = 60 AND (level IS NULL OR breakout IS NOT NULL) AND (breakout_day IS NULL OR failed IS NOT NULL) AS complete,
   """ + ", ".join(f"round(ret_{h} + 3e-10, 6) AS ret_{h}" for h in (5, 10, 20, 40, 60)) + """,
   round(CASE WHEN n_bars = 60 THEN (mx / close - 1.0) * 100.0 END + 3e-10, 6) AS best_60, round(CASE WHEN n_bars = 60 THEN (mn / close - 1.0) * 100.0 END + 3e-10, 6) AS worst_60 FROM o""",
-    "dom56_first_hit": with_(BARS) + """, n AS (SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY instrument ORDER BY trade_date ROWS BETWEEN 1 FOLLOWING AND 60 FOLLOWING) AS k FROM bars WINDOW w AS (PARTITION BY instrument ORDER BY trade_date)),
-h AS (SELECT x.instrument, x.n, min(y.n - x.n) FILTER (WHERE y.high >= x.close * (1 + 10 / 100.0)) AS rise, min(y.n - x.n) FILTER (WHERE y.low <= x.close * (1 - 7 / 100.0)) AS fall FROM n x JOIN n y ON y.instrument = x.instrument AND y.n BETWEEN x.n + 1 AND x.n + 60 GROUP BY 1, 2)
-SELECT n.instrument, n.trade_date, CASE WHEN fall IS NOT NULL AND (rise IS NULL OR fall <= rise) THEN 'DOWN' WHEN rise IS NOT NULL THEN 'UP' WHEN k = 60 THEN 'NONE' END AS hit,
-  CAST(CASE WHEN fall IS NOT NULL AND (rise IS NULL OR fall <= rise) THEN fall ELSE rise END AS INTEGER) AS hit_day FROM n LEFT JOIN h USING (instrument, n)""",
+    "dom56_first_hit": with_(BARS) + """, n AS (SELECT *, count(*) OVER (PARTITION BY instrument ORDER BY trade_date ROWS BETWEEN 1 FOLLOWING AND 60 FOLLOWING) AS k FROM bars),
+h AS (SELECT *, CASE """ + " ".join(f"WHEN lead(high, {k}) OVER w >= close * (1 + 10 / 100.0) THEN {k}" for k in range(1, 61)) + """ END AS rise,
+  CASE """ + " ".join(f"WHEN lead(low, {k}) OVER w <= close * (1 - 7 / 100.0) THEN {k}" for k in range(1, 61)) + """ END AS fall FROM n WINDOW w AS (PARTITION BY instrument ORDER BY trade_date))
+SELECT instrument, trade_date, CASE WHEN fall IS NOT NULL AND (rise IS NULL OR fall <= rise) THEN 'DOWN' WHEN rise IS NOT NULL THEN 'UP' WHEN k = 60 THEN 'NONE' END AS hit,
+  CAST(CASE WHEN fall IS NOT NULL AND (rise IS NULL OR fall <= rise) THEN fall ELSE rise END AS INTEGER) AS hit_day FROM h""",
     "agg11_trade_stats": """WITH t AS (SELECT year(l_shipdate) AS year, round((l_discount - l_tax) * 100, 4) AS r, l_quantity AS h FROM lineitem)
 SELECT CAST(year AS INTEGER) AS year, count(*) AS trades, round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) + 3e-10, 6) AS win_rate, round(avg(r) + 3e-10, 6) AS avg_ret, round(median(r) + 3e-10, 6) AS median_ret, round(avg(r) FILTER (WHERE r > 0) + 3e-10, 6) AS avg_win,
   round(avg(r) FILTER (WHERE r <= 0) + 3e-10, 6) AS avg_loss, round(sum(r) FILTER (WHERE r > 0) / nullif(-sum(r) FILTER (WHERE r <= 0), 0) + 3e-10, 6) AS profit_factor, round(avg(h) + 3e-10, 6) AS avg_hold_days FROM t GROUP BY 1""",

@@ -81,8 +81,10 @@ f AS (SELECT instrument, k, as_of, session, "pivot", session AS s0, "pivot" AS p
   UNION ALL SELECT o.instrument, o.k, o.as_of, o.session, o."pivot", CASE WHEN t THEN o.session ELSE s0 END, CASE WHEN t THEN o."pivot" ELSE p0 END, t
   FROM (SELECT o.*, f.s0, f.p0, o.session <> f.session + 1 OR abs(o."pivot" / f.p0 - 1) * 100 > 0.01 OR o.session - f.s0 >= 20 AS t FROM f JOIN o ON o.instrument = f.instrument AND o.k = f.k + 1) o)
 SELECT instrument, as_of, "pivot" FROM f WHERE new""",
-    "dom60_signals": with_(BARS, FEATURES, STRENGTH, TREND) + """, r AS (SELECT *, sum(CASE WHEN status = 'PASS' THEN 1 ELSE 0 END) OVER (PARTITION BY instrument ORDER BY trade_date ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS recent FROM status)
-SELECT r.instrument, r.trade_date, f.high_20 AS level, CAST(r.rs_rank AS DOUBLE) AS score FROM r JOIN feat f USING (instrument, trade_date) WHERE r.status = 'PASS' AND recent = 0""",
+    "dom60_signals": with_(BARS, FEATURES, STRENGTH, TREND) + """, k AS (SELECT instrument, trade_date, rs_rank, status, row_number() OVER (PARTITION BY instrument ORDER BY trade_date) AS n FROM status),
+-- passing bars stand eleven bars or more behind the passing bar before, and have ten bars before them less only at the start
+p AS (SELECT *, lag(n) OVER (PARTITION BY instrument ORDER BY n) AS last FROM k WHERE status = 'PASS')
+SELECT p.instrument, p.trade_date, f.high_20 AS level, CAST(p.rs_rank AS DOUBLE) AS score FROM p JOIN feat f USING (instrument, trade_date) WHERE n > 1 AND (last IS NULL OR n - last > 10)""",
     "win12_ema20": "WITH RECURSIVE " + BARS.strip() + """, n AS (SELECT instrument, trade_date, close, row_number() OVER (PARTITION BY instrument ORDER BY trade_date) AS n FROM bars),
 e AS (SELECT instrument, CAST(20 AS BIGINT) AS n, sum(close) / 20 AS ema FROM n WHERE n <= 20 GROUP BY 1 HAVING count(*) = 20 UNION ALL SELECT e.instrument, n.n, e.ema + (n.close - e.ema) * (2 / CAST(21 AS DOUBLE)) FROM e JOIN n ON n.instrument = e.instrument AND n.n = e.n + 1)
 SELECT e.instrument, n.trade_date, round(e.ema + 3e-10, 6) AS ema_20 FROM e JOIN n USING (instrument, n) WHERE (e.instrument, e.n) IN (SELECT instrument, max(n) FROM n GROUP BY 1)""",

@@ -194,8 +194,8 @@ SELECT instrument, min(session) AS first, max(session) AS last, count(*) AS n FR
 SELECT coalesce(a.instrument, b.instrument) AS instrument, CASE WHEN a.instrument IS NULL THEN 'JOINED' WHEN b.instrument IS NULL THEN 'LEFT' ELSE 'STAYED' END AS change FROM a FULL JOIN b ON a.instrument = b.instrument""",
     "join06_asof_backward": _ASOF.format(op="<="),
     "join07_asof_strict": _ASOF.format(op="<"),
-    "join08_asof_forward": with_(BARS, ACTIONS) + """, m AS (SELECT b.instrument, b.trade_date, min(a.ex_date) AS matched_ex_date FROM bars b JOIN act a ON a.instrument = b.instrument AND a.ex_date > b.trade_date GROUP BY 1, 2)
-SELECT b.instrument, b.trade_date, b.close, m.matched_ex_date, a.num, a.den FROM bars b LEFT JOIN m USING (instrument, trade_date) LEFT JOIN act a ON a.instrument = b.instrument AND a.ex_date = m.matched_ex_date""",
+    "join08_asof_forward": with_(BARS, ACTIONS) + """
+SELECT b.instrument, b.trade_date, b.close, a.ex_date AS matched_ex_date, a.num, a.den FROM bars b ASOF LEFT JOIN act a ON a.instrument = b.instrument AND b.trade_date < a.ex_date""",
     "join09_range": with_(BARS, ACTIONS) + "SELECT a.instrument, a.ex_date, count(*) AS n_bars, round(avg(close) + 3e-10, 6) AS avg_close FROM act a JOIN bars b ON b.instrument = a.instrument AND b.trade_date > a.ex_date AND b.trade_date <= a.ex_date + 60 GROUP BY 1, 2",
     "join10_validity": with_(BARS) + f""", sec AS (SELECT s_suppkey AS instrument, n_name AS sector FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 v AS (SELECT instrument, sector, DATE '1900-01-01' AS a, CASE WHEN instrument % 2 = 1 THEN {CUT} END AS b FROM sec UNION ALL SELECT instrument, sector || ' (moved)', {CUT}, NULL FROM sec WHERE instrument % 2 = 1)
