@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom import streaming as st
 from barloom.functions import r6
-from barloom.sources.bars import table
+from barloom.operators import tracking
+from barloom.plans.screen import rounded
+from barloom.plans.sql import BARS, with_
+from barloom.sources.bars import model_bars, sessions, table
+from barloom.streaming import daily
 
 
 def ticks(s, d):
@@ -33,9 +38,40 @@ def alerts(s, d):
     return st.run_available(st.alerts(ticks(s, d), levels), f"{at}/out", f"{at}/state")
 
 
-QUERIES = {"str01_candles": candles, "str02_freshness": freshness, "str03_alerts": alerts}
+def tracked(s, d):
+    return rounded(tracking.track_breakouts(tracking.daily_detections(model_bars(s, d))), "event_pivot", "event_ratio")
+
+
+def replayed(s, d, parts: int = 4):
+    """Detections of all sessions as they come, a part of the sessions at a time; each part is a run of its own from the checkpoint of the last."""
+    at, bars = st.scratch(s), model_bars(s, d)
+    days = sessions(bars).select("trade_date", F.ntile(parts).over(W.orderBy("session")).alias("part"))
+    tracking.daily_detections(bars).join(days, "trade_date").write.partitionBy("part").parquet(f"{at}/all")
+    out = None
+    for k in range(1, parts + 1):
+        s.read.parquet(f"{at}/all/part={k}").select(*s.createDataFrame([], tracking.DETECTION).columns).write.mode("append").parquet(f"{at}/come")
+        out = st.run_available(daily.track_stream(daily.detection_stream(s, f"{at}/come")), f"{at}/out", f"{at}/state")
+    return rounded(out, "event_pivot", "event_ratio")
+
+
+QUERIES = {"str01_candles": candles, "str02_freshness": freshness, "str03_alerts": alerts, "dom39_tracked_breakouts": tracked, "str05_replayed_breakouts": replayed}
+
+#: Detections of each bar, and the events and states that follow from them.
+TRACKED = with_(BARS) + """, dt0 AS (SELECT instrument, trade_date, close, volume / CASE WHEN count(*) OVER f = 50 THEN nullif(avg(volume) OVER f, 0) END AS ratio, count(*) OVER o AS n, max(high) OVER o AS level, arg_min(trade_date, (-high, trade_date)) OVER o AS base_start,
+  max(high) OVER y AS piv, arg_min(trade_date, (-high, trade_date)) OVER y AS pivot_date FROM bars
+  WINDOW f AS (PARTITION BY instrument ORDER BY trade_date ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING), o AS (PARTITION BY instrument ORDER BY trade_date ROWS BETWEEN 55 PRECEDING AND 6 PRECEDING), y AS (PARTITION BY instrument ORDER BY trade_date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
+dt AS (SELECT *, CASE WHEN close <= level * (1 - 30.0 / 100) THEN 'INVALIDATED' WHEN coalesce(close > level AND ratio >= 1.5, false) THEN 'BREAKOUT' ELSE 'FORMING' END AS state, lag(base_start) OVER w AS last_base, lag(piv) OVER w AS last_pivot FROM dt0 WHERE n = 50 WINDOW w AS (PARTITION BY instrument ORDER BY trade_date)),
+src AS (SELECT *, CASE WHEN state = 'BREAKOUT' THEN 'STRUCTURAL' WHEN last_base = base_start AND close > last_pivot AND ratio >= 1.5 THEN 'PRIOR_DAY_PIVOT' END AS source FROM dt WHERE state <> 'INVALIDATED'),
+-- a base's first day with a source is its event
+ev AS (SELECT instrument, base_start, trade_date AS breakout_date, source, CASE source WHEN 'STRUCTURAL' THEN level ELSE last_pivot END AS event_pivot, ratio AS event_ratio FROM src WHERE source IS NOT NULL QUALIFY row_number() OVER (PARTITION BY instrument, base_start ORDER BY trade_date) = 1)
+SELECT s.instrument, s.trade_date, s.base_start, CASE WHEN e.base_start IS NULL OR (e.breakout_date = s.trade_date AND e.source = 'STRUCTURAL') THEN state WHEN close >= event_pivot THEN 'BREAKOUT' ELSE 'FAILED' END AS status,
+  CASE WHEN e.base_start IS NOT NULL THEN 'bo-' || substr(sha256(s.instrument || '|' || s.base_start || '|default'), 1, 20) END AS event_id, coalesce(e.breakout_date = s.trade_date, false) AS is_new, e.source, e.breakout_date,
+  round(event_pivot + 3e-10, 6) AS event_pivot, round(event_ratio + 3e-10, 6) AS event_ratio
+FROM src s LEFT JOIN ev e ON e.instrument = s.instrument AND e.base_start = s.base_start AND e.breakout_date <= s.trade_date"""
 
 ORACLES = {
+    "dom39_tracked_breakouts": TRACKED,
+    "str05_replayed_breakouts": TRACKED,
     "str01_candles": "SELECT user_id AS symbol, date_trunc('hour', ts) AS start, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS n FROM events GROUP BY 1, 2",
     "str02_freshness": "SELECT user_id AS symbol, max(ts) AS last_at, arg_max(value, (ts, event_id)) AS last_price FROM events GROUP BY 1",
     "str03_alerts": """WITH l AS (SELECT user_id AS symbol, round(avg(value) + 3e-10, 6) AS level FROM events GROUP BY 1)
