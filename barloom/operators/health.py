@@ -71,10 +71,14 @@ def day_counts(panel: DataFrame) -> DataFrame:
     )
 
 
-def sectors_up(panel: DataFrame, sectors: DataFrame) -> DataFrame:
-    """(trade_date, sectors_up): share of equal-weight sector lines above their 50-day mean with a positive return, averaged over horizons; null below MIN_SECTORS."""
+def sector_days(panel: DataFrame, sectors: DataFrame) -> DataFrame:
+    """(sector, trade_date, r): the mean return of each sector's instruments that day."""
+    return panel.join(sectors, "instrument").groupBy("sector", "trade_date").agg(F.avg("daily_return").alias("r"))
+
+
+def sectors_up(lines: DataFrame) -> DataFrame:
+    """(trade_date, sectors_up): share of the lines of sector_days() above their 50-day mean with a positive return, averaged over horizons; null below MIN_SECTORS."""
     w = W.partitionBy("sector").orderBy("trade_date")
-    lines = panel.join(sectors, "instrument").groupBy("sector", "trade_date").agg(F.avg("daily_return").alias("r"))
     line = F.exp(F.sum(F.coalesce(F.log1p("r"), F.lit(0.0))).over(w.rowsBetween(W.unboundedPreceding, 0)))
     rows = lines.select("sector", "trade_date", line.alias("line"))
     fifty = w.rowsBetween(-49, 0)

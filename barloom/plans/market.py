@@ -53,12 +53,17 @@ def trades(s, d):
     return t.select(F.year("l_shipdate").alias("year"), F.round((F.col("l_discount") - F.col("l_tax")) * 100, 4).alias("ret_pct"), F.col("l_quantity").alias("hold_days"))
 
 
+def with_indices(panel):
+    """The panel with a fifth of the instruments as an index of large ones, and a fifth as one of small ones."""
+    return panel.withColumns({"large": F.col("instrument") % 5 == 0, "small": F.col("instrument") % 5 == 1})
+
+
 def day_readings(s, d):
     """All readings of the market's days, for a market of ten eligible stocks or more and three verdicts."""
-    p = pan(s, d).withColumns({"large": F.col("instrument") % 5 == 0, "small": F.col("instrument") % 5 == 1})
+    p = with_indices(pan(s, d))
     counts = health.day_counts(p)
     judged = health.judged_breakouts(market.breakouts(p), counts.select("trade_date"))
-    return health.readings(counts, health.sectors_up(p, sectors(s, d)), judged, min_universe=10, min_judged=3)
+    return health.readings(counts, health.sectors_up(health.sector_days(p, sectors(s, d))), judged, min_universe=10, min_judged=3)
 
 
 def scored(s, d):

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from barloom import streaming as st
 from barloom.functions import r6
-from barloom.operators import tracking
+from barloom.operators import health, incremental, tracking
+from barloom.plans import market as market_plans
 from barloom.plans.screen import rounded
 from barloom.plans.sql import BARS, with_
-from barloom.sources.bars import model_bars, sessions, table
+from barloom.sources.bars import model_bars, sectors, sessions, table
 from barloom.streaming import daily
 
 
@@ -54,7 +55,39 @@ def replayed(s, d, parts: int = 4):
     return rounded(out, "event_pivot", "event_ratio")
 
 
-QUERIES = {"str01_candles": candles, "str02_freshness": freshness, "str03_alerts": alerts, "dom39_tracked_breakouts": tracked, "str05_replayed_breakouts": replayed}
+CUT_DAYS = ("1996-06-30", "1997-03-31")
+
+
+def grown(s, d):
+    """The days' tables after three runs over bars that landed in three parts: up to each of CUT_DAYS, and the rest."""
+    at, bars = st.scratch(s), model_bars(s, d)
+    last = None
+    for day in (*CUT_DAYS, "9999-12-31"):
+        part = bars.where(F.col("trade_date") <= F.lit(day).cast("date"))
+        incremental.land(part if last is None else part.where(F.col("trade_date") > F.lit(last).cast("date")), f"{at}/bars")
+        incremental.update_days(s, f"{at}/bars", f"{at}/days", sectors(s, d), market_plans.with_indices)
+        last = day
+    return at
+
+
+def new_days(s, d):
+    rows = incremental.stored_readings(s, f"{grown(s, d)}/days", min_universe=10, min_judged=3)
+    return rounded(health.thrust_days(rows), *market_plans.READ)
+
+
+def caught_up(s, d):
+    """Sessions that each of three runs of a stream over the bars' folder finds to scan, which lands in three parts."""
+    at, bars = st.scratch(s), model_bars(s, d)
+    last = None
+    for day in (*CUT_DAYS, "9999-12-31"):
+        part = bars.where(F.col("trade_date") <= F.lit(day).cast("date"))
+        incremental.land(part if last is None else part.where(F.col("trade_date") > F.lit(last).cast("date")), f"{at}/bars")
+        daily.catch_up(s, f"{at}/bars", f"{at}/scans", f"{at}/state")
+        last = day
+    return s.read.parquet(f"{at}/scans").select("trade_date", F.col("run").cast("int").alias("run"))
+
+
+QUERIES = {"dom75_new_days": new_days, "str06_catch_up": caught_up, "str01_candles": candles, "str02_freshness": freshness, "str03_alerts": alerts, "dom39_tracked_breakouts": tracked, "str05_replayed_breakouts": replayed}
 
 #: Detections of each bar, and the events and states that follow from them.
 TRACKED = with_(BARS) + """, dt0 AS (SELECT instrument, trade_date, close, volume / CASE WHEN count(*) OVER f = 50 THEN nullif(avg(volume) OVER f, 0) END AS ratio, count(*) OVER o AS n, max(high) OVER o AS level, arg_min(trade_date, (-high, trade_date)) OVER o AS base_start,
@@ -70,6 +103,10 @@ SELECT s.instrument, s.trade_date, s.base_start, CASE WHEN e.base_start IS NULL
 FROM src s LEFT JOIN ev e ON e.instrument = s.instrument AND e.base_start = s.base_start AND e.breakout_date <= s.trade_date"""
 
 ORACLES = {
+    "dom75_new_days": market_plans.ORACLES["dom73_readings"],
+    # The first run scans the latest session there is, the others all behind the last one scanned.
+    "str06_catch_up": with_(BARS) + """SELECT DISTINCT trade_date, CAST(CASE WHEN trade_date <= DATE '1996-06-30' THEN 0 WHEN trade_date <= DATE '1997-03-31' THEN 1 ELSE 2 END AS INTEGER) AS run FROM bars
+WHERE trade_date >= (SELECT max(trade_date) FROM bars WHERE trade_date <= DATE '1996-06-30')""",
     "dom39_tracked_breakouts": TRACKED,
     "str05_replayed_breakouts": TRACKED,
     "str01_candles": "SELECT user_id AS symbol, date_trunc('hour', ts) AS start, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS n FROM events GROUP BY 1, 2",

@@ -11,10 +11,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from barloom.operators import incremental
 from barloom.operators.tracking import DETECTION, TRACKED
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -86,3 +86,19 @@ def track_stream(detections: DataFrame, config: str = "default", volume_ratio: f
 
 def detection_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(DETECTION).parquet(folder)
+
+
+def catch_up(spark: SparkSession, bars: str, scans: str, checkpoint: str) -> None:
+    """Scans the sessions of a folder of bars that have come since the last scan, once each; scans gets (trade_date, run).
+
+    A batch is one run. Its rows go to a partition of its own, which a repeated batch overwrites with the same, as it looks
+    only at the scans of earlier runs.
+    """
+    schema = spark.read.parquet(bars).schema
+    stream = spark.readStream.schema(schema).parquet(bars).select("trade_date")
+
+    def scan(batch: DataFrame, run: int) -> None:
+        done = spark.read.parquet(scans).where(F.col("run") < run) if run else batch.limit(0)
+        incremental.sessions_to_scan(batch, done).write.mode("overwrite").parquet(f"{scans}/run={run}")
+
+    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(scan).start().awaitTermination()
