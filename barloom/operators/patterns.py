@@ -20,10 +20,6 @@ class BaseRules:
     left: int = 5
     right: int = 5
     window: int = 130
-    #: The stretch grows by so many bars while its highest high stands in its oldest share, up to widest.
-    extend_bars: int = 30
-    edge_share: float = 0.25
-    widest: int = 325
     advance_bars: int = 120
     advance_pct: float = 20.0
     noise_pct: float = 2.0
@@ -129,47 +125,6 @@ def detect_bases(bars: DataFrame, as_of: DataFrame, rules: BaseRules = BaseRules
     )
 
 
-def detect_falls(bars: DataFrame, as_of: DataFrame, rules: BaseRules = BaseRules()) -> DataFrame:
-    """Falling legs as of days: lower highs behind a base start that may lie far back; for as_of(instrument, as_of).
-
-    The stretch grows by extend_bars while its highest high stands in its oldest edge_share; the base starts at the earliest high within
-    equal_pct of the highest. A leg goes on falling, from the base's high, as long as it makes lower lows; one that undercuts every
-    low before it voids the legs between. A leg whose high a later leg's exceeds was a pause of the rally and goes. (instrument, as_of, base_start, window, n_legs, depths, lower_highs, undercuts, pivot, above_pivot_pct, depth_pct,
-    n_bars, advance_pct, unmet, candidate); unmet names what of the loose minimum is missing.
-    """
-    rows = of_days(known_swings(bars, rules, rules.widest), as_of)
-    within = lambda k: F.filter("highs", lambda x: x["n"] > F.col("n") - k)
-    steps = F.sequence(F.lit(1), F.lit(-(-(rules.widest - rules.window) // rules.extend_bars)))
-    edge = lambda k: F.coalesce(highest(within(k))["n"] <= F.col("n") - k + (k * rules.edge_share).cast("int"), F.lit(False))
-    window = F.aggregate(steps, F.lit(rules.window), lambda k, _: F.when(edge(k), F.least(k + rules.extend_bars, F.lit(rules.widest))).otherwise(k))
-    rows = rows.withColumn("window", window)
-    rows = rows.withColumn("highs", within(F.col("window"))).withColumn("top", highest(F.col("highs")))
-    rows = rows.withColumn("top", F.get(F.filter("highs", lambda x: x["price"] >= F.col("top")["price"] * (1 - rules.equal_pct / 100)), 0))
-    rows = with_legs(rows.withColumn("highs", F.filter("highs", lambda x: x["n"] >= F.col("top")["n"])), rules)
-    none = F.struct(F.slice("legs", 1, 0).alias("held"), F.lit(0).alias("undercuts"), F.lit(None).cast("double").alias("floor"))
-
-    def take(a: Column, x: Column) -> Column:
-        held, under = a["held"], F.coalesce(x["trough"] < a["floor"], F.lit(False))
-        whole = to_trough(F.element_at(held, 1), x, F.lit(True))
-        higher = F.filter(held, lambda k: k["peak"] > x["peak"])
-        now = F.when(F.size(held) == 0, F.array(x)).when(under, F.array(whole)).when(shallow(x, rules), held).otherwise(F.concat(higher, F.array(x)))
-        return F.struct(now.alias("held"), (a["undercuts"] + F.when(under & (F.size(held) > 1), 1).otherwise(0)).alias("undercuts"), F.least(a["floor"], x["trough"]).alias("floor"))
-
-    rows = rows.withColumn("fall", F.aggregate("legs", none, take)).withColumn("held", F.col("fall")["held"])
-    pivot = F.coalesce(F.try_element_at("held", F.lit(-1))["peak"], F.col("top")["price"])
-    rows = rows.withColumn("pivot", pivot).withColumn("advance_pct", (F.col("top")["price"] / F.col("top")["before"] - 1) * 100).withColumn("n_bars", (F.col("n") - F.col("top")["n"]).cast("int"))
-    deep = F.greatest(F.array_max(F.transform("legs", depth)), F.lit(0.0))
-    above = (F.col("close") / F.col("pivot") - 1) * 100
-    unmet = F.array_compact(F.array(
-        F.when(F.col("top").isNull(), F.lit("SWING_HIGH")), F.when(F.coalesce(F.col("advance_pct"), F.lit(0.0)) < rules.advance_pct, F.lit("ADVANCE")), F.when(F.coalesce("n_bars", F.lit(0)) < 10, F.lit("SHORT")),
-        F.when(~deep.between(3, 50), F.lit("DEPTH")), F.when(F.size("held") < 1, F.lit("CONTRACTIONS")), F.when(F.coalesce(above, F.lit(0.0)) > 7, F.lit("EXTENDED")), F.when(F.col("close") > F.col("top")["price"], F.lit("BROKEN_OUT")),
-    ))
-    return rows.select(
-        "instrument", "as_of", F.col("top")["day"].alias("base_start"), "window", F.size("held").alias("n_legs"), F.transform("held", depth).alias("depths"), F.transform("held", lambda x: x["peak"]).alias("lower_highs"),
-        F.col("fall")["undercuts"].alias("undercuts"), "pivot", above.alias("above_pivot_pct"), deep.alias("depth_pct"), "n_bars", "advance_pct", unmet.alias("unmet"), (F.size(unmet) == 0).alias("candidate"),
-    )
-
-
 def measures(bases: DataFrame) -> DataFrame:
     """How a base tightens: each contraction's depth beside the one before, and whether they shrink one after the other.
 

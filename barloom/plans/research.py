@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.operators import backtest, labels, patterns
+from barloom.operators import backtest, falls, labels, patterns
 from barloom.operators.backtest import TradeRule
 from barloom.operators.features import daily_features
 from barloom.operators.trend import screened, trend_status
@@ -42,11 +42,16 @@ def ema20(s, d):
     return bars.select("instrument", F.element_at("b", -1)["trade_date"].alias("trade_date"), last.alias("ema_20"))
 
 
-def weekly_falls(s, d):
-    """The second detector at each instrument's last bar of every fourth week."""
+def falls_of_all(s, d):
+    """The second detector as of every bar."""
+    return falls.daily_falls(model_bars(s, d))
+
+
+def candidate_signals(s, d):
+    """New signals among the detector's candidate days."""
     bars = model_bars(s, d)
-    week = F.floor(F.datediff("trade_date", F.lit("1992-01-06").cast("date")) / 28)
-    return patterns.detect_falls(bars, bars.groupBy("instrument", week.alias("w")).agg(F.max("trade_date").alias("as_of")).drop("w"))
+    days = falls.daily_falls(bars).where("candidate").select("instrument", "as_of", "pivot")
+    return patterns.new_signals(days.join(sessions(bars).withColumnRenamed("trade_date", "as_of"), "as_of").select("instrument", "as_of", "pivot", "session"))
 
 
 def level_signals(s, d):
@@ -57,7 +62,9 @@ def level_signals(s, d):
 
 
 QUERIES = {
-    "dom48_falls": weekly_falls,
+    "dom48_falls": falls_of_all,
+    "dom49_daily_scan": lambda s, d: falls.scan_summary(falls.daily_falls(model_bars(s, d))),
+    "dom50_candidate_signals": candidate_signals,
     "dom50_new_signals": level_signals,
     "dom60_signals": signals,
     "dom57_trades": lambda s, d: rounded(trades(s, d), "entry", "exit", "ret_pct"),

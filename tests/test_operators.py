@@ -205,28 +205,6 @@ def last_day(spark, close):
     return spark.createDataFrame([(1, D0 + timedelta(len(close) + 3))], "instrument long, as_of date")
 
 
-def test_falling_legs_by_hand(spark):
-    rise = (50, 100, 130)
-
-    def falls_of(*points):
-        close = legs(*points).tolist()
-        return patterns.detect_falls(bars(spark, close, spread=0.002), last_day(spark, close)).first()
-
-    two = falls_of(rise, (100, 80, 15), (80, 97, 15), (97, 89, 10), (89, 94, 8))
-    assert list(two.unmet) == [] and [round(x) for x in two.depths] == [20, 9] and two.candidate and two.pivot == pytest.approx(97 * 1.002, rel=1e-3)
-    stairs = falls_of(rise, (100, 88, 12), (88, 94, 8), (94, 80, 12), (80, 97, 15), (97, 91, 10), (91, 94, 8))
-    assert [round(x) for x in stairs.depths] == [20, 7] and stairs.undercuts == 0
-    under = falls_of(rise, (100, 85, 12), (85, 97, 12), (97, 90, 8), (90, 96, 8), (96, 75, 14), (75, 88, 14), (88, 87.5, 4))
-    assert under.undercuts == 1 and [round(x) for x in under.depths] == [25]
-    rally = falls_of(rise, (100, 85, 12), (85, 92, 8), (92, 88, 8), (88, 97, 12), (97, 91, 10), (91, 94, 8))
-    assert [round(x) for x in rally.depths] == [15, 7] and [round(x) for x in rally.lower_highs] == [100, 97]
-    assert "BROKEN_OUT" in falls_of(rise, (100, 85, 12), (85, 104, 20)).unmet
-    assert "ADVANCE" in falls_of((95, 100, 130), (100, 85, 12), (85, 95, 20)).unmet
-    assert "SWING_HIGH" in falls_of((50, 100, 60)).unmet
-    far = falls_of((50, 100, 60), (100, 80, 40), (80, 95, 70), (95, 90, 10), (90, 93, 8))
-    assert far.window > 130 and far.base_start == D0 + timedelta(60)
-
-
 def test_new_signals(spark):
     rows = [(1, k, 10.0, k) for k in range(0, 45)] + [(1, 50, 10.0, 50), (1, 51, 11.0, 51), (1, 52, 11.0, 52)]
     df = spark.createDataFrame(rows, "instrument long, as_of int, pivot double, session int")
