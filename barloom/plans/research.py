@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.operators import backtest, falls, labels, patterns
+from barloom.operators import backtest, falls, labels, patterns, pivots, tracking
 from barloom.operators.backtest import TradeRule
 from barloom.operators.features import daily_features
 from barloom.operators.trend import screened, trend_status
+from barloom.plans.detections import DETECTIONS
 from barloom.plans.screen import rounded
 from barloom.plans.sql import BARS, FEATURES, STRENGTH, TREND, with_
 from barloom.sources.bars import model_bars, sessions
@@ -54,6 +55,11 @@ def candidate_signals(s, d):
     return patterns.new_signals(days.join(sessions(bars).withColumnRenamed("trade_date", "as_of"), "as_of").select("instrument", "as_of", "pivot", "session"))
 
 
+def last_days(s, d):
+    """Each base that daily_detections finds, as of the last bar that has it."""
+    return tracking.daily_detections(model_bars(s, d)).groupBy("instrument", "base_start").agg(F.max("trade_date").alias("as_of"))
+
+
 def level_signals(s, d):
     """Passing days as candidates, their 20-bar high as pivot."""
     bars = model_bars(s, d)
@@ -65,6 +71,7 @@ QUERIES = {
     "dom48_falls": falls_of_all,
     "dom49_daily_scan": lambda s, d: falls.scan_summary(falls.daily_falls(model_bars(s, d))),
     "dom50_candidate_signals": candidate_signals,
+    "dom33_pivots": lambda s, d: rounded(pivots.pivots(model_bars(s, d), last_days(s, d)), "distance_pct", "tightness_pct"),
     "dom50_new_signals": level_signals,
     "dom60_signals": signals,
     "dom57_trades": lambda s, d: rounded(trades(s, d), "entry", "exit", "ret_pct"),
@@ -80,6 +87,28 @@ QUERIES = {
 }
 
 ORACLES = {
+    "dom33_pivots": with_(BARS, DETECTIONS).replace("WITH ", "WITH RECURSIVE ", 1) + """, num AS (SELECT *, row_number() OVER w AS n, high >= max(high) OVER r AS swing FROM bars WINDOW w AS (PARTITION BY instrument ORDER BY trade_date), r AS (PARTITION BY instrument ORDER BY trade_date ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
+bs AS (SELECT b.*, f.n AS first, l.n AS last FROM (SELECT instrument, base_start, max(trade_date) AS as_of FROM dt GROUP BY 1, 2) b JOIN num f ON f.instrument = b.instrument AND f.trade_date = base_start JOIN num l ON l.instrument = b.instrument AND l.trade_date = as_of),
+bb AS (SELECT bs.instrument, base_start, as_of, first, last, num.n, trade_date, high, low, close, swing AND num.n > 5 AND num.n + 5 <= last AS swing FROM (SELECT *, unnest(generate_series(first, last)) AS k FROM bs) bs JOIN num ON num.instrument = bs.instrument AND num.n = bs.k),
+one AS (SELECT instrument, base_start, as_of, first, last, arg_max(close, n) AS close, max(high) FILTER (WHERE n = first) AS base_high, max(n) FILTER (WHERE swing AND n > first) AS peak_n, arg_max(high, n) FILTER (WHERE swing AND n > first) AS peak,
+  max(high) FILTER (WHERE n > last - 10) AS rs, arg_max(n, (high, n)) FILTER (WHERE n > last - 10) AS rs_n, min(low) FILTER (WHERE n > last - 10) AS rs_low FROM bb GROUP BY ALL),
+so AS (SELECT instrument, base_start, n, high, row_number() OVER (PARTITION BY instrument, base_start ORDER BY high DESC, n) AS k FROM bb WHERE swing),
+-- from the highest swing down: a new level where a high is beyond the last level's zone
+cl AS (SELECT instrument, base_start, k, n, high AS top, 1 AS level FROM so WHERE k = 1
+  UNION ALL SELECT so.instrument, so.base_start, so.k, so.n, CASE WHEN so.high >= cl.top * (1 - 1.5 / 100) THEN cl.top ELSE so.high END, CASE WHEN so.high >= cl.top * (1 - 1.5 / 100) THEN level ELSE level + 1 END FROM cl JOIN so ON so.instrument = cl.instrument AND so.base_start = cl.base_start AND so.k = cl.k + 1),
+lv AS (SELECT instrument, base_start, 0 AS o, 'BASE_HIGH' AS source, base_high AS piv, first AS at_n FROM one UNION ALL SELECT instrument, base_start, 1, 'LAST_PEAK', peak, peak_n FROM one WHERE peak_n IS NOT NULL UNION ALL SELECT instrument, base_start, 2, 'RIGHT_SIDE_HIGH', rs, rs_n FROM one
+  UNION ALL SELECT instrument, base_start, 3, 'REPEATED', max(top), max(n) FROM cl GROUP BY instrument, base_start, level HAVING count(*) >= 2),
+nm AS (SELECT instrument, base_start, piv, at_n, arg_min(source, o) AS source FROM lv GROUP BY 1, 2, 3, 4),
+vi AS (SELECT bb.instrument, bb.base_start, bb.last, n, trade_date, low, high, bb.close, piv, at_n, source, bb.high >= piv * (1 - 1.5 / 100) AS inside FROM bb JOIN nm ON nm.instrument = bb.instrument AND nm.base_start = bb.base_start),
+vr AS (SELECT *, sum(CASE WHEN inside AND NOT coalesce(was, false) THEN 1 ELSE 0 END) OVER (PARTITION BY instrument, base_start, piv, at_n ORDER BY n) AS run FROM (SELECT *, lag(inside) OVER (PARTITION BY instrument, base_start, piv, at_n ORDER BY n) AS was FROM vi)),
+rn AS (SELECT instrument, base_start, piv, at_n, run, bool_or(close > piv) AS above, max(n) < max(last) AS over FROM vr WHERE inside GROUP BY 1, 2, 3, 4, 5),
+ct AS (SELECT instrument, base_start, piv, at_n, count(*) AS touches, count(*) FILTER (WHERE over AND NOT above) AS rejections FROM rn GROUP BY 1, 2, 3, 4),
+af AS (SELECT instrument, base_start, piv, at_n, max(trade_date) FILTER (WHERE n = at_n) AS pivot_date, max(high) FILTER (WHERE n > at_n AND n > last - 10) AS hi, min(low) FILTER (WHERE n > at_n AND n > last - 10) AS lo FROM vi GROUP BY 1, 2, 3, 4),
+pr AS (SELECT *, CASE WHEN (1 - rs_low / rs) * 100 <= 5 AND rs >= close THEN rs_n ELSE coalesce(peak_n, first) END AS p_n, coalesce(peak_n, first) AS s_n FROM one)
+SELECT nm.instrument, nm.base_start, as_of, source, nm.piv AS "pivot", pivot_date, round((nm.piv / close - 1) * 100 + 3e-10, 6) AS distance_pct, coalesce(touches, 0) AS touches, coalesce(rejections, 0) AS rejections, round((1 - lo / hi) * 100 + 3e-10, 6) AS tightness_pct,
+  nm.at_n = p_n AND nm.piv = CASE WHEN p_n = rs_n AND (1 - rs_low / rs) * 100 <= 5 AND rs >= close THEN rs WHEN peak_n IS NOT NULL THEN peak ELSE base_high END AS is_primary, nm.at_n = s_n AND nm.piv = CASE WHEN peak_n IS NOT NULL THEN peak ELSE base_high END AS is_structural
+FROM nm JOIN pr ON pr.instrument = nm.instrument AND pr.base_start = nm.base_start JOIN af ON af.instrument = nm.instrument AND af.base_start = nm.base_start AND af.piv = nm.piv AND af.at_n = nm.at_n
+  LEFT JOIN ct ON ct.instrument = nm.instrument AND ct.base_start = nm.base_start AND ct.piv = nm.piv AND ct.at_n = nm.at_n""",
     "dom50_new_signals": with_(BARS, FEATURES, STRENGTH, TREND).replace("WITH ", "WITH RECURSIVE ", 1) + """, n AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS session FROM (SELECT DISTINCT trade_date FROM bars)),
 c AS (SELECT s.instrument, s.trade_date AS as_of, f.high_20 AS "pivot", session FROM status s JOIN feat f USING (instrument, trade_date) JOIN n USING (trade_date) WHERE status = 'PASS'),
 o AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY session) AS k FROM c),

@@ -9,6 +9,7 @@ from barloom import streaming as st
 from barloom.functions import r6
 from barloom.operators import health, incremental, tracking
 from barloom.plans import market as market_plans
+from barloom.plans.detections import DETECTIONS
 from barloom.plans.screen import rounded
 from barloom.plans.sql import BARS, with_
 from barloom.sources.bars import model_bars, sectors, sessions, table
@@ -90,11 +91,7 @@ def caught_up(s, d):
 QUERIES = {"dom75_new_days": new_days, "str06_catch_up": caught_up, "str01_candles": candles, "str02_freshness": freshness, "str03_alerts": alerts, "dom39_tracked_breakouts": tracked, "str05_replayed_breakouts": replayed}
 
 #: Detections of each bar, and the events and states that follow from them.
-TRACKED = with_(BARS) + """, dt0 AS (SELECT instrument, trade_date, close, volume / CASE WHEN count(*) OVER f = 50 THEN nullif(avg(volume) OVER f, 0) END AS ratio, count(*) OVER o AS n, max(high) OVER o AS level, arg_min(trade_date, (-high, trade_date)) OVER o AS base_start,
-  max(high) OVER y AS piv, arg_min(trade_date, (-high, trade_date)) OVER y AS pivot_date FROM bars
-  WINDOW f AS (PARTITION BY instrument ORDER BY trade_date ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING), o AS (PARTITION BY instrument ORDER BY trade_date ROWS BETWEEN 55 PRECEDING AND 6 PRECEDING), y AS (PARTITION BY instrument ORDER BY trade_date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
-dt AS (SELECT *, CASE WHEN close <= level * (1 - 30.0 / 100) THEN 'INVALIDATED' WHEN coalesce(close > level AND ratio >= 1.5, false) THEN 'BREAKOUT' ELSE 'FORMING' END AS state, lag(base_start) OVER w AS last_base, lag(piv) OVER w AS last_pivot FROM dt0 WHERE n = 50 WINDOW w AS (PARTITION BY instrument ORDER BY trade_date)),
-src AS (SELECT *, CASE WHEN state = 'BREAKOUT' THEN 'STRUCTURAL' WHEN last_base = base_start AND close > last_pivot AND ratio >= 1.5 THEN 'PRIOR_DAY_PIVOT' END AS source FROM dt WHERE state <> 'INVALIDATED'),
+TRACKED = with_(BARS, DETECTIONS) + """, src AS (SELECT *, CASE WHEN state = 'BREAKOUT' THEN 'STRUCTURAL' WHEN last_base = base_start AND close > last_pivot AND ratio >= 1.5 THEN 'PRIOR_DAY_PIVOT' END AS source FROM dt WHERE state <> 'INVALIDATED'),
 -- a base's first day with a source is its event
 ev AS (SELECT instrument, base_start, trade_date AS breakout_date, source, CASE source WHEN 'STRUCTURAL' THEN level ELSE last_pivot END AS event_pivot, ratio AS event_ratio FROM src WHERE source IS NOT NULL QUALIFY row_number() OVER (PARTITION BY instrument, base_start ORDER BY trade_date) = 1)
 SELECT s.instrument, s.trade_date, s.base_start, CASE WHEN e.base_start IS NULL OR (e.breakout_date = s.trade_date AND e.source = 'STRUCTURAL') THEN state WHEN close >= event_pivot THEN 'BREAKOUT' ELSE 'FAILED' END AS status,
