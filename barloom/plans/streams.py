@@ -12,6 +12,7 @@ from barloom.plans import market as market_plans
 from barloom.plans.detections import DETECTIONS
 from barloom.plans.screen import rounded
 from barloom.plans.sql import BARS, with_
+from barloom.sources import store
 from barloom.sources.bars import model_bars, sectors, sessions, table
 from barloom.streaming import daily
 
@@ -88,7 +89,37 @@ def caught_up(s, d):
     return s.read.parquet(f"{at}/scans").select("trade_date", F.col("run").cast("int").alias("run"))
 
 
-QUERIES = {"dom75_new_days": new_days, "str06_catch_up": caught_up, "str01_candles": candles, "str02_freshness": freshness, "str03_alerts": alerts, "dom39_tracked_breakouts": tracked, "str05_replayed_breakouts": replayed}
+def landings(s, d):
+    """Bars as they land three times: early ones of a feed, a third of them one too high; the exchange's, but for each fifth instrument; the feed's once more."""
+    bars = model_bars(s, d).select("instrument", "trade_date", *store.PRICES)
+    off = F.when(F.col("instrument") % 3 == 0, 1.0).otherwise(0.0)
+    feed = bars.withColumns({"close": F.col("close") + off, "high": F.col("high") + off, "provider": F.lit("FEED"), "status": F.lit("PROVISIONAL")})
+    final = bars.where("instrument % 5 <> 0").withColumns({"provider": F.lit(store.FINAL), "status": F.lit("OK")})
+    again = bars.withColumns({"provider": F.lit("FEED"), "status": F.lit("PROVISIONAL")})
+    return [rows.withColumn("order", F.lit(k).cast("long")) for k, rows in enumerate((feed, final, again))]
+
+
+def final_over_provisional(s, d):
+    """All versions of the bars after each landing was a run of the merge stream; the last batch is merged a second time, as after a lost run."""
+    at = st.scratch(s)
+    for k, rows in enumerate(landings(s, d)):
+        rows.write.mode("append").parquet(f"{at}/come")
+        store.merge_stream(s.readStream.schema(rows.schema).parquet(f"{at}/come"), f"{at}/bars", f"{at}/state")
+    store.merge_batch(s, f"{at}/bars", rows, k)
+    return s.read.parquet(f"{at}/bars").select("instrument", "trade_date", "close", "provider", "status", "batch_from", "batch_to")
+
+
+def adjusted_rewrite(s, d):
+    """Adjusted bars saved twice: all of them, then those of even instruments at half the price, without their odd days, and as another version too."""
+    at = st.scratch(s)
+    rows = model_bars(s, d).select("instrument", "trade_date", "close", F.lit("v1").alias("version"), F.lit(None).cast("string").alias("snapshot"), F.lit(1).alias("computed_at"))
+    even = rows.where("instrument % 2 = 0 AND day(trade_date) % 2 = 0").withColumns({"close": F.col("close") / 2, "computed_at": F.lit(2)})
+    store.rewrite_adjusted(s, f"{at}/adjusted", rows)
+    store.rewrite_adjusted(s, f"{at}/adjusted", even.unionByName(even.withColumn("version", F.lit("v2"))))
+    return s.read.parquet(f"{at}/adjusted").select("instrument", "trade_date", "version", "snapshot", r6(F.col("close")).alias("close"))
+
+
+QUERIES = {"str04_final_over_provisional": final_over_provisional, "bt12_adjusted_rewrite": adjusted_rewrite, "dom75_new_days": new_days, "str06_catch_up": caught_up, "str01_candles": candles, "str02_freshness": freshness, "str03_alerts": alerts, "dom39_tracked_breakouts": tracked, "str05_replayed_breakouts": replayed}
 
 #: Detections of each bar, and the events and states that follow from them.
 TRACKED = with_(BARS, DETECTIONS) + """, src AS (SELECT *, CASE WHEN state = 'BREAKOUT' THEN 'STRUCTURAL' WHEN last_base = base_start AND close > last_pivot AND ratio >= 1.5 THEN 'PRIOR_DAY_PIVOT' END AS source FROM dt WHERE state <> 'INVALIDATED'),
@@ -100,6 +131,12 @@ SELECT s.instrument, s.trade_date, s.base_start, CASE WHEN e.base_start IS NULL
 FROM src s LEFT JOIN ev e ON e.instrument = s.instrument AND e.base_start = s.base_start AND e.breakout_date <= s.trade_date"""
 
 ORACLES = {
+    "str04_final_over_provisional": with_(BARS) + """, v AS (SELECT instrument, trade_date, CASE WHEN instrument % 3 = 0 THEN close + 1.0 ELSE close END AS early, close FROM bars)
+SELECT instrument, trade_date, early AS close, 'FEED' AS provider, 'PROVISIONAL' AS status, CAST(0 AS BIGINT) AS batch_from, CAST(CASE WHEN instrument % 5 <> 0 THEN 1 WHEN instrument % 3 = 0 THEN 2 END AS BIGINT) AS batch_to FROM v
+UNION ALL SELECT instrument, trade_date, close, 'EXCHANGE', 'OK', 1, NULL FROM v WHERE instrument % 5 <> 0
+UNION ALL SELECT instrument, trade_date, close, 'FEED', 'PROVISIONAL', 2, NULL FROM v WHERE instrument % 5 = 0 AND instrument % 3 = 0""",
+    "bt12_adjusted_rewrite": with_(BARS) + """SELECT instrument, trade_date, 'v1' AS version, 'LIVE' AS snapshot, round(CASE WHEN instrument % 2 = 0 THEN close / 2 ELSE close END + 3e-10, 6) AS close FROM bars WHERE instrument % 2 = 1 OR day(trade_date) % 2 = 0
+UNION ALL SELECT instrument, trade_date, 'v2', 'LIVE', round(close / 2 + 3e-10, 6) FROM bars WHERE instrument % 2 = 0 AND day(trade_date) % 2 = 0""",
     "dom75_new_days": market_plans.ORACLES["dom73_readings"],
     # The first run scans the latest session there is, the others all behind the last one scanned.
     "str06_catch_up": with_(BARS) + """SELECT DISTINCT trade_date, CAST(CASE WHEN trade_date <= DATE '1996-06-30' THEN 0 WHEN trade_date <= DATE '1997-03-31' THEN 1 ELSE 2 END AS INTEGER) AS run FROM bars
