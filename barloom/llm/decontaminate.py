@@ -23,8 +23,8 @@ from barloom.llm.shared import stored
 
 #: Byte by byte: A-Z lower-cased, 0-9 a-z and all of non-ASCII kept, the rest blank.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-#: Benchmark text that one block may hold: what a broadcast and the driver must bear.
-BLOCK_BYTES = 16_000_000
+#: Terms of the benchmark that one block may hold, at 8 bytes each. A block's windows take some 25 times that in the driver, a broadcast and a worker.
+BLOCK_BYTES = 2_000_000
 #: Words of an item that one piece of it may hold.
 PIECE_WORDS = 2_000
 #: Bits of the filter of benchmark terms: 1 MB, however many terms there are. Terms beside the benchmark's that pass it are indexed for nothing.
@@ -70,16 +70,19 @@ class Windows:
     def __init__(self, names: list[str | None], pieces: list[list[int]], size: int, slop: int = 0):
         self.size, self.slop, self.gap = size, slop, size + slop
         self.names = pa.array(names, pa.string())
-        rows: dict[tuple[int, ...], set[int]] = {}
-        for i, ids in enumerate(pieces):
-            for k in range(max(1, len(ids) - size + 1) if ids else 0):
-                rows.setdefault(tuple(ids[k : k + size]), set()).add(i)
-        self.ids = np.zeros((len(rows), size), np.int64)
-        for r, w in enumerate(rows):
-            self.ids[r, : len(w)] = w
+        n = np.array([max(1, len(ids) - size + 1) if ids else 0 for ids in pieces], np.int64)
+        every, first = np.zeros((int(n.sum()), size), np.int64), np.cumsum(n) - n
+        for at, many, ids in zip(first.tolist(), n.tolist(), pieces, strict=True):
+            short = np.array(ids[:size], np.int64)
+            every[at : at + many, : len(short)] = np.lib.stride_tricks.sliding_window_view(np.array(ids, np.int64), size) if len(ids) >= size else short
+        order = np.lexsort(every.T)
+        every, owner = every[order], np.repeat(np.arange(len(pieces), dtype=np.int32), n)[order]
+        # Sorting is stable, so a window's items come in order; an item that has it twice has it once.
+        new = np.append(True, (every[1:] != every[:-1]).any(1)) if len(every) else np.zeros(0, bool)
+        once = new | np.append(True, owner[1:] != owner[:-1]) if len(every) else new
+        self.ids, self.items = every[new], owner[once]
         self.lengths = (self.ids > 0).sum(1).astype(np.int32)
-        self.item_at = np.concatenate([[0], np.cumsum([len(x) for x in rows.values()])]).astype(np.int64)
-        self.items = np.array([i for x in rows.values() for i in sorted(x)], np.int32)
+        self.item_at = np.append(np.flatnonzero(new[once]), len(self.items)).astype(np.int64)
 
     def terms(self) -> np.ndarray:
         return np.setdiff1d(self.ids, [0])

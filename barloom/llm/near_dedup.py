@@ -22,6 +22,8 @@ from barloom.llm.shared import stored
 
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
+#: 64-bit numbers of a set's parities.
+FOLDS = 8
 #: Distinct words whose hashes a worker keeps.
 CACHE = 400_000
 
@@ -192,6 +194,16 @@ def size_band(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.05))).cast("int")
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """FOLDS numbers whose bits say, for each place, whether an odd number of the set's hashes falls there.
+
+    Where two sets' bits differ, some hash is in one of them alone; so two sets of sizes m and n with d differing bits
+    share (m + n - d) / 2 hashes at most.
+    """
+    odd = np.bincount((hashes % _U(64 * FOLDS)).astype(np.int64), minlength=64 * FOLDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Distinct (a, b): all pairs of a probe and a node of another component that can be linked, of nodes(node, comp, probe).
 
@@ -199,9 +211,16 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     common one stands at place m - o or before in one and n - o or before in the other (from 0); a link needs
     o >= percent * (m + n) / (100 + percent), and o <= min(m, n). Each set puts forward, for every band of sizes that a partner
     can have, the shingles that stand early enough for the band's least partner, and sets meet on shingle and both bands:
-    pages of one template, each with rare shingles of its own, don't meet on the template's frequent ones. No link is lost.
+    pages of one template, each with rare shingles of its own, don't meet on the template's frequent ones. Sets that meet
+    are a pair only if their parities leave room for the overlap, so texts made of one small vocabulary, which all meet, are
+    not all written as pairs. No link is lost.
     """
 
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [parities(np.frombuffer(s.as_buffer(), np.uint64)).tolist() for s in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.list_(pa.int64()))], names=["node", "s1", "bits"])
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             each = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column(1)]
@@ -210,22 +229,25 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*owner, pa.array(np.concatenate(each) if each else np.zeros(0, np.int64))], names=["node", "s1", "shingle"])
 
     chosen = sets.join(nodes.select("node"), "node", "left_semi").select("node", "s", "s1")
+    folded = stored(chosen.select("node", "s1", "s").mapInArrow(fold, "node long, s1 long, bits array<long>"), "parities")
     tokens = stored(chosen.mapInArrow(spread, "node long, s1 long, shingle long"), "shingles")
     df = stored(tokens.groupBy("shingle").agg(F.count("*").alias("df")), "shingle-counts")
     lists = tokens.join(df, "shingle").groupBy("node", "s1").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
     n = F.size("s")
     head = F.transform(F.slice("s", 1, n - F.ceil(n * percent / 100).cast("int") + 1), lambda t: t["shingle"])
-    heads = stored(lists.select("node", n.alias("n"), head.alias("head")).join(nodes, "node").withColumn("band", size_band(F.col("n"))), "prefixes")
+    heads = stored(lists.select("node", "s1", n.alias("n"), head.alias("head")).join(folded, ["node", "s1"]).join(nodes, "node").withColumn("band", size_band(F.col("n"))), "prefixes")
     bands = heads.groupBy("band").agg(F.min("n").alias("least"), F.max("n").alias("most")).select(F.col("band").alias("other"), "least", "most")
     # A band has a row for each twentieth of growth: a few hundred at most, whatever the input.
     met = heads.join(F.broadcast(bands), (F.col("most") * 100 >= F.col("n") * percent) & (F.col("least") * percent <= F.col("n") * 100))
     partner = F.greatest("least", F.ceil(F.col("n") * percent / 100))
     places = F.col("n") - F.ceil(percent * (F.col("n") + partner) / (100 + percent)).cast("int") + 1
-    put = met.select("node", "n", "comp", "probe", "band", "other", F.posexplode(F.slice("head", 1, F.greatest(F.lit(0), places))).alias("i", "shingle"))
+    put = met.select("node", "n", "comp", "probe", "bits", "band", "other", F.posexplode(F.slice("head", 1, F.greatest(F.lit(0), places))).alias("i", "shingle"))
     put = stored(put, "put-forward")
-    x = put.where("probe").select("shingle", F.col("other").alias("band"), F.col("band").alias("other"), *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "i", "comp")])
+    x = put.where("probe").select("shingle", F.col("other").alias("band"), F.col("band").alias("other"), *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "i", "comp", "bits")])
     need = F.ceil(percent * (F.col("x_n") + F.col("n")) / (100 + percent))
-    able = (F.col("comp") != F.col("x_comp")) & (F.col("i") <= F.col("n") - need) & (F.col("x_i") <= F.col("x_n") - need)
+    apart = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("x_bits")[k])) for k in range(FOLDS)), F.lit(0))
+    room = F.col("n") + F.col("x_n") - apart >= 2 * need
+    able = room & (F.col("comp") != F.col("x_comp")) & (F.col("i") <= F.col("n") - need) & (F.col("x_i") <= F.col("x_n") - need)
     return pairs_of(x.join(put, ["shingle", "band", "other"]).where(able).select(F.col("x_node").alias("x"), F.col("node").alias("y")))
 
 

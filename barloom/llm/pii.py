@@ -34,9 +34,10 @@ NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 URL = re.compile(r"(?:[hH][tT][tT][pP][sS]?|[fF][tT][pP])://[^\s<>\"')\]}]*[^\s<>\"')\]}.,;:!?]")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+#: An account number has 6 to 20 digits, letters before them aside; a longer run of digits or letters is no account number.
 ACCOUNT = re.compile(r"(?:\x20?(?:number|no|nr|id))?[\x20.:#=-]{0,3}([A-Z]{0,3}[0-9][0-9-]{4,18}[0-9])(?![0-9A-Za-z])")
 GAP = re.compile(r"[\x20:.#=-]{0,3}")
-SECRET = re.compile(r"(?:[\"']?\x20{0,3}(?:[:=]|=>)\x20{0,3}[\"']?|\x20)([A-Za-z0-9_+/=.~-]{16,512})(?![A-Za-z0-9_+/=~-])")
+SECRET = re.compile(r"(?:[\"']?\x20{0,3}(?:[:=]|=>)\x20{0,3}[\"']?|\x20)([A-Za-z0-9_+/=.~-]{16,})")
 SCHEMES = ("http://", "https://", "ftp://")
 
 

@@ -8,6 +8,7 @@ ends are kept beside them, so that any document or range is found by arithmetic
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -27,6 +28,8 @@ BLOCK = 4096
 RUN = 262_144
 #: Distinct words whose ids a worker keeps, and texts that it encodes at a time.
 CACHE, TEXTS = 500_000, 500
+#: Bytes of text that a partition aims at.
+PART_BYTES = 256_000_000
 
 RUNS = "shard int, run int, first_doc long, bits int, doc_id array<long>, n_tokens array<int>, block_offset array<long>, packed binary"
 
@@ -36,8 +39,10 @@ def bits_for(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, bits: int) -> tuple[bytes, list[int]]:
-    """Packed blocks, lowest bit first, and each block's byte offset with the end as last."""
+    """Packed blocks, lowest bit first, and each block's byte offset with the end as last. An id that needs more bits is an error."""
     out, offsets, at = [], [0], 0
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {ids.max()} does not fit {bits} bits")
     for k in range(0, len(ids), BLOCK):
         block = ids[k : k + BLOCK]
         if bits in (8, 16, 32):
@@ -74,6 +79,13 @@ ODD = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f-\x9f]|<\|")
 SMALL = bytes(ord(chr(c).lower()) if len(chr(c).lower()) == 1 and ord(chr(c).lower()) < 256 else c for c in range(256))
 
 
+#: Texts that tokenizers of another case, splitting or order of merging encode otherwise: cases, blanks, digits, signs, contractions, letters beside ASCII, ends of words.
+PROBES = [
+    "The QUICK brown Fox's  can't\n\nwe'll I'M", "A1b22 333,4444.5 $6 %7%%", "ÀÉÎõü ñandú STRASSE straße ÆØÅ", " leading and trailing ", "", "x", "Hello,world!!(ok)[no]{a}_b-c=d", "tab\tand\r\nreturn\xa0hard \x85 next", "¿Qué? «a» ±²³ ¼½ µm ª º",
+    "internationalisation uncharacteristically antidisestablishmentarianism", "don't DON'T he'd they've o'clock 'quoted' ''", "http://a.b/c?d=e&f#g user@host.tld 10.0.0.1",
+]
+
+
 def _set(signs: bytes) -> bytes:
     return b"".join(re.escape(bytes([c])) for c in signs)
 
@@ -97,9 +109,10 @@ class Numbers(dict):
 class Encoder:
     """Ids of whole texts by the library, each distinct word encoded once.
 
-    The tokenizer lower-cases, splits into words and merges within a word, so a text's ids are its words' ids in turn.
+    Where the tokenizer lower-cases, splits into words and merges within a word, a text's ids are its words' ids in turn.
     Words are split here for Latin-1 texts alone, where case and classes are certain, and merged by the library's model; other
-    texts go to the library whole.
+    texts go to the library whole. Whether a tokenizer is of that kind is tried on PROBES; with any other one, all texts go
+    to the library.
     """
 
     def __init__(self, path: str):
@@ -110,6 +123,7 @@ class Encoder:
         hidden = [b for b in range(256) if b not in seen]
         self.alphabet = {b: b for b in seen} | {b: 256 + i for i, b in enumerate(hidden)}
         self._clear()
+        self.by_words = all(np.array_equal(x, self.library.encode(t, add_special_tokens=False).ids) for x, t in zip(self._encode(PROBES), PROBES, strict=True))
 
     def _clear(self) -> None:
         self.words, self.flat, self.ends = Numbers(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
@@ -124,6 +138,11 @@ class Encoder:
             self.words.new = []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.by_words:
+            return self._encode(texts)
+        return [np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts]
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.words) > CACHE:
             self._clear()
         found: list[np.ndarray | None] = []
@@ -183,8 +202,10 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, vocabul
         if doc_ids:
             yield row()
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(encode, RUNS).write.parquet(out)
 
 
@@ -231,9 +252,8 @@ def read_range(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     return runs.mapInArrow(scan, "doc_id long, ids array<long>")
 
 
-def op4(docs: DataFrame, tokenizer: str, vocabulary: int = 49_408, end_id: int = 2) -> DataFrame:
-    import uuid
-
+def op4(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
+    vocabulary = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1)
     spark = docs.sparkSession
     out = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     write_tokens(docs, out, tokenizer, end_id, vocabulary)

@@ -572,3 +572,61 @@ def test_induced_entries(spark):
     assert "gadzo" in got and "gadz*" not in got and any(e.startswith("zoun") for e in got)
     assert all(e.startswith(("zoun", "gadzo")) for e in got)
     assert toxicity.favour(20, 0, 100, 900) > toxicity.favour(20, 5, 100, 900) > toxicity.favour(2, 5, 100, 900)
+
+
+def test_long_secrets_are_found_whole(spark):
+    rnd = random.Random(1)
+    signs = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789"
+    texts = [(n, f'token = "{"".join(rnd.choice(signs) for _ in range(n))}" and more') for n in (16, 512, 513, 600, 20_000)]
+    got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {n: f"secret:9:{9 + n}" for n, _ in texts}
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_other_tokenizers(spark, docs, name):
+    """Any tokenizer's ids are the library's, whether texts can be encoded by words or not."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    library = Tokenizer.from_file(path)
+    encoder = token_files.Encoder(path)
+    assert encoder.by_words == (name == "word_bpe_49k.json")
+    texts = [t or "" for _, t in ROWS] + token_files.PROBES
+    assert [x.tolist() for x in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    want = {i: zlib.crc32(np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t in ROWS}
+    assert {r.doc_id: r.ids_crc32 for r in token_files.op4(docs, path).collect()} == want
+
+
+def test_ids_beyond_their_bits_are_refused():
+    with pytest.raises(ValueError):
+        token_files.pack(np.array([1, 8], np.uint32), 3)
+    assert token_files.unpack(*token_files.pack(np.array([1, 7], np.uint32), 3), 3, 0, 2).tolist() == [1, 7]
+
+
+def test_windows_take_no_more_than_said():
+    import tracemalloc
+
+    rnd = np.random.default_rng(2)
+    pieces = [rnd.integers(1, 1 << 60, 2_000).tolist() for _ in range(50)]
+    tracemalloc.start()
+    w = decontaminate.Windows([str(k) for k in range(50)], pieces, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(w.ids) == 50 * 1_991 and peak < 60 * 8 * 100_000
+    w = decontaminate.Windows(["a", "b", "c", "d"], [[1, 2, 3, 4], [2, 3, 4, 1, 2, 3], [5], []], 3)
+    found = {tuple(r): w.items[a:z].tolist() for r, a, z in zip(w.ids.tolist(), w.item_at[:-1], w.item_at[1:], strict=True)}
+    assert found == {(1, 2, 3): [0, 1], (2, 3, 4): [0, 1], (3, 4, 1): [1], (4, 1, 2): [1], (5, 0, 0): [2]}
+
+
+def test_sets_of_a_small_vocabulary_are_no_pairs(spark):
+    """300 sets of 100 out of 125, of which none is linked: they all meet, and nearly none is written. Links among them are kept."""
+    rnd = np.random.default_rng(5)
+    pool = near_dedup.mix(np.arange(1, 126, dtype=np.uint64))
+    sets = [np.sort(rnd.choice(pool, 100, replace=False)) for _ in range(300)]
+    near = np.sort(np.append(sets[0][:-3], near_dedup.mix(np.arange(900, 903, dtype=np.uint64))))
+    rows_ = [(k, k, bytearray(s.tobytes())) for k, s in enumerate([*sets, near])]
+    df = spark.createDataFrame(rows_, "node long, s1 long, s binary")
+    nodes = df.select("node", F.col("node").alias("comp"), F.lit(True).alias("probe"))
+    got = {(r.a, r.b) for r in near_dedup.prefix_pairs(nodes, df, 85).collect()}
+    linked = {(a, b) for a in range(301) for b in range(a + 1, 301) if 100 * len(np.intersect1d(np.frombuffer(rows_[a][2], np.uint64), np.frombuffer(rows_[b][2], np.uint64))) >= 85 * len(np.union1d(np.frombuffer(rows_[a][2], np.uint64), np.frombuffer(rows_[b][2], np.uint64)))}
+    assert (0, 300) in linked and linked <= got and len(got) < 450
