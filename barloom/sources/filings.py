@@ -1,0 +1,163 @@
+"""Filings in XML: facts of any tag and context as long rows, and what results and shareholding filings say.
+
+A document is read into (document, tag, context, value) once; everything after is joins and aggregates over these rows. What can't
+be used is set aside with a reason and never stops the others.
+"""
+
+from __future__ import annotations
+
+import xml.etree.ElementTree as ET
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+FACTS = "doc string, n int, tag string, context string, value string, starts string, ends string, problem string"
+
+#: Tags of each item, the first that is there counts.
+ITEMS = {
+    "revenue": ("RevenueFromOperations",),
+    "other_income": ("OtherIncome",),
+    "finance_costs": ("FinanceCosts",),
+    "depreciation": ("DepreciationDepletionAndAmortisationExpense",),
+    "pbt": ("ProfitBeforeTax", "ProfitLossFromOrdinaryActivitiesBeforeTax"),
+    "net_profit": ("ProfitLossForPeriod", "ProfitLossForThePeriod"),
+    "profit_owners": ("ProfitOrLossAttributableToOwnersOfParent", "ProfitLossAfterTaxesMinorityInterestAndShareOfProfitLossOfAssociates"),
+    "eps": ("BasicEarningsLossPerShareFromContinuingAndDiscontinuedOperations", "BasicEarningsPerShareAfterExtraordinaryItems", "BasicEarningsLossPerShareFromContinuingOperations", "BasicEarningsPerShareBeforeExtraordinaryItems"),
+    "minority": ("ProfitOrLossAttributableToNonControllingInterests",),
+    "total_income": ("Income",),
+    "interest": ("InterestEarned",),
+    "equity": ("EquityAttributableToOwnersOfParent", "Equity"),
+    "borrowings_current": ("BorrowingsCurrent",),
+    "borrowings_long": ("BorrowingsNoncurrent",),
+}
+#: Contexts of the period, the year to date and the balance sheet; days of a quarter and a year; slack of owners' profit.
+SCOPES = {"OneD": "PERIOD", "FourD": "YTD", "OneI": "INSTANT"}
+QUARTER_DAYS, HALF_DAYS, YEAR_DAYS = (75, 105), (175, 190), (350, 380)
+SLACK_SHARE, SLACK_AMOUNT = 0.01, 1e7
+#: Lines of a shareholding filing by the name of their context.
+HOLDERS = {
+    "total": "shareholdingpattern", "promoter": "shareholdingofpromoterandpromotergroup", "public": "publicshareholding", "other": "sharesheldbynonpromoternonpublicshareholders",
+    "domestic": "institutionsdomestic", "funds": "mutualfundsoruti", "insurance": "insurancecompanies", "government": "governments", "rest": "noninstitutions",
+}
+
+
+def local(name: str) -> str:
+    return name.rsplit("}", 1)[-1]
+
+
+def xml_facts(docs: DataFrame) -> DataFrame:
+    """FACTS of docs(doc, content): one row for each element with a contextRef, with its context's days; problem is set on the one row of a document that is no XML or declares entities.
+
+    Nulls and empty documents are no XML. A document without facts has one row of nulls beside its name.
+    """
+
+    def facts(content: str | None) -> Iterator[tuple]:
+        if not content or "<!DOCTYPE" in content[:2_000].upper() or "<!ENTITY" in content[:5_000].upper():
+            yield None, None, None, None, None, "no document" if not content else "declares entities"
+            return
+        try:
+            root = ET.fromstring(content)
+        except ET.ParseError:
+            yield None, None, None, None, None, "not XML"
+            return
+        days: dict[str, dict[str, str]] = {}
+        for c in (e for e in root.iter() if local(e.tag) == "context"):
+            days[c.get("id", "")] = {local(x.tag): (x.text or "").strip()[:10] for x in c.iter() if local(x.tag) in ("startDate", "endDate", "instant")}
+        found = [(local(e.tag), e.get("contextRef"), e.text.strip()) for e in root.iter() if e.get("contextRef") is not None and e.text is not None]
+        for tag, context, value in found or [(None, None, None)]:
+            d = days.get(context, {})
+            yield tag, context, value, d.get("startDate"), d.get("endDate", d.get("instant")), None
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(doc, n, *f) for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for n, f in enumerate(facts(content))]
+            columns = list(zip(*rows, strict=True)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 1 else pa.string()) for k, c in enumerate(columns)], names=[c.split()[0] for c in FACTS.split(", ")])
+
+    return docs.select("doc", "content").mapInArrow(read, FACTS)
+
+
+def number(text: Column) -> Column:
+    return F.regexp_replace(text, ",", "").try_cast("double")
+
+
+def result_filings(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(headers, items, rejects) of xml_facts() of results.
+
+    headers: doc, basis, currency, starts, ends, ytd_starts, ytd_ends, period_type (QUARTER, ANNUAL or null), is_financial. items: doc, scope
+    (PERIOD, YTD, INSTANT), item, value. rejects: doc, reason. The first of an item's tags with a number counts, and the first fact of
+    a tag and context. Financial companies, which have interest earned or no revenue, have total income as revenue. Owners' profit
+    that does not sum up with minorities to the profit is profit less minorities. A half year as period is a year to date, and
+    its quarter is empty.
+    """
+    bad = facts.where("problem IS NOT NULL").select("doc", F.col("problem").alias("reason"))
+    known = facts.where(F.col("context").isin(*SCOPES)).withColumn("scope", F.element_at(F.create_map(*[F.lit(x) for kv in SCOPES.items() for x in kv]), F.col("context")))
+    first = known.groupBy("doc", "scope", "tag").agg(F.min_by("value", "n").alias("value"), F.max("starts").alias("c_starts"), F.max("ends").alias("c_ends"))
+    said = lambda scope, tag: F.max(F.when((F.col("scope") == scope) & (F.col("tag") == tag), F.col("value")))
+    day = lambda c: F.substring(c, 1, 10).try_cast("date")
+    span = lambda scope: [F.coalesce(day(said(scope, f"DateOf{a}OfReportingPeriod")), F.max(F.when(F.col("scope") == scope, day(F.col(c))))).alias(f"{scope.lower()}_{c[2:]}") for a, c in (("Start", "c_starts"), ("End", "c_ends"))]
+    nature = F.lower(F.trim(said("PERIOD", "NatureOfReportStandaloneConsolidated")))
+    heads = first.groupBy("doc").agg(
+        F.when(nature == "consolidated", "CONSOLIDATED").when(nature.isin("standalone", "non-consolidated"), "STANDALONE").alias("basis"), said("PERIOD", "DescriptionOfPresentationCurrency").alias("currency"), *span("PERIOD"), *span("YTD"),
+    )
+    whole = F.col("period_starts").isNotNull() & (F.col("period_ends") >= F.col("period_starts"))
+    everyone = facts.where("problem IS NULL").select("doc").distinct()
+    lost = everyone.join(heads.where(whole), "doc", "left_anti").select("doc", F.lit("no reporting period").alias("reason"))
+    heads = heads.where(whole).withColumn("days", F.datediff("period_ends", "period_starts") + 1)
+    half = F.col("days").between(*HALF_DAYS)
+    tags = F.create_map(*[F.lit(x) for item, names in ITEMS.items() for k, t in enumerate(names) for x in (t, f"{k}{item}")])
+    value = first.withColumn("named", F.element_at(tags, F.col("tag"))).withColumn("number", number(F.col("value"))).where("named IS NOT NULL AND number IS NOT NULL").join(heads.select("doc", "days", "ytd_starts"), "doc")
+    # The tag's place in its item's list is the first sign of named.
+    one = value.groupBy("doc", "scope", "days", "ytd_starts", F.substring("named", 2, 100).alias("item")).agg(F.min_by("number", "named").alias("number"))
+    wide = one.groupBy("doc", "scope", "days", "ytd_starts").pivot("item", list(ITEMS)).agg(F.first("number"))
+    expected = F.col("net_profit") - F.col("minority")
+    off = F.col("profit_owners").isNull() | ((F.col("profit_owners") == 0) & (F.col("net_profit") != 0)) | (F.abs(F.col("profit_owners") - expected) > SLACK_SHARE * F.abs("net_profit") + SLACK_AMOUNT)
+    bank = wide.groupBy("doc").agg(F.max(F.when(F.col("scope") == "PERIOD", F.col("total_income").isNotNull() & (F.col("interest").isNotNull() | F.col("revenue").isNull()))).alias("is_financial"))
+    wide = wide.join(bank, "doc").withColumns({
+        "revenue": F.when(F.col("is_financial") & F.col("total_income").isNotNull(), F.col("total_income")).otherwise(F.col("revenue")),
+        "profit_owners": F.when(expected.isNotNull() & off, expected).otherwise(F.col("profit_owners")),
+        "borrowings": F.when(F.coalesce("borrowings_current", "borrowings_long").isNotNull(), F.coalesce("borrowings_current", F.lit(0.0)) + F.coalesce("borrowings_long", F.lit(0.0))),
+    })
+    in_period = ("revenue", "other_income", "finance_costs", "depreciation", "pbt", "net_profit", "profit_owners", "eps")
+    names = F.when(F.col("scope") == "INSTANT", F.array(F.lit("equity"), F.lit("borrowings"))).otherwise(F.array(*[F.lit(x) for x in in_period]))
+    values = F.map_from_arrays(F.array(*[F.lit(x) for x in (*in_period, "equity", "borrowings")]), F.array(*in_period, "equity", "borrowings"))
+    scope = F.when((F.col("scope") == "PERIOD") & half, "YTD").otherwise(F.col("scope"))
+    items = wide.withColumn("item", F.explode(names)).select("doc", "scope", "ytd_starts", scope.alias("as"), "item", F.element_at(values, F.col("item")).alias("value")).where("value IS NOT NULL")
+    # A half year stands for the year to date only where the filing has none.
+    items = items.where((F.col("scope") == F.col("as")) | F.col("ytd_starts").isNull()).select("doc", F.col("as").alias("scope"), "item", "value")
+    again = (F.col("ytd_starts") == F.col("period_starts")) & (F.col("ytd_ends") == F.col("period_ends"))
+    heads = heads.join(bank, "doc", "left")
+    quarter_start = F.when(half, F.trunc(F.add_months("period_ends", -2), "month")).otherwise(F.col("period_starts"))
+    repeated = heads.where(again & ~half).select("doc", F.lit("YTD").alias("scope"))
+    kind = F.when(half | F.col("days").between(*QUARTER_DAYS), "QUARTER").when(F.col("days").between(*YEAR_DAYS), "ANNUAL")
+    headers = heads.select(
+        "doc", "basis", F.nullif(F.trim("currency"), F.lit("")).alias("currency"), quarter_start.alias("starts"), F.col("period_ends").alias("ends"),
+        *[F.when(half, F.coalesce(f"ytd_{c}", f"period_{c}")).when(~F.coalesce(again, F.lit(False)), F.col(f"ytd_{c}")).alias(f"ytd_{c}") for c in ("starts", "ends")], kind.alias("period_type"), F.coalesce("is_financial", F.lit(False)).alias("is_financial"),
+    )
+    return headers, items.join(repeated, ["doc", "scope"], "left_anti"), bad.unionByName(lost)
+
+
+def shareholdings(facts: DataFrame, tolerance: float = 0.6) -> tuple[DataFrame, DataFrame]:
+    """(holdings, rejects) of xml_facts() of shareholding filings: doc, scale, promoter_pct, public_pct, other_pct, and each of HOLDERS in percent.
+
+    Shares are fractions or percent, which the parts tell and not the total line: promoter, public and others sum to 1 or
+    to 100. No promoter line is 0 percent, no public line a reject, and so are sums that are neither, or leave a gap beyond the
+    tolerance without holders to fill it. A category that is not there is 0.
+    """
+    bad = facts.where("problem IS NOT NULL").select("doc", F.col("problem").alias("reason"))
+    key = F.lower(F.regexp_replace("context", "(_ContextI|I)$", ""))
+    pct = facts.where(F.lower("tag") == "shareholdingasapercentageoftotalnumberofshares").select("doc", "n", key.alias("key"), number(F.col("value")).alias("x"))
+    wide = facts.where("problem IS NULL").select("doc").distinct().join(pct.groupBy("doc").pivot("key", list(HOLDERS.values())).agg(F.min_by("x", "n")).withColumnsRenamed({v: k for k, v in HOLDERS.items()}), "doc", "left")
+    promoter, public = F.coalesce("promoter", F.lit(0.0)), F.col("public")
+    parts = promoter + public + F.coalesce("other", F.lit(0.0))
+    scale = F.when((F.abs(parts - 1) < 0.02) | ((F.abs(F.col("total") - 1) < 0.02) & (parts < 1.5)), 100.0).when((F.abs(parts - 100) < 2) | (F.abs(F.col("total") - 100) < 2), 1.0)
+    rows = wide.withColumn("scale", scale).withColumns({"promoter_pct": promoter * F.col("scale"), "public_pct": public * F.col("scale")})
+    gap = 100 - F.col("promoter_pct") - F.col("public_pct")
+    held = F.coalesce(F.col("other") != 0, F.lit(False))
+    reason = F.when(public.isNull(), "no public line").when(F.col("scale").isNull(), "parts are neither 1 nor 100").when((gap < -tolerance) | ((gap > tolerance) & ~held), "parts do not sum to 100")
+    rows = rows.withColumn("reason", reason)
+    rest = F.greatest(F.lit(0.0), gap)
+    good = rows.where("reason IS NULL").select("doc", "scale", "promoter_pct", "public_pct", F.when((rest <= tolerance) & ~held, 0.0).otherwise(rest).alias("other_pct"), *[(F.coalesce(c, F.lit(0.0)) * F.col("scale")).alias(f"{c}_pct") for c in ("domestic", "funds", "insurance", "government", "rest")])
+    return good, bad.unionByName(rows.where("reason IS NOT NULL").select("doc", "reason"))
