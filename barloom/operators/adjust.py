@@ -65,3 +65,66 @@ def gaps(raw: DataFrame, actions: DataFrame, threshold: float = 0.3) -> DataFram
     out = rows.join(undone, ["instrument", "trade_date"], "left").withColumn("residual", F.col("jump") / F.coalesce("explained", F.lit(1.0)))
     near = F.array(*[F.struct(F.abs(F.col("jump") - F.lit(n / d)).alias("off"), F.lit(f"{n}:{d}").alias("ratio")) for n, d in RATIOS])
     return out.select("instrument", "trade_date", "jump", "residual", (F.col("residual") <= 1 - threshold).alias("blocks"), F.array_min(near)["ratio"].alias("hint"))
+
+
+#: A ratio so far from 1 must show in the prices; the smallest demerger factor; a rise over the close before that is none.
+VISIBLE_GAP, LEAST_DEMERGER, NO_CHANGE = 0.30, 0.02, 0.01
+
+
+def ex_prices(bars: DataFrame, actions: DataFrame) -> DataFrame:
+    """actions(instrument, ex_date, ...) with prior_close, ex_open and raw: the close of the last bar before the ex-date and the open on it.
+
+    raw: both bars are of the exchange itself (provider 'EXCHANGE'), or the one before where the instrument did not trade. All are null
+    where no bar comes before.
+    """
+    before = asof.backward(actions, bars.select("instrument", "trade_date", F.struct("close", "provider").alias("b")), ["instrument"], "ex_date", "trade_date", ["b"], strict=True)
+    on = bars.select("instrument", F.col("trade_date").alias("ex_date"), F.struct("open", "provider").alias("o"))
+    rows = before.join(on, ["instrument", "ex_date"], "left")
+    raw = (F.col("b.provider") == "EXCHANGE") & (F.col("o").isNull() | (F.col("o.provider") == "EXCHANGE"))
+    there = F.col("b").isNotNull()
+    return rows.select(*actions.columns, F.col("b.close").alias("prior_close"), F.when(there, F.col("o.open")).alias("ex_open"), F.when(there, raw).alias("raw"))
+
+
+def day_factors(priced: DataFrame) -> DataFrame:
+    """priced(ex_prices() of instrument, ex_date, kind, num, den, price) with state, price_factor and volume_factor.
+
+    Two phases an ex-date. SPLIT and BONUS have the factor den / num and den / (num + den). It is WITHHELD where the date also has an UNMODELLED
+    reading (SUPERSEDED), and where raw prices don't show it though it is large enough to be seen (UNCONFIRMED). The factors that are left put the close
+    before on the scale after them; on that close stand RIGHTS (theoretical price after them, 1 without discount) and
+    DEMERGER (the open over that close; 1 up to NO_CHANGE above it, none below LEAST_DEMERGER; num / den where given by hand).
+    A factor that can't be derived from raw prices is UNKNOWN; from others nothing is derived (NOT_RAW).
+    """
+    day = W.partitionBy("instrument", "ex_date")
+    scaling = F.col("kind").isin("SPLIT", "BONUS")
+    usable = (F.col("num") > 0) & (F.col("den") > 0)
+    ratio = F.when(usable & (F.col("kind") == "SPLIT"), F.col("den") / F.col("num")).when(usable & (F.col("kind") == "BONUS"), F.col("den") / (F.col("num") + F.col("den")))
+    rows = priced.withColumn("ratio", ratio).withColumn("odd", F.max((F.col("kind") == "UNMODELLED").cast("int")).over(day) == 1)
+    large = (F.col("ratio") <= 1 - VISIBLE_GAP) | (F.col("ratio") >= 1 / (1 - VISIBLE_GAP))
+    shown = F.abs(F.col("ex_open") / (F.col("prior_close") * F.col("ratio")) - 1) < VISIBLE_GAP
+    hidden = F.coalesce(F.col("raw") & (F.col("prior_close") > 0) & (F.col("ex_open") > 0) & large & ~shown, F.lit(False))
+    first = F.when(~scaling, None).when(F.col("odd"), "SUPERSEDED").when(F.col("ratio").isNull(), "UNKNOWN").when(hidden, "UNCONFIRMED").otherwise("APPLIED")
+    rows = rows.withColumn("first", first).withColumn("scale", F.exp(F.coalesce(F.sum(F.when(F.col("first") == "APPLIED", F.log("ratio"))).over(day), F.lit(0.0))))
+    p, a, b, o = F.col("prior_close") * F.col("scale"), F.col("num"), F.col("den"), F.col("ex_open")
+    terp = F.when(usable & (F.col("price") >= 0) & (p > 0), F.when(F.col("price") >= p, 1.0).otherwise((b * p + a * F.col("price")) / ((a + b) * p)))
+    by_hand = F.when(usable, F.when(a / b <= 1, a / b))
+    opened = F.when((p > 0) & (o > 0), F.when(o >= p, F.when(o <= p * (1 + NO_CHANGE), 1.0)).otherwise(F.when(o / p >= LEAST_DEMERGER, o / p)))
+    second = F.when(F.col("kind") == "RIGHTS", terp).when(F.col("kind") == "DEMERGER", F.when(usable, by_hand).otherwise(opened))
+    rows = rows.withColumn("second", second)
+    hand = (F.col("kind") == "DEMERGER") & usable
+    state = F.when(scaling, F.col("first")).when(F.col("kind") == "UNMODELLED", "UNMODELLED").when(~hand & ~F.coalesce("raw", F.lit(False)), "NOT_RAW").when(F.col("second").isNull(), "UNKNOWN").otherwise("APPLIED")
+    factor = F.when(F.col("state") == "APPLIED", F.coalesce("ratio", "second"))
+    volume = F.when(F.col("kind") == "DEMERGER", F.when(factor.isNotNull(), 1.0)).otherwise(1 / factor)
+    return rows.withColumn("state", state).select(*priced.columns, "state", factor.alias("price_factor"), volume.alias("volume_factor"))
+
+
+def provider_verdict(priced: DataFrame, least_log: float = 0.18232155679395463) -> DataFrame:
+    """(instrument, ex_date, factor, observed, verdict) of actions(instrument, ex_date, factor, prior_close, next_open): whether a provider's bars already contain an action.
+
+    ADJUSTED where the move over the ex-date is within a quarter of the expected jump of none at all, RAW where it is of the jump, each the nearer of
+    the two by logs; else INCONCLUSIVE, as for factors within a fifth of 1 and for missing prices.
+    """
+    jump, move = F.log("factor"), F.log(F.col("next_open") / F.col("prior_close"))
+    usable = (F.col("factor") > 0) & (F.abs(jump) >= least_log) & (F.col("prior_close") > 0) & (F.col("next_open") > 0)
+    off, raw_off, margin = F.abs(move), F.abs(move - jump), F.abs(jump) / 4
+    verdict = F.when(usable & (off < margin) & (off < raw_off), "ADJUSTED").when(usable & (raw_off < margin) & (raw_off < off), "RAW").otherwise("INCONCLUSIVE")
+    return priced.select("instrument", "ex_date", "factor", (F.col("next_open") / F.when(F.col("prior_close") > 0, F.col("prior_close"))).alias("observed"), verdict.alias("verdict"))
