@@ -90,13 +90,6 @@ def run_trades(bars: DataFrame, signals: DataFrame, rules: list[TradeRule]) -> D
     return rows.groupBy("rule", "instrument").applyInPandas(trades_of, TRADE)
 
 
-def events(trades: DataFrame) -> DataFrame:
-    """The ledger's rows of each trade: ENTRY and EXIT, or ENTRY and OPEN."""
-    entry = F.struct(F.col("entry_date").alias("day"), F.lit("ENTRY").alias("event"), F.col("entry").alias("price"))
-    leave = F.struct(F.col("exit_date").alias("day"), F.when(F.col("exit_kind") == "OPEN", "OPEN").otherwise("EXIT").alias("event"), F.col("exit").alias("price"))
-    return trades.select("rule", "instrument", F.inline(F.array(entry, leave)))
-
-
 def contenders(trades: DataFrame, bars: DataFrame, slots: int) -> DataFrame:
     """Those of trades that could be taken: per rule and entry day the first `slots` by score, then instrument, with a bar that day."""
     there = bars.select("instrument", F.col("trade_date").alias("entry_date"))
@@ -110,6 +103,16 @@ def held_days(trades: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def portfolio(trades: DataFrame, bars: DataFrame, slots: int = 10) -> DataFrame:
+    """(rule, day, value, cash, n_open, n_taken): the days of portfolio_days()."""
+    return portfolio_days(trades, bars, slots).drop("taken")
+
+
+def taken_trades(trades: DataFrame, bars: DataFrame, slots: int = 10) -> DataFrame:
+    """(rule, instrument, entry_date): the trades that found a slot."""
+    return portfolio_days(trades, bars, slots).select("rule", F.explode("taken").alias("instrument"), F.col("day").alias("entry_date"))
+
+
+def portfolio_days(trades: DataFrame, bars: DataFrame, slots: int = 10) -> DataFrame:
     """Per rule: daily value, cash and open positions with a fixed number of slots, exits before entries, higher scores first.
 
     A day's fold needs the day before, so one scenario is one group. It gets the held days of at most `slots` trades of each entry
@@ -123,7 +126,7 @@ def portfolio(trades: DataFrame, bars: DataFrame, slots: int = 10) -> DataFrame:
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         cost, cash, shares, out, marks = 0.0015, 1.0, {}, [], {}
         for day, group in pdf.sort_values(["trade_date", "score", "instrument"], ascending=[True, False, True]).groupby("trade_date", sort=True):
-            group, taken = group[group["held"]], 0
+            group, taken = group[group["held"]], []
             for t in group.itertuples():
                 key = (t.instrument, t.entry_date)
                 marks[key] = t.close
@@ -134,11 +137,11 @@ def portfolio(trades: DataFrame, bars: DataFrame, slots: int = 10) -> DataFrame:
                 if t.entry_date == day and len(shares) < slots and (size := min(value / slots, cash)) > 0:
                     shares[t.instrument, t.entry_date] = size / (t.entry * (1 + cost))
                     cash -= size
-                    taken += 1
-            out.append((pdf["rule"].iloc[0], day, cash + sum(n * marks[k] for k, n in shares.items()), cash, len(shares), taken))
-        return pd.DataFrame(out, columns=["rule", "day", "value", "cash", "n_open", "n_taken"])
+                    taken.append(int(t.instrument))
+            out.append((pdf["rule"].iloc[0], day, cash + sum(n * marks[k] for k, n in shares.items()), cash, len(shares), len(taken), taken))
+        return pd.DataFrame(out, columns=["rule", "day", "value", "cash", "n_open", "n_taken", "taken"])
 
-    return rows.groupBy("rule").applyInPandas(fold, "rule string, day date, value double, cash double, n_open int, n_taken int")
+    return rows.groupBy("rule").applyInPandas(fold, "rule string, day date, value double, cash double, n_open int, n_taken int, taken array<long>")
 
 
 def fresh_signals(status: DataFrame, level: DataFrame, quiet: int = 10) -> DataFrame:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.operators import backtest, falls, labels, patterns, pivots, tracking
+from barloom.operators import backtest, falls, labels, ledger, market, patterns, pivots, tracking
 from barloom.operators.backtest import TradeRule
 from barloom.operators.features import daily_features
 from barloom.operators.trend import screened, trend_status
 from barloom.plans.detections import DETECTIONS
 from barloom.plans.screen import rounded
 from barloom.plans.sql import BARS, FEATURES, STRENGTH, TREND, with_
-from barloom.sources.bars import model_bars, sessions
+from barloom.sources.bars import model_bars, sessions, table
 
 RULES = [TradeRule("hold_low8"), TradeRule("target20", target_pct=20.0), TradeRule("trail50", trail="sma50"), TradeRule("cross5", max_extension_pct=5.0)]
 
@@ -25,6 +25,31 @@ def trades(s, d):
     return backtest.run_trades(model_bars(s, d), signals(s, d), RULES)
 
 
+def ledger_of(s, d):
+    """The whole ledger of the rules over all bars, with the regime of each session."""
+    bars, found = model_bars(s, d), trades(s, d)
+    rules = s.createDataFrame([(r.name, r.watch) for r in RULES], "rule string, watch int")
+    regimes = market.regimes(market.breadth(market.panel(bars)), min_members=10).select("trade_date", F.col("breadth_on").alias("on"))
+    return ledger.ledger(ledger.watches(signals(s, d), found, bars, rules), found, backtest.taken_trades(found, bars), sessions(bars), regimes)
+
+
+def order_events(s, d):
+    """Orders as events of a ledger: an entry each, an exit 30 days on of those that are filled, skipped ones, and each day of orders closed for each priority."""
+    o = table(s, d, "orders").select(F.col("o_orderpriority").alias("rule"), F.col("o_custkey").alias("instrument"), F.to_date("o_orderdate").alias("day"), "o_orderkey", "o_orderstatus", F.col("o_totalprice").alias("price"))
+    kind = F.when(F.col("o_orderkey") % 17 == 0, "SKIPPED_NO_SLOT").otherwise("ENTRY")
+    none = F.lit(None).cast("double")
+    enter = o.select("rule", "instrument", F.col("day").alias("event_date"), kind.alias("event_type"), F.col("day").alias("scan_date"), "price", none.alias("ret_pct"), F.col("o_orderkey").cast("string").alias("note"))
+    leave = o.where("o_orderkey % 17 <> 0 AND o_orderstatus = 'F'").select("rule", "instrument", F.date_add("day", 30).alias("event_date"), F.lit("EXIT").alias("event_type"), F.col("day").alias("scan_date"), (F.col("price") * 1.1).alias("price"), (((F.col("o_orderkey") % 41) - 20) / 2).alias("ret_pct"), F.col("o_orderkey").cast("string").alias("note"))
+    closed = o.select("rule", "day").distinct().select("rule", F.lit(None).cast("long").alias("instrument"), F.col("day").alias("event_date"), F.lit("DAY_CLOSED").alias("event_type"), F.lit(None).cast("date").alias("scan_date"), none.alias("price"), none.alias("ret_pct"), F.lit(None).cast("string").alias("note"))
+    return enter.unionByName(leave).unionByName(closed)
+
+
+def kept_events(s, d):
+    """What a ledger kept of order_events() up to the end of 1996: some are missing, some have another price; one priority is not in it yet."""
+    rows = order_events(s, d).where("event_date <= DATE '1996-12-31' AND rule <> '5-LOW' AND coalesce(note % 97, 1) <> 0")
+    return rows.withColumn("price", F.when(F.col("note") % 89 == 0, F.col("price") + 1).otherwise(F.col("price")))
+
+
 def month_ends(bars):
     return bars.groupBy("instrument", F.last_day("trade_date").alias("as_of")).agg(F.count("*").alias("n")).drop("n")
 
@@ -77,7 +102,9 @@ QUERIES = {
     "dom57_trades": lambda s, d: rounded(trades(s, d), "entry", "exit", "ret_pct"),
     "dom57_trade_stats": lambda s, d: rounded(labels.trade_stats(trades(s, d).withColumn("hold_days", F.datediff("exit_date", "entry_date")), "rule", "exit_kind"), "win_rate", "avg_ret", "median_ret", "profit_factor", "avg_hold_days", "avg_win", "avg_loss"),
     "dom58_portfolio": lambda s, d: rounded(backtest.portfolio(trades(s, d), model_bars(s, d)), "value", "cash"),
-    "dom64_ledger": lambda s, d: rounded(backtest.events(trades(s, d)), "price"),
+    "dom64_ledger": lambda s, d: rounded(ledger_of(s, d), "price", "ret_pct"),
+    "dom65_ledger_update": lambda s, d: rounded(ledger.plan_update(order_events(s, d), kept_events(s, d)), "price", "ret_pct"),
+    "dom66_ledger_status": lambda s, d: rounded(ledger.status(kept_events(s, d)), "win_rate", "avg_ret", "profit_factor"),
     "dom31_bases": bases,
     "dom32_measures": lambda s, d: rounded(patterns.measures(bases(s, d)), "first_depth", "last_depth", "mean_ratio", "worst_ratio", "shrinking_share"),
     "dom34_tiers": lambda s, d: patterns.tiers(bases(s, d)),
@@ -86,7 +113,21 @@ QUERIES = {
     "win12_ema20": lambda s, d: rounded(ema20(s, d), "ema_20"),
 }
 
+_EVENTS = """ev AS (SELECT o_orderpriority AS rule, o_custkey AS instrument, CAST(o_orderdate AS DATE) AS event_date, CASE WHEN o_orderkey % 17 = 0 THEN 'SKIPPED_NO_SLOT' ELSE 'ENTRY' END AS event_type, CAST(o_orderdate AS DATE) AS scan_date, o_totalprice AS price, CAST(NULL AS DOUBLE) AS ret_pct, o_orderkey AS k FROM orders
+  UNION ALL SELECT o_orderpriority, o_custkey, CAST(o_orderdate AS DATE) + 30, 'EXIT', CAST(o_orderdate AS DATE), o_totalprice * 1.1, (o_orderkey % 41 - 20) / 2.0, o_orderkey FROM orders WHERE o_orderkey % 17 <> 0 AND o_orderstatus = 'F'
+  UNION ALL SELECT DISTINCT o_orderpriority, NULL, CAST(o_orderdate AS DATE), 'DAY_CLOSED', CAST(NULL AS DATE), NULL, NULL, NULL FROM orders),
+st AS (SELECT * REPLACE (CASE WHEN k % 89 = 0 THEN price + 1 ELSE price END AS price) FROM ev WHERE event_date <= DATE '1996-12-31' AND rule <> '5-LOW' AND coalesce(k % 97, 1) <> 0),
+la AS (SELECT rule, max(event_date) AS last FROM st WHERE event_type = 'DAY_CLOSED' GROUP BY rule)"""
+
 ORACLES = {
+    "dom65_ledger_update": with_(_EVENTS) + """, u AS (SELECT ev.*, last, round(price, 4) AS p FROM ev LEFT JOIN la USING (rule)), v AS (SELECT st.*, round(price, 4) AS p FROM st JOIN la USING (rule)),
+o AS (SELECT *, 'NEW' AS state FROM u WHERE last IS NULL OR event_date > last
+  UNION ALL SELECT u.*, 'DERIVED_ONLY' FROM u WHERE event_date <= last AND NOT EXISTS (SELECT 1 FROM v WHERE v.rule = u.rule AND v.event_type = u.event_type AND v.event_date = u.event_date AND v.instrument IS NOT DISTINCT FROM u.instrument AND v.scan_date IS NOT DISTINCT FROM u.scan_date AND v.p IS NOT DISTINCT FROM u.p)
+  UNION ALL SELECT v.* EXCLUDE (p), NULL, v.p, 'STORED_ONLY' FROM v WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.event_date <= u.last AND v.rule = u.rule AND v.event_type = u.event_type AND v.event_date = u.event_date AND v.instrument IS NOT DISTINCT FROM u.instrument AND v.scan_date IS NOT DISTINCT FROM u.scan_date AND v.p IS NOT DISTINCT FROM u.p))
+SELECT rule, instrument, event_date, event_type, scan_date, round(price + 3e-10, 6) AS price, round(ret_pct + 3e-10, 6) AS ret_pct, CAST(k AS VARCHAR) AS note, state FROM o""",
+    "dom66_ledger_status": with_(_EVENTS) + """, op AS (SELECT rule, count(*) AS n_open FROM st e WHERE event_type = 'ENTRY' AND NOT EXISTS (SELECT 1 FROM st x WHERE x.event_type = 'EXIT' AND x.rule = e.rule AND x.instrument = e.instrument AND x.scan_date = e.scan_date) GROUP BY rule),
+su AS (SELECT rule, max(event_date) FILTER (WHERE event_type = 'DAY_CLOSED') AS through, count(*) FILTER (WHERE event_type = 'EXIT') AS closed, count(*) FILTER (WHERE ret_pct > 0) AS w, sum(ret_pct) AS s, sum(ret_pct) FILTER (WHERE ret_pct > 0) AS g, -sum(ret_pct) FILTER (WHERE ret_pct < 0) AS l, count(*) FILTER (WHERE event_type = 'SKIPPED_NO_SLOT') AS skipped FROM st GROUP BY rule)
+SELECT rule, through, closed, round(CASE WHEN closed > 0 THEN w * 100.0 / closed ELSE 0.0 END + 3e-10, 6) AS win_rate, round(CASE WHEN closed > 0 THEN s / closed ELSE 0.0 END + 3e-10, 6) AS avg_ret, round(CASE WHEN l > 0 THEN coalesce(g, 0) / l END + 3e-10, 6) AS profit_factor, coalesce(n_open, 0) AS n_open, skipped FROM su LEFT JOIN op USING (rule)""",
     "dom33_pivots": with_(BARS, DETECTIONS).replace("WITH ", "WITH RECURSIVE ", 1) + """, num AS (SELECT *, row_number() OVER w AS n, high >= max(high) OVER r AS swing FROM bars WINDOW w AS (PARTITION BY instrument ORDER BY trade_date), r AS (PARTITION BY instrument ORDER BY trade_date ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
 bs AS (SELECT b.*, f.n AS first, l.n AS last FROM (SELECT instrument, base_start, max(trade_date) AS as_of FROM dt GROUP BY 1, 2) b JOIN num f ON f.instrument = b.instrument AND f.trade_date = base_start JOIN num l ON l.instrument = b.instrument AND l.trade_date = as_of),
 bb AS (SELECT bs.instrument, base_start, as_of, first, last, num.n, trade_date, high, low, close, swing AND num.n > 5 AND num.n + 5 <= last AS swing FROM (SELECT *, unnest(generate_series(first, last)) AS k FROM bs) bs JOIN num ON num.instrument = bs.instrument AND num.n = bs.k),
