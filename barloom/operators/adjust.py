@@ -96,7 +96,7 @@ def day_factors(priced: DataFrame) -> DataFrame:
     """
     day = W.partitionBy("instrument", "ex_date")
     scaling = F.col("kind").isin("SPLIT", "BONUS")
-    usable = (F.col("num") > 0) & (F.col("den") > 0)
+    usable = F.coalesce((F.col("num") > 0) & (F.col("den") > 0), F.lit(False))
     ratio = F.when(usable & (F.col("kind") == "SPLIT"), F.col("den") / F.col("num")).when(usable & (F.col("kind") == "BONUS"), F.col("den") / (F.col("num") + F.col("den")))
     rows = priced.withColumn("ratio", ratio).withColumn("odd", F.max((F.col("kind") == "UNMODELLED").cast("int")).over(day) == 1)
     large = (F.col("ratio") <= 1 - VISIBLE_GAP) | (F.col("ratio") >= 1 / (1 - VISIBLE_GAP))

@@ -17,6 +17,7 @@ from barloom.operators import health, market
 FEATURE_BARS = 253
 #: Bars before a bar whose later columns or earlier leaders a new bar changes or reads.
 NEAR_BARS = 21
+BREAKOUTS = "instrument long, trade_date date, level double, held boolean, success boolean, failed boolean, ret_5 double, ret_judged double"
 
 
 def month_of(day: Column) -> Column:
@@ -88,5 +89,6 @@ def stored_readings(spark: SparkSession, root: str, **least: int) -> DataFrame:
     """health.readings() of the tables under root."""
     table = lambda name: spark.read.parquet(f"{root}/{name}").drop("month")
     counts = table("counts")
-    judged = health.judged_breakouts(table("breakouts"), counts.select("trade_date"))
+    # There may be no breakout at all.
+    judged = health.judged_breakouts(spark.read.schema(BREAKOUTS).parquet(f"{root}/breakouts"), counts.select("trade_date"))
     return health.readings(counts, health.sectors_up(table("sectors")), judged, **least)

@@ -60,7 +60,8 @@ def verify_runs(records: DataFrame, stored: DataFrame, rebuilt: DataFrame, by: s
     judged = records.join(now, by, "left").select(by, "run_id", state.alias("state"))
     open_ = judged.where("state = 'DIFFERS'").select(by)
     columns = sorted(rebuilt.columns)
-    old, new = (rows.join(open_, by, "left_semi").select(*columns) for rows in (stored, rebuilt))
-    count = lambda a, b, name: a.exceptAll(b).groupBy(by).agg(F.count("*").alias(name))
-    out = judged.join(count(old, new, "n_missing"), by, "left").join(count(new, old, "n_extra"), by, "left")
+    # Rows of both sides as +1 and -1: what doesn't cancel is on one side alone.
+    both = stored.select(*columns, F.lit(1).alias("side")).unionByName(rebuilt.select(*columns, F.lit(-1).alias("side"))).join(open_, by, "left_semi")
+    over = both.groupBy(*columns).agg(F.sum("side").alias("over")).groupBy(by).agg(F.sum(F.greatest("over", F.lit(0))).alias("n_missing"), F.sum(F.greatest(-F.col("over"), F.lit(0))).alias("n_extra"))
+    out = judged.join(over, by, "left")
     return out.select(by, "run_id", "state", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_missing", "n_extra")])
