@@ -3,7 +3,7 @@ scenario's days, is sequential and runs as a grouped map."""
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -39,55 +39,59 @@ def first_at(test: np.ndarray, start: int, stop: int) -> int:
     return start + int(hit[0]) if len(hit) else 1 << 30
 
 
-def trades_of(pdf: pd.DataFrame) -> pd.DataFrame:
+def trades_of(pdf: pd.DataFrame, r: TradeRule) -> list[tuple]:
     """Trades of one rule on one instrument, bars in order of date.
 
     A signal is watched from the next bar on, until it breaks out, its watch ends or a newer one takes its place. Signals up
     to and including the bar of an exit are passed over. On one bar the stop goes before target, trail and time.
     """
-    pdf = pdf.sort_values("trade_date", ignore_index=True)
-    r = pdf.iloc[0]
-    close, high, low, line = (pdf[c].to_numpy(float) for c in ("close", "high", "low", "sma_50"))
-    loud, level, day, n = pdf["loud"].to_numpy(bool), pdf["level"].to_numpy(float), pdf["trade_date"].to_numpy(), len(pdf)
+    close, high, low, line, volume, base = (pdf[c].to_numpy(float) for c in ("close", "high", "low", "sma_50", "volume", "base"))
+    loud, level, day, n = (base > 0) & (volume >= r.volume_ratio * base), pdf["level"].to_numpy(float), pdf["trade_date"].to_numpy(), len(pdf)
     signals, out, free, cost = np.flatnonzero(~np.isnan(level)), [], 0, r.cost_bps / 10_000
     for i, s in enumerate(signals):
         if s < free:
             continue
-        until = min(s + int(r.watch) + 1, n, signals[i + 1] + 0 if i + 1 < len(signals) else n)
+        until = min(s + r.watch + 1, n, signals[i + 1] + 0 if i + 1 < len(signals) else n)
         ready = loud & (close > level[s])
-        if not np.isnan(r.max_extension_pct):
+        if r.max_extension_pct is not None:
             ready &= (np.concatenate([[np.inf], close[:-1]]) <= level[s]) & (close <= level[s] * (1 + r.max_extension_pct / 100))
         k = first_at(ready, s + 1, until)
         if k >= n:
             continue
-        entry, end = close[k], k + int(r.horizon)
-        stop, target = entry * (1 - r.stop_pct / 100), entry * (1 + r.target_pct / 100)
+        entry, end = close[k], k + r.horizon
+        stop, target = entry * (1 - r.stop_pct / 100), entry * (1 + (r.target_pct or 0.0) / 100)
         exits = [(first_at(low <= stop, k + 1, n), 0, "STOP", stop)]
-        if not np.isnan(target):
+        if r.target_pct is not None:
             exits.append((first_at(high >= target, k + 1, n), 1, "TARGET", target))
         if r.trail:
-            t = first_at(close < line, k + max(1, int(r.trail_after)), n)
+            t = first_at(close < line, k + max(1, r.trail_after), n)
             exits.append((t, 2, "TRAIL", close[t] if t < n else 0.0))
         exits.append((end if end < n else 1 << 30, 3, "TIME", close[end] if end < n else 0.0))
         x, _, kind, price = min(exits)
         if x >= n:
             x, kind, price = n - 1, "OPEN", close[n - 1]
         ret = (price * (1 - cost) / (entry * (1 + cost)) - 1) * 100
-        out.append((r.rule, int(r.instrument), day[s], day[k], entry, day[x], price, kind, ret, float(pdf["score"].iloc[s]), x - k))
+        out.append((r.name, int(pdf["instrument"].iloc[0]), day[s], day[k], entry, day[x], price, kind, ret, float(pdf["score"].iloc[s]), x - k))
         free = n if kind == "OPEN" else x + 1
-    return pd.DataFrame(out, columns=[c.split()[0] for c in TRADE.split(", ")])
+    return out
 
 
 def run_trades(bars: DataFrame, signals: DataFrame, rules: list[TradeRule]) -> DataFrame:
-    """Trades of every rule on every instrument. signals: (instrument, trade_date, level, score), one per bar at most."""
+    """Trades of every rule on every instrument. signals: (instrument, trade_date, level, score), one per bar at most.
+
+    An instrument's bars go to Python once, for all rules, and only where it has a signal.
+    """
     w = by_day()
     prior, last = w.rowsBetween(-50, -1), w.rowsBetween(-49, 0)
     base = F.when(F.count("volume").over(prior) == 50, F.avg("volume").over(prior))
-    grid = bars.sparkSession.createDataFrame([tuple({**asdict(r), "target_pct": r.target_pct}.values()) for r in rules], "rule string, stop_pct double, target_pct double, trail string, trail_after int, horizon int, watch int, volume_ratio double, max_extension_pct double, cost_bps double")
-    rows = bars.select("instrument", "trade_date", "high", "low", "close", "volume", base.alias("base"), F.when(F.count("close").over(last) == 50, F.avg("close").over(last)).alias("sma_50"))
-    rows = rows.join(signals, ["instrument", "trade_date"], "left").crossJoin(F.broadcast(grid))
-    rows = rows.withColumn("loud", F.coalesce((F.col("base") > 0) & (F.col("volume") >= F.col("volume_ratio") * F.col("base")), F.lit(False)))
-    return rows.groupBy("rule", "instrument").applyInPandas(trades_of, TRADE)
+    rows = bars.join(signals.select("instrument").distinct(), "instrument", "left_semi")
+    rows = rows.select("instrument", "trade_date", "high", "low", "close", "volume", base.alias("base"), F.when(F.count("close").over(last) == 50, F.avg("close").over(last)).alias("sma_50"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("trade_date", ignore_index=True)
+        return pd.DataFrame([t for r in rules for t in trades_of(pdf, r)], columns=[c.split()[0] for c in TRADE.split(", ")])
+
+    return rows.join(signals, ["instrument", "trade_date"], "left").groupBy("instrument").applyInPandas(run, TRADE)
 
 
 def contenders(trades: DataFrame, bars: DataFrame, slots: int) -> DataFrame:

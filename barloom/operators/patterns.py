@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barloom.operators import asof
 from barloom.operators.features import by_day
 
 
@@ -31,14 +32,14 @@ class BaseRules:
 def known_swings(bars: DataFrame, rules: BaseRules, reach: int) -> DataFrame:
     """(instrument, trade_date, n, close, low_tail, highs, lows): each bar with the swings of its last `reach` bars that are confirmed by it.
 
-    highs and lows are in order; a high has the lowest low of advance_bars before it. low_tail is the lowest low of the
+    highs and lows are in order; a high has the lowest low of the advance_bars that end with its own. low_tail is the lowest low of the
     bars too young to be swings.
     """
     w = by_day()
-    around = w.rowsBetween(-rules.left, rules.right)
+    around, run_up = w.rowsBetween(-rules.left, rules.right), w.rowsBetween(-(rules.advance_bars - 1), 0)
     inside = (F.row_number().over(w) > rules.left) & F.lead("low", rules.right).over(w).isNotNull()
     rows = bars.select(
-        "instrument", "trade_date", "high", "low", "close", F.row_number().over(w).alias("n"), F.min("low").over(w.rowsBetween(-rules.advance_bars, -1)).alias("before"),
+        "instrument", "trade_date", "high", "low", "close", F.row_number().over(w).alias("n"), F.min("low").over(run_up).alias("before"),
         (inside & (F.col("high") == F.max("high").over(around))).alias("is_high"), (inside & (F.col("low") == F.min("low").over(around))).alias("is_low"),
         F.min("low").over(w.rowsBetween(-(rules.right - 1), 0)).alias("low_tail"),
     )
@@ -90,17 +91,16 @@ def with_legs(rows: DataFrame, rules: BaseRules) -> DataFrame:
 
 def of_days(rows: DataFrame, as_of: DataFrame) -> DataFrame:
     """Those of rows(instrument, trade_date, ...) at the last bar on or before each as_of(instrument, as_of) day, with as_of."""
-    days = rows.select("instrument", "trade_date", F.lead("trade_date").over(by_day()).alias("until"), *[c for c in rows.columns if c not in ("instrument", "trade_date")])
-    at = as_of.select(F.col("instrument").alias("of"), "as_of")
-    held = (F.col("instrument") == F.col("of")) & (F.col("trade_date") <= F.col("as_of")) & (F.col("until").isNull() | (F.col("until") > F.col("as_of")))
-    return days.join(at, held).drop("of", "until")
+    last = asof.backward(as_of.select("instrument", "as_of"), rows.select("instrument", "trade_date", F.lit(True).alias("there")), ["instrument"], "as_of", "trade_date", ["there"])
+    at = last.where("there").select("instrument", F.col("matched_trade_date").alias("trade_date"), "as_of")
+    return rows.join(at, ["instrument", "trade_date"])
 
 
-def detect_bases(bars: DataFrame, as_of: DataFrame, rules: BaseRules = BaseRules()) -> DataFrame:
-    """The base of each instrument and day of as_of(instrument, as_of); a day before the first bar has no row.
+def detect_bases(bars: DataFrame, as_of: DataFrame | None = None, rules: BaseRules = BaseRules()) -> DataFrame:
+    """The base of each instrument and day of as_of(instrument, as_of), or of each bar; a day before the first bar has no row.
 
     (instrument, as_of, base_start, base_high, base_low, depth_pct, n_bars, advance_pct, reason, contractions). reason says why there is
-    no base: NO_SWING_HIGH, NO_ADVANCE; null if there is one. A leg that is noise, and one that starts within equal_pct of the leg
+    no base: NO_SWING_HIGH, INSUFFICIENT_HISTORY, NO_ADVANCE; null if there is one. A leg that is noise, and one that starts within equal_pct of the leg
     before or above it, is part of the leg before.
     """
 
@@ -110,12 +110,13 @@ def detect_bases(bars: DataFrame, as_of: DataFrame, rules: BaseRules = BaseRules
         merged = F.concat(F.slice(a, 1, F.size(a) - 1), F.array(to_trough(last, x, x["trough"] < last["trough"])))
         return F.when(F.size(a) == 0, F.array(x)).when(part, merged).otherwise(F.concat(a, F.array(x)))
 
-    rows = of_days(known_swings(bars, rules, rules.window), as_of).withColumn("top", highest(F.col("highs")))
+    known = known_swings(bars, rules, rules.window)
+    rows = (known.withColumn("as_of", F.col("trade_date")) if as_of is None else of_days(known, as_of)).withColumn("top", highest(F.col("highs")))
     rows = rows.withColumn("highs", F.filter("highs", lambda x: x["n"] >= F.col("top")["n"]))
     rows = with_legs(rows, rules).withColumn("legs", F.aggregate("legs", F.slice("legs", 1, 0), take))
     advance = (F.col("top")["price"] / F.col("top")["before"] - 1) * 100
     bottom = F.least(F.array_min(F.transform(F.filter("lows", lambda x: x["n"] >= F.col("top")["n"]), lambda x: x["price"])), "low_tail")
-    reason = F.when(F.col("top").isNull(), "NO_SWING_HIGH").when(F.coalesce(advance, F.lit(0.0)) < rules.advance_pct, "NO_ADVANCE")
+    reason = F.when(F.col("top").isNull(), "NO_SWING_HIGH").when(advance < rules.advance_pct, F.when(F.col("top")["n"] < rules.advance_bars, "INSUFFICIENT_HISTORY").otherwise("NO_ADVANCE"))
     part = lambda x: F.struct(x["peak_date"].alias("peak_date"), x["peak"].alias("peak"), x["trough_date"].alias("trough_date"), x["trough"].alias("trough"), depth(x).alias("depth_pct"), x["confirmed"].alias("confirmed"))
     there = F.col("top").isNotNull()
     return rows.select(
@@ -185,14 +186,18 @@ def base_status(bases: DataFrame, bars: DataFrame, trend: DataFrame, volume_rati
     base_volume = F.when(F.count("volume").over(w) == 50, F.avg("volume").over(w))
     b = bars.select("instrument", "trade_date", "low", "close", (F.col("volume") / F.when(base_volume > 0, base_volume)).alias("ratio"))
     last = F.try_element_at("contractions", F.lit(-1))
-    k = bases.where("reason IS NULL").select("instrument", "as_of", "base_start", F.size("contractions").alias("n"), F.coalesce(last["peak"], F.col("base_high")).alias("level"), F.coalesce(last["peak_date"], F.col("base_start")).alias("level_date"))
-    inside = k.join(b, "instrument").where((F.col("trade_date") >= F.col("base_start")) & (F.col("trade_date") <= F.col("as_of")))
+    k = bases.where("reason IS NULL").select("instrument", "as_of", "base_start", F.size("contractions").alias("legs"), F.coalesce(last["peak"], F.col("base_high")).alias("level"), F.coalesce(last["peak_date"], F.col("base_start")).alias("level_date"))
+    # A base meets its own bars by their numbers, not all bars of its instrument.
+    b = b.withColumn("n", F.row_number().over(by_day()))
+    spans = k.join(b.select("instrument", F.col("trade_date").alias("base_start"), F.col("n").alias("first")), ["instrument", "base_start"])
+    spans = of_days(b.select("instrument", "trade_date", F.col("n").alias("last_n")), spans.select("instrument", "as_of").distinct()).select("instrument", "as_of", "last_n").join(spans, ["instrument", "as_of"])
+    inside = spans.select(*k.columns, F.explode(F.sequence("first", "last_n")).alias("bar")).join(b.withColumnRenamed("n", "bar"), ["instrument", "bar"])
     broke = (F.col("trade_date") > F.col("level_date")) & (F.col("close") > F.col("level")) & (F.col("ratio") >= volume_ratio)
-    rows = inside.groupBy("instrument", "as_of", "n", "level").agg(F.min(F.when(F.col("trade_date") <= F.col("level_date"), F.col("low"))).alias("floor"), F.max_by("close", "trade_date").alias("close"), F.min(F.when(broke, F.col("trade_date"))).alias("breakout_on"), F.max("trade_date").alias("trade_date"))
+    rows = inside.groupBy("instrument", "as_of", "legs", "level").agg(F.min(F.when(F.col("trade_date") <= F.col("level_date"), F.col("low"))).alias("floor"), F.max_by("close", "trade_date").alias("close"), F.min(F.when(broke, F.col("trade_date"))).alias("breakout_on"), F.max("trade_date").alias("trade_date"))
     rows = rows.join(trend.select("instrument", "trade_date", "status"), ["instrument", "trade_date"], "left").withColumnRenamed("status", "trend")
-    reasons = F.array_compact(F.array(F.when(F.col("trend") == "FAIL", F.lit("TREND")), F.when((F.col("n") >= 2) & (F.col("close") < F.col("floor") * (1 - break_pct / 100)), F.lit("BASE_LOW"))))
+    reasons = F.array_compact(F.array(F.when(F.col("trend") == "FAIL", F.lit("TREND")), F.when((F.col("legs") >= 2) & (F.col("close") < F.col("floor") * (1 - break_pct / 100)), F.lit("BASE_LOW"))))
     below = (F.col("level") / F.col("close") - 1) * 100
-    state = F.when(F.size("reasons") > 0, "INVALIDATED").when(F.col("breakout_on").isNotNull(), F.when(F.col("close") >= F.col("level"), "BREAKOUT").otherwise("FAILED")).when((F.col("n") >= 2) & below.between(0, ready_pct), "READY").otherwise("FORMING")
+    state = F.when(F.size("reasons") > 0, "INVALIDATED").when(F.col("breakout_on").isNotNull(), F.when(F.col("close") >= F.col("level"), "BREAKOUT").otherwise("FAILED")).when((F.col("legs") >= 2) & below.between(0, ready_pct), "READY").otherwise("FORMING")
     return rows.withColumn("reasons", reasons).select("instrument", "as_of", "level", "breakout_on", F.concat_ws(",", "reasons").alias("reasons"), state.alias("state"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barloom import streaming as st
 from barloom.functions import first_reason, r6
 from barloom.operators import adjust, health, labels, market, strength
 from barloom.operators.features import by_day, daily_features
@@ -60,7 +61,10 @@ def with_indices(panel):
 
 def day_readings(s, d):
     """All readings of the market's days, for a market of ten eligible stocks or more and three verdicts."""
-    p = with_indices(pan(s, d))
+    # Counts, sectors and breakouts read the panel, which is computed once.
+    path = f"{st.scratch(s)}/panel"
+    with_indices(pan(s, d)).write.parquet(path)
+    p = s.read.parquet(path)
     counts = health.day_counts(p)
     judged = health.judged_breakouts(market.breakouts(p), counts.select("trade_date"))
     return health.readings(counts, health.sectors_up(health.sector_days(p, sectors(s, d))), judged, min_universe=10, min_judged=3)

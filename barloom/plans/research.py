@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.operators import backtest, falls, labels, ledger, market, patterns, pivots, tracking
+from barloom.operators import backtest, falls, labels, ledger, market, patterns, pivots, scores, tracking
 from barloom.operators.backtest import TradeRule
-from barloom.operators.features import daily_features
+from barloom.operators.features import by_day, daily_features
 from barloom.operators.trend import screened, trend_status
 from barloom.plans.detections import DETECTIONS
 from barloom.plans.screen import rounded
@@ -55,6 +55,12 @@ def month_ends(bars):
 
 
 def bases(s, d):
+    """Bases as of every bar."""
+    return patterns.detect_bases(model_bars(s, d))
+
+
+def month_bases(s, d):
+    """Bases as of the last bar of each month, whose status follows the bars since their start."""
     bars = model_bars(s, d)
     return patterns.detect_bases(bars, month_ends(bars))
 
@@ -80,6 +86,16 @@ def candidate_signals(s, d):
     return patterns.new_signals(days.join(sessions(bars).withColumnRenamed("trade_date", "as_of"), "as_of").select("instrument", "as_of", "pivot", "session"))
 
 
+def score_parts(s, d):
+    """The parts of score v2 as of each bar, from its rolling features."""
+    w = by_day().rowsBetween(-9, 0)
+    ten = daily_features(model_bars(s, d)).select("*", F.max("high").over(w).alias("right_high"), F.min("low").over(w).alias("right_low"))
+    depth = lambda hi, lo: (1 - F.col(lo) / F.col(hi)) * 100
+    above = lambda a, b: (F.col(a) / F.col(b) - 1) * 100
+    parts = {"right_side_range_pct": depth("right_high", "right_low"), "final_contraction_pct": depth("high_20", "low_20"), "base_depth_pct": depth("high_50", "low_50"), "above_sma50_pct": above("close", "sma_50"), "stack_margin_pct": above("sma_50", "sma_200"), "prior_advance_pct": above("high_50", "low_252")}
+    return ten.select("instrument", "trade_date", *[c.alias(n) for n, c in parts.items()])
+
+
 def last_days(s, d):
     """Each base that daily_detections finds, as of the last bar that has it."""
     return tracking.daily_detections(model_bars(s, d)).groupBy("instrument", "base_start").agg(F.max("trade_date").alias("as_of"))
@@ -96,6 +112,8 @@ QUERIES = {
     "dom48_falls": falls_of_all,
     "dom49_daily_scan": lambda s, d: falls.scan_summary(falls.daily_falls(model_bars(s, d))),
     "dom50_candidate_signals": candidate_signals,
+    "dom54_score_v2": lambda s, d: rounded(score_parts(s, d).select("instrument", "trade_date", scores.score_of().alias("score")), "score"),
+    "dom54_rescored_signals": lambda s, d: rounded(scores.rescored(signals(s, d), score_parts(s, d)), "score"),
     "dom33_pivots": lambda s, d: rounded(pivots.pivots(model_bars(s, d), last_days(s, d)), "distance_pct", "tightness_pct"),
     "dom50_new_signals": level_signals,
     "dom60_signals": signals,
@@ -108,8 +126,8 @@ QUERIES = {
     "dom31_bases": bases,
     "dom32_measures": lambda s, d: rounded(patterns.measures(bases(s, d)), "first_depth", "last_depth", "mean_ratio", "worst_ratio", "shrinking_share"),
     "dom34_tiers": lambda s, d: patterns.tiers(bases(s, d)),
-    "dom37_base_status": lambda s, d: rounded(patterns.base_status(bases(s, d), model_bars(s, d), trend_status(model_bars(s, d))), "level"),
-    "dom40_base_history": lambda s, d: patterns.status_history(patterns.base_status(bases(s, d), model_bars(s, d), trend_status(model_bars(s, d)))),
+    "dom37_base_status": lambda s, d: rounded(patterns.base_status(month_bases(s, d), model_bars(s, d), trend_status(model_bars(s, d))), "level"),
+    "dom40_base_history": lambda s, d: patterns.status_history(patterns.base_status(month_bases(s, d), model_bars(s, d), trend_status(model_bars(s, d)))),
     "win12_ema20": lambda s, d: rounded(ema20(s, d), "ema_20"),
 }
 
@@ -119,7 +137,16 @@ _EVENTS = """ev AS (SELECT o_orderpriority AS rule, o_custkey AS instrument, CAS
 st AS (SELECT * REPLACE (CASE WHEN k % 89 = 0 THEN price + 1 ELSE price END AS price) FROM ev WHERE event_date <= DATE '1996-12-31' AND rule <> '5-LOW' AND coalesce(k % 97, 1) <> 0),
 la AS (SELECT rule, max(event_date) AS last FROM st WHERE event_type = 'DAY_CLOSED' GROUP BY rule)"""
 
+_SCORE2 = """pt AS (SELECT instrument, trade_date, (1 - min(low) OVER t / max(high) OVER t) * 100 AS a, (1 - low_20 / high_20) * 100 AS b, (1 - low_50 / high_50) * 100 AS c, (close / sma_50 - 1) * 100 AS d, (sma_50 / sma_200 - 1) * 100 AS e, (high_50 / low_252 - 1) * 100 AS f FROM feat
+  WINDOW t AS (PARTITION BY instrument ORDER BY trade_date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+pp AS (SELECT instrument, trade_date, [""" + ", ".join(f"CASE WHEN {c} IS NOT NULL THEN least(100.0, greatest(0.0, ({worst} - {c}) / ({worst} - {best}) * 100)) END" for c, (worst, best) in zip("abcdef", scores.PARTS.values(), strict=True)) + """] AS p FROM pt),
+s2 AS (SELECT instrument, trade_date, list_aggregate(p, 'sum') / nullif(list_aggregate(p, 'count'), 0) AS score FROM pp)"""
+
 ORACLES = {
+    "dom54_score_v2": with_(BARS, FEATURES, _SCORE2) + "SELECT instrument, trade_date, round(score + 3e-10, 6) AS score FROM s2",
+    "dom54_rescored_signals": with_(BARS, FEATURES, STRENGTH, TREND, _SCORE2) + """, k AS (SELECT instrument, trade_date, rs_rank, status, row_number() OVER (PARTITION BY instrument ORDER BY trade_date) AS n FROM status),
+p AS (SELECT *, lag(n) OVER (PARTITION BY instrument ORDER BY n) AS last FROM k WHERE status = 'PASS')
+SELECT p.instrument, p.trade_date, f.high_20 AS level, round(score + 3e-10, 6) AS score, CAST(row_number() OVER (PARTITION BY p.trade_date ORDER BY score DESC NULLS LAST, p.instrument) AS INTEGER) AS day_rank FROM p JOIN feat f USING (instrument, trade_date) LEFT JOIN s2 USING (instrument, trade_date) WHERE n > 1 AND (last IS NULL OR n - last > 10)""",
     "dom65_ledger_update": with_(_EVENTS) + """, u AS (SELECT ev.*, last, round(price, 4) AS p FROM ev LEFT JOIN la USING (rule)), v AS (SELECT st.*, round(price, 4) AS p FROM st JOIN la USING (rule)),
 o AS (SELECT *, 'NEW' AS state FROM u WHERE last IS NULL OR event_date > last
   UNION ALL SELECT u.*, 'DERIVED_ONLY' FROM u WHERE event_date <= last AND NOT EXISTS (SELECT 1 FROM v WHERE v.rule = u.rule AND v.event_type = u.event_type AND v.event_date = u.event_date AND v.instrument IS NOT DISTINCT FROM u.instrument AND v.scan_date IS NOT DISTINCT FROM u.scan_date AND v.p IS NOT DISTINCT FROM u.p)

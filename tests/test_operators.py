@@ -133,9 +133,9 @@ def test_portfolio_respects_slots(spark):
 
 def test_base_by_hand(spark):
     """A rise, then two falls of 20 and 8 percent below one top."""
-    close = legs((50, 100, 60), (100, 80, 15), (80, 97, 15), (97, 89, 10), (89, 95, 8)).tolist()
+    close = legs((50, 100, 120), (100, 80, 15), (80, 97, 15), (97, 89, 10), (89, 95, 8)).tolist()
     r = patterns.detect_bases(bars(spark, close, spread=0.002), last_day(spark, close)).first()
-    assert r.reason is None and r.base_start == D0 + timedelta(60) and r.advance_pct > 90
+    assert r.reason is None and r.base_start == D0 + timedelta(120) and r.advance_pct > 90
     assert [round(c.depth_pct) for c in r.contractions] == [20, 9] and all(c.confirmed for c in r.contractions)
     m = patterns.measures(patterns.detect_bases(bars(spark, close, spread=0.002), last_day(spark, close))).first()
     assert m.n == 2 and m.progressive and m.worst_ratio == pytest.approx(m.last_depth / m.first_depth)
