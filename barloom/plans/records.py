@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.functions import r6
-from barloom.operators import adjust, flow, market, records
+from barloom.operators import adjust, events, flow, market, records
 from barloom.operators.trend import trend_status
 from barloom.plans.market import ALL, RAW, pan, raw
 from barloom.plans.screen import rounded
@@ -75,7 +75,25 @@ def setup_flow(s, d):
     return flow.setup_flow(setups, events, bars, sessions(bars))
 
 
+def quality_events(s, d):
+    """Events of the actions, of which one instrument in thirteen has sources that disagree and one was entered by hand, and of codes that change each other year."""
+    i = F.col("instrument") % 13
+    readings = adjust.day_factors(priced(s, d)).withColumn("status", F.when(i == 0, "PROVIDER_CONFLICT").when(i == 1, "MANUAL_OVERRIDE").otherwise("CONFIRMED"))
+    bars = model_bars(s, d)
+    codes = bars.select("instrument", "trade_date", F.concat_ws("-", F.col("instrument").cast("string"), F.floor(F.year("trade_date") / 2).cast("string")).alias("code"))
+    return events.action_events(readings), events.identity_events(codes, actions(bars))
+
+
+def all_events(s, d):
+    first, second = quality_events(s, d)
+    return first.unionByName(second)
+
+
 QUERIES = {
+    "dom14_action_events": lambda s, d: quality_events(s, d)[0],
+    "dom15_identity_events": lambda s, d: quality_events(s, d)[1],
+    "fil11_event_counts": lambda s, d: events.event_counts(all_events(s, d)),
+    "fil11_event_page": lambda s, d: events.event_page(all_events(s, d), 200, severity="critical"),
     "src09_validity": lambda s, d: records.validity(*daily_lists(s, d)),
     "dom25_run_records": lambda s, d: kept_runs(s, d),
     "dom25_verified": verified,
@@ -99,7 +117,27 @@ px AS (SELECT da.*, t.close AS prior_close, CASE WHEN t.close IS NOT NULL THEN o
   FROM da ASOF LEFT JOIN traded t ON t.instrument = da.instrument AND da.ex_date > t.trade_date LEFT JOIN traded o ON o.instrument = da.instrument AND o.trade_date = da.ex_date)
 """
 
+_FACTORS = _PRICED + """, a AS (SELECT *, CASE WHEN kind = 'SPLIT' THEN den / num END AS ratio, bool_or(kind = 'UNMODELLED') OVER (PARTITION BY instrument, ex_date) AS odd FROM px),
+b AS (SELECT *, CASE WHEN kind <> 'SPLIT' THEN NULL WHEN odd THEN 'SUPERSEDED' WHEN coalesce(raw AND prior_close > 0 AND ex_open > 0 AND (ratio <= 0.7 OR ratio >= 1 / 0.7) AND abs(ex_open / (prior_close * ratio) - 1) >= 0.3, false) THEN 'UNCONFIRMED' ELSE 'APPLIED' END AS first FROM a),
+c AS (SELECT *, prior_close * exp(coalesce(sum(CASE WHEN first = 'APPLIED' THEN ln(ratio) END) OVER (PARTITION BY instrument, ex_date), 0)) AS p FROM b),
+e AS (SELECT *, CASE kind WHEN 'RIGHTS' THEN CASE WHEN price >= p THEN 1.0 ELSE (den * p + num * price) / ((num + den) * p) END WHEN 'DEMERGER' THEN CASE WHEN ex_open >= p THEN CASE WHEN ex_open <= p * 1.01 THEN 1.0 END WHEN ex_open / p >= 0.02 THEN ex_open / p END END AS second FROM c),
+g AS (SELECT *, CASE WHEN kind = 'SPLIT' THEN first WHEN kind = 'UNMODELLED' THEN 'UNMODELLED' WHEN NOT coalesce(raw, false) THEN 'NOT_RAW' WHEN second IS NULL THEN 'UNKNOWN' ELSE 'APPLIED' END AS state FROM e)
+"""
+_EVENTS = _FACTORS + """, m AS (SELECT *, instrument % 13 = 0 AS disputed, bool_or(instrument % 13 = 1) OVER (PARTITION BY instrument, ex_date) AS by_hand FROM g),
+n AS (SELECT *, CASE WHEN kind = 'UNMODELLED' THEN 'UNMODELLED' WHEN odd THEN NULL WHEN state = 'UNKNOWN' AND kind = 'SPLIT' THEN 'RATIO_UNKNOWN' WHEN state = 'UNKNOWN' THEN 'FACTOR_UNKNOWN' WHEN state = 'UNCONFIRMED' AND NOT by_hand THEN 'RATIO_UNCONFIRMED' WHEN disputed THEN 'CONFLICT' END AS cause FROM m),
+ae AS (SELECT 'dq-' || substr(sha256('CORPORATE_ACTION_UNRESOLVED|' || cause || '|' || instrument || '|' || kind || '|' || ex_date), 1, 20) AS event_id, instrument, ex_date AS trade_date, 'CORPORATE_ACTION_UNRESOLVED' AS event_type, cause,
+  CASE WHEN cause = 'UNMODELLED' OR (cause = 'CONFLICT' AND kind <> 'SPLIT') THEN 'WARNING' ELSE 'CRITICAL' END AS severity, NOT (cause = 'UNMODELLED' OR (cause = 'CONFLICT' AND kind <> 'SPLIT')) AS blocks, kind AS note FROM n WHERE cause IS NOT NULL),
+cd AS (SELECT instrument, trade_date, instrument || '-' || CAST(floor(year(trade_date) / 2) AS INTEGER) AS code FROM bars), ch AS (SELECT *, lag(code) OVER (PARTITION BY instrument ORDER BY trade_date) AS was FROM cd),
+ie AS (SELECT 'dq-' || substr(sha256('IDENTITY_CHANGE|CODE_CHANGED|' || instrument || '|' || trade_date || '|' || code), 1, 20) AS event_id, instrument, trade_date, 'IDENTITY_CHANGE' AS event_type, 'CODE_CHANGED' AS cause, 'WARNING' AS severity, false AS blocks, was || ' to ' || code AS note FROM ch
+  WHERE was <> code AND NOT EXISTS (SELECT 1 FROM act WHERE act.instrument = ch.instrument AND abs(date_diff('day', act.ex_date, ch.trade_date)) <= 30)),
+al AS (SELECT * FROM ae UNION ALL SELECT * FROM ie)
+"""
+
 ORACLES = {
+    "dom14_action_events": _EVENTS + "SELECT * FROM ae",
+    "dom15_identity_events": _EVENTS + "SELECT * FROM ie",
+    "fil11_event_counts": _EVENTS + "SELECT event_type, cause, severity, count(*) AS n, count(*) FILTER (WHERE blocks) AS blocking FROM al GROUP BY ALL",
+    "fil11_event_page": _EVENTS + "SELECT *, count(*) OVER () AS total FROM al WHERE severity = 'CRITICAL' ORDER BY trade_date DESC NULLS LAST, event_id LIMIT 200",
     "src09_validity": with_(BARS) + """, l AS (SELECT trade_date AS day, instrument, (instrument * 7 + year(trade_date) * 12 + month(trade_date)) % 3 AS stage FROM bars),
 f AS (SELECT day, row_number() OVER (ORDER BY day) AS k, lead(day) OVER (ORDER BY day) AS following FROM (SELECT DISTINCT trade_date AS day FROM bars WHERE day(trade_date) % 10 <> 3)),
 h AS (SELECT instrument, 'STAGE_' || stage AS flag, day, k, following, lag(k) OVER (PARTITION BY instrument, stage ORDER BY k) AS before FROM l JOIN f USING (day) WHERE stage > 0),
@@ -109,12 +147,7 @@ SELECT instrument, flag, min(day) AS valid_from, nullif(max(coalesce(following,
     "dom25_verified": _SCANS + """, x AS (SELECT month, count(*) FILTER (WHERE instrument % 7 = 0 AND month(trade_date) % 5 = 0) AS n FROM st GROUP BY month)
 SELECT month, run_id, CASE WHEN month = '1998-01' THEN 'NOT_REBUILT' WHEN n > 0 THEN 'DIFFERS' ELSE 'MATCH' END AS state, CASE WHEN month = '1998-01' THEN 0 ELSE n END AS n_missing, CASE WHEN month = '1998-01' THEN 0 ELSE n END AS n_extra FROM rr JOIN x USING (month)""",
     "dom04_ex_prices": _PRICED + "SELECT instrument, ex_date, kind, num, den, price, round(prior_close + 3e-10, 6) AS prior_close, round(ex_open + 3e-10, 6) AS ex_open, raw FROM px",
-    "dom05_day_factors": _PRICED + """, a AS (SELECT *, CASE WHEN kind = 'SPLIT' THEN den / num END AS ratio, bool_or(kind = 'UNMODELLED') OVER (PARTITION BY instrument, ex_date) AS odd FROM px),
-b AS (SELECT *, CASE WHEN kind <> 'SPLIT' THEN NULL WHEN odd THEN 'SUPERSEDED' WHEN coalesce(raw AND prior_close > 0 AND ex_open > 0 AND (ratio <= 0.7 OR ratio >= 1 / 0.7) AND abs(ex_open / (prior_close * ratio) - 1) >= 0.3, false) THEN 'UNCONFIRMED' ELSE 'APPLIED' END AS first FROM a),
-c AS (SELECT *, prior_close * exp(coalesce(sum(CASE WHEN first = 'APPLIED' THEN ln(ratio) END) OVER (PARTITION BY instrument, ex_date), 0)) AS p FROM b),
-e AS (SELECT *, CASE kind WHEN 'RIGHTS' THEN CASE WHEN price >= p THEN 1.0 ELSE (den * p + num * price) / ((num + den) * p) END WHEN 'DEMERGER' THEN CASE WHEN ex_open >= p THEN CASE WHEN ex_open <= p * 1.01 THEN 1.0 END WHEN ex_open / p >= 0.02 THEN ex_open / p END END AS second FROM c),
-g AS (SELECT *, CASE WHEN kind = 'SPLIT' THEN first WHEN kind = 'UNMODELLED' THEN 'UNMODELLED' WHEN NOT coalesce(raw, false) THEN 'NOT_RAW' WHEN second IS NULL THEN 'UNKNOWN' ELSE 'APPLIED' END AS state FROM e)
-SELECT instrument, ex_date, kind, state, round(CASE WHEN state = 'APPLIED' THEN coalesce(ratio, second) END + 3e-10, 6) AS price_factor,
+    "dom05_day_factors": _FACTORS + """SELECT instrument, ex_date, kind, state, round(CASE WHEN state = 'APPLIED' THEN coalesce(ratio, second) END + 3e-10, 6) AS price_factor,
   round(CASE WHEN state = 'APPLIED' THEN CASE WHEN kind = 'DEMERGER' THEN 1.0 ELSE 1 / coalesce(ratio, second) END END + 3e-10, 6) AS volume_factor FROM g""",
     "dom18_provider_verdicts": with_(BARS, ACTIONS, RAW) + """, v AS (SELECT instrument, trade_date, open, close FROM bars WHERE instrument % 2 = 0 UNION ALL SELECT instrument, trade_date, open, close FROM traded WHERE instrument % 2 = 1),
 w AS (SELECT *, lag(close) OVER (PARTITION BY instrument ORDER BY trade_date) AS pc FROM v), x AS (SELECT act.instrument, ex_date, factor, open / pc AS observed, abs(ln(open / pc)) AS a, abs(ln(open / pc) - ln(factor)) AS r, abs(ln(factor)) / 4 AS m FROM act JOIN w ON w.instrument = act.instrument AND w.trade_date = ex_date)
