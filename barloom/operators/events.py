@@ -43,11 +43,11 @@ def action_events(factors: DataFrame, conflict_blocks: bool = True) -> DataFrame
     return named(rows, "CORPORATE_ACTION_UNRESOLVED", F.col("cause"), critical, blocks, F.col("kind"), "instrument", "kind", "ex_date").select(*EVENT)
 
 
-def identity_events(codes: DataFrame, splits: DataFrame, near_days: int = 30) -> DataFrame:
+def identity_events(codes: DataFrame, splits: DataFrame, days_before: int = 7, days_after: int = 1) -> DataFrame:
     """EVENT rows of code changes without a split nearby; codes(instrument, trade_date, code), splits(instrument, ex_date).
 
-    A change is a bar whose code isn't that of the bar before. It is explained by a split within near_days of it: the last ex-date on or before the
-    day, or the first one after. Null codes are passed over.
+    A change is a bar whose code isn't that of the bar before. It is explained by a split whose ex-date is up to days_before before it, or up to
+    days_after behind. Null codes are passed over.
     """
     w = W.partitionBy("instrument").orderBy("trade_date")
     before = F.lag("code").over(w)
@@ -56,7 +56,7 @@ def identity_events(codes: DataFrame, splits: DataFrame, near_days: int = 30) ->
     rows = changes.select("instrument", "trade_date", "code", "before", F.lit(None).cast("date").alias("ex_date")).unionByName(marks, allowMissingColumns=True)
     order = W.partitionBy("instrument").orderBy("trade_date")
     rows = rows.withColumns({"past": F.max("ex_date").over(order.rangeBetween(W.unboundedPreceding, 0)), "coming": F.min("ex_date").over(order.rangeBetween(0, W.unboundedFollowing))}).where("code IS NOT NULL")
-    near = F.coalesce(F.datediff("trade_date", "past") <= near_days, F.lit(False)) | F.coalesce(F.datediff("coming", "trade_date") <= near_days, F.lit(False))
+    near = F.coalesce(F.datediff("trade_date", "past") <= days_before, F.lit(False)) | F.coalesce(F.datediff("coming", "trade_date") <= days_after, F.lit(False))
     rows = rows.where(~near)
     return named(rows, "IDENTITY_CHANGE", F.lit("CODE_CHANGED"), F.lit(False), F.lit(False), F.concat_ws(" to ", "before", "code"), "instrument", "trade_date", "code").select(*EVENT)
 

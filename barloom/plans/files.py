@@ -27,6 +27,42 @@ def price_csv(s, d):
     return files.price_files(s, f"{at}/prices", files.OLD, DAY, ["A", "N"])
 
 
+SWITCH = "1995-06-01"
+
+
+def landed_lines(s, rows, heads):
+    """Lines of files, landed and read again."""
+    path = f"{scratch(s)}/lines"
+    rows.select("file_day", "line").unionByName(heads.select("file_day", "line")).write.parquet(path)
+    return s.read.parquet(path)
+
+
+def price_lines(s, d):
+    """Line items as a file for each day of shipping. On days ending in 4 the header is missing; on those ending in 5 some lines are of the day after."""
+    l = table(s, d, "lineitem").select("*", F.to_date("l_shipdate").alias("file_day"))
+    old, k, last = F.col("file_day") < F.lit(SWITCH).cast("date"), F.col("l_orderkey") % 1000, F.dayofmonth("file_day") % 10
+    day = F.when((last == 5) & (k % 7 == 0), F.date_add("file_day", 1)).otherwise(F.col("file_day"))
+    high = F.when(k % 9 == 0, "-").otherwise((F.col("l_extendedprice") + F.col("l_quantity")).cast("string"))
+    fields = [
+        F.col("l_suppkey").cast("string"), F.col("l_returnflag"), F.format_string("%s%06d", F.when(F.col("l_partkey") % 11 == 0, "INF").otherwise("INE"), F.col("l_partkey")), F.col("l_extendedprice").cast("string"), high,
+        (F.col("l_extendedprice") - F.when(k % 8 == 0, -5.0).otherwise(1.0)).cast("string"), F.col("l_extendedprice").cast("string"), F.col("l_quantity").cast("string"), F.when(old, F.date_format(day, files.OLD[9])).otherwise(F.date_format(day, files.NEW[9])),
+    ]
+    head = F.when(old, ",".join(files.OLD[:9])).otherwise(",".join(files.NEW[:9]))
+    heads = l.select("file_day").distinct().where(F.dayofmonth("file_day") % 10 != 4).withColumn("line", head)
+    return files.price_days(landed_lines(s, l.withColumn("line", F.concat_ws(",", *fields)), heads), SWITCH, ["A", "N"])
+
+
+def index_lines(s, d):
+    """A file a day with a line for each nation whose customers ordered; every eleventh volume is missing, and days ending in 6 have two headers."""
+    o = table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    per = o.groupBy(F.to_date("o_orderdate").alias("file_day"), "n_name", "n_nationkey").agg(F.round(F.sum("o_totalprice") + 3e-5, 2).alias("close"), F.count("*").alias("n"))
+    volume = F.when((F.col("n_nationkey") + F.dayofmonth("file_day")) % 11 == 0, "-").otherwise(F.col("n").cast("string"))
+    rows = per.withColumn("line", F.concat_ws(",", "n_name", F.date_format("file_day", "dd-MM-yyyy"), F.col("close").cast("string"), volume))
+    twice = F.when(F.dayofmonth("file_day") % 10 == 6, 2).otherwise(1)
+    heads = per.select("file_day").distinct().select("file_day", F.explode(F.array_repeat(F.lit(files.INDEX_HEADER), twice)).alias("line"))
+    return files.index_closes(landed_lines(s, rows, heads))
+
+
 def price_summary(s, d):
     good, bad, skipped = price_csv(s, d)
     out = good.agg(F.lit("ROWS").alias("what"), F.count("*").alias("n"))
@@ -76,6 +112,11 @@ def missing(s, d):
 
 
 QUERIES = {
+    "src01_file_days": lambda s, d: price_lines(s, d)[2],
+    "src01_day_rows": lambda s, d: price_lines(s, d)[0].select("file_day", "symbol", "series", "isin", "open", "high", "low", "close", "volume"),
+    "src01_day_rejects": lambda s, d: price_lines(s, d)[1].groupBy("file_day", "reason").agg(F.count("*").alias("n")),
+    "src04_index_closes": lambda s, d: index_lines(s, d)[0],
+    "src04_index_files": lambda s, d: index_lines(s, d)[1],
     "src01_price_files": lambda s, d: price_csv(s, d)[0],
     "src01_price_summary": price_summary,
     "src02_missing_days": missing,
@@ -92,7 +133,21 @@ c AS (SELECT *, row_number() OVER (PARTITION BY symbol, series ORDER BY isin, op
 r AS (SELECT *, CASE WHEN trade_date <> DATE '1996-03-15' THEN 'WRONG_DATE' WHEN high IS NULL OR low <= 0 THEN 'NO_PRICE' WHEN low > close OR high < close THEN 'PRICE_ORDER' WHEN copy > 1 THEN 'REPEATED' END AS reason FROM c WHERE series IN ('A', 'N'))
 """
 
+_DAYS = """WITH l AS (SELECT *, CAST(l_shipdate AS DATE) AS file_day, l_orderkey % 1000 AS k, day(l_shipdate) % 10 AS e FROM lineitem),
+f AS (SELECT file_day, count(*) AS n_lines, CASE WHEN any_value(e) = 4 THEN 'BAD_HEADER' WHEN any_value(e) = 5 AND bool_or(k % 7 = 0) THEN 'WRONG_DATE' ELSE 'OK' END AS state FROM l GROUP BY file_day),
+v AS (SELECT file_day, CAST(l_suppkey AS VARCHAR) AS symbol, l_returnflag AS series, CASE WHEN l_partkey % 11 = 0 THEN 'INF' ELSE 'INE' END || lpad(CAST(l_partkey AS VARCHAR), 6, '0') AS isin, l_extendedprice AS open, CASE WHEN k % 9 <> 0 THEN l_extendedprice + l_quantity END AS high,
+  l_extendedprice - CASE WHEN k % 8 = 0 THEN -5.0 ELSE 1.0 END AS low, l_extendedprice AS close, l_quantity AS volume, CASE WHEN l_partkey % 11 = 0 THEN 'UNIT' WHEN l_returnflag NOT IN ('A', 'N') THEN 'SERIES' ELSE 'ROW' END AS kind FROM l JOIN f USING (file_day) WHERE state = 'OK'),
+r AS (SELECT *, CASE WHEN kind <> 'ROW' THEN NULL WHEN high IS NULL OR low <= 0 THEN 'NO_PRICE' WHEN low > close OR high < close THEN 'PRICE_ORDER' WHEN row_number() OVER (PARTITION BY file_day, symbol, series, kind ORDER BY isin, open, high NULLS FIRST, low, close, volume) > 1 THEN 'REPEATED' END AS reason FROM v)
+"""
+_INDEX = """WITH p AS (SELECT CAST(o_orderdate AS DATE) AS day, n_name AS name, n_nationkey AS k, round(sum(o_totalprice) + 3e-5, 2) AS close, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3)
+"""
+
 ORACLES = {
+    "src01_file_days": _DAYS + """SELECT file_day, state, n_lines, CASE WHEN state = 'OK' THEN n_rows END AS n_rows, n_rejects, n_skipped, n_units FROM f LEFT JOIN (SELECT file_day, count(*) FILTER (WHERE kind = 'ROW' AND reason IS NULL) AS n_rows, count(reason) AS n_rejects, count(*) FILTER (WHERE kind = 'SERIES') AS n_skipped, count(*) FILTER (WHERE kind = 'UNIT') AS n_units FROM r GROUP BY file_day) USING (file_day)""",
+    "src01_day_rows": _DAYS + "SELECT file_day, symbol, series, isin, open, high, low, close, volume FROM r WHERE kind = 'ROW' AND reason IS NULL",
+    "src01_day_rejects": _DAYS + "SELECT file_day, reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY 1, 2",
+    "src04_index_closes": _INDEX + "SELECT name, day, close, CASE WHEN (k + day(day)) % 11 <> 0 THEN CAST(n AS DOUBLE) END AS volume FROM p WHERE day(day) % 10 <> 6",
+    "src04_index_files": _INDEX + "SELECT day AS file_day, CASE WHEN day(day) % 10 = 6 THEN 'BAD_HEADER' ELSE 'OK' END AS state, count(*) AS n_lines FROM p GROUP BY day",
     "src01_price_files": "WITH " + PRICES + "SELECT * EXCLUDE (reason, copy) FROM r WHERE reason IS NULL",
     "src01_price_summary": "WITH " + PRICES + "SELECT coalesce(reason, 'ROWS') AS what, count(*) AS n FROM r GROUP BY 1 UNION ALL SELECT 'SKIPPED_' || series, count(*) FROM p WHERE series NOT IN ('A', 'N') GROUP BY 1",
     "src02_missing_days": """WITH d AS (SELECT CAST(unnest(generate_series(DATE '1996-01-01', DATE '1996-12-31', INTERVAL 1 DAY)) AS DATE) AS day), h AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE (CAST(o_orderdate AS DATE) - DATE '1990-01-01') * 7 % 11 < 8), f AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE (CAST(o_orderdate AS DATE) - DATE '1990-01-01') * 7 % 11 = 9)

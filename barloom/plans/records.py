@@ -129,7 +129,7 @@ ae AS (SELECT 'dq-' || substr(sha256('CORPORATE_ACTION_UNRESOLVED|' || cause ||
   CASE WHEN cause = 'UNMODELLED' OR (cause = 'CONFLICT' AND kind <> 'SPLIT') THEN 'WARNING' ELSE 'CRITICAL' END AS severity, NOT (cause = 'UNMODELLED' OR (cause = 'CONFLICT' AND kind <> 'SPLIT')) AS blocks, kind AS note FROM n WHERE cause IS NOT NULL),
 cd AS (SELECT instrument, trade_date, instrument || '-' || CAST(floor(year(trade_date) / 2) AS INTEGER) AS code FROM bars), ch AS (SELECT *, lag(code) OVER (PARTITION BY instrument ORDER BY trade_date) AS was FROM cd),
 ie AS (SELECT 'dq-' || substr(sha256('IDENTITY_CHANGE|CODE_CHANGED|' || instrument || '|' || trade_date || '|' || code), 1, 20) AS event_id, instrument, trade_date, 'IDENTITY_CHANGE' AS event_type, 'CODE_CHANGED' AS cause, 'WARNING' AS severity, false AS blocks, was || ' to ' || code AS note FROM ch
-  WHERE was <> code AND NOT EXISTS (SELECT 1 FROM act WHERE act.instrument = ch.instrument AND abs(date_diff('day', act.ex_date, ch.trade_date)) <= 30)),
+  WHERE was <> code AND NOT EXISTS (SELECT 1 FROM act WHERE act.instrument = ch.instrument AND act.ex_date BETWEEN ch.trade_date - 7 AND ch.trade_date + 1)),
 al AS (SELECT * FROM ae UNION ALL SELECT * FROM ie)
 """
 

@@ -38,11 +38,62 @@ def price_files(spark: SparkSession, path: str, layout: tuple[str, ...], trade_d
     return rows.where("reason IS NULL").drop("reason"), rows.where("reason IS NOT NULL"), skipped
 
 
-def index_closes(spark: SparkSession, path: str, day: str) -> DataFrame:
-    """(name, day, close, volume) of an index file; '-' is missing, rows of other days are left out."""
-    rows = spark.read.option("header", True).option("nullValue", "-").schema("name string, day string, close string, volume string").csv(path)
-    date = F.expr("try_to_date(day, 'dd-MM-yyyy')")
-    return rows.select("name", date.alias("day"), try_double("close").alias("close"), try_double("volume").alias("volume")).where(F.col("day") == F.lit(day).cast("date"))
+#: The header of an index file, and how the ISIN of a fund's units begins.
+INDEX_HEADER, UNIT_ISIN = "Index Name,Index Date,Closing Index Value,Volume", "INF"
+
+
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file_day, line) of a folder of text files that have their day in their name, as yyyy-MM-dd."""
+    day = F.expr("try_to_date(regexp_extract(_metadata.file_name, '[0-9]{4}-[0-9]{2}-[0-9]{2}', 0), 'yyyy-MM-dd')")
+    return spark.read.text(path).select(day.alias("file_day"), F.col("value").alias("line"))
+
+
+def checked(lines: DataFrame, header: Column, columns: str, day: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows with their file's state, files(file_day, state, n_lines)) of lines(file_day, line).
+
+    A file is BAD_HEADER unless just one of its lines is the header, and WRONG_DATE if a line is of another day than the file or of none;
+    such a file is refused as a whole. Blank lines and files without a day are left out. day reads the fields in `c`.
+    """
+    rows = lines.where(F.col("file_day").isNotNull() & (F.trim("line") != "")).withColumn("head", F.trim("line") == header).withColumn("c", F.from_csv("line", columns)).withColumn("day", day)
+    per = rows.groupBy("file_day").agg(F.count_if("head").alias("heads"), F.count_if(~F.col("head") & ~F.col("day").eqNullSafe(F.col("file_day"))).alias("off"), F.count_if(~F.col("head")).alias("n_lines"))
+    state = F.when(F.col("heads") != 1, "BAD_HEADER").when(F.col("off") > 0, "WRONG_DATE").otherwise("OK")
+    files = per.select("file_day", state.alias("state"), "n_lines")
+    return rows.where(~F.col("head")).drop("head", "line").join(files.select("file_day", "state"), "file_day"), files
+
+
+def price_days(lines: DataFrame, switch_day: str, series: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, rejects, files) of the lines(file_day, line) of daily price files; see checked() for files that are refused.
+
+    Files before switch_day have the OLD layout, all others the NEW one. Units of funds and other series are counted and skipped; a row
+    without prices, with prices out of order, with a volume below zero, or that repeats a (symbol, series) of its file is a reject with its reason.
+    files: file_day, state, n_lines, n_rows, n_rejects, n_skipped, n_units; the last four are null for a refused file.
+    """
+    old = F.col("file_day") < F.lit(switch_day).cast("date")
+    columns = ", ".join(f"{n} string" for n in (*NAMES, "day"))
+    day = F.when(old, F.expr(f"try_to_date(c.day, '{OLD[9]}')")).otherwise(F.expr(f"try_to_date(c.day, '{NEW[9]}')"))
+    every, files = checked(lines, F.when(old, ",".join(OLD[:9])).otherwise(",".join(NEW[:9])), columns, day)
+    text, number = ("symbol", "series", "isin"), NAMES[3:]
+    rows = every.where("state = 'OK'").select("file_day", *[F.trim(F.col(f"c.{n}")).alias(n) for n in text], *[F.col(f"c.{n}").try_cast("double").alias(n) for n in number])
+    unit, wanted = F.coalesce(F.col("isin").startswith(UNIT_ISIN), F.lit(False)), F.coalesce(F.col("series").isin(series), F.lit(False))
+    rows = rows.withColumn("kind", F.when(unit, "UNIT").when(~wanted, "SERIES").otherwise("ROW"))
+    copy = F.row_number().over(W.partitionBy("file_day", "symbol", "series", "kind").orderBy(*NAMES[2:]))
+    missing = F.coalesce(*[F.when(F.col(p).isNull() | (F.col(p) <= 0), F.lit(True)) for p in ("open", "high", "low", "close")], F.lit(False))
+    reason = (
+        F.when(F.col("kind") != "ROW", None).when(missing, "NO_PRICE").when((F.col("low") > F.least("open", "close")) | (F.col("high") < F.greatest("open", "close")), "PRICE_ORDER")
+        .when(F.col("volume") < 0, "VOLUME").when(copy > 1, "REPEATED")
+    )
+    rows = rows.withColumn("reason", reason)
+    n = lambda test: F.count_if(test)
+    counts = rows.groupBy("file_day").agg(n((F.col("kind") == "ROW") & F.col("reason").isNull()).alias("n_rows"), n(F.col("reason").isNotNull()).alias("n_rejects"), n(F.col("kind") == "SERIES").alias("n_skipped"), n(F.col("kind") == "UNIT").alias("n_units"))
+    good = rows.where("kind = 'ROW' AND reason IS NULL").drop("kind", "reason")
+    return good, rows.where("reason IS NOT NULL").drop("kind"), files.join(counts, "file_day", "left")
+
+
+def index_closes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, files) of the lines(file_day, line) of daily index files: name, day, close, volume; '-' is missing. Files are refused as checked() says."""
+    every, files = checked(lines, F.lit(INDEX_HEADER), "name string, day string, close string, volume string", F.expr("try_to_date(c.day, 'dd-MM-yyyy')"))
+    rows = every.where("state = 'OK'").select(F.trim("c.name").alias("name"), "day", *[F.col(f"c.{x}").try_cast("double").alias(x) for x in ("close", "volume")])
+    return rows, files
 
 
 def parse_actions(text: Column) -> Column:
