@@ -37,6 +37,5 @@ SQL: dict[str, str] = {
     "op3_chat_format": chat_format.SQL,
     "op8_near_dedup": near_dedup.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
-    "op11_periodic_runs": lambda s, d: periodic_runs.op11(documents(s, d)),
     "op12_ranked_search": ranked_search.SQL,
 }

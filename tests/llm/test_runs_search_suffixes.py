@@ -215,3 +215,9 @@ def test_long_texts_are_cut_alike(monkeypatch, spark):
     docs = [(1, 0, a), (2, 0, "zz" + a[:2_500] + "y" + a[2_400:]), (3, 0, a[1_700:])]
     df = spark.createDataFrame([(i, t) for i, _, t in docs], "doc_id long, text string")
     assert rows(suffix_dedup.suffix_dedup(df)) == sorted(plain_suffix_dedup(docs, 100), key=repr)
+
+
+def test_sql_is_text():
+    from barloom.llm.queries import QUERIES, SQL
+
+    assert set(SQL) <= set(QUERIES) and all(isinstance(x, str) for x in SQL.values())
