@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions import change, finite, ladder
-from barloom.operators import adjust, asof, backtest, features, labels, patterns, strength, temporal, trend
+from barloom.operators import adjust, asof, backtest, features, labels, market, patterns, strength, temporal, trend
 from barloom.operators.fundamentals import facts_of_xml
 
 D0 = date(2020, 1, 1)
@@ -56,6 +56,20 @@ def test_a_missing_condition_is_a_third_status(spark):
     assert got == {"INSUFFICIENT_DATA"}
 
 
+def test_a_close_equal_to_its_mean_is_not_above(spark):
+    rows = None
+    for k in range(12):
+        rng = random.Random(k)
+        units = [1_000_000 + rng.randrange(-30_000, 30_000) for _ in range(49)]
+        units[0] -= sum(units) % 49  # the 50th, their mean, is the mean of all 50
+        one = bars(spark, [u / 10_000 for u in [*units, sum(units) // 49]], instrument=k)
+        rows = rows.unionByName(one) if rows else one
+    got = trend.trend_conditions(rows).where("condition_id = 7 AND passed IS NOT NULL").collect()
+    assert len(got) == 12 and not any(r.passed for r in got)
+    day = market.breadth(market.panel(rows)).orderBy(F.desc("trade_date")).first()
+    assert (day.n_50, day.above_50) == (12, 0)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_nothing_after_a_date_is_read(spark, seed):
     whole = bars(spark, walk(340, seed)).unionByName(bars(spark, walk(340, seed + 9), 2))
