@@ -55,16 +55,23 @@ def holdings(s, d):
     return landed(s, wide.select(F.concat_ws(":", "entity", "period").alias("doc"), text.alias("content")))
 
 
+def read_once(s, docs):
+    """The facts of documents, which headers, items and rejects read several times: parsed once and landed."""
+    path = f"{st.scratch(s)}/facts"
+    filings.xml_facts(docs).write.parquet(path)
+    return s.read.parquet(path)
+
+
 def read_results(s, d, part):
-    return filings.result_filings(filings.xml_facts(results(s, d)))[part]
+    return filings.result_filings(read_once(s, results(s, d)))[part]
 
 
 QUERIES = {
     "src10_headers": lambda s, d: read_results(s, d, 0),
     "src10_items": lambda s, d: read_results(s, d, 1).withColumn("value", r6(F.col("value"))),
     "src10_rejects": lambda s, d: read_results(s, d, 2),
-    "src11_holdings": lambda s, d: filings.shareholdings(filings.xml_facts(holdings(s, d)))[0].select("doc", "scale", *[r6(F.col(c)).alias(c) for c in ("promoter_pct", "public_pct", "other_pct", "funds_pct")]),
-    "src11_rejects": lambda s, d: filings.shareholdings(filings.xml_facts(holdings(s, d)))[1],
+    "src11_holdings": lambda s, d: filings.shareholdings(read_once(s, holdings(s, d)))[0].select("doc", "scale", *[r6(F.col(c)).alias(c) for c in ("promoter_pct", "public_pct", "other_pct", "funds_pct")]),
+    "src11_rejects": lambda s, d: filings.shareholdings(read_once(s, holdings(s, d)))[1],
 }
 
 _LATEST = """o AS (SELECT o_custkey AS entity, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS period, o_totalprice, CAST(o_orderdate AS DATE) AS day, o_orderkey FROM orders),

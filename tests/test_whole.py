@@ -94,3 +94,11 @@ def test_keys_of_seven_digits(spark, tmp_path, name):
     want = duck.sql(ORACLES[name])
     got = QUERIES[name](spark, str(tmp_path)).select(*want.columns).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
+
+
+@pytest.mark.parametrize("name", ["src10_headers", "src10_rejects"])
+def test_filings_are_parsed_once(spark, capsys, name):
+    capsys.readouterr()
+    QUERIES[name](spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert "Scan parquet" in plan and "MapInArrow" not in plan
