@@ -1,19 +1,22 @@
 """Base patterns as of a day: the highest confirmed swing high of a stretch of bars and the contractions behind it.
 
-Everything is a column. Each bar carries the swings that are confirmed by then as two short arrays, taken by one window over the
-instrument's bars; base start, legs and measures are folds over these arrays. Nothing after a bar is read.
+Swings are columns, from windows over the instrument's bars. Bases and their legs follow from them for all bars of a few
+instruments at once, in numpy; measures and classes are columns again. Nothing after a bar is read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.operators import asof
 from barloom.operators.features import by_day
+from barloom.operators.runs import Extremes, by_instrument, firsts, lists, picked, spread
 
 
 @dataclass(frozen=True)
@@ -29,69 +32,132 @@ class BaseRules:
     equal_pct: float = 1.5
 
 
-def known_swings(bars: DataFrame, rules: BaseRules, reach: int) -> DataFrame:
-    """(instrument, trade_date, n, close, low_tail, highs, lows): each bar with the swings of its last `reach` bars that are confirmed by it.
+def known_swings(bars: DataFrame, rules: BaseRules) -> DataFrame:
+    """(instrument, trade_date, high, low, n, before, is_high, is_low, low_tail): bars with their swings, which are known `right` bars later.
 
-    highs and lows are in order; a high has the lowest low of the advance_bars that end with its own. low_tail is the lowest low of the
-    bars too young to be swings.
+    before is the lowest low of the advance_bars that end with a bar's own, low_tail that of the bars too young to be swings. A
+    price that is no number is missing.
     """
     w = by_day()
     around, run_up = w.rowsBetween(-rules.left, rules.right), w.rowsBetween(-(rules.advance_bars - 1), 0)
+    rows = bars.select("instrument", "trade_date", *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in ("high", "low")])
     inside = (F.row_number().over(w) > rules.left) & F.lead("low", rules.right).over(w).isNotNull()
-    rows = bars.select(
-        "instrument", "trade_date", "high", "low", "close", F.row_number().over(w).alias("n"), F.min("low").over(run_up).alias("before"),
-        (inside & (F.col("high") == F.max("high").over(around))).alias("is_high"), (inside & (F.col("low") == F.min("low").over(around))).alias("is_low"),
+    swing = lambda c, extreme: F.coalesce(inside & (F.col(c) == extreme(c).over(around)), F.lit(False))
+    return rows.select(
+        "*", F.row_number().over(w).alias("n"), F.min("low").over(run_up).alias("before"), swing("high", F.max).alias("is_high"), swing("low", F.min).alias("is_low"),
         F.min("low").over(w.rowsBetween(-(rules.right - 1), 0)).alias("low_tail"),
     )
-    high = F.when(F.col("is_high"), F.struct("n", F.col("trade_date").alias("day"), F.col("high").alias("price"), "before"))
-    low = F.when(F.col("is_low"), F.struct("n", F.col("trade_date").alias("day"), F.col("low").alias("price")))
-    rows = rows.select("*", F.lag(high, rules.right).over(w).alias("h"), F.lag(low, rules.right).over(w).alias("l"))
-    last = w.rowsBetween(-(reach - 1 - rules.right), 0)
-    return rows.select("instrument", "trade_date", "n", "close", "low_tail", F.collect_list("h").over(last).alias("highs"), F.collect_list("l").over(last).alias("lows"))
-
-
-def highest(highs: Column) -> Column:
-    """The highest of swing highs, the earliest of equals; null for none."""
-    return F.aggregate(highs, F.get(highs, 0), lambda a, x: F.when(x["price"] > a["price"], x).otherwise(a))
-
-
-def depth(leg: Column) -> Column:
-    return (1 - leg["trough"] / leg["peak"]) * 100
-
-
-def shallow(leg: Column, rules: BaseRules) -> Column:
-    """Noise: shallower than noise_pct, or both short and shallower than short_pct."""
-    return (depth(leg) < rules.noise_pct) | ((leg["trough_n"] - leg["peak_n"] < rules.short_bars) & (depth(leg) < rules.short_pct))
-
 
-def to_trough(leg: Column, other: Column, when: Column) -> Column:
-    """The leg with the other's trough where `when` holds."""
-    parts = [F.when(when, other[c]).otherwise(leg[c]).alias(c) for c in ("trough_n", "trough_date", "trough", "confirmed")]
-    return F.struct(leg["peak_n"].alias("peak_n"), leg["peak_date"].alias("peak_date"), leg["peak"].alias("peak"), *parts)
 
-
-def with_legs(rows: DataFrame, rules: BaseRules) -> DataFrame:
-    """Adds legs to rows(highs, lows, low_tail, n): from each swing high to the lowest low before the next one.
-
-    A high without a low behind it gives way to the next. The last leg may end in low_tail and is unconfirmed then.
-    """
-    def trough(h: Column, i: Column) -> Column:
-        following = F.get("highs", i + 1)["n"]
-        behind = F.filter("lows", lambda x: (x["n"] > h["n"]) & (following.isNull() | (x["n"] <= following)))
-        lowest = F.aggregate(behind, F.get(behind, 0), lambda a, x: F.when(x["price"] < a["price"], x).otherwise(a))
-        tail = following.isNull() & (F.col("n") - rules.right >= h["n"]) & (lowest["price"].isNull() | (F.col("low_tail") < lowest["price"]))
-        return F.struct(
-            h["n"].alias("peak_n"), h["day"].alias("peak_date"), h["price"].alias("peak"),
-            F.when(tail, F.col("n")).otherwise(lowest["n"]).alias("trough_n"), F.when(tail, F.col("trade_date")).otherwise(lowest["day"]).alias("trough_date"),
-            F.when(tail, F.col("low_tail")).otherwise(lowest["price"]).alias("trough"), (~tail).alias("confirmed"),
-        )
-
-    return rows.withColumn("legs", F.filter(F.transform("highs", trough), lambda x: x["trough"].isNotNull() & (x["trough"] < x["peak"])))
-
-
-def of_days(rows: DataFrame, as_of: DataFrame) -> DataFrame:
-    """Those of rows(instrument, trade_date, ...) at the last bar on or before each as_of(instrument, as_of) day, with as_of."""
-    last = asof.backward(as_of.select("instrument", "as_of"), rows.select("instrument", "trade_date", F.lit(True).alias("there")), ["instrument"], "as_of", "trade_date", ["there"])
+CONTRACTION = "struct<peak_date: date, peak: double, trough_date: date, trough: double, depth_pct: double, confirmed: boolean>"
+REASONS = (None, "NO_SWING_HIGH", "INSUFFICIENT_HISTORY", "NO_ADVANCE")
+
+
+class Contractions:
+    """The contractions of many bases at once, a row each: a leg that is noise, and one that starts within equal_pct of the leg before or above it, is part of the leg before."""
+
+    def __init__(self, rows: int, rules: BaseRules):
+        self.rules, self.n = rules, np.zeros(rows, int)
+        self.parts = {"peak_at": np.zeros((rows, 4), int), "peak": np.zeros((rows, 4)), "at": np.zeros((rows, 4), int), "trough": np.zeros((rows, 4)), "confirmed": np.zeros((rows, 4), np.int8)}
+
+    def room(self, slots: int) -> None:
+        more = slots - self.parts["peak"].shape[1]
+        if more > 0:
+            self.parts = {c: np.pad(v, ((0, 0), (0, more + 3))) for c, v in self.parts.items()}
+
+    def take(self, rows: np.ndarray, other: Contractions, at: np.ndarray) -> None:
+        """Other's rows become these rows."""
+        self.room(other.parts["peak"].shape[1])
+        self.n[rows] = other.n[at]
+        for c, v in self.parts.items():
+            v[rows, : other.parts[c].shape[1]] = other.parts[c][at]
+
+    def add(self, rows: np.ndarray, **leg: np.ndarray) -> None:
+        """Takes a leg each, but where its trough is missing or not under its peak."""
+        some = leg["trough"] < leg["peak"]
+        rows, leg = rows[some], {c: v[some] for c, v in leg.items()}
+        n, r = self.n[rows], self.rules
+        last = {c: self.parts[c][rows, n - 1] for c in ("peak", "trough")}
+        depth = (1 - leg["trough"] / leg["peak"]) * 100
+        shallow = (depth < r.noise_pct) | ((leg["at"] - leg["peak_at"] < r.short_bars) & (depth < r.short_pct))
+        part = (n > 0) & (shallow | (leg["peak"] >= last["peak"] * (1 - r.equal_pct / 100)))
+        lower = part & (leg["trough"] < last["trough"])
+        for c in ("at", "trough", "confirmed"):
+            self.parts[c][rows[lower], n[lower] - 1] = leg[c][lower]
+        self.room(int(n.max(initial=0)) + 1)
+        for c, v in self.parts.items():
+            v[rows[~part], n[~part]] = leg[c][~part]
+        self.n[rows[~part]] += 1
+
+
+def bases_of(table: pa.Table, r: BaseRules, names: list[str]) -> pa.Table:
+    """Bases as of each bar of whole instruments, bars in order: those with one highest swing take their next leg at once, and a bar copies the legs when they reach its last swing high."""
+    first, n, every = firsts(table), table["n"].to_numpy(), np.arange(table.num_rows)
+    day, high, low, before, tail = (table[c].to_numpy() for c in ("trade_date", "high", "low", "before", "low_tail"))
+    is_high, is_low = table["is_high"].to_numpy(), table["is_low"].to_numpy()
+    tops, lows = Extremes(np.where(is_high, high, -np.inf), r.window), Extremes(np.where(is_low, low, np.inf), r.window, lowest=True)
+    swings, count = np.flatnonzero(is_high), np.concatenate([[0], np.cumsum(is_high)])
+
+    edge, known = np.maximum(first, every - r.window + 1), every - r.right + 1
+    rows = np.flatnonzero(known > edge)
+    top = tops.place(edge[rows], known[rows])
+    there = is_high[top]
+    rows, top = rows[there], top[there]
+    known = known[rows]
+
+    def lowest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and prices of the lowest swing lows in a .. b-1, NaN for none."""
+        at, price, some = np.zeros(len(a), int), np.full(len(a), np.nan), np.flatnonzero(b > a)
+        at[some] = lows.place(a[some], b[some])
+        price[some] = np.where(is_low[at[some]], low[at[some]], np.nan)
+        return at, price
+
+    begins, of = np.unique(top, return_inverse=True)
+    rank = count[begins]
+    steps = count[known] - rank[of] - 1
+    most = np.zeros(len(begins), int)
+    np.maximum.at(most, of, steps)
+    bases, found = Contractions(len(begins), r), Contractions(len(rows), r)
+    by_step = np.argsort(steps, kind="stable")
+    edges = np.searchsorted(steps[by_step], np.arange(steps.max(initial=-1) + 2))
+    for k in range(len(edges) - 1):
+        those = by_step[edges[k] : edges[k + 1]]
+        found.take(those, bases, of[those])
+        on = np.flatnonzero(most > k)
+        peak = swings[rank[on] + k]
+        at, trough = lowest(peak + 1, swings[rank[on] + k + 1] + 1)
+        bases.add(on, peak_at=peak, peak=high[peak], at=at, trough=trough, confirmed=np.ones(len(on), np.int8))
+    # The last leg may end in low_tail and is unconfirmed then; whether it does is unknown (2) where all of the tail is missing.
+    peak = swings[rank[of] + steps]
+    at, trough = lowest(peak + 1, known)
+    young = np.isnan(trough) | (tail[rows] < trough)
+    confirmed = np.where(young, 0, np.where(np.isnan(tail[rows]), 2, 1)).astype(np.int8)
+    found.add(np.arange(len(rows)), peak_at=peak, peak=high[peak], at=np.where(young, rows, at), trough=np.where(young, tail[rows], trough), confirmed=confirmed)
+
+    bottom = np.fmin(lowest(top, known)[1], tail[rows])
+    advance = (high[top] / before[top] - 1) * 100
+    reason = np.ones(len(every), int)
+    reason[rows] = np.where(advance < r.advance_pct, np.where(n[top] < r.advance_bars, 2, 3), 0)
+    row, slot = np.nonzero(np.arange(found.parts["peak"].shape[1]) < found.n[:, None])
+    leg = {c: v[row, slot] for c, v in found.parts.items()}
+    date = lambda at: pa.array(day[at], pa.date32())
+    record = pa.StructArray.from_arrays(
+        [date(leg["peak_at"]), pa.array(leg["peak"]), date(leg["at"]), pa.array(leg["trough"]), pa.array((1 - leg["trough"] / leg["peak"]) * 100), pa.array(leg["confirmed"] == 1, mask=leg["confirmed"] == 2)],
+        names=["peak_date", "peak", "trough_date", "trough", "depth_pct", "confirmed"],
+    )
+    legs, bars = np.zeros(len(every), int), np.zeros(len(every), np.int32)
+    legs[rows], bars[rows] = found.n, n[rows] - n[top]
+    number = lambda x: spread(x, rows, len(every), pa.float64())
+    columns = [
+        table["instrument"], table["trade_date"], spread(day[top], rows, len(every), pa.date32()), number(high[top]), number(bottom), number((1 - bottom / high[top]) * 100), pa.array(bars), number(advance), picked(REASONS, reason),
+        lists(record, legs, every, len(every)),
+    ]
+    return pa.table(columns, names=names)
+
+
+def of_days(rows: DataFrame, as_of: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """Those of rows(instrument, trade_date, ...) at the last bar on or before each as_of(instrument, as_of) day, with as_of; days has the rows' days, if they are dear to compute."""
+    last = asof.backward(as_of.select("instrument", "as_of"), (rows if days is None else days).select("instrument", "trade_date", F.lit(True).alias("there")), ["instrument"], "as_of", "trade_date", ["there"])
     at = last.where("there").select("instrument", F.col("matched_trade_date").alias("trade_date"), "as_of")
     return rows.join(at, ["instrument", "trade_date"])
 
@@ -100,30 +166,15 @@ def detect_bases(bars: DataFrame, as_of: DataFrame | None = None, rules: BaseRul
     """The base of each instrument and day of as_of(instrument, as_of), or of each bar; a day before the first bar has no row.
 
     (instrument, as_of, base_start, base_high, base_low, depth_pct, n_bars, advance_pct, reason, contractions). reason says why there is
-    no base: NO_SWING_HIGH, INSUFFICIENT_HISTORY, NO_ADVANCE; null if there is one. A leg that is noise, and one that starts within equal_pct of the leg
-    before or above it, is part of the leg before.
+    no base: NO_SWING_HIGH, INSUFFICIENT_HISTORY, NO_ADVANCE; null if there is one. Legs go from each swing high to the lowest swing low before
+    the next one, the last one to the lowest low; one without a low behind it gives way to the next. A leg that is noise, and one that starts within equal_pct
+    of the leg before or above it, is part of the leg before.
     """
-
-    def take(a: Column, x: Column) -> Column:
-        last = F.element_at(a, -1)
-        part = shallow(x, rules) | (x["peak"] >= last["peak"] * (1 - rules.equal_pct / 100))
-        merged = F.concat(F.slice(a, 1, F.size(a) - 1), F.array(to_trough(last, x, x["trough"] < last["trough"])))
-        return F.when(F.size(a) == 0, F.array(x)).when(part, merged).otherwise(F.concat(a, F.array(x)))
-
-    known = known_swings(bars, rules, rules.window)
-    rows = (known.withColumn("as_of", F.col("trade_date")) if as_of is None else of_days(known, as_of)).withColumn("top", highest(F.col("highs")))
-    rows = rows.withColumn("highs", F.filter("highs", lambda x: x["n"] >= F.col("top")["n"]))
-    rows = with_legs(rows, rules).withColumn("legs", F.aggregate("legs", F.slice("legs", 1, 0), take))
-    advance = (F.col("top")["price"] / F.col("top")["before"] - 1) * 100
-    bottom = F.least(F.array_min(F.transform(F.filter("lows", lambda x: x["n"] >= F.col("top")["n"]), lambda x: x["price"])), "low_tail")
-    reason = F.when(F.col("top").isNull(), "NO_SWING_HIGH").when(advance < rules.advance_pct, F.when(F.col("top")["n"] < rules.advance_bars, "INSUFFICIENT_HISTORY").otherwise("NO_ADVANCE"))
-    part = lambda x: F.struct(x["peak_date"].alias("peak_date"), x["peak"].alias("peak"), x["trough_date"].alias("trough_date"), x["trough"].alias("trough"), depth(x).alias("depth_pct"), x["confirmed"].alias("confirmed"))
-    there = F.col("top").isNotNull()
-    return rows.select(
-        "instrument", "as_of", F.col("top")["day"].alias("base_start"), F.col("top")["price"].alias("base_high"), F.when(there, bottom).alias("base_low"),
-        F.when(there, (1 - bottom / F.col("top")["price"]) * 100).alias("depth_pct"), F.when(there, F.col("n") - F.col("top")["n"]).otherwise(0).cast("int").alias("n_bars"),
-        advance.alias("advance_pct"), reason.alias("reason"), F.transform("legs", part).alias("contractions"),
-    )
+    kinds = {"instrument": bars.schema["instrument"].dataType.simpleString(), "trade_date": "date", "base_start": "date", "base_high": "double", "base_low": "double", "depth_pct": "double", "n_bars": "int", "advance_pct": "double", "reason": "string", "contractions": f"array<{CONTRACTION}>"}
+    found = by_instrument(known_swings(bars, rules), lambda table: bases_of(table, rules, list(kinds)), ", ".join(f"{c} {t}" for c, t in kinds.items()))
+    if as_of is None:
+        return found.withColumnRenamed("trade_date", "as_of")
+    return of_days(found, as_of, bars).select("instrument", "as_of", *list(kinds)[2:])
 
 
 def measures(bases: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Hand-worked frames: warm-up, ties, missing values, order of events, and that nothing after a date is read."""
 
 import random
+import time
 from datetime import date, timedelta
 
 import pytest
@@ -202,6 +203,24 @@ def test_bases_against_loops(spark, seed):
             assert r.base_start == D0 + timedelta(want[0]) and [round(x, 6) for p in r.contractions for x in (p.peak, p.trough)] == want[1]
 
 
+def test_bases_of_every_bar(spark):
+    """As of each bar as if it were the last; 60,000 bars take seconds, not folds over arrays on each bar. A price that is null or no number is missing."""
+    rules, c = patterns.BaseRules(left=3, right=2, window=60, advance_bars=40), walk(150, 77)
+    got = {(r.as_of - D0).days: r for r in patterns.detect_bases(bars(spark, c), rules=rules).collect()}
+    assert sorted(got) == list(range(150))
+    for n, r in got.items():
+        want = base_brute(c[: n + 1], 0.01, rules)
+        assert (r.base_start and (r.base_start - D0).days, [round(x, 6) for p in r.contractions for x in (p.peak, p.trough)]) == (want or (None, []))
+    one = bars(spark, c)
+    many = one.crossJoin(spark.range(400).withColumnRenamed("id", "k")).withColumn("instrument", F.col("k")).drop("k").coalesce(1).cache()
+    assert many.count() == 60_000
+    began = time.time()
+    assert patterns.detect_bases(many, rules=rules).agg(F.count("base_start")).first()[0] == 400 * sum(r.base_start is not None for r in got.values()) and time.time() - began < 15
+    high = F.when(F.col("trade_date") == F.lit(D0 + timedelta(70)), F.lit(None)).when(F.col("trade_date") == F.lit(D0 + timedelta(75)), F.lit(float("nan"))).otherwise(F.col("high"))
+    odd = one.withColumn("high", high).withColumn("instrument", F.lit(None).cast("long"))
+    assert patterns.detect_bases(odd, rules=rules).where("instrument IS NULL AND NOT isnan(coalesce(base_high, 0)) AND coalesce(dayofyear(base_start), 0) NOT IN (71, 76)").count() == 150
+
+
 def test_xml_filings(spark, tmp_path):
     (tmp_path / "a.xml").write_text("<r><filing><entity>1</entity><period>2020-03-31</period><total_income>5</total_income><eps>1.5</eps></filing><filing><entity>2</entity><period>x</period></filing><filing><entity>3</entity><period>2020-03-31</period><eps>abc</eps></filing></r>")
     facts, rejects = facts_of_xml(spark, str(tmp_path))
