@@ -79,8 +79,17 @@ def islands(rows: DataFrame, key: list[str], number: str) -> DataFrame:
 
 
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows that one side has and the other lacks, with the side's name."""
-    return a.exceptAll(b).withColumn("side", F.lit("LEFT")).unionByName(b.exceptAll(a).withColumn("side", F.lit("RIGHT")))
+    """Rows that one side has and the other lacks, as often as it has more of them, with the side's name; each side is read once."""
+    on = lambda rows, left: rows.withColumns({"_left": F.lit(left), "_right": F.lit(not left)})
+    return parted(on(a, True).unionByName(on(b, False)), "_left", "_right")
+
+
+def parted(rows: DataFrame, left: str, right: str) -> DataFrame:
+    """symmetric_difference of the rows that two boolean columns mark, in one pass over them."""
+    columns = [c for c in rows.columns if c not in (left, right)]
+    n = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0))
+    more = rows.groupBy(*columns).agg(F.sum(n(left) - n(right)).alias("_more")).where("_more <> 0")
+    return more.withColumn("side", F.when(F.col("_more") > 0, "LEFT").otherwise("RIGHT")).withColumn("_more", F.explode(F.sequence(F.lit(1), F.abs("_more")))).drop("_more")
 
 
 def lifecycle(known: DataFrame, detected: DataFrame, key: str) -> DataFrame:

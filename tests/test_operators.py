@@ -93,6 +93,21 @@ def test_bitemporal_reads(spark):
     assert sorted(r.v for r in temporal.as_known(rows, F.lit(11)).collect()) == [1.0, 5.0]
 
 
+def test_symmetric_difference_reads_each_side_once(spark):
+    """Rows count as often as a side has more of them, nulls are equal, and neither side is read twice."""
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (1, "x"), (2, None), (3, "y")], "k long, v string")
+    b = spark.createDataFrame([(1, "x"), (2, None), (4, None), (4, None)], "k long, v string")
+    got = temporal.symmetric_difference(a, b)
+    assert sorted(map(str, got.collect())) == sorted(map(str, a.exceptAll(b).withColumn("side", F.lit("LEFT")).unionByName(b.exceptAll(a).withColumn("side", F.lit("RIGHT"))).collect()))
+    assert sorted((r.k, r.side) for r in got.collect()) == [(1, "LEFT"), (1, "LEFT"), (3, "LEFT"), (4, "RIGHT"), (4, "RIGHT")]
+    rows = spark.range(10).select("id", (F.col("id") < 6).alias("in_a"), F.when(F.col("id") > 3, True).alias("in_b"))
+    parts = temporal.parted(rows, "in_a", "in_b")
+    assert sorted((r.id, r.side) for r in parts.collect()) == [(k, "LEFT" if k < 4 else "RIGHT") for k in (0, 1, 2, 3, 6, 7, 8, 9)]
+    assert parts._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    ids = temporal.symmetric_difference(spark.range(10), spark.range(5, 15))._jdf.queryExecution().optimizedPlan().toString()
+    assert ids.count("Range (") == 2
+
+
 def test_an_empty_dump_closes_nothing(spark):
     now = spark.createDataFrame([(1, "a")], "k long, v string")
     got = temporal.sync_dump(now, now.limit(0), "k", "v", F.current_date()).collect()
