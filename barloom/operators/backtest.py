@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -76,22 +76,37 @@ def trades_of(pdf: pd.DataFrame, r: TradeRule) -> list[tuple]:
     return out
 
 
+def watched() -> list[Column]:
+    """What trades read of a bar beside its prices: the mean volume of the 50 bars before, and the mean close of 50."""
+    prior, last = by_day().rowsBetween(-50, -1), by_day().rowsBetween(-49, 0)
+    return [F.when(F.count("volume").over(prior) == 50, F.avg("volume").over(prior)).alias("base"), F.when(F.count("close").over(last) == 50, F.avg("close").over(last)).alias("line")]
+
+
 def run_trades(bars: DataFrame, signals: DataFrame, rules: list[TradeRule]) -> DataFrame:
     """Trades of every rule on every instrument. signals: (instrument, trade_date, level, score), one per bar at most.
 
     An instrument's bars go to Python once, for all rules, and only where it has a signal.
     """
-    w = by_day()
-    prior, last = w.rowsBetween(-50, -1), w.rowsBetween(-49, 0)
-    base = F.when(F.count("volume").over(prior) == 50, F.avg("volume").over(prior))
     rows = bars.join(signals.select("instrument").distinct(), "instrument", "left_semi")
-    rows = rows.select("instrument", "trade_date", "high", "low", "close", "volume", base.alias("base"), F.when(F.count("close").over(last) == 50, F.avg("close").over(last)).alias("sma_50"))
+    rows = rows.select("instrument", "trade_date", "high", "low", "close", "volume", *watched())
+    return trades_on(rows.join(signals, ["instrument", "trade_date"], "left"), rules)
+
+
+def screened_trades(rows: DataFrame, rules: list[TradeRule]) -> DataFrame:
+    """run_trades of bars that carry status, rs_rank and level beside watched(): their fresh ones are the signals, so nothing is computed twice or joined."""
+    rows = rows.where("instrument IS NOT NULL").withColumn("_fresh", is_fresh()).withColumn("_any", F.max("_fresh").over(W.partitionBy("instrument"))).where("_any")
+    own = [F.when(F.col("_fresh"), F.col(c).cast("double")).alias(n) for c, n in (("level", "level"), ("rs_rank", "score"))]
+    return trades_on(rows.select("instrument", "trade_date", "high", "low", "close", "volume", "base", "line", *own), rules)
+
+
+def trades_on(rows: DataFrame, rules: list[TradeRule]) -> DataFrame:
+    """Trades of every rule on bars(instrument, trade_date, high, low, close, volume, and watched()) that carry level and score where they are signals."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("trade_date", ignore_index=True)
+        pdf = pdf.sort_values("trade_date", ignore_index=True).rename(columns={"line": "sma_50"})
         return pd.DataFrame([t for r in rules for t in trades_of(pdf, r)], columns=[c.split()[0] for c in TRADE.split(", ")])
 
-    return rows.join(signals, ["instrument", "trade_date"], "left").groupBy("instrument").applyInPandas(run, TRADE)
+    return rows.groupBy("instrument").applyInPandas(run, TRADE)
 
 
 def contenders(trades: DataFrame, bars: DataFrame, slots: int) -> DataFrame:
@@ -148,9 +163,18 @@ def portfolio_days(trades: DataFrame, bars: DataFrame, slots: int = 10) -> DataF
     return rows.groupBy("rule").applyInPandas(fold, "rule string, day date, value double, cash double, n_open int, n_taken int, taken array<long>")
 
 
-def fresh_signals(status: DataFrame, level: DataFrame, quiet: int = 10) -> DataFrame:
-    """First passing bar after `quiet` bars without a pass; level is the price to break, score the strength rank."""
-    w = by_day().rowsBetween(-quiet, -1)
+def is_fresh(quiet: int = 10) -> Column:
+    """Whether a bar passes the screen, by its status, as the first one after `quiet` bars without a pass."""
     passed = F.when(F.col("status") == "PASS", 1).otherwise(0)
-    rows = status.withColumn("recent", F.sum(passed).over(w)).where((F.col("status") == "PASS") & (F.col("recent") == 0))
-    return rows.join(level, ["instrument", "trade_date"]).select("instrument", "trade_date", "level", F.col("rs_rank").cast("double").alias("score"))
+    before = F.sum(passed).over(by_day().rowsBetween(-quiet, -1))
+    return F.coalesce((F.col("status") == "PASS") & (before == 0) & F.col("instrument").isNotNull() & F.col("trade_date").isNotNull(), F.lit(False))
+
+
+def fresh(status: DataFrame, quiet: int = 10) -> DataFrame:
+    """Rows of status(instrument, trade_date, status, ...) that are fresh. Rows without a key are none."""
+    return status.withColumn("_fresh", is_fresh(quiet)).where("_fresh").drop("_fresh")
+
+
+def fresh_signals(status: DataFrame, level: DataFrame, quiet: int = 10) -> DataFrame:
+    """fresh() bars of the screen; level(instrument, trade_date, level) is the price to break, score the strength rank."""
+    return fresh(status, quiet).join(level, ["instrument", "trade_date"]).select("instrument", "trade_date", "level", F.col("rs_rank").cast("double").alias("score"))

@@ -33,4 +33,9 @@ def rescored(signals: DataFrame, parts: DataFrame) -> DataFrame:
     """
     measured = parts.select("instrument", "trade_date", score_of().alias("_score"))
     rows = signals.drop("score").join(measured, ["instrument", "trade_date"], "left").withColumnRenamed("_score", "score")
+    return day_ranked(rows)
+
+
+def day_ranked(rows: DataFrame) -> DataFrame:
+    """rows(instrument, trade_date, score, ...) with day_rank: best score first, none last, ties by instrument."""
     return rows.withColumn("day_rank", F.row_number().over(W.partitionBy("trade_date").orderBy(F.desc_nulls_last("score"), "instrument")))

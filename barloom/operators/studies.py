@@ -60,3 +60,10 @@ def spread(rows: DataFrame, by: str, score: str, outcome: str) -> DataFrame:
     r = rows.where(F.col(score).isNotNull() & F.col(outcome).isNotNull()).withColumn("f", fifth)
     mean = lambda k: F.avg(F.when(F.col("f") == k, F.col(outcome)))
     return r.groupBy(by).agg(F.count("*").alias("n"), (mean(5) - mean(1)).alias("spread"))
+
+
+def new_years(members: DataFrame) -> DataFrame:
+    """(instrument, year) of members(instrument, year), once each, where the year before is none of the instrument's. Null keys match nothing, so they are new."""
+    before = F.lag("year").over(W.partitionBy("instrument").orderBy("year"))
+    rows = members.distinct().withColumn("_before", before)
+    return rows.where(F.col("instrument").isNull() | F.coalesce(F.col("_before") != F.col("year") - 1, F.lit(True))).drop("_before")

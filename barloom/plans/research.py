@@ -17,12 +17,14 @@ RULES = [TradeRule("hold_low8"), TradeRule("target20", target_pct=20.0), TradeRu
 
 
 def signals(s, d):
-    bars = model_bars(s, d)
-    return backtest.fresh_signals(trend_status(bars), daily_features(bars).select("instrument", "trade_date", F.col("high_20").alias("level")))
+    """Fresh passing bars; the screen has their level, so bars are screened once."""
+    rows = screened(model_bars(s, d)).select("instrument", "trade_date", "rs_rank", "status", F.col("high_20").alias("level"))
+    return backtest.fresh(rows).select("instrument", "trade_date", "level", F.col("rs_rank").cast("double").alias("score"))
 
 
 def trades(s, d):
-    return backtest.run_trades(model_bars(s, d), signals(s, d), RULES)
+    """Trades on signals(), whose bars the screen has passed on."""
+    return backtest.screened_trades(screened(model_bars(s, d), own=tuple(backtest.watched())).withColumn("level", F.col("high_20")), RULES)
 
 
 def ledger_of(s, d):
@@ -86,14 +88,29 @@ def candidate_signals(s, d):
     return patterns.new_signals(days.join(sessions(bars).withColumnRenamed("trade_date", "as_of"), "as_of").select("instrument", "as_of", "pivot", "session"))
 
 
-def score_parts(s, d):
-    """The parts of score v2 as of each bar, from its rolling features."""
+def ten_bars():
+    """High and low of the last ten bars."""
     w = by_day().rowsBetween(-9, 0)
-    ten = daily_features(model_bars(s, d)).select("*", F.max("high").over(w).alias("right_high"), F.min("low").over(w).alias("right_low"))
+    return F.max("high").over(w).alias("right_high"), F.min("low").over(w).alias("right_low")
+
+
+def parts_of():
+    """The parts of score v2 of a bar, from its rolling features and ten_bars()."""
     depth = lambda hi, lo: (1 - F.col(lo) / F.col(hi)) * 100
     above = lambda a, b: (F.col(a) / F.col(b) - 1) * 100
     parts = {"right_side_range_pct": depth("right_high", "right_low"), "final_contraction_pct": depth("high_20", "low_20"), "base_depth_pct": depth("high_50", "low_50"), "above_sma50_pct": above("close", "sma_50"), "stack_margin_pct": above("sma_50", "sma_200"), "prior_advance_pct": above("high_50", "low_252")}
-    return ten.select("instrument", "trade_date", *[c.alias(n) for n, c in parts.items()])
+    return [c.alias(n) for n, c in parts.items()]
+
+
+def score_parts(s, d):
+    """The parts of score v2 as of each bar."""
+    return daily_features(model_bars(s, d)).select("*", *ten_bars()).select("instrument", "trade_date", *parts_of())
+
+
+def rescored_signals(s, d):
+    """signals() with the score of their own bar, whose features the screen has."""
+    rows = screened(model_bars(s, d), own=ten_bars()).select("instrument", "trade_date", "status", F.col("high_20").alias("level"), *parts_of())
+    return scores.day_ranked(backtest.fresh(rows).select("instrument", "trade_date", "level", scores.score_of().alias("score")))
 
 
 def last_days(s, d):
@@ -113,7 +130,7 @@ QUERIES = {
     "dom49_daily_scan": lambda s, d: falls.scan_summary(falls.daily_falls(model_bars(s, d))),
     "dom50_candidate_signals": candidate_signals,
     "dom54_score_v2": lambda s, d: rounded(score_parts(s, d).select("instrument", "trade_date", scores.score_of().alias("score")), "score"),
-    "dom54_rescored_signals": lambda s, d: rounded(scores.rescored(signals(s, d), score_parts(s, d)), "score"),
+    "dom54_rescored_signals": lambda s, d: rounded(rescored_signals(s, d), "score"),
     "dom33_pivots": lambda s, d: rounded(pivots.pivots(model_bars(s, d), last_days(s, d)), "distance_pct", "tightness_pct"),
     "dom50_new_signals": level_signals,
     "dom60_signals": signals,

@@ -44,6 +44,11 @@ def screen_page(s, d):
     return rows.orderBy(F.col("rs_rank").desc_nulls_last(), "instrument", "trade_date").offset(50).limit(100)
 
 
+def new_members(s, d):
+    """Years in which an instrument passes the screen at least once, and did not the year before."""
+    return studies.new_years(trend_status(model_bars(s, d)).where("status = 'PASS'").select("instrument", F.year("trade_date").alias("year")))
+
+
 QUERIES = {
     "agg05_product": lambda s, d: actions(model_bars(s, d)).groupBy("instrument").agg(r6(F.exp(F.sum(F.log("factor")))).alias("product"), F.count("*").alias("n")),
     "agg06_distinct": lambda s, d: table(s, d, "lineitem").groupBy(F.year("l_shipdate").alias("year")).agg(F.countDistinct("l_suppkey").alias("n_suppliers"), F.countDistinct(F.to_date("l_shipdate")).alias("n_days")),
@@ -62,7 +67,7 @@ QUERIES = {
     "agg25_equal_weight": lambda s, d: daily_features(model_bars(s, d)).groupBy("trade_date").agg(F.avg("daily_return").alias("r")).where("r IS NOT NULL").groupBy(F.year("trade_date").alias("year")).agg(r6((F.exp(F.sum(F.log1p("r"))) - 1) * 100).alias("return_pct"), F.count("*").alias("n_days")),
     "set01_union_by_name": lambda s, d: table(s, d, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"), F.lit("c").alias("kind")).unionByName(table(s, d, "supplier").select(F.lit("s").alias("kind"), F.col("s_nationkey").alias("nation")), allowMissingColumns=True).groupBy("kind", "nation").agg(F.count("*").alias("n"), F.count("balance").alias("n_balance")),
     "set03_table_difference": lambda s, d: studies.table_difference(table(s, d, "orders").where("o_orderkey % 5 <> 0").select("o_custkey", "o_orderpriority"), table(s, d, "orders").where("o_orderkey % 7 <> 0").select("o_custkey", "o_orderpriority")),
-    "set04_new_members": lambda s, d: trend_status(model_bars(s, d)).where("status = 'PASS'").select("instrument", F.year("trade_date").alias("year")).distinct().join(trend_status(model_bars(s, d)).where("status = 'PASS'").select("instrument", (F.year("trade_date") + 1).alias("year")).distinct(), ["instrument", "year"], "left_anti"),
+    "set04_new_members": new_members,
     "sort01_screen_page": screen_page,
     "sort04_stratified_sample": lambda s, d: studies.stratified_sample(table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderpriority", ["o_orderkey"], 50, entity="o_custkey"),
     "fil09_search": search,

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions import change, finite, ladder
-from barloom.operators import adjust, asof, backtest, features, labels, market, patterns, strength, temporal, trend
+from barloom.operators import adjust, asof, backtest, features, labels, market, patterns, strength, studies, temporal, trend
 from barloom.operators.fundamentals import facts_of_xml
 
 D0 = date(2020, 1, 1)
@@ -161,6 +161,26 @@ def test_portfolio_respects_slots(spark):
     assert days[D0 + timedelta(1)].n_open == 2 and days[D0 + timedelta(5)].n_open == 0 and 0.99 < days[D0 + timedelta(5)].value < 1
 
 
+def test_signals_come_with_their_bars(spark):
+    """Trades and scores on bars that carry the screen equal those joined from signals, and bars are read once; years are new without the year before."""
+    rows = [(k, D0 + timedelta(n), 100.0 + n % 7, 99.0, 100.0 + (n * (k + 3)) % 5, 10.0 * (n % 9), "PASS" if k < 3 and n > 60 and n % 30 < 2 else "FAIL", 70 + k, 101.0) for k in range(4) for n in range(160)]
+    bars_ = spark.createDataFrame(rows, "instrument long, trade_date date, high double, low double, close double, volume double, status string, rs_rank int, level double").repartition(3)
+    rules = [backtest.TradeRule("a", horizon=12), backtest.TradeRule("b", target_pct=3.0)]
+    signals = backtest.fresh_signals(bars_.drop("level"), bars_.select("instrument", "trade_date", "level"))
+    assert signals.count() == 12 and backtest.fresh(bars_).count() == 12
+    want = backtest.run_trades(bars_, signals, rules)
+    got = backtest.screened_trades(bars_.select("*", *backtest.watched()), rules)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 4
+    for name in ("dom57_trades", "dom54_rescored_signals", "set04_new_members"):
+        from __spark_entry__ import queries
+
+        plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        # Once for the bars and once for their mean.
+        assert plan.count("Relation [") == 2, name
+    years = spark.createDataFrame([(1, 2000), (1, 2001), (1, 2001), (1, 2003), (2, 2001), (None, 2000), (None, 2001)], "instrument long, year int")
+    assert sorted((r.instrument or 0, r.year) for r in studies.new_years(years).collect()) == [(0, 2000), (0, 2001), (1, 2000), (1, 2003), (2, 2001)]
+
+
 def test_base_by_hand(spark):
     """A rise, then two falls of 20 and 8 percent below one top."""
     close = legs((50, 100, 120), (100, 80, 15), (80, 97, 15), (97, 89, 10), (89, 95, 8)).tolist()
