@@ -1,15 +1,19 @@
-"""Levels of a base that a breakout may be measured against, and how often the market has visited each."""
+"""Levels of a base that a breakout may be measured against, and how often the market has visited each.
+
+Bases meet the bars of their instrument in a share of whole instruments, where the levels of many bases are found at once.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.operators.features import by_day
-
+from barloom.operators.runs import Extremes, by_instrument, firsts, picked
 
 @dataclass(frozen=True)
 class PivotRules:
@@ -25,35 +29,8 @@ class PivotRules:
 
 #: Sources of a level; of equal ones the first in this order names it. Fixed values.
 SOURCES = ("BASE_HIGH", "LAST_PEAK", "RIGHT_SIDE_HIGH", "REPEATED")
-
-
-def clusters(highs: Column, level_pct: float) -> Column:
-    """Levels (n, price, size) that a list of highs (price, n) forms: from the highest down, all within level_pct of a level's top are one; n is the latest of them."""
-    ordered = F.array_sort(F.transform(highs, lambda x: F.struct((-x["price"]).alias("less"), x["n"].alias("n"))))
-    none = F.slice(F.transform(ordered, lambda x: F.struct(x["n"].alias("n"), (-x["less"]).alias("price"), F.lit(1).alias("size"))), 1, 0)
-
-    def take(levels: Column, x: Column) -> Column:
-        last = F.try_element_at(levels, F.lit(-1))
-        near = -x["less"] >= last["price"] * (1 - level_pct / 100)
-        grown = F.struct(F.greatest(last["n"], x["n"]).alias("n"), last["price"].alias("price"), (last["size"] + 1).alias("size"))
-        return F.when(near, F.concat(F.slice(levels, 1, F.size(levels) - 1), F.array(grown))).otherwise(F.concat(levels, F.array(F.struct(x["n"].alias("n"), (-x["less"]).alias("price"), F.lit(1).alias("size")))))
-
-    return F.aggregate(ordered, none, take)
-
-
-def base_bars(bars: DataFrame, bases: DataFrame, rules: PivotRules) -> DataFrame:
-    """The bars of each base(instrument, base_start, as_of), numbered within the instrument; swing marks highs confirmed by as_of.
-
-    Bases are spread over their bar numbers and meet the bars on them, so no bar meets a base that it is not part of.
-    """
-    w = by_day()
-    at_least = lambda frame: F.col("high") >= F.max("high").over(frame)
-    swing = at_least(w.rowsBetween(-rules.left, rules.right)) & (F.row_number().over(w) > rules.left)
-    numbered = bars.select("instrument", "trade_date", F.row_number().over(w).alias("n"), "high", "low", "close", swing.alias("swing"))
-    at = numbered.select("instrument", "trade_date", "n")
-    spans = bases.join(at.withColumnsRenamed({"trade_date": "base_start", "n": "first"}), ["instrument", "base_start"]).join(at.withColumnsRenamed({"trade_date": "as_of", "n": "last"}), ["instrument", "as_of"])
-    spread = spans.select("instrument", "base_start", "as_of", "first", "last", F.explode(F.sequence("first", "last")).alias("n"))
-    return spread.join(numbered, ["instrument", "n"]).withColumn("swing", F.col("swing") & (F.col("n") + rules.right <= F.col("last")))
+#: Bars of levels that are looked at together, unless one base has more.
+HELD = 2_000_000
 
 
 def pivots(bars: DataFrame, bases: DataFrame, rules: PivotRules = PivotRules()) -> DataFrame:
@@ -63,46 +40,150 @@ def pivots(bars: DataFrame, bases: DataFrame, rules: PivotRules = PivotRules())
     of equals), and each top that two swing highs or more form. A visit is a run of bars whose highs reach the level's zone; it
     is a rejection if it ended before as_of without a close above the level. Structural is the last peak, or the first
     high where there is none; primary is the right side's high if the right side is tight and the close not above it, else
-    the structural one. A base whose days are no bars of its instrument has no row; null prices reach nothing.
+    the structural one. A base whose days are no bars of its instrument, or that ends before it starts, has no row; prices that
+    are null or no number reach nothing.
     """
-    keys = ["instrument", "base_start", "as_of"]
-    rows = base_bars(bars, bases, rules)
-    late = F.col("n") > F.col("last") - rules.right_side
-    point = lambda test: F.when(test, F.struct(F.col("high").alias("price"), "n"))
-    one = rows.groupBy(*keys, "first", "last").agg(
-        F.min(point(F.col("n") == F.col("first"))).alias("base_high"), F.max_by("close", "n").alias("close"), F.max(point(late)).alias("right_side"), F.max(F.when(late, F.col("high"))).alias("r_high"), F.min(F.when(late, F.col("low"))).alias("r_low"),
-        F.array_compact(F.collect_list(point(F.col("swing")))).alias("swings"),
-    )
-    behind = F.filter("swings", lambda x: x["n"] > F.col("first"))
-    peak = F.aggregate(behind, F.get(behind, 0), lambda a, x: F.when(x["n"] > a["n"], x).otherwise(a))
-    level = lambda p, s, order: F.struct(F.lit(order).alias("order"), F.lit(s).alias("source"), p["price"].alias("pivot"), p["n"].alias("n"))
-    repeated = F.transform(F.filter(clusters(F.col("swings"), rules.level_pct), lambda c: c["size"] >= 2), lambda c: level(c, SOURCES[3], 3))
-    one = one.withColumn("peak", peak)
-    one = one.withColumn("structural", F.coalesce("peak", "base_high"))
-    tight = ((1 - F.col("r_low") / F.col("r_high")) * 100 <= rules.tight_pct) & (F.col("right_side.price") >= F.col("close"))
-    one = one.withColumn("primary", F.when(tight, F.col("right_side")).otherwise(F.col("structural")))
-    single = F.array_compact(F.array(level(F.col("base_high"), SOURCES[0], 0), F.when(F.col("peak").isNotNull(), level(F.col("peak"), SOURCES[1], 1)), level(F.col("right_side"), SOURCES[2], 2)))
-    listed = one.select(*keys, "first", "last", "close", "primary", "structural", F.explode(F.concat(single, repeated)).alias("p"))
-    named = listed.groupBy(*keys, "first", "last", "close", "primary", "structural", F.col("p.n").alias("at"), F.col("p.pivot").alias("pivot")).agg(F.min_by("p.source", "p.order").alias("source"))
-    return visits(rows, named, keys, rules)
-
-
-def visits(rows: DataFrame, levels: DataFrame, keys: list[str], rules: PivotRules) -> DataFrame:
-    """Levels with their visits, counted by runs of a base's bars."""
-    each = rows.select(*keys, "n", "trade_date", "high", "low", F.col("close").alias("bar_close")).join(levels, keys)
-    of = [*keys, "at", "pivot"]
-    w = W.partitionBy(*of).orderBy("n")
-    inside = F.coalesce(F.col("high") >= F.col("pivot") * (1 - rules.level_pct / 100), F.lit(False))
-    each = each.withColumn("inside", inside).withColumn("begins", F.col("inside") & ~F.coalesce(F.lag("inside").over(w), F.lit(False))).withColumn("run", F.sum(F.col("begins").cast("int")).over(w))
-    after = F.col("n") >= F.greatest(F.col("at") + 1, F.col("last") - rules.right_side + 1)
-    rest = [*of, "source", "close", "last", "first", "primary", "structural"]
-    runs = each.groupBy(*rest, F.when(F.col("inside"), F.col("run")).alias("visit")).agg(
-        F.max("n").alias("until"), F.coalesce(F.max(F.col("bar_close") > F.col("pivot")), F.lit(False)).alias("above"), F.max(F.when(after, F.col("high"))).alias("hi"), F.min(F.when(after, F.col("low"))).alias("lo"),
-        F.max(F.when(F.col("n") == F.col("at"), F.col("trade_date"))).alias("day"),
-    )
-    is_ = lambda c: (F.col("at") == F.col(f"{c}.n")) & (F.col("pivot") == F.col(f"{c}.price"))
-    seen = F.col("visit").isNotNull()
-    out = runs.groupBy(*rest).agg(F.max("day").alias("pivot_date"), F.count_if(seen).alias("touches"), F.count_if(seen & ~F.col("above") & (F.col("until") < F.col("last"))).alias("rejections"), F.max("hi").alias("hi"), F.min("lo").alias("lo"))
-    return out.select(
-        *keys, "source", "pivot", "pivot_date", ((F.col("pivot") / F.col("close") - 1) * 100).alias("distance_pct"), "touches", "rejections", ((1 - F.col("lo") / F.col("hi")) * 100).alias("tightness_pct"), is_("primary").alias("is_primary"), is_("structural").alias("is_structural"),
-    )
+    nothing = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
+    prices = bars.select("instrument", "trade_date", *[F.col(c).cast("double").alias(c) for c in ("high", "low", "close")], *nothing("date", "base_start"))
+    asked = bases.dropna(subset=["instrument", "base_start", "as_of"]).select("instrument", F.col("as_of").alias("trade_date"), *nothing("double", "high", "low", "close"), "base_start")
+    kinds = {
+        "instrument": bars.schema["instrument"].dataType.simpleString(), "base_start": "date", "as_of": "date", "source": "string", "pivot": "double", "pivot_date": "date", "distance_pct": "double", "touches": "long", "rejections": "long",
+        "tightness_pct": "double", "is_primary": "boolean", "is_structural": "boolean",
+    }
+    return by_instrument(prices.unionByName(asked).repartition("instrument"), lambda table: pivots_of(table, rules, list(kinds)), ", ".join(f"{c} {t}" for c, t in kinds.items()))
+
+
+def pivots_of(table: pa.Table, rules: PivotRules, names: list[str]) -> pa.Table:
+    """The rows of pivots() of a table of bars and bases in order; a base stands on its as_of day and has a base_start."""
+    start = table["base_start"].combine_chunks()
+    is_base = start.is_valid().to_numpy(zero_copy_only=False)
+    bars, asked = table.filter(pa.array(~is_base)), np.flatnonzero(is_base)
+    of = firsts(table)
+    days = lambda column: column.cast(pa.int32()).fill_null(-(2**31)).to_numpy(zero_copy_only=False).astype(np.int64) + 2**31
+    key = lambda rows, day: (of[rows] << 32) + day[rows]
+    day = days(table["trade_date"].combine_chunks())
+    known = key(np.flatnonzero(~is_base), day)
+    first_key, last_key = key(asked, days(start)), key(asked, day)
+    first, last = np.searchsorted(known, first_key), np.searchsorted(known, last_key)
+    there = np.flatnonzero((last < len(known)) & (first <= last))
+    there = there[(known[first[there]] == first_key[there]) & (known[last[there]] == last_key[there])]
+    spans = np.unique(np.stack([first[there], last[there]]), axis=1)
+    view = Levels(bars, of[~is_base], rules)
+    found = [view.of(spans[:, a:b]) for a, b in shares(view.weights(*spans))]
+    return pa.concat_tables(found).rename_columns(names) if found else pa.table({c: [] for c in names})
+
+
+def shares(weights: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of places whose weights are HELD together at most, or of one place."""
+    upto, a = np.cumsum(weights), 0
+    while a < len(weights):
+        b = max(a + 1, int(np.searchsorted(upto, HELD + (upto[a - 1] if a else 0), "right")))
+        yield a, b
+        a = b
+
+
+def counted(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For parts of so many members: the part of each member, and its place within it."""
+    part = np.repeat(np.arange(len(sizes)), sizes)
+    return part, np.arange(len(part)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+class Levels:
+    """Levels of many bases, each a range of places in a table of bars of whole instruments."""
+
+    def __init__(self, bars: pa.Table, of: np.ndarray, rules: PivotRules):
+        self.bars, self.rules = bars, rules
+        number = lambda c: bars[c].combine_chunks().fill_null(np.nan).to_numpy(zero_copy_only=False)
+        self.high, self.close = number("high"), number("close")
+        n = np.arange(len(of))
+        widest = max(rules.left + rules.right + 1, rules.right_side)
+        self.top, self.bottom = np.nan_to_num(self.high, nan=-np.inf), np.nan_to_num(number("low"), nan=np.inf)
+        self.highest, self.lowest = Extremes(self.top, widest), Extremes(self.bottom, widest, lowest=True)
+        # From behind the earliest of equals is the latest.
+        self.latest = Extremes(self.top[::-1].copy(), widest)
+        begin, end = np.searchsorted(of, of, "left"), np.searchsorted(of, of, "right")
+        around = self.top[self.highest.place(np.maximum(begin, n - rules.left), np.minimum(end, n + rules.right + 1))] if len(of) else self.top
+        self.swings = np.flatnonzero((self.high >= around) & (n - begin >= rules.left))
+
+    def swings_in(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The range of swings of each base: those confirmed by its last bar."""
+        a = np.searchsorted(self.swings, first)
+        return a, np.maximum(a, np.searchsorted(self.swings, last - self.rules.right, "right"))
+
+    def weights(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Bars of a base by the levels it may have."""
+        a, b = self.swings_in(first, last)
+        return (last - first + 1) * (3 + (b - a) // 2)
+
+    def repeated(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(base, place, price) of tops that several swings form: from the highest down, all within level_pct of a level's top are one; its place is the latest of them."""
+        a, b = self.swings_in(first, last)
+        base, k = counted(b - a)
+        n = self.swings[a[base] + k]
+        n = n[np.lexsort((n, -self.high[n], base))]
+        price = self.high[n]
+        level, top = np.zeros(len(n), np.int64), price.copy()
+        begin = np.cumsum(b - a) - (b - a)
+        # The k-th swings of all bases go together.
+        for step in range(1, int((b - a).max(initial=0))):
+            i = begin[b - a > step] + step
+            near = price[i] >= top[i - 1] * (1 - self.rules.level_pct / 100)
+            top[i] = np.where(near, top[i - 1], price[i])
+            level[i] = level[i - 1] + ~near
+        starts = np.flatnonzero(np.concatenate([[True], (base[1:] != base[:-1]) | (level[1:] != level[:-1])])) if len(n) else n
+        several = np.diff(np.append(starts, len(n))) >= 2
+        latest = np.maximum.reduceat(n, starts) if len(n) else n
+        return base[starts[several]], latest[several], top[starts[several]]
+
+    def of(self, spans: np.ndarray) -> pa.Table:
+        """Rows of bases (first and last place)."""
+        rules, (first, last) = self.rules, spans
+        all_, high = np.arange(len(first)), self.high
+        late = np.maximum(first, last - rules.right_side + 1)
+        right = len(high) - 1 - self.latest.place(len(high) - 1 - last, len(high) - late)
+        a, b = self.swings_in(first, last)
+        peak = self.swings[np.maximum(b - 1, 0)] if len(self.swings) else first
+        peaked = (b > a) & (peak > first)
+        structural = np.where(peaked, peak, first)
+        tight = ((1 - self.bottom[self.lowest.place(late, last + 1)] / self.top[right]) * 100 <= rules.tight_pct) & (high[right] >= self.close[last])
+        primary = np.where(tight, right, structural)
+        # Of the same place and price the first source names a level.
+        base, at, pivot = (np.concatenate(p) for p in zip((all_, first, high[first]), (all_[peaked], peak[peaked], high[peak[peaked]]), (all_, right, high[right]), self.repeated(first, last), strict=True))
+        source = np.repeat(np.arange(4), [len(all_), peaked.sum(), len(all_), len(base) - 2 * len(all_) - peaked.sum()])
+        by = np.lexsort((source, pivot, at, base))
+        base, at, pivot, source = base[by], at[by], pivot[by], source[by]
+        same = (base[1:] == base[:-1]) & (at[1:] == at[:-1]) & ((pivot[1:] == pivot[:-1]) | np.isnan(pivot[1:]) & np.isnan(pivot[:-1]))
+        kept = np.concatenate([[True], ~same])
+        base, at, pivot, source = base[kept], at[kept], pivot[kept], source[kept]
+        first, last, primary, structural = first[base], last[base], primary[base], structural[base]
+        touches, rejections = self.visits(first, last, pivot)
+        after = np.maximum(at + 1, last - rules.right_side + 1)
+        some = np.flatnonzero(after <= last)
+        tightness = np.full(len(at), np.nan)
+        hi, lo = (x.values[x.place(after[some], last[some] + 1)] for x in (self.highest, self.lowest))
+        tightness[some] = np.where(np.isinf(hi) | np.isinf(lo), np.nan, (1 - -lo / hi) * 100)
+        day = lambda n: self.bars["trade_date"].combine_chunks().take(pa.array(n))
+        number = lambda x: pa.array(x, mask=np.isnan(x))
+        is_ = lambda n: pa.array((at == n) & (pivot == high[n]), mask=(at == n) & np.isnan(pivot))
+        columns = [
+            self.bars["instrument"].combine_chunks().take(pa.array(first)), day(first), day(last), picked(SOURCES, source), number(pivot), day(at), number((pivot / self.close[last] - 1) * 100), pa.array(touches), pa.array(rejections),
+            number(tightness), is_(primary), is_(structural),
+        ]
+        return pa.table(columns, names=[str(k) for k in range(len(columns))])
+
+    def visits(self, first: np.ndarray, last: np.ndarray, pivot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(visits, rejections) of each level."""
+        level, k = counted(last - first + 1)
+        n = first[level] + k
+        inside = self.high[n] >= (pivot * (1 - self.rules.level_pct / 100))[level]
+        over = np.concatenate([[0], np.cumsum(self.close[n] > pivot[level])])
+        border = np.flatnonzero(k == 0)
+        begins, ends = inside.copy(), inside.copy()
+        begins[1:] &= ~inside[:-1]
+        ends[:-1] &= ~inside[1:]
+        begins[border] = inside[border]
+        ends[border[1:] - 1] = inside[border[1:] - 1]
+        begins, ends = np.flatnonzero(begins), np.flatnonzero(ends)
+        rejected = (over[ends + 1] == over[begins]) & (n[ends] < last[level[ends]])
+        count = lambda of: np.bincount(of, minlength=len(first))
+        return count(level[begins]), count(level[ends[rejected]])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.operators.features import by_day
+from barloom.operators.runs import Extremes, by_instrument, picked
 
 DETECTION = "instrument long, trade_date date, base_start date, level double, level_date date, pivot double, pivot_date date, close double, ratio double, state string"
 TRACKED = "instrument long, trade_date date, base_start date, status string, event_id string, is_new boolean, source string, breakout_date date, event_pivot double, event_ratio double"
@@ -17,17 +20,36 @@ def daily_detections(bars: DataFrame, span: int = 50, settle: int = 5, fall_pct:
 
     Of equal highs the earliest counts. ratio is the volume over the mean of the 50 bars before. state is INVALIDATED once the
     close is fall_pct or more under the level, BREAKOUT where the close is above it on half as much volume again, else FORMING.
-    Bars too early for a whole span have no row.
+    Bars too early for a whole span have no row; a NaN is a missing number.
     """
-    w = by_day()
-    old, young, fifty = w.rowsBetween(-(span + settle), -(settle + 1)), w.rowsBetween(-settle, -1), w.rowsBetween(-50, -1)
-    first = lambda frame: F.min(F.struct((-F.col("high")).alias("less"), F.col("trade_date").alias("day"))).over(frame)
-    base = F.when(F.count("volume").over(fifty) == 50, F.avg("volume").over(fifty))
-    rows = bars.select("instrument", "trade_date", "close", (F.col("volume") / F.when(base > 0, base)).alias("ratio"), F.count("high").over(old).alias("n"), first(old).alias("b"), first(young).alias("p"))
-    rows = rows.where(F.col("n") == span).withColumn("level", -F.col("b.less"))
-    broke = (F.col("close") > F.col("level")) & (F.col("ratio") >= 1.5)
-    state = F.when(F.col("close") <= F.col("level") * (1 - fall_pct / 100), "INVALIDATED").when(F.coalesce(broke, F.lit(False)), "BREAKOUT").otherwise("FORMING")
-    return rows.select("instrument", "trade_date", F.col("b.day").alias("base_start"), "level", F.col("b.day").alias("level_date"), (-F.col("p.less")).alias("pivot"), F.col("p.day").alias("pivot_date"), "close", "ratio", state.alias("state"))
+    rows = bars.select("instrument", "trade_date", *[F.col(c).cast("double").alias(c) for c in ("high", "close", "volume")], F.row_number().over(by_day()).alias("n"))
+    return by_instrument(rows, lambda table: detections_of(table, span, settle, fall_pct), DETECTION.replace("instrument long", f"instrument {bars.schema['instrument'].dataType.simpleString()}"))
+
+
+def detections_of(table: pa.Table, span: int, settle: int, fall_pct: float, past: int = 50) -> pa.Table:
+    """The rows of daily_detections() of a table of bars of whole instruments in order, numbered within them from 1."""
+    number = lambda c: table[c].combine_chunks().fill_null(np.nan).to_numpy(zero_copy_only=False)
+    high, close, volume, before = number("high"), number("close"), number("volume"), table["n"].to_numpy() - 1
+    upto = np.concatenate([[0], np.cumsum(np.isnan(high))])
+    at = np.flatnonzero(before >= span + settle)
+    at = at[upto[at - settle] == upto[at - settle - span]]
+    total = np.zeros(len(high))
+    for k in range(past, 0, -1):
+        total[past:] += volume[past - k : len(high) - k]
+    mean = np.where((before >= past) & (total > 0), total / past, np.nan)
+    ratio = (volume / mean)[at]
+    top = Extremes(np.nan_to_num(high, nan=-np.inf), span)
+    base = top.place(at - settle - span, at - settle) if len(at) else at
+    pivot = top.place(at - settle, at) if len(at) and settle else base
+    no_pivot = np.isnan(high[pivot]) if settle else np.ones(len(at), bool)
+    level = high[base]
+    state = np.where(close[at] <= level * (1 - fall_pct / 100), 0, np.where((close[at] > level) & (ratio >= 1.5), 1, 2))
+    day = lambda n, mask=None: table["trade_date"].combine_chunks().take(pa.array(n, mask=mask))
+    columns = [
+        table["instrument"].combine_chunks().take(pa.array(at)), day(at), day(base), pa.array(level), day(base), pa.array(high[pivot], mask=no_pivot), day(pivot, no_pivot), table["close"].combine_chunks().take(pa.array(at)),
+        pa.array(ratio, mask=np.isnan(ratio)), picked(("INVALIDATED", "BREAKOUT", "FORMING"), state),
+    ]
+    return pa.table(columns, names=[c.split()[0] for c in DETECTION.split(", ")])
 
 
 def event_id(instrument: Column, base_start: Column, config: str) -> Column:
