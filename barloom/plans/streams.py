@@ -49,7 +49,7 @@ def replayed(s, d, parts: int = 4):
     """Detections of all sessions as they come, a part of the sessions at a time; each part is a run of its own from the checkpoint of the last."""
     at, bars = st.scratch(s), model_bars(s, d)
     days = sessions(bars).select("trade_date", F.ntile(parts).over(W.orderBy("session")).alias("part"))
-    tracking.daily_detections(bars).join(days, "trade_date").write.partitionBy("part").parquet(f"{at}/all")
+    tracking.daily_detections(bars).join(F.broadcast(days), "trade_date").write.partitionBy("part").parquet(f"{at}/all")
     out = None
     for k in range(1, parts + 1):
         s.read.parquet(f"{at}/all/part={k}").select(*s.createDataFrame([], tracking.DETECTION).columns).write.mode("append").parquet(f"{at}/come")

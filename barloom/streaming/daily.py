@@ -19,11 +19,12 @@ from barloom.operators.tracking import DETECTION, TRACKED
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PRIOR = "trade_date date, base_start date, pivot double, pivot_date date"
+SEEN = ("trade_date", "base_start", "level", "pivot", "pivot_date", "close", "ratio", "state")
 EVENT = "source string, breakout_date date, pivot double, ratio double"
 
 
 class BreakoutTracker(StatefulProcessor):
-    """Per instrument: the last detection seen, and the event of each base. One detection costs one look-up."""
+    """Per instrument: the last detection seen, and the event of each base. A run looks up once the event of each base that an earlier run may have seen."""
 
     def __init__(self, config: str, volume_ratio: float):
         self.config, self.volume_ratio = config, volume_ratio
@@ -33,37 +34,41 @@ class BreakoutTracker(StatefulProcessor):
         self.events = handle.getMapState("events", "base_start date", EVENT)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        prior = self.prior.get() if self.prior.exists() else None
-        parts = list(rows)
-        days = pd.concat(parts).sort_values("trade_date").drop_duplicates("trade_date")
-        out = []
-        for d in days.itertuples(index=False):
-            if prior is not None and d.trade_date <= prior[0]:
+        instrument, prior = int(key[0]), self.prior.get()
+        upto = None if prior is None else prior[0]
+        days = sorted((d for part in rows for d in zip(*(part[c].tolist() for c in SEEN), strict=True)), key=lambda d: d[0])
+        seen, out = {}, []
+        for at, base, level, pivot, pivot_day, close, ratio, state in days:
+            if prior is not None and at <= prior[0]:
                 continue
-            if d.state != "INVALIDATED":
-                out.append(self.row(int(key[0]), d, prior))
-            prior = (d.trade_date, d.base_start, none(d.pivot), d.pivot_date)
+            if state != "INVALIDATED":
+                if base not in seen:
+                    # A base that starts behind the last run's day was not there to have an event.
+                    event = None if upto is None or base > upto else self.events.getValue((base,))
+                    seen[base] = None if event is None else (self.name(instrument, base), *event)
+                event = seen[base]
+                new = event is None
+                if new:
+                    if state == "BREAKOUT" and level == level:
+                        event = ("STRUCTURAL", at, level, none(ratio))
+                    elif prior is not None and prior[1] == base and prior[2] is not None and prior[3] is not None and close > prior[2] and ratio >= self.volume_ratio:
+                        event = ("PRIOR_DAY_PIVOT", at, prior[2], none(ratio))
+                    if event is not None:
+                        self.events.updateValue((base,), event)
+                        event = seen[base] = (self.name(instrument, base), *event)
+                if event is None or (new and event[1] == "STRUCTURAL"):
+                    status = state
+                else:
+                    status = "BREAKOUT" if close >= event[3] else "FAILED"
+                name, *rest = event or (None,) * 5
+                out.append((instrument, at, base, status, name, new and event is not None, *rest))
+            prior = (at, base, none(pivot), pivot_day)
         if prior is not None:
             self.prior.update(prior)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in TRACKED.split(", ")])
 
-    def row(self, instrument: int, d, prior) -> tuple:
-        base = (d.base_start,)
-        event = self.events.getValue(base) if self.events.containsKey(base) else None
-        new = event is None
-        if new:
-            if d.state == "BREAKOUT" and none(d.level) is not None:
-                event = ("STRUCTURAL", d.trade_date, float(d.level), none(d.ratio))
-            elif prior is not None and prior[1] == d.base_start and prior[2] is not None and prior[3] is not None and d.close > prior[2] and d.ratio >= self.volume_ratio:
-                event = ("PRIOR_DAY_PIVOT", d.trade_date, prior[2], none(d.ratio))
-            if event is not None:
-                self.events.updateValue(base, event)
-        name = None if event is None else "bo-" + hashlib.sha256(f"{instrument}|{d.base_start.isoformat()}|{self.config}".encode()).hexdigest()[:20]
-        if event is None or (new and event[0] == "STRUCTURAL"):
-            status = d.state
-        else:
-            status = "BREAKOUT" if d.close >= event[2] else "FAILED"
-        return (instrument, d.trade_date, d.base_start, status, name, new and event is not None, *(event or (None,) * 4))
+    def name(self, instrument: int, base) -> str:
+        return "bo-" + hashlib.sha256(f"{instrument}|{base.isoformat()}|{self.config}".encode()).hexdigest()[:20]
 
     def close(self) -> None:
         pass
@@ -78,7 +83,7 @@ def track_stream(detections: DataFrame, config: str = "default", volume_ratio: f
     """TRACKED rows of a stream of DETECTION, as operators.tracking.track_breakouts has them in one go.
 
     Days have to come in order, some or many at a time; a day not behind an instrument's last one is passed over, so a repeated
-    file changes nothing. State grows by one event a base.
+    file changes nothing. A base starts on its detections' days at the latest. State grows by one event a base.
     """
     detections.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return detections.groupBy("instrument").transformWithStateInPandas(BreakoutTracker(config, volume_ratio), TRACKED, outputMode="Append", timeMode="None")

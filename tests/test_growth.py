@@ -1,10 +1,13 @@
 """Jobs whose cost must not grow faster than the bars: what they do beside their rows."""
 
 from datetime import date, timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from barloom.operators import pivots, tracking
+from barloom.streaming import daily
 
 D0 = date(2020, 1, 1)
 BAR = "instrument long, trade_date date, open double, high double, low double, close double, volume double"
@@ -82,3 +85,20 @@ def test_detections_of_many_bars_at_once(spark):
     assert got.where(F.col("close").isNull()).select("trade_date", "state").collect() == [(day(140), "FORMING")]
     # Only the numbering is a window of Spark's; frames of 50 bars were looked through anew on each bar.
     assert "RowFrame" not in got._jdf.queryExecution().optimizedPlan().toString().replace("specifiedwindowframe(RowFrame, unboundedpreceding$(), currentrow$())", "")
+
+
+def test_an_event_is_looked_up_once_a_run(spark):
+    """Two runs over 40 days of one base and 40 of another: each day asked the state twice."""
+    held, kept, asked = {}, [None], []
+    events = SimpleNamespace(getValue=lambda b: asked.append(b) or held.get(b), updateValue=held.__setitem__)
+    tracker = daily.BreakoutTracker("default", 1.5)
+    tracker.init(SimpleNamespace(getValueState=lambda *a: SimpleNamespace(get=lambda: kept[-1], update=kept.append), getMapState=lambda *a: events))
+    base = lambda k: day(-9) if k < 40 else day(35)
+    data = [(1, day(k), base(k), 100.0, base(k), 98.0, day(k - 1), 101.0 if k in (7, 50) else 97.0, 2.0, "BREAKOUT" if k in (7, 50) else "FORMING") for k in range(80)]
+    columns = [c.split()[0] for c in tracking.DETECTION.split(", ")]
+    parts = [pd.DataFrame(rows, columns=columns) for rows in (data[:20], data[15:60], data[60:])]
+    got = [tuple(None if x != x else x for x in r) for part in parts for out in tracker.handleInputRows((1,), iter([part]), None) for r in out.itertuples(index=False, name=None)]
+    want = tracking.track_breakouts(spark.createDataFrame(data, tracking.DETECTION)).orderBy("trade_date").collect()
+    assert got == [tuple(r) for r in want] and len(got) == 80
+    # The second run asks for the first base only, as the other one starts behind day 19; the third for the other.
+    assert asked == [(day(-9),), (day(35),)]
