@@ -89,9 +89,8 @@ def caught_up(s, d):
     return s.read.parquet(f"{at}/scans").select("trade_date", F.col("run").cast("int").alias("run"))
 
 
-def landings(s, d):
+def landings(bars):
     """Bars as they land three times: early ones of a feed, a third of them one too high; the exchange's, but for each fifth instrument; the feed's once more."""
-    bars = model_bars(s, d).select("instrument", "trade_date", *store.PRICES)
     off = F.when(F.col("instrument") % 3 == 0, 1.0).otherwise(0.0)
     feed = bars.withColumns({"close": F.col("close") + off, "high": F.col("high") + off, "provider": F.lit("FEED"), "status": F.lit("PROVISIONAL")})
     final = bars.where("instrument % 5 <> 0").withColumns({"provider": F.lit(store.FINAL), "status": F.lit("OK")})
@@ -102,7 +101,9 @@ def landings(s, d):
 def final_over_provisional(s, d):
     """All versions of the bars after each landing was a run of the merge stream; the last batch is merged a second time, as after a lost run."""
     at = st.scratch(s)
-    for k, rows in enumerate(landings(s, d)):
+    # Landings are read up to three times each; their bars are worked out once.
+    model_bars(s, d).select("instrument", "trade_date", *store.PRICES).write.parquet(f"{at}/model")
+    for k, rows in enumerate(landings(s.read.parquet(f"{at}/model"))):
         rows.write.mode("append").parquet(f"{at}/come")
         store.merge_stream(s.readStream.schema(rows.schema).parquet(f"{at}/come"), f"{at}/bars", f"{at}/state")
     store.merge_batch(s, f"{at}/bars", rows, k)

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from barloom.operators import pivots, tracking
+from barloom.sources import store
 from barloom.streaming import daily
 
 D0 = date(2020, 1, 1)
@@ -102,3 +103,18 @@ def test_an_event_is_looked_up_once_a_run(spark):
     assert got == [tuple(r) for r in want] and len(got) == 80
     # The second run asks for the first base only, as the other one starts behind day 19; the third for the other.
     assert asked == [(day(-9),), (day(35),)]
+
+
+def test_a_month_is_not_written_by_each_task(spark, tmp_path):
+    """Forty days of two months in eight tasks: they wrote each month in up to eight files."""
+    data = [(i, day(k), 10.0, 11.0, 9.0, 10.0, 5.0, "FEED", "PROVISIONAL", 1) for i in range(200) for k in range(40)]
+    come = spark.createDataFrame(data, "instrument long, trade_date date, open double, high double, low double, close double, volume double, provider string, status string, order long")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64m")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.merge_batch(spark, f"file://{tmp_path}/bars", come, 0)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(f"file://{tmp_path}/bars").count() == len(data)
+    assert {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / "bars").glob("month=*")} == {"month=2020-01": 1, "month=2020-02": 1}
