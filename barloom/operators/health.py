@@ -11,7 +11,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions import ladder, ratio
-from barloom.operators.features import by_day
 from barloom.operators.market import breadth_measures
 
 #: The weight of each pillar, and of each part in it with its ladder of (reading, points).
@@ -34,6 +33,11 @@ PARTS = {
 }
 #: Labels, best first, with their lowest score and the exposure they allow.
 LABELS = [("Strong", 80, "full"), ("Constructive", 65, "full"), ("Mixed", 50, "half"), ("Weak", 35, "none"), ("Adverse", 0, "none")]
+#: What counts, sectors and breakouts read of the market's panel.
+PANEL = (
+    "instrument", "trade_date", "high", "low", "close", "volume", "daily_return", "sma_50", "sma_150", "sma_200", "high_20", "high_50", "high_252", "low_252", "volatility_20", "volatility_50", "rs_rank", "status", "eligible",
+    "level", "level_before", "volume_before", "close_5", "close_judged", "low_hold", "low_judged", "n_after", "led_on", "led_close",
+)
 LEADER_RANK, DAY_MOVE, NEAR_GAP, HORIZONS, MIN_SECTORS = 80, 0.002, 0.05, (21, 63, 126), 8
 
 
@@ -52,23 +56,23 @@ def whole(agg: Column, what: Column, n: int) -> Column:
 
 
 def day_counts(panel: DataFrame) -> DataFrame:
-    """One row per day of a panel(instrument, trade_date, eligible, status, rs_rank and the daily features): breadth, leaders, volume and the indices.
+    """One row per day of a panel (its PANEL columns): breadth, leaders, volume and the indices.
 
+    What the leaders of 20 bars before made since is counted on the day that their rows name, so a day's bars need not meet those before.
     Instruments with large or small set make two further indices; without these columns those have no return.
     """
     leads = F.coalesce((F.col("status") == "PASS") & (F.col("rs_rank") >= LEADER_RANK), F.lit(False))
-    once = F.lag(F.struct(leads.alias("led"), F.col("close").alias("close")), 20).over(by_day())
-    x = panel.withColumns({"leads": leads, "once": once, "value": F.col("close") * F.col("volume")})
-    led = F.col("once.led") & (F.col("once.close") > 0)
+    x = panel.withColumns({"leads": leads, "value": F.col("close") * F.col("volume")})
+    led = x.where(F.col("leads") & (F.col("close") > 0)).groupBy(F.col("led_on").alias("trade_date")).agg(F.count("*").alias("led_n"), F.avg(F.col("led_close") / F.col("close") - 1).alias("led_return"))
     tight = (F.col("status") == "PASS") & (F.col("close") >= F.col("high_50") * (1 - NEAR_GAP)) & (F.col("volatility_20") < F.col("volatility_50"))
     of = lambda test, c: F.when(F.col("eligible") & test, F.col(c))
     part = lambda c: F.avg(F.when(F.col(c), F.col("daily_return"))) if c in panel.columns else F.lit(None).cast("double")
-    return x.groupBy("trade_date").agg(
-        *breadth_measures(), F.count_if(F.col("eligible") & (F.col("high") >= F.col("high_20") * 0.99999)).alias("highs_of_20"), F.count_if("leads").alias("leaders"), F.count_if(led).alias("led_n"),
-        F.avg(F.when(led, F.col("close") / F.col("once.close") - 1)).alias("led_return"), F.count_if(tight).alias("near"),
+    days = x.groupBy("trade_date").agg(
+        *breadth_measures(), F.count_if(F.col("eligible") & (F.col("high") >= F.col("high_20") * 0.99999)).alias("highs_of_20"), F.count_if("leads").alias("leaders"), F.count_if(tight).alias("near"),
         F.sum(of(F.col("daily_return") > 0, "value")).alias("value_up"), F.sum(of(F.col("daily_return") < 0, "value")).alias("value_down"), F.sum(of(F.lit(True), "volume")).alias("own_volume"),
         F.avg("daily_return").alias("index_return"), F.sum("volume").alias("index_volume"), *[part(c).alias(f"{c}_return") for c in ("large", "small")],
     )
+    return days.join(led, "trade_date", "left").withColumn("led_n", F.coalesce("led_n", F.lit(0)))
 
 
 def sector_days(panel: DataFrame, sectors: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ bars before the months in question. What follows the panel has one row a day, or
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,8 +37,8 @@ def replace_months(rows: DataFrame, path: str) -> None:
 
 
 def land(bars: DataFrame, path: str) -> None:
-    """Adds bars to a table by month."""
-    bars.withColumn("month", month_of(F.col("trade_date"))).write.mode("append").partitionBy("month").parquet(path)
+    """Adds bars to a table by month. A month's bars come together first, or each task would write a file of each month."""
+    bars.withColumn("month", month_of(F.col("trade_date"))).hint("rebalance", "month").write.mode("append").partitionBy("month").parquet(path)
 
 
 def reach(months: DataFrame, since: str, bars: int) -> str:
@@ -74,8 +76,8 @@ def update_days(spark: SparkSession, bars_path: str, root: str, sectors: DataFra
     months = bars.groupBy("instrument", "month").agg(F.count("*").alias("n"))
     near = reach(months, since, NEAR_BARS)
     far = reach(months, near, FEATURE_BARS)
-    panel = mark(market.panel(bars.where(F.col("month") >= far).drop("month"))).withColumn("month", month_of(F.col("trade_date")))
-    replace_months(panel.where(F.col("month") >= near), f"{root}/panel")
+    panel = market.panel(bars.where(F.col("month") >= far).drop("month"), since=date.fromisoformat(f"{near}-01"))
+    replace_months(mark(panel.select(*health.PANEL)).withColumn("month", month_of(F.col("trade_date"))), f"{root}/panel")
     kept = spark.read.parquet(f"{root}/panel").withColumn("month", F.col("month").cast("string")).where(F.col("month") >= near)
     fresh = lambda rows, first: rows.withColumn("month", month_of(F.col("trade_date"))).where(F.col("month") >= first)
     replace_months(fresh(health.sector_days(kept.where(F.col("month") >= since), sectors), since), f"{root}/sectors")

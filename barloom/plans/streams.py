@@ -60,15 +60,21 @@ def replayed(s, d, parts: int = 4):
 CUT_DAYS = ("1996-06-30", "1997-03-31")
 
 
+def landed(s, d):
+    """The folder that bars land in, after each of three parts has: up to each of CUT_DAYS, and the rest."""
+    at = st.scratch(s)
+    part = sum((F.col("trade_date") > F.lit(day).cast("date")).cast("int") for day in CUT_DAYS)
+    # Bars are worked out once for all landings.
+    model_bars(s, d).withColumn("part", part).write.partitionBy("part").parquet(f"{at}/come")
+    for k in range(len(CUT_DAYS) + 1):
+        incremental.land(s.read.parquet(f"{at}/come").where(F.col("part") == k).drop("part"), f"{at}/bars")
+        yield at
+
+
 def grown(s, d):
-    """The days' tables after three runs over bars that landed in three parts: up to each of CUT_DAYS, and the rest."""
-    at, bars = st.scratch(s), model_bars(s, d)
-    last = None
-    for day in (*CUT_DAYS, "9999-12-31"):
-        part = bars.where(F.col("trade_date") <= F.lit(day).cast("date"))
-        incremental.land(part if last is None else part.where(F.col("trade_date") > F.lit(last).cast("date")), f"{at}/bars")
+    """The days' tables after a run over each part of the bars that landed."""
+    for at in landed(s, d):
         incremental.update_days(s, f"{at}/bars", f"{at}/days", sectors(s, d), market_plans.with_indices)
-        last = day
     return at
 
 
@@ -79,13 +85,8 @@ def new_days(s, d):
 
 def caught_up(s, d):
     """Sessions that each of three runs of a stream over the bars' folder finds to scan, which lands in three parts."""
-    at, bars = st.scratch(s), model_bars(s, d)
-    last = None
-    for day in (*CUT_DAYS, "9999-12-31"):
-        part = bars.where(F.col("trade_date") <= F.lit(day).cast("date"))
-        incremental.land(part if last is None else part.where(F.col("trade_date") > F.lit(last).cast("date")), f"{at}/bars")
+    for at in landed(s, d):
         daily.catch_up(s, f"{at}/bars", f"{at}/scans", f"{at}/state")
-        last = day
     return s.read.parquet(f"{at}/scans").select("trade_date", F.col("run").cast("int").alias("run"))
 
 

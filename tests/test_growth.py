@@ -1,12 +1,14 @@
 """Jobs whose cost must not grow faster than the bars: what they do beside their rows."""
 
+import statistics
 from datetime import date, timedelta
 from types import SimpleNamespace
 
 import pandas as pd
 from pyspark.sql import functions as F
 
-from barloom.operators import pivots, tracking
+from barloom.operators import health, incremental, market, pivots, strength, tracking
+from barloom.plans import streams
 from barloom.sources import store
 from barloom.streaming import daily
 
@@ -118,3 +120,86 @@ def test_a_month_is_not_written_by_each_task(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert spark.read.parquet(f"file://{tmp_path}/bars").count() == len(data)
     assert {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / "bars").glob("month=*")} == {"month=2020-01": 1, "month=2020-02": 1}
+
+
+def frame(rows, k, c, n):
+    """Values that are there in the last n rows up to k."""
+    return [r[c] for r in rows[k - n + 1 : k + 1] if r[c] is not None] if k >= n - 1 else []
+
+
+def test_frames_of_many_bars_at_once(spark):
+    """Against loops, with missing numbers; windows of 252 bars went through their frame anew on each bar."""
+    data = {}
+    for i, n in ((1, 330), (2, 30), (3, 1), (4, 300)):
+        rows = [list(bar(i, k, 100.0 + (k * k + 7 * i * k) % 43)) for k in range(n)]
+        for k in range(9, n, 31):
+            rows[k][3 + k % 4] = None
+        data[i] = [tuple(r) for r in rows]
+    whole = spark.createDataFrame([r for rows in data.values() for r in rows], BAR).repartition(3)
+    panel = market.panel(whole)
+    assert "RowFrame, -" not in panel._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.instrument, r.trade_date): r for r in panel.collect()}
+    assert len(got) == sum(map(len, data.values()))
+    mean = lambda xs: sum(xs) / len(xs) if xs else None
+    for i, rows in data.items():
+        for k, row in enumerate(rows):
+            r = got[i, row[1]]
+            assert [r[f"sma_{n}"] for n in (20, 50, 150, 200)] == [mean(frame(rows, k, 5, n)) for n in (20, 50, 150, 200)]
+            assert [r[f"high_{n}"] for n in (20, 50, 252)] == [max(frame(rows, k, 3, n), default=None) for n in (20, 50, 252)]
+            assert [r[f"low_{n}"] for n in (20, 50, 252)] == [min(frame(rows, k, 4, n), default=None) for n in (20, 50, 252)]
+            before = frame(rows, k - 1, 6, 20)
+            assert r.volume_ratio_20 == (row[6] / mean(before) if len(before) == 20 and row[6] is not None else None)
+            steps = [b[5] / a[5] - 1 if a[5] and b[5] is not None else None for a, b in zip(rows[max(0, k - 20) : k], rows[max(1, k - 19) : k + 1], strict=True)]
+            assert (r.volatility_20 is not None) == (len(steps) == 20 and None not in steps)
+            assert r.volatility_20 is None or abs(r.volatility_20 - statistics.pstdev(steps)) < 1e-12
+            after = [x[5] for x in rows[k + 1 : k + 11]]
+            closes = [c for c in after if c is not None]
+            assert (r.n_after, r.low_judged, r.close_judged) == (len(closes), min(closes, default=None), after[9] if len(after) == 10 else None)
+            assert (r.led_on, r.led_close) == ((rows[k + 20][1], rows[k + 20][5]) if k + 20 < len(rows) else (None, None))
+    since = day(290)
+    late = {(r.instrument, r.trade_date): r for r in market.panel(whole, since=since).collect()}
+    assert late == {key: r for key, r in got.items() if key[1] >= since}
+
+
+def test_ranks_of_a_day_take_one_pass(spark):
+    """Each of three counts went through the day's rows by itself."""
+    df = spark.createDataFrame([(k % 3, float(k * k % 5) if k % 7 else None) for k in range(60)], "d int, v double")
+    got = df.select("d", "v", *[c.alias(n) for c, n in zip(strength.midrank(F.col("v"), "d"), ("pct", "n"), strict=True)])
+    for r in got.collect():
+        group = [x.v for x in df.collect() if x.d == r.d and x.v is not None]
+        want = (None, None) if r.v is None else ((sum(v < r.v for v in group) + 0.5 * (group.count(r.v) - 1)) / (len(group) - 1), len(group))
+        assert (r.pct, r.n) == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+
+
+def test_days_do_not_meet_the_days_before(spark):
+    """A leader of a day counts on the day that its row names; the panel's bars met by instrument for it."""
+    data = [(i, day(k), 50.0 + k + i, i != 3, k + 20) for i in range(4) for k in range(30)]
+    rows = [(i, d, c, c, c, c, 10.0, 0.01, "PASS" if led else "FAIL", 90, True, day(on) if on < 30 else None, 50.0 + on + i if on < 30 else None) for i, d, c, led, on in data]
+    names = "instrument long, trade_date date, open double, high double, low double, close double, volume double, daily_return double, status string, rs_rank int, eligible boolean, led_on date, led_close double"
+    rest = [c for c in health.PANEL if c not in names]
+    panel = spark.createDataFrame(rows, names).withColumns({c: F.lit(None).cast("double") for c in rest})
+    counts = health.day_counts(panel)
+    got = {r.trade_date: (r.leaders, r.led_n, r.led_return) for r in counts.collect()}
+    for k in range(30):
+        then = [50.0 + k - 20 + i for i in range(3)] if k >= 20 else []
+        assert got[day(k)][:2] == (3, len(then))
+        assert got[day(k)][2] is None if not then else abs(got[day(k)][2] - sum((c + 20) / c - 1 for c in then) / 3) < 1e-12
+    assert "Window" not in counts._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bars_are_worked_out_once_for_all_landings(spark, tmp_path, monkeypatch):
+    asked = []
+    monkeypatch.setattr(streams, "model_bars", lambda s, d: asked.append(d) or s.createDataFrame(ticked, BAR).withColumn("close", counted("close")))
+    seen = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda x: seen.add(1) or x, "double").asNondeterministic()
+    ticked = [(1, date(1996, 6, 1) + timedelta(100 * k), 1.0, 2.0, 0.5, 1.0 + k, 9.0) for k in range(6)]
+    counts = [spark.read.parquet(f"{at}/bars").count() for at in streams.landed(spark, "none")]
+    assert counts == [1, 4, 6] and asked == ["none"] and seen.value == 6
+
+
+def test_a_landing_is_not_written_by_each_task(spark, tmp_path):
+    bars = spark.createDataFrame([bar(i, k, 100.0) for i in range(200) for k in range(60)], BAR).repartition(4, "instrument")
+    incremental.land(bars, f"file://{tmp_path}/bars")
+    assert {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / "bars").glob("month=*")} == {"month=2020-01": 1, "month=2020-02": 1}
+    assert spark.read.parquet(f"file://{tmp_path}/bars").count() == 200 * 60
