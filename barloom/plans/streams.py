@@ -103,9 +103,10 @@ def final_over_provisional(s, d):
     """All versions of the bars after each landing was a run of the merge stream; the last batch is merged a second time, as after a lost run."""
     at = st.scratch(s)
     # Landings are read up to three times each; their bars are worked out once.
-    model_bars(s, d).select("instrument", "trade_date", *store.PRICES).write.parquet(f"{at}/model")
+    with store.released(s):
+        model_bars(s, d).select("instrument", "trade_date", *store.PRICES).write.option("compression", "zstd").parquet(f"{at}/model")
     for k, rows in enumerate(landings(s.read.parquet(f"{at}/model"))):
-        rows.write.mode("append").parquet(f"{at}/come")
+        rows.write.mode("append").option("compression", "zstd").parquet(f"{at}/come")
         store.merge_stream(s.readStream.schema(rows.schema).parquet(f"{at}/come"), f"{at}/bars", f"{at}/state")
     store.merge_batch(s, f"{at}/bars", rows, k)
     return s.read.parquet(f"{at}/bars").select("instrument", "trade_date", "close", "provider", "status", "batch_from", "batch_to")
