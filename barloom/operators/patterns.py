@@ -10,12 +10,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.operators import asof
 from barloom.operators.features import by_day
+from barloom.operators.frames import Frames
 from barloom.operators.runs import Extremes, by_instrument, firsts, lists, picked, spread
 
 
@@ -32,8 +34,8 @@ class BaseRules:
     equal_pct: float = 1.5
 
 
-def known_swings(bars: DataFrame, rules: BaseRules) -> DataFrame:
-    """(instrument, trade_date, high, low, n, before, is_high, is_low, low_tail): bars with their swings, which are known `right` bars later.
+def known_swings(bars: DataFrame, rules: BaseRules, asked: Column) -> DataFrame:
+    """(instrument, trade_date, high, low, n, before, is_high, is_low, low_tail, asked): bars with their swings, which are known `right` bars later.
 
     before is the lowest low of the advance_bars that end with a bar's own, low_tail that of the bars too young to be swings. A
     price that is no number is missing.
@@ -45,7 +47,7 @@ def known_swings(bars: DataFrame, rules: BaseRules) -> DataFrame:
     swing = lambda c, extreme: F.coalesce(inside & (F.col(c) == extreme(c).over(around)), F.lit(False))
     return rows.select(
         "*", F.row_number().over(w).alias("n"), F.min("low").over(run_up).alias("before"), swing("high", F.max).alias("is_high"), swing("low", F.min).alias("is_low"),
-        F.min("low").over(w.rowsBetween(-(rules.right - 1), 0)).alias("low_tail"),
+        F.min("low").over(w.rowsBetween(-(rules.right - 1), 0)).alias("low_tail"), F.coalesce(asked, F.lit(False)).alias("asked"),
     )
 
 
@@ -91,7 +93,7 @@ class Contractions:
 
 
 def bases_of(table: pa.Table, r: BaseRules, names: list[str]) -> pa.Table:
-    """Bases as of each bar of whole instruments, bars in order: those with one highest swing take their next leg at once, and a bar copies the legs when they reach its last swing high."""
+    """Bases as of each asked bar of whole instruments, bars in order: those with one highest swing take their next leg at once, and a bar copies the legs when they reach its last swing high."""
     first, n, every = firsts(table), table["n"].to_numpy(), np.arange(table.num_rows)
     day, high, low, before, tail = (table[c].to_numpy() for c in ("trade_date", "high", "low", "before", "low_tail"))
     is_high, is_low = table["is_high"].to_numpy(), table["is_low"].to_numpy()
@@ -152,7 +154,7 @@ def bases_of(table: pa.Table, r: BaseRules, names: list[str]) -> pa.Table:
         table["instrument"], table["trade_date"], spread(day[top], rows, len(every), pa.date32()), number(high[top]), number(bottom), number((1 - bottom / high[top]) * 100), pa.array(bars), number(advance), picked(REASONS, reason),
         lists(record, legs, every, len(every)),
     ]
-    return pa.table(columns, names=names)
+    return pa.table(columns, names=names).filter(table["asked"])
 
 
 def of_days(rows: DataFrame, as_of: DataFrame, days: DataFrame | None = None) -> DataFrame:
@@ -162,16 +164,18 @@ def of_days(rows: DataFrame, as_of: DataFrame, days: DataFrame | None = None) ->
     return rows.join(at, ["instrument", "trade_date"])
 
 
-def detect_bases(bars: DataFrame, as_of: DataFrame | None = None, rules: BaseRules = BaseRules()) -> DataFrame:
+def detect_bases(bars: DataFrame, as_of: DataFrame | None = None, rules: BaseRules = BaseRules(), asked: Column | None = None) -> DataFrame:
     """The base of each instrument and day of as_of(instrument, as_of), or of each bar; a day before the first bar has no row.
 
+    asked tells the bars to answer for, by their trade_date and windows by_day(), so that the others' bases are never made or moved.
+
     (instrument, as_of, base_start, base_high, base_low, depth_pct, n_bars, advance_pct, reason, contractions). reason says why there is
     no base: NO_SWING_HIGH, INSUFFICIENT_HISTORY, NO_ADVANCE; null if there is one. Legs go from each swing high to the lowest swing low before
     the next one, the last one to the lowest low; one without a low behind it gives way to the next. A leg that is noise, and one that starts within equal_pct
     of the leg before or above it, is part of the leg before.
     """
     kinds = {"instrument": bars.schema["instrument"].dataType.simpleString(), "trade_date": "date", "base_start": "date", "base_high": "double", "base_low": "double", "depth_pct": "double", "n_bars": "int", "advance_pct": "double", "reason": "string", "contractions": f"array<{CONTRACTION}>"}
-    found = by_instrument(known_swings(bars, rules), lambda table: bases_of(table, rules, list(kinds)), ", ".join(f"{c} {t}" for c, t in kinds.items()))
+    found = by_instrument(known_swings(bars, rules, F.lit(True) if asked is None else asked), lambda table: bases_of(table, rules, list(kinds)), ", ".join(f"{c} {t}" for c, t in kinds.items()))
     if as_of is None:
         return found.withColumnRenamed("trade_date", "as_of")
     return of_days(found, as_of, bars).select("instrument", "as_of", *list(kinds)[2:])
@@ -226,6 +230,41 @@ def tiers(bases: DataFrame) -> DataFrame:
     return rows.select("instrument", "as_of", "reason", n.alias("n_contractions"), "depth_pct", "ratios", cls.alias("class"), F.concat_ws(",", "unmet_full").alias("unmet"))
 
 
+def stands(table: pa.Table, volume_ratio: float, names: list[str]) -> pa.Table:
+    """Where bases stand on the last bar up to their day: the lowest low up to the level's day, the close, the first loud close above the level behind that day.
+
+    Rows with legs are bases, the others bars, of whole instruments.
+    """
+    of = pc.dictionary_encode(table["instrument"].combine_chunks()).indices.to_numpy().astype(np.int64) << 32
+    key = lambda c: of + np.nan_to_num(table[c].combine_chunks().cast(pa.int32()).cast(pa.float64()).to_numpy(zero_copy_only=False), nan=-(1 << 31)).astype(np.int64)
+    is_base = table["legs"].is_valid().to_numpy()
+    at, k, day = key("trade_date")[~is_base], np.flatnonzero(is_base), table["trade_date"]
+    bars, bases = table.filter(pa.array(~is_base)), table.take(pa.array(k))
+    f = Frames(bars)
+    (low, has_low), (close, has_close), volume = f["low"], f["close"], f["volume"]
+    mean, there = f.lag(f.mean(volume, 50, every=True), 1)
+    # A NaN is above all numbers.
+    ratio = np.where(there & volume[1] & ~(mean <= 0), np.nan_to_num(volume[0] / mean, nan=np.inf), -np.inf)
+    loud = Extremes(np.where(has_close & (ratio >= volume_ratio), np.nan_to_num(close, nan=np.inf), -np.inf), len(at))
+    lows, seen = Extremes(np.where(has_low, np.nan_to_num(low, nan=np.inf), np.inf), len(at), lowest=True), np.concatenate([[0], np.cumsum(has_low)])
+
+    starts, levels = key("base_start")[k], key("level_date")[k]
+    first, last, behind = np.searchsorted(at, starts), np.searchsorted(at, key("trade_date")[k], "right") - 1, np.searchsorted(at, levels, "right")
+    some = np.flatnonzero((last >= first) & (at[np.minimum(first, len(at) - 1)] == starts)) if len(at) else np.zeros(0, int)
+    first, last, behind = first[some], last[some], np.maximum(behind[some], first[some])
+    until = np.minimum(behind, last + 1)
+    floor, full = np.full(len(some), np.nan), np.flatnonzero(seen[until] > seen[first])
+    floor[full] = low[lows.place(first[full], until[full])]
+    level = bases["level"].combine_chunks().take(pa.array(some))
+    broke = loud.first(until, last + 1, level.to_numpy(zero_copy_only=False), strictly=True) if len(some) else last
+    days = bars["trade_date"].combine_chunks()
+    columns = [
+        bases["instrument"].take(pa.array(some)), day.take(pa.array(k[some])), bases["legs"].take(pa.array(some)), level, pa.array(floor, mask=seen[until] <= seen[first]), bars["close"].take(pa.array(last)),
+        days.take(pa.array(broke, mask=broke > last)), days.take(pa.array(last)),
+    ]
+    return pa.table(columns, names=names)
+
+
 def base_status(bases: DataFrame, bars: DataFrame, trend: DataFrame, volume_ratio: float = 1.5, break_pct: float = 0.0, ready_pct: float = 5.0) -> DataFrame:
     """Status of each base by precedence: INVALIDATED, BREAKOUT or FAILED, READY, FORMING.
 
@@ -233,18 +272,12 @@ def base_status(bases: DataFrame, bars: DataFrame, trend: DataFrame, volume_rati
     under its low before the last peak, any base once its instrument fails the trend screen. A breakout is the first close above the
     level behind its day with volume_ratio times the mean volume of 50 bars before; it has failed if the close is under the level.
     """
-    w = W.partitionBy("instrument").orderBy("trade_date").rowsBetween(-50, -1)
-    base_volume = F.when(F.count("volume").over(w) == 50, F.avg("volume").over(w))
-    b = bars.select("instrument", "trade_date", "low", "close", (F.col("volume") / F.when(base_volume > 0, base_volume)).alias("ratio"))
     last = F.try_element_at("contractions", F.lit(-1))
-    k = bases.where("reason IS NULL").select("instrument", "as_of", "base_start", F.size("contractions").alias("legs"), F.coalesce(last["peak"], F.col("base_high")).alias("level"), F.coalesce(last["peak_date"], F.col("base_start")).alias("level_date"))
-    # A base meets its own bars by their numbers, not all bars of its instrument.
-    b = b.withColumn("n", F.row_number().over(by_day()))
-    spans = k.join(b.select("instrument", F.col("trade_date").alias("base_start"), F.col("n").alias("first")), ["instrument", "base_start"])
-    spans = of_days(b.select("instrument", "trade_date", F.col("n").alias("last_n")), spans.select("instrument", "as_of").distinct()).select("instrument", "as_of", "last_n").join(spans, ["instrument", "as_of"])
-    inside = spans.select(*k.columns, F.explode(F.sequence("first", "last_n")).alias("bar")).join(b.withColumnRenamed("n", "bar"), ["instrument", "bar"])
-    broke = (F.col("trade_date") > F.col("level_date")) & (F.col("close") > F.col("level")) & (F.col("ratio") >= volume_ratio)
-    rows = inside.groupBy("instrument", "as_of", "legs", "level").agg(F.min(F.when(F.col("trade_date") <= F.col("level_date"), F.col("low"))).alias("floor"), F.max_by("close", "trade_date").alias("close"), F.min(F.when(broke, F.col("trade_date"))).alias("breakout_on"), F.max("trade_date").alias("trade_date"))
+    k = bases.where("reason IS NULL").select("instrument", F.col("as_of").alias("trade_date"), "base_start", F.size("contractions").alias("legs"), F.coalesce(last["peak"], F.col("base_high")).alias("level"), F.coalesce(last["peak_date"], F.col("base_start")).alias("level_date"))
+    # Bases come to their instruments' bars, so both are dealt out once and no base is spread over its bars.
+    asked = k.unionByName(bars.select("instrument", "trade_date", "low", "close", "volume"), allowMissingColumns=True).where("instrument IS NOT NULL").repartition("instrument")
+    kinds = {"instrument": bars.schema["instrument"].dataType.simpleString(), "as_of": "date", "legs": "int", "level": "double", "floor": "double", "close": "double", "breakout_on": "date", "trade_date": "date"}
+    rows = by_instrument(asked, lambda table: stands(table, volume_ratio, list(kinds)), ", ".join(f"{c} {t}" for c, t in kinds.items()))
     rows = rows.join(trend.select("instrument", "trade_date", "status"), ["instrument", "trade_date"], "left").withColumnRenamed("status", "trend")
     reasons = F.array_compact(F.array(F.when(F.col("trend") == "FAIL", F.lit("TREND")), F.when((F.col("legs") >= 2) & (F.col("close") < F.col("floor") * (1 - break_pct / 100)), F.lit("BASE_LOW"))))
     below = (F.col("level") / F.col("close") - 1) * 100

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barloom.operators import backtest, falls, labels, ledger, market, patterns, pivots, scores, tracking
 from barloom.operators.backtest import TradeRule
 from barloom.operators.features import by_day, daily_features
-from barloom.operators.trend import screened, trend_status
+from barloom.operators.trend import screened
 from barloom.plans.detections import DETECTIONS
 from barloom.plans.screen import rounded
 from barloom.plans.sql import BARS, FEATURES, STRENGTH, TREND, with_
@@ -52,8 +52,9 @@ def kept_events(s, d):
     return rows.withColumn("price", F.when(F.col("note") % 89 == 0, F.col("price") + 1).otherwise(F.col("price")))
 
 
-def month_ends(bars):
-    return bars.groupBy("instrument", F.last_day("trade_date").alias("as_of")).agg(F.count("*").alias("n")).drop("n")
+def month_end(following):
+    """Whether a bar is the last of its month, by the day of the bar behind it."""
+    return ~F.last_day("trade_date").eqNullSafe(F.last_day(following))
 
 
 def bases(s, d):
@@ -62,9 +63,14 @@ def bases(s, d):
 
 
 def month_bases(s, d):
-    """Bases as of the last bar of each month, whose status follows the bars since their start."""
-    bars = model_bars(s, d)
-    return patterns.detect_bases(bars, month_ends(bars))
+    """Bases as of the last bar of each month, by the month's last day; their status follows the bars since their start."""
+    return patterns.detect_bases(model_bars(s, d), asked=month_end(F.lead("trade_date").over(by_day()))).withColumn("as_of", F.last_day("as_of"))
+
+
+def month_status(s, d):
+    """Status of month_bases(), with the verdicts of the months' last bars."""
+    verdicts = screened(model_bars(s, d), makers=(lambda f: f.put_day("following", -1),)).where(month_end("following")).select("instrument", "trade_date", "status")
+    return patterns.base_status(month_bases(s, d), model_bars(s, d), verdicts)
 
 
 def ema20(s, d):
@@ -143,8 +149,8 @@ QUERIES = {
     "dom31_bases": bases,
     "dom32_measures": lambda s, d: rounded(patterns.measures(bases(s, d)), "first_depth", "last_depth", "mean_ratio", "worst_ratio", "shrinking_share"),
     "dom34_tiers": lambda s, d: patterns.tiers(bases(s, d)),
-    "dom37_base_status": lambda s, d: rounded(patterns.base_status(month_bases(s, d), model_bars(s, d), trend_status(model_bars(s, d))), "level"),
-    "dom40_base_history": lambda s, d: patterns.status_history(patterns.base_status(month_bases(s, d), model_bars(s, d), trend_status(model_bars(s, d)))),
+    "dom37_base_status": lambda s, d: rounded(month_status(s, d), "level"),
+    "dom40_base_history": lambda s, d: patterns.status_history(month_status(s, d)),
     "win12_ema20": lambda s, d: rounded(ema20(s, d), "ema_20"),
 }
 

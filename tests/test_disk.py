@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
+from barloom.operators import patterns
+from barloom.plans import research
 from barloom.sources import store
 
 D0 = date(2020, 1, 1)
@@ -38,3 +40,50 @@ def test_a_merge_deals_rows_out_once_and_leaves_no_copy(spark, tmp_path, monkeyp
     assert got[0] == got[1] and len(got[0]) == 40 * 40 + 32 * 40 + 5 * 40
     assert exchanges(store.merged_versions(stored.drop("month"), come(spark, 2.0, "FEED", "PROVISIONAL"), 3)) == (1, 0)
     assert spark.conf.get(store.RELEASE) == "false"
+
+
+def plain_status(bars, base, ratio=1.5):
+    """(floor, close, breakout_on) of one base by the bars up to its day, in a loop."""
+    day, start, level, level_day = base
+    floor, broke, close = None, None, None
+    for k, (d, low, c, _) in enumerate(bars):
+        if not start <= d <= day:
+            continue
+        close = c
+        if d <= level_day and low is not None:
+            floor = low if floor is None else min(floor, low)
+        before = [b[3] for b in bars[max(0, k - 50) : k]]
+        loud = len(before) == 50 and None not in before and sum(before) > 0 and bars[k][3] is not None and bars[k][3] / (sum(before) / 50) >= ratio
+        if broke is None and d > level_day and c is not None and c > level and loud:
+            broke = d
+    return floor, close, broke
+
+
+def test_a_base_is_not_spread_over_its_bars(spark):
+    """Each base became a row for each of its bars, which were dealt out; against a loop, with missing numbers and days without a bar."""
+    data = {}
+    for i in (1, 2, 5):
+        data[i] = [(day(k), None if k % 37 == 5 else 90.0 + (k * k + i) % 17, None if k % 41 == 7 else 95.0 + (k * k + 3 * i * k) % 23, None if k % 97 == i else 100.0 + 200 * (k % 6 == i)) for k in range(0, 160 + 20 * i) if k % 7 != 6]
+    b = spark.createDataFrame([(i, *r) for i, rows in data.items() for r in rows], "instrument long, trade_date date, low double, close double, volume double")
+    asked = [(i, day(k), day(s), 100.0 + s % 15, day(s + n)) for i in (1, 2, 5, 9) for k, s, n in ((100, 70, 10), (104, 71, 0), (170, 99, 20), (150, 65, 30), (400, 120, 13), (160, 69, 3)) if s % 7 != 6 or i == 2]
+    part = "array(named_struct('peak_date', peak_date, 'peak', peak, 'trough_date', peak_date, 'trough', 1.0D, 'depth_pct', 10.0D, 'confirmed', true))"
+    bases = spark.createDataFrame(asked, "instrument long, as_of date, base_start date, peak double, peak_date date").selectExpr("instrument", "as_of", "base_start", "peak AS base_high", "CAST(NULL AS STRING) AS reason", f"{part} AS contractions")
+    trend = b.selectExpr("instrument", "trade_date", "'PASS' AS status")
+    got = patterns.base_status(bases, b, trend)
+    want = {}
+    for i, at, start, level, level_day in asked:
+        if any(r[0] == start for r in data.get(i, [])):
+            floor, close, broke = plain_status(data[i], (at, start, level, level_day))
+            want[i, at] = (level, broke, "BREAKOUT" if broke and close is not None and close >= level else "FAILED" if broke else "FORMING")
+    assert {(r.instrument, r.as_of): (r.level, r.breakout_on, r.state) for r in got.collect()} == want
+    assert sum(w[1] is not None for w in want.values()) >= 3 and len(want) < len(asked)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+
+
+def test_month_ends_alone_are_made_and_moved(spark):
+    """All bars' bases were joined to the months' last bars; they are now asked for on these, and nothing is joined."""
+    got = research.month_bases(spark, "/root/testdata/sf0.001")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+    assert got.groupBy("instrument", "as_of").count().where("count > 1").isEmpty() and got.where("as_of <> last_day(as_of)").isEmpty() and got.count() > 100
