@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barloom import streaming as st
 from barloom.functions import r6
 from barloom.operators import adjust, events, flow, market, records
 from barloom.operators.trend import trend_status
@@ -11,6 +12,7 @@ from barloom.plans.market import ALL, RAW, pan, raw
 from barloom.plans.screen import rounded
 from barloom.plans.sql import BARS, FEATURES, STRENGTH, TREND, with_
 from barloom.plans.temporal import ACTIONS
+from barloom.sources import store
 from barloom.sources.bars import actions, model_bars, sessions
 
 
@@ -69,10 +71,15 @@ def verdicts(s, d):
 
 
 def setup_flow(s, d):
-    bars, p = model_bars(s, d), pan(s, d)
-    events = market.breakouts(p).select("instrument", F.col("trade_date").alias("day"), "level")
-    setups = p.where("status = 'PASS' AND eligible").select("instrument", F.col("trade_date").alias("day"))
-    return flow.setup_flow(setups, events, bars, sessions(bars))
+    """Setups and breakouts are all among the passing bars, which are kept, so that bars are screened once."""
+    at, bars = st.scratch(s), model_bars(s, d)
+    with store.released(s):
+        market.passing(pan(s, d)).write.parquet(f"{at}/passing")
+        sessions(bars).write.parquet(f"{at}/sessions")
+    passing = s.read.parquet(f"{at}/passing")
+    events = market.breakouts(passing).select("instrument", F.col("trade_date").alias("day"), "level")
+    setups = passing.where("eligible").select("instrument", F.col("trade_date").alias("day"))
+    return flow.setup_flow(setups, events, bars, s.read.parquet(f"{at}/sessions"))
 
 
 def quality_events(s, d):

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from barloom.operators import patterns
-from barloom.plans import research
+from barloom.operators import ledger, patterns
+from barloom.operators.backtest import TRADE, TradeRule, run_trades
+from barloom.plans import records, research
 from barloom.sources import store
 
 D0 = date(2020, 1, 1)
@@ -87,3 +88,34 @@ def test_month_ends_alone_are_made_and_moved(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
     assert got.groupBy("instrument", "as_of").count().where("count > 1").isEmpty() and got.where("as_of <> last_day(as_of)").isEmpty() and got.count() > 100
+
+
+def test_bars_are_screened_once_for_the_flow_of_setups(spark):
+    """The screen stood five times in the plan of its days."""
+    rows = records.setup_flow(spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" not in rows._jdf.queryExecution().executedPlan().toString() and rows.count() > 0
+
+
+def test_a_ledger_makes_its_trades_once(spark):
+    """Trades, and the screen below them, stood in each part of the ledger, and each bar carried a list of the days behind it."""
+    rows = research.ledger_of(spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("MapInArrow", "InPandas")) and rows.where("event_type = 'DAY_CLOSED'").count() > 0
+    bars = spark.createDataFrame([(1, day(k)) for k in range(30)], "instrument long, trade_date date")
+    signals = spark.createDataFrame([(1, day(2), 1.0), (1, day(20), 2.0)], "instrument long, trade_date date, score double")
+    rules = spark.createDataFrame([("a", 3), ("b", 12), ("c", 18), ("d", 0), ("e", None)], "rule string, watch int")
+    watched = ledger.watches(signals, spark.createDataFrame([], TRADE), bars, rules)
+    assert "collect_list" not in watched._jdf.queryExecution().executedPlan().toString()
+    ends = {(r.rule, r.signal_date): (r.ends, r.why) for r in watched.collect()}
+    want = {("a", 2): (5, "NO_BREAKOUT"), ("a", 20): (23, "NO_BREAKOUT"), ("b", 2): (14, "NO_BREAKOUT"), ("b", 20): (None, None), ("c", 2): (20, "REPLACED"), ("c", 20): (None, None)}
+    want |= {(rule, k): (20, "REPLACED") if k == 2 else (None, None) for rule in "de" for k in (2, 20)}
+    assert ends == {(rule, day(k)): (None if at is None else day(at), why) for (rule, k), (at, why) in want.items()}
+
+
+def test_signals_meet_their_bars_by_instrument(spark):
+    """Bars with signals were dealt out by day and again by instrument."""
+    bars = spark.createDataFrame([(i, day(k), 100.0 + k, 99.0 + k, 100.0 + k, 200.0 if k % 9 == 0 else 100.0) for i in (1, 2, 3) for k in range(120)], "instrument long, trade_date date, high double, low double, close double, volume double")
+    signals = spark.createDataFrame([(1, day(60), 161.0, 5.0), (2, day(7), 101.0, 5.0), (2, None, 101.0, 5.0), (9, day(60), 1.0, 1.0)], "instrument long, trade_date date, level double, score double")
+    got = run_trades(bars, signals, [TradeRule("x", horizon=10)])
+    assert [(r.instrument, r.signal_date, r.entry_date, r.hold_bars, r.score) for r in got.collect()] == [(1, day(60), day(63), 10, 5.0)]
+    assert ", trade_date" not in "".join(x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x)
