@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.operators.features import by_day
+from barloom.operators.frames import Frames
 
 
 @dataclass(frozen=True)
@@ -82,14 +83,26 @@ def watched() -> list[Column]:
     return [F.when(F.count("volume").over(prior) == 50, F.avg("volume").over(prior)).alias("base"), F.when(F.count("close").over(last) == 50, F.avg("close").over(last)).alias("line")]
 
 
+def watched_columns(f: Frames) -> None:
+    """watched() as frames."""
+    f.put("base", f.lag(f.mean(f["volume"], 50, every=True), 1))
+    f.put("line", f.mean(f["close"], 50, every=True))
+
+
 def run_trades(bars: DataFrame, signals: DataFrame, rules: list[TradeRule]) -> DataFrame:
     """Trades of every rule on every instrument. signals: (instrument, trade_date, level, score), one per bar at most.
 
-    An instrument's bars go to Python once, for all rules, and only where it has a signal.
+    An instrument's bars go to Python once, for all rules, and only where it has a signal; signals meet them there, so bars are not dealt out
+    by day for it.
     """
     rows = bars.join(signals.select("instrument").distinct(), "instrument", "left_semi")
     rows = rows.select("instrument", "trade_date", "high", "low", "close", "volume", *watched())
-    return trades_on(rows.join(signals, ["instrument", "trade_date"], "left"), rules)
+    own = signals.where("instrument IS NOT NULL AND trade_date IS NOT NULL").select("instrument", "trade_date", F.col("level").cast("double").alias("level"), F.col("score").cast("double").alias("score"))
+
+    def run(bars: pd.DataFrame, signals: pd.DataFrame) -> pd.DataFrame:
+        return all_trades(bars.merge(signals.drop(columns="instrument"), "left", "trade_date"), rules)
+
+    return rows.groupBy("instrument").cogroup(own.groupBy("instrument")).applyInPandas(run, TRADE)
 
 
 def screened_trades(rows: DataFrame, rules: list[TradeRule]) -> DataFrame:
@@ -102,11 +115,13 @@ def screened_trades(rows: DataFrame, rules: list[TradeRule]) -> DataFrame:
 def trades_on(rows: DataFrame, rules: list[TradeRule]) -> DataFrame:
     """Trades of every rule on bars(instrument, trade_date, high, low, close, volume, and watched()) that carry level and score where they are signals."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("trade_date", ignore_index=True).rename(columns={"line": "sma_50"})
-        return pd.DataFrame([t for r in rules for t in trades_of(pdf, r)], columns=[c.split()[0] for c in TRADE.split(", ")])
+    return rows.groupBy("instrument").applyInPandas(lambda pdf: all_trades(pdf, rules), TRADE)
+
 
-    return rows.groupBy("instrument").applyInPandas(run, TRADE)
+def all_trades(pdf: pd.DataFrame, rules: list[TradeRule]) -> pd.DataFrame:
+    """TRADE rows of every rule on one instrument."""
+    pdf = pdf.sort_values("trade_date", ignore_index=True).rename(columns={"line": "sma_50"})
+    return pd.DataFrame([t for r in rules if len(pdf) for t in trades_of(pdf, r)], columns=[c.split()[0] for c in TRADE.split(", ")])
 
 
 def contenders(trades: DataFrame, bars: DataFrame, slots: int) -> DataFrame:

@@ -27,15 +27,16 @@ def watches(signals: DataFrame, trades: DataFrame, bars: DataFrame, rules: DataF
     (REPLACED), or on the last of its `watch` bars (NO_BREAKOUT); ends is null where it had a trade or still goes on.
     """
     w = by_day()
-    most = rules.agg(F.max("watch")).first()[0]
-    ahead = bars.select("instrument", "trade_date", F.row_number().over(w).alias("n"), F.collect_list("trade_date").over(w.rowsBetween(1, int(most))).alias("next_days"))
+    # Each length that a watch has is a day of its own; no bar carries a list of the days behind it.
+    lengths = sorted(r.watch for r in rules.select("watch").distinct().collect() if r.watch is not None)
+    ahead = bars.select("instrument", "trade_date", *[(F.lead("trade_date", k).over(w) if k > 0 else F.lit(None).cast("date")).alias(f"_day_{k}") for k in lengths])
     at = signals.select("instrument", "trade_date", "score").join(ahead, ["instrument", "trade_date"]).withColumnRenamed("trade_date", "signal_date").crossJoin(F.broadcast(rules))
     held = trades.select("rule", "instrument", "entry_date", F.struct("exit_date", "exit_kind").alias("x"))
     seen = asof.backward(at, held, ["rule", "instrument"], "signal_date", "entry_date", ["x"], strict=True)
     inside = F.coalesce((F.col("x.exit_date") >= F.col("signal_date")) | (F.col("x.exit_kind") == "OPEN"), F.lit(False))
     live = seen.where(~inside).join(trades.select("rule", "instrument", "signal_date", F.lit(True).alias("traded")), ["rule", "instrument", "signal_date"], "left")
     following = F.lead("signal_date").over(W.partitionBy("rule", "instrument").orderBy("signal_date"))
-    last = F.get("next_days", F.col("watch") - 1)
+    last = F.coalesce(*[F.when(F.col("watch") == k, F.col(f"_day_{k}")) for k in lengths], F.lit(None).cast("date"))
     live = live.withColumn("following", following).withColumn("last", last)
     replaced = F.col("following").isNotNull() & (F.col("last").isNull() | (F.col("following") <= F.col("last")))
     ends = F.when(F.col("traded"), None).when(replaced, F.col("following")).otherwise(F.col("last"))

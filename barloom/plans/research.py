@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barloom import streaming as st
 from barloom.operators import backtest, falls, labels, ledger, market, patterns, pivots, scores, tracking
 from barloom.operators.backtest import TradeRule
 from barloom.operators.features import by_day, daily_features
@@ -11,6 +12,7 @@ from barloom.operators.trend import screened
 from barloom.plans.detections import DETECTIONS
 from barloom.plans.screen import rounded
 from barloom.plans.sql import BARS, FEATURES, STRENGTH, TREND, with_
+from barloom.sources import store
 from barloom.sources.bars import model_bars, sessions, table
 
 RULES = [TradeRule("hold_low8"), TradeRule("target20", target_pct=20.0), TradeRule("trail50", trail="sma50"), TradeRule("cross5", max_extension_pct=5.0)]
@@ -18,21 +20,31 @@ RULES = [TradeRule("hold_low8"), TradeRule("target20", target_pct=20.0), TradeRu
 
 def signals(s, d):
     """Fresh passing bars; the screen has their level, so bars are screened once."""
-    rows = screened(model_bars(s, d)).select("instrument", "trade_date", "rs_rank", "status", F.col("high_20").alias("level"))
+    level = F.when(F.col("status") == "PASS", F.col("high_20")).alias("level")
+    rows = screened(model_bars(s, d)).select("instrument", "trade_date", "rs_rank", "status", level)
     return backtest.fresh(rows).select("instrument", "trade_date", "level", F.col("rs_rank").cast("double").alias("score"))
 
 
 def trades(s, d):
     """Trades on signals(), whose bars the screen has passed on."""
-    return backtest.screened_trades(screened(model_bars(s, d), own=tuple(backtest.watched())).withColumn("level", F.col("high_20")), RULES)
+    return backtest.screened_trades(screened(model_bars(s, d), makers=(backtest.watched_columns,)).withColumn("level", F.col("high_20")), RULES)
 
 
 def ledger_of(s, d):
-    """The whole ledger of the rules over all bars, with the regime of each session."""
-    bars, found = model_bars(s, d), trades(s, d)
+    """The whole ledger of the rules over all bars, with the regime of each session. Signals, trades and what is made of them are few and read several times, so they are kept."""
+    at, bars = st.scratch(s), model_bars(s, d)
+
+    def kept(name, rows):
+        with store.released(s):
+            rows.write.parquet(f"{at}/{name}")
+        return s.read.parquet(f"{at}/{name}")
+
+    found = kept("signals", signals(s, d))
+    made = kept("trades", backtest.run_trades(bars, found, RULES))
     rules = s.createDataFrame([(r.name, r.watch) for r in RULES], "rule string, watch int")
     regimes = market.regimes(market.breadth(market.panel(bars)), min_members=10).select("trade_date", F.col("breadth_on").alias("on"))
-    return ledger.ledger(ledger.watches(signals(s, d), found, bars, rules), found, backtest.taken_trades(found, bars), sessions(bars), regimes)
+    watched = kept("watched", ledger.watches(found, made, bars, rules))
+    return ledger.ledger(watched, made, kept("taken", backtest.taken_trades(made, bars)), sessions(bars), kept("regimes", regimes))
 
 
 def order_events(s, d):
