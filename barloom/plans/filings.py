@@ -8,13 +8,14 @@ from barloom import streaming as st
 from barloom.functions import r6
 from barloom.plans.fundamentals import latest, shares
 from barloom.plans.sql import with_
-from barloom.sources import filings
+from barloom.sources import filings, store
 
 
 def landed(s, docs):
     """Documents in a folder of the shared place, read back."""
     path = f"{st.scratch(s)}/filings"
-    docs.write.parquet(path)
+    with store.released(s):
+        docs.write.option("compression", "zstd").parquet(path)
     return s.read.parquet(path)
 
 
@@ -58,7 +59,7 @@ def holdings(s, d):
 def read_once(s, docs):
     """The facts of documents, which headers, items and rejects read several times: parsed once and landed."""
     path = f"{st.scratch(s)}/facts"
-    filings.xml_facts(docs).write.parquet(path)
+    filings.xml_facts(docs).write.option("compression", "zstd").parquet(path)
     return s.read.parquet(path)
 
 

@@ -7,7 +7,7 @@ from datetime import date, timedelta
 from barloom.operators import ledger, patterns
 from barloom.operators.backtest import TRADE, TradeRule, run_trades
 from barloom.plans import records, research
-from barloom.sources import store
+from barloom.sources import filings, store
 
 D0 = date(2020, 1, 1)
 
@@ -119,3 +119,27 @@ def test_signals_meet_their_bars_by_instrument(spark):
     got = run_trades(bars, signals, [TradeRule("x", horizon=10)])
     assert [(r.instrument, r.signal_date, r.entry_date, r.hold_bars, r.score) for r in got.collect()] == [(1, day(60), day(63), 10, 5.0)]
     assert ", trade_date" not in "".join(x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x)
+
+
+def test_facts_of_a_filing_come_together_once(spark):
+    """Headers, items and rejects dealt facts out by document, scope and tag, and again for each part of theirs."""
+    element = "<r:{} contextRef='{}'>{}</r:{}>"
+    fact = lambda tag, context, value: element.format(tag, context, value, tag)
+    context = lambda name, a, b: f"<context id='{name}'><p><startDate>{a}</startDate><endDate>{b}</endDate></p></context>"
+    text = {
+        # The year to date repeats the period; the first fact of a tag counts, and the first tag with a number.
+        "a": context("OneD", "2020-04-01", "2020-06-30") + context("FourD", "2020-04-01", "2020-06-30") + fact("ProfitBeforeTax", "OneD", "none") + fact("ProfitBeforeTax", "OneD", 9) + fact("ProfitLossFromOrdinaryActivitiesBeforeTax", "OneD", 8) + fact("Income", "FourD", 5),
+        # A half year beside a year to date of its own; days told by facts.
+        "b": context("OneD", "2020-04-01", "2020-09-30") + context("FourD", "2020-04-01", "2020-12-31") + fact("RevenueFromOperations", "OneD", 3) + fact("RevenueFromOperations", "FourD", 4) + fact("DateOfEndOfReportingPeriod", "FourD", "2020-12-30"),
+        "c": context("OneD", "2019-04-01", "2020-03-31") + fact("Income", "OneD", 5) + fact("BorrowingsCurrent", "OneI", 2) + fact("NatureOfReportStandaloneConsolidated", "OneD", " Standalone "),
+        "d": context("OneD", "2020-04-01", "2020-03-31") + fact("Income", "OneD", 5),
+        "e": fact("Income", "OneX", 5),
+    }
+    facts = filings.xml_facts(spark.createDataFrame([(k, f"<x xmlns:r='r'>{v}</x>") for k, v in text.items()], "doc string, content string"))
+    heads, items, rejects = filings.result_filings(facts)
+    assert sorted(tuple(r) for r in items.collect()) == [("a", "PERIOD", "pbt", 8.0), ("b", "YTD", "revenue", 4.0), ("c", "INSTANT", "borrowings", 2.0), ("c", "PERIOD", "revenue", 5.0)]
+    assert sorted((r.doc, r.basis, str(r.starts), str(r.ytd_ends), r.period_type, r.is_financial) for r in heads.collect()) == [
+        ("a", None, "2020-04-01", "None", "QUARTER", False), ("b", None, "2020-07-01", "2020-12-30", "QUARTER", False), ("c", "STANDALONE", "2019-04-01", "None", "ANNUAL", True),
+    ]
+    assert sorted(r.doc for r in rejects.collect()) == ["d", "e"]
+    assert [exchanges(x) for x in (heads, items, rejects)] == [(1, 0)] * 3
