@@ -17,7 +17,7 @@ def day(k):
 
 
 def exchanges(rows):
-    """Exchanges of a plan, and those that are used again."""
+    """Exchanges of the plan of rows that have not been computed yet, and those that are used again."""
     plan = rows._jdf.queryExecution().executedPlan().toString()
     return plan.count("Exchange hashpartitioning"), plan.count("ReusedExchange")
 
@@ -137,9 +137,9 @@ def test_facts_of_a_filing_come_together_once(spark):
     }
     facts = filings.xml_facts(spark.createDataFrame([(k, f"<x xmlns:r='r'>{v}</x>") for k, v in text.items()], "doc string, content string"))
     heads, items, rejects = filings.result_filings(facts)
+    assert [exchanges(x) for x in (heads, items, rejects)] == [(1, 0)] * 3
     assert sorted(tuple(r) for r in items.collect()) == [("a", "PERIOD", "pbt", 8.0), ("b", "YTD", "revenue", 4.0), ("c", "INSTANT", "borrowings", 2.0), ("c", "PERIOD", "revenue", 5.0)]
     assert sorted((r.doc, r.basis, str(r.starts), str(r.ytd_ends), r.period_type, r.is_financial) for r in heads.collect()) == [
         ("a", None, "2020-04-01", "None", "QUARTER", False), ("b", None, "2020-07-01", "2020-12-30", "QUARTER", False), ("c", "STANDALONE", "2019-04-01", "None", "ANNUAL", True),
     ]
     assert sorted(r.doc for r in rejects.collect()) == ["d", "e"]
-    assert [exchanges(x) for x in (heads, items, rejects)] == [(1, 0)] * 3
