@@ -97,7 +97,8 @@ def run_trades(bars: DataFrame, signals: DataFrame, rules: list[TradeRule]) -> D
     """
     rows = bars.join(signals.select("instrument").distinct(), "instrument", "left_semi")
     rows = rows.select("instrument", "trade_date", "high", "low", "close", "volume", *watched())
-    own = signals.where("instrument IS NOT NULL AND trade_date IS NOT NULL").select("instrument", "trade_date", F.col("level").cast("double").alias("level"), F.col("score").cast("double").alias("score"))
+    # Columns of their own, as signals may be made of the same bars.
+    own = signals.where("instrument IS NOT NULL AND trade_date IS NOT NULL").select(*[F.col(c).alias(c) for c in ("instrument", "trade_date")], *[F.col(c).cast("double").alias(c) for c in ("level", "score")])
 
     def run(bars: pd.DataFrame, signals: pd.DataFrame) -> pd.DataFrame:
         return all_trades(bars.merge(signals.drop(columns="instrument"), "left", "trade_date"), rules)
